@@ -37,3 +37,18 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
 def small(df: DataFrame, rows: int, limit: int = BROADCAST_ROWS) -> DataFrame:
     """Mark ``df`` for broadcast if its counted ``rows`` stay under ``limit``; else leave it to a shuffle join."""
     return F.broadcast(df) if rows <= limit else df
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Let local Python workers import this package from where the driver found it.
+
+    On a cluster the package is installed or sent with ``--py-files``; this only helps where
+    workers share the driver's file system.
+    """
+    import os
+
+    home = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    env = spark.sparkContext.environment
+    paths = [p for p in env.get("PYTHONPATH", "").split(os.pathsep) if p]
+    if home not in paths:
+        env["PYTHONPATH"] = os.pathsep.join([*paths, home])
