@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lodestone.llm import minhash
+from lodestone.llm import chat, decontaminate, minhash, pieces, shards
 
 
 def tune(spark: SparkSession) -> None:
@@ -21,8 +21,29 @@ def op1_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(table(spark, sf_dir, "documents"), threshold_percent=85)
 
 
+def op2_histogram_sort(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return shards.histogram_sort(table(spark, sf_dir, "documents"))
+
+
+def op4_piece_encoding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    tune(spark)
+    return pieces.encode_decode(table(spark, sf_dir, "documents"), digests=True)
+
+
+def op6_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat.digests(chat.format_chats(chat.with_probe(table(spark, sf_dir, "conversations"))))
+
+
+def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.contained_items(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 QUERIES = {
     "op1_minhash_near_dedup": op1_minhash_near_dedup,
+    "op2_histogram_sort": op2_histogram_sort,
+    "op4_piece_encoding": op4_piece_encoding,
+    "op6_chat_format": op6_chat_format,
+    "op10_decontaminate": op10_decontaminate,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {"op10_decontaminate": decontaminate.ORACLE}
