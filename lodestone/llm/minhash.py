@@ -6,10 +6,12 @@ bit planes of 128 bits. Candidates meet in band buckets, their similarity is est
 planes by bit counts with the correction for chance agreement, and those within reach of the
 threshold are confirmed on the full shingle sets of their texts.
 
-No bucket is expanded into all pairs: equal sets are collapsed to one representative first,
-then every member of a bucket is compared with the bucket's smallest member, components are
-formed, and only members of one bucket that are still in different components and whose planes
-say they may be similar are compared again. So a bucket of n copies costs n rows.
+No bucket is expanded into all pairs. Equal sets are collapsed to one representative first. A
+shingle that no other bucket member has cannot be shared, so each member's own shingles bound its
+overlap with anyone; members and pairs that this exact bound rules out are dropped. Every member
+of a bucket is compared with its most central member (fewest own shingles), components are formed,
+and only members of one bucket that are still in different components, within the bound and alike
+by their planes are compared again. So a bucket of n copies costs n rows.
 """
 
 from __future__ import annotations
@@ -163,19 +165,28 @@ def near_duplicates(docs: DataFrame, threshold_percent: int = 80, words: int = 5
     sig = materialize(signatures(docs, threshold, words), "signatures")
     planes = ["p0", "p1", "p2", "p3"]
     sets = sig.where("n > 0 and id is not null").groupBy("f1", "f2", "n").agg(F.min(F.struct("id", "keys", *planes)).alias("r"))
-    reps = materialize(sets.select("r.*", "n"), "representatives").distinct()
+    reps = materialize(sets.select("r.*", "n"), "representatives")
     rows = reps.select(F.explode("keys").alias("key"), "id")
-    shared = rows.groupBy("key").agg(F.min("id").alias("pivot"), F.count(F.lit(1)).alias("c")).where("c > 1").select("key", "pivot")
-    members = materialize(rows.join(shared, "key"), "members")
-    sig_of = reps.select("id", "n", *planes)
+    shared = rows.groupBy("key").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("key")
+    members = materialize(rows.join(shared, "key", "left_semi"), "members")
+    bound = overlap_bounds(docs, members.select("id").distinct(), words)
+    sig_of = materialize(
+        reps.select("id", "n", *planes).join(bound, "id").where(F.col("most") * 100 >= F.col("n") * threshold_percent), "bounded"
+    )
+    members = members.join(sig_of.select("id", "n", "most"), "id")
+    central = F.min_by("id", F.struct(F.col("n") - F.col("most"), F.col("id")))
+    pivots = members.groupBy("key").agg(central.alias("pivot"), F.count(F.lit(1)).alias("c")).where("c > 1").select("key", "pivot")
+    members = materialize(members.select("key", "id").join(pivots, "key"), "members")
+
+    def near(x: str, y: str) -> F.Column:
+        return reachable(x, y, threshold_percent) & (estimated(x, y) >= estimate_floor(threshold))
 
     def alike(pairs: DataFrame) -> DataFrame:
-        x = sig_of.select(F.col("id").alias("a"), F.struct("n", *planes).alias("x"))
-        y = sig_of.select(F.col("id").alias("b"), F.struct("n", *planes).alias("y"))
-        near = (estimated("x", "y") >= estimate_floor(threshold)) & sized("x", "y", threshold_percent)
-        return pairs.join(x, "a").join(y, "b").where(near).select("a", "b")
+        x = sig_of.select(F.col("id").alias("a"), F.struct("n", "most", *planes).alias("x"))
+        y = sig_of.select(F.col("id").alias("b"), F.struct("n", "most", *planes).alias("y"))
+        return pairs.join(x, "a").join(y, "b").where(near("x", "y")).select("a", "b")
 
-    star = members.where("id != pivot").select(F.col("pivot").alias("a"), F.col("id").alias("b")).distinct()
+    star = members.where("id != pivot").select(F.least("pivot", "id").alias("a"), F.greatest("pivot", "id").alias("b")).distinct()
     links = materialize(confirm(materialize(alike(star), "pairs"), docs, threshold_percent, words), "links")
     parts = connected_components(links, "a", "b")
     # What the stars left apart: members of one bucket in different components.
@@ -184,11 +195,7 @@ def near_duplicates(docs: DataFrame, threshold_percent: int = 80, words: int = 5
     rest = where.join(split, "key").join(sig_of, "id")
     x, y = rest.alias("x"), rest.alias("y")
     apart = (
-        x.join(
-            y,
-            (F.col("x.key") == F.col("y.key")) & (F.col("x.c") < F.col("y.c")) & sized("x", "y", threshold_percent)
-            & (estimated("x", "y") >= estimate_floor(threshold)),
-        )
+        x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.c") < F.col("y.c")) & near("x", "y"))
         .select(F.least("x.id", "y.id").alias("a"), F.greatest("x.id", "y.id").alias("b"))
         .distinct()
         .join(star, ["a", "b"], "left_anti")
@@ -208,6 +215,33 @@ def near_duplicates(docs: DataFrame, threshold_percent: int = 80, words: int = 5
     )
 
 
-def sized(a: str, b: str, percent: int) -> F.Column:
-    """Sets so unequal in size cannot meet the threshold."""
-    return (F.col(f"{a}.n") * 100 >= F.col(f"{b}.n") * percent) & (F.col(f"{b}.n") * 100 >= F.col(f"{a}.n") * percent)
+def _shingle_rows(words: int):
+    def run(batches):
+        for batch in batches:
+            buf, off = buffer_of(batch.column(1))
+            low = LOWER_AZ[buf]
+            for i, j in slices(off):
+                part, o = low[off[i] : off[j]], off[i : j + 1] - off[i]
+                starts, ends, first = words_of(part, o)
+                sh, at = shingle_hashes(word_hashes(part, starts, ends), first, words)
+                sets = [np.unique(sh[at[d] : at[d + 1]]) for d in range(j - i)]
+                ids = batch.column(0).slice(i, j - i).take(pa.array(np.repeat(np.arange(j - i), [len(s) for s in sets])))
+                yield pa.RecordBatch.from_arrays([ids, pa.array(np.concatenate(sets).view(np.int64))], names=["id", "hash"])
+
+    return run
+
+
+def overlap_bounds(docs: DataFrame, ids: DataFrame, words: int) -> DataFrame:
+    """(id, most): how many shingles of each document at least one other document of ``ids`` has."""
+    ids = materialize(ids.select(F.col("id").alias("doc_id")), "ids")
+    among = docs.select("doc_id", "text").join(small(ids, ids.count()), "doc_id", "left_semi")
+    rows = among.mapInArrow(_shingle_rows(words), "id long, hash long")
+    held = rows.groupBy("hash").agg(F.count(F.lit(1)).alias("c"), F.min("id").alias("id"))
+    own = held.where("c = 1").groupBy("id").agg(F.count(F.lit(1)).alias("own"))
+    sizes = rows.groupBy("id").agg(F.count(F.lit(1)).alias("size"))
+    return sizes.join(own, "id", "left").select("id", (F.col("size") - F.coalesce("own", F.lit(0))).alias("most"))
+
+
+def reachable(a: str, b: str, percent: int) -> F.Column:
+    """Whether two sets can meet the threshold, given that they share at most the smaller ``most``."""
+    return F.least(f"{a}.most", f"{b}.most") * (100 + percent) >= (F.col(f"{a}.n") + F.col(f"{b}.n")) * percent
