@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from lodestone.llm import chat, decontaminate, minhash, pieces, shards
+from lodestone.llm import chat, chunks, decontaminate, minhash, pieces, pseudonyms, quality, shards
 
 
 def tune(spark: SparkSession) -> None:
@@ -25,6 +26,12 @@ def op2_histogram_sort(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shards.histogram_sort(table(spark, sf_dir, "documents"))
 
 
+def op3_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    tune(spark)
+    out = pseudonyms.pseudonyms(table(spark, sf_dir, "documents"))
+    return out.select("doc_id", "text", "n_found", F.to_json("kinds").alias("kinds"))
+
+
 def op4_piece_encoding(spark: SparkSession, sf_dir: str) -> DataFrame:
     tune(spark)
     return pieces.encode_decode(table(spark, sf_dir, "documents"), digests=True)
@@ -34,6 +41,17 @@ def op6_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.digests(chat.format_chats(chat.with_probe(table(spark, sf_dir, "conversations"))))
 
 
+def op7_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    tune(spark)
+    return chunks.fingerprint_documents(table(spark, sf_dir, "documents"))
+
+
+def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    tune(spark)
+    docs = table(spark, sf_dir, "documents")
+    return quality.scores(docs, quality.train(docs, table(spark, sf_dir, "labels")))
+
+
 def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.contained_items(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -41,8 +59,11 @@ def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_minhash_near_dedup": op1_minhash_near_dedup,
     "op2_histogram_sort": op2_histogram_sort,
+    "op3_pseudonyms": op3_pseudonyms,
     "op4_piece_encoding": op4_piece_encoding,
     "op6_chat_format": op6_chat_format,
+    "op7_fingerprints": op7_fingerprints,
+    "op8_quality": op8_quality,
     "op10_decontaminate": op10_decontaminate,
 }
 
