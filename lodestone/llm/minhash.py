@@ -33,6 +33,8 @@ LOW_BITS = 2
 MISS = 1e-6
 #: Standard deviations of the estimate below the threshold that still go to confirmation.
 SLACK = 5.0
+#: Star pairs this far below the floor are still counted exactly: their overlaps bound other pairs.
+REACH = 0.2
 
 _RNG = np.random.default_rng(97)
 _MUL = (_RNG.integers(0, 2**31, HASHES, dtype=np.uint32) * np.uint32(2) + np.uint32(1))[None, :]
@@ -124,32 +126,29 @@ def shingle_set(text: str | None, words: int = 5) -> frozenset:
     return frozenset(zip(*(w[k:] for k in range(words))))
 
 
-def _confirm(percent: int, words: int):
+def _confirm(words: int):
     def run(batches):
         last, left = None, frozenset()
         for batch in batches:
             a, b, ta, tb = (batch.column(k) for k in range(4))
-            yes = []
+            both = []
             for k in range(batch.num_rows):
                 if a[k].as_py() != last:
                     last, left = a[k].as_py(), shingle_set(ta[k].as_py(), words)
-                right = shingle_set(tb[k].as_py(), words)
-                both = len(left & right)
-                yes.append(100 * both >= percent * (len(left) + len(right) - both))
-            keep = pa.array(yes, pa.bool_())
-            yield pa.RecordBatch.from_arrays([a.filter(keep), b.filter(keep)], names=["a", "b"])
+                both.append(len(left & shingle_set(tb[k].as_py(), words)))
+            yield pa.RecordBatch.from_arrays([a, b, pa.array(both, pa.int64())], names=["a", "b", "both"])
 
     return run
 
 
-def confirm(pairs: DataFrame, docs: DataFrame, percent: int, words: int) -> DataFrame:
-    """The pairs (a, b) whose full shingle sets meet the threshold. Each text is fetched once per pair."""
+def shared_shingles(pairs: DataFrame, docs: DataFrame, words: int) -> DataFrame:
+    """(a, b, both): exact size of the intersection of the full shingle sets of each pair."""
     ids = materialize(pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct(), "ids")
     texts = materialize(docs.select("doc_id", "text").join(small(ids, ids.count()), "doc_id", "left_semi").dropDuplicates(["doc_id"]), "texts")
     left = texts.select(F.col("doc_id").alias("a"), F.col("text").alias("ta"))
     right = texts.select(F.col("doc_id").alias("b"), F.col("text").alias("tb"))
     rows = pairs.join(right, "b").join(left, "a").select("a", "b", "ta", "tb").sortWithinPartitions("a", "b")
-    return rows.mapInArrow(_confirm(percent, words), "a long, b long")
+    return rows.mapInArrow(_confirm(words), "a long, b long, both long")
 
 
 def near_duplicates(docs: DataFrame, threshold_percent: int = 80, words: int = 5) -> DataFrame:
@@ -177,30 +176,33 @@ def near_duplicates(docs: DataFrame, threshold_percent: int = 80, words: int = 5
     central = F.min_by("id", F.struct(F.col("n") - F.col("most"), F.col("id")))
     pivots = members.groupBy("key").agg(central.alias("pivot"), F.count(F.lit(1)).alias("c")).where("c > 1").select("key", "pivot")
     members = materialize(members.select("key", "id").join(pivots, "key"), "members")
+    x_of = sig_of.select(F.col("id").alias("a"), F.struct("n", "most", *planes).alias("x"))
+    y_of = sig_of.select(F.col("id").alias("b"), F.struct("n", "most", *planes).alias("y"))
 
-    def near(x: str, y: str) -> F.Column:
-        return reachable(x, y, threshold_percent) & (estimated(x, y) >= estimate_floor(threshold))
+    def links_of(pairs: DataFrame) -> DataFrame:
+        sizes = pairs.join(x_of.select("a", F.col("x.n").alias("na")), "a").join(y_of.select("b", F.col("y.n").alias("nb")), "b")
+        return sizes.where(F.col("both") * 100 >= (F.col("na") + F.col("nb") - F.col("both")) * threshold_percent).select("a", "b")
 
-    def alike(pairs: DataFrame) -> DataFrame:
-        x = sig_of.select(F.col("id").alias("a"), F.struct("n", "most", *planes).alias("x"))
-        y = sig_of.select(F.col("id").alias("b"), F.struct("n", "most", *planes).alias("y"))
-        return pairs.join(x, "a").join(y, "b").where(near("x", "y")).select("a", "b")
-
-    star = members.where("id != pivot").select(F.least("pivot", "id").alias("a"), F.greatest("pivot", "id").alias("b")).distinct()
-    links = materialize(confirm(materialize(alike(star), "pairs"), docs, threshold_percent, words), "links")
+    star = members.where("id != pivot").select(F.col("pivot").alias("a"), F.col("id").alias("b")).distinct()
+    near = star.join(x_of, "a").join(y_of, "b").where(estimated("x", "y") >= estimate_floor(threshold) - REACH).select("a", "b")
+    rays = materialize(shared_shingles(materialize(near, "pairs"), docs, words), "rays")
+    links = materialize(links_of(rays), "links")
     parts = connected_components(links, "a", "b")
-    # What the stars left apart: members of one bucket in different components.
-    where = members.join(parts, "id", "left").select("key", "id", F.coalesce("component", "id").alias("c"))
+    # What the stars left apart: members of one bucket in different components. Each member's exact
+    # overlap with the pivot bounds its overlap with the others, inside the pivot's set and outside it.
+    where = members.join(parts, "id", "left").select("key", "id", "pivot", F.coalesce("component", "id").alias("c"))
     split = where.groupBy("key").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo < hi").select("key")
-    rest = where.join(split, "key").join(sig_of, "id")
+    known = rays.select(F.col("a").alias("pivot"), F.col("b").alias("id"), "both")
+    inside = F.when(F.col("id") == F.col("pivot"), F.col("n")).otherwise(F.col("both"))
+    rest = where.join(split, "key").join(sig_of, "id").join(known, ["pivot", "id"], "left").withColumn("inside", inside)
     x, y = rest.alias("x"), rest.alias("y")
     apart = (
-        x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.c") < F.col("y.c")) & near("x", "y"))
+        x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.c") < F.col("y.c")) & reachable("x", "y", threshold_percent) & (estimated("x", "y") >= estimate_floor(threshold)))
         .select(F.least("x.id", "y.id").alias("a"), F.greatest("x.id", "y.id").alias("b"))
         .distinct()
-        .join(star, ["a", "b"], "left_anti")
+        .join(rays.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), ["a", "b"], "left_anti")
     )
-    more = confirm(materialize(apart, "pairs"), docs, threshold_percent, words)
+    more = links_of(shared_shingles(materialize(apart, "pairs"), docs, words))
     joined = connected_components(links.union(materialize(more, "links")), "a", "b")
     of_set = sets.select("f1", "f2", "n", F.col("r.id").alias("id")).join(joined, "id", "left")
     classes = of_set.select("f1", "f2", "n", F.coalesce("component", "id").alias("set_component"))
@@ -243,5 +245,15 @@ def overlap_bounds(docs: DataFrame, ids: DataFrame, words: int) -> DataFrame:
 
 
 def reachable(a: str, b: str, percent: int) -> F.Column:
-    """Whether two sets can meet the threshold, given that they share at most the smaller ``most``."""
-    return F.least(f"{a}.most", f"{b}.most") * (100 + percent) >= (F.col(f"{a}.n") + F.col(f"{b}.n")) * percent
+    """Whether two members of a bucket can meet the threshold, by exact bounds on what they share.
+
+    Inside the pivot's set they share at most the smaller ``inside``; outside it only shingles that
+    some other document has count. Where an overlap with the pivot is unknown, ``most`` bounds alone.
+    """
+
+    def least(u: F.Column, v: F.Column) -> F.Column:
+        return F.when(u < v, u).otherwise(v)
+
+    most = least(F.col(f"{a}.most"), F.col(f"{b}.most"))
+    split = least(F.col(f"{a}.inside"), F.col(f"{b}.inside")) + least(F.col(f"{a}.most") - F.col(f"{a}.inside"), F.col(f"{b}.most") - F.col(f"{b}.inside"))
+    return F.least(most, split) * (100 + percent) >= (F.col(f"{a}.n") + F.col(f"{b}.n")) * percent
