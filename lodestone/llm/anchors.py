@@ -10,6 +10,8 @@ from __future__ import annotations
 
 import numpy as np
 
+from lodestone.llm.textbytes import powers
+
 _POSITION_BITS = np.uint64(24)
 _POSITION = (np.uint64(1) << _POSITION_BITS) - np.uint64(1)
 #: Longer documents are cut into pieces that overlap by one window less one, so every window is in one piece.
@@ -74,8 +76,8 @@ def runs(values: np.ndarray, first: np.ndarray, window: int, k: int) -> tuple[np
 
 
 _BASE = 0x9E3779B97F4A7C15 | 1
-_UP = np.multiply.accumulate(np.concatenate(([1], np.full(PIECE + 4096, _BASE, np.uint64))).astype(np.uint64))
-_DOWN = np.multiply.accumulate(np.concatenate(([1], np.full(PIECE + 4096, pow(_BASE, -1, 1 << 64), np.uint64))).astype(np.uint64))
+_UP = powers(np.uint64(_BASE), PIECE + 4096)
+_DOWN = powers(np.uint64(pow(_BASE, -1, 1 << 64)), PIECE + 4096)
 
 
 def range_hashes(values: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:

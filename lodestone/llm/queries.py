@@ -5,11 +5,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestone.llm import chat, chunks, decontaminate, minhash, pieces, pseudonyms, quality, shards
+from lodestone.llm import bwt, chat, chunks, decontaminate, fm, minhash, pieces, pseudonyms, quality, shards
+from lodestone.runtime import ship_package
 
 
 def tune(spark: SparkSession) -> None:
     """Arrow batches of bounded size: long texts must not pile up in one batch."""
+    ship_package(spark)
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
 
 
@@ -37,7 +39,13 @@ def op4_piece_encoding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.encode_decode(table(spark, sf_dir, "documents"), digests=True)
 
 
+def op5_fm_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    tune(spark)
+    return fm.remove_repeated_words(table(spark, sf_dir, "documents"))
+
+
 def op6_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    tune(spark)
     return chat.digests(chat.format_chats(chat.with_probe(table(spark, sf_dir, "conversations"))))
 
 
@@ -52,6 +60,11 @@ def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.scores(docs, quality.train(docs, table(spark, sf_dir, "labels")))
 
 
+def op9_bwt_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    tune(spark)
+    return bwt.remove_repeated_bytes(table(spark, sf_dir, "documents"))
+
+
 def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.contained_items(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -61,9 +74,11 @@ QUERIES = {
     "op2_histogram_sort": op2_histogram_sort,
     "op3_pseudonyms": op3_pseudonyms,
     "op4_piece_encoding": op4_piece_encoding,
+    "op5_fm_substring_dedup": op5_fm_substring_dedup,
     "op6_chat_format": op6_chat_format,
     "op7_fingerprints": op7_fingerprints,
     "op8_quality": op8_quality,
+    "op9_bwt_substring_dedup": op9_bwt_substring_dedup,
     "op10_decontaminate": op10_decontaminate,
 }
 
