@@ -22,8 +22,8 @@ from pyspark.sql import DataFrame
 
 SPACE = "▁"
 #: Entries of the per-worker memos; a full memo is emptied, so memory is bounded.
-MEMO_SEGMENTS = 200_000
-MEMO_PAIRS = 400_000
+MEMO_SEGMENTS = 500_000
+MEMO_PAIRS = 500_000
 
 
 def default_model() -> str:
@@ -87,12 +87,21 @@ class PieceModel:
 
     def backtrack(self, text: str) -> list[int]:
         """Ids of a text all of whose characters are pieces."""
+        # The longest matches one after the other are the first way tried; mostly their neighbours are compatible.
+        pairs = self.pairs
+        ids = [i for _, (_, i) in self.automaton.iter_long(text)]
+        for a, b in zip(ids, ids[1:]):
+            good = pairs.get(a * 65536 + b)
+            if not (self.compatible(a, b) if good is None else good):
+                break
+        else:
+            return ids
         n = len(text)
         at: list[list[tuple[int, int]]] = [[] for _ in range(n)]
         for end, match in self.automaton.iter(text):
             at[end - match[0] + 1].append(match)
         alive = (1 << (n + 1)) - 1
-        ids: list[int] = []
+        ids = []
         tried: list[tuple[int, int]] = []
         pos, k = 0, len(at[0]) - 1
         while pos < n:
@@ -115,10 +124,10 @@ class PieceModel:
         return ids
 
     def encode_segment(self, text: str) -> list[int]:
-        ids: list[int] = []
         known = self.chars
-        if all(c in known for c in text):
+        if known.issuperset(text):
             return self.backtrack(text)
+        ids: list[int] = []
         start = 0
         for k, c in enumerate([*text, ""]):
             if c not in known:
@@ -130,26 +139,26 @@ class PieceModel:
 
     def decode_ids(self, ids: list[int]) -> str:
         """Text of ids without the removal of the leading space."""
-        out = bytearray()
-        for i in ids:
-            b = self.byte_of.get(i)
-            out += bytes((b,)) if b is not None else self.piece[i].encode()
+        if self.byte_of.keys().isdisjoint(ids):
+            return "".join([self.piece[i] for i in ids]).replace(SPACE, " ")
+        out = b"".join([bytes((b,)) if (b := self.byte_of.get(i)) is not None else self.piece[i].encode() for i in ids])
         return out.decode("utf-8", "replace").replace(SPACE, " ")
 
     def segments(self, text: str) -> list[tuple[int, str, str]]:
         """(number of ids, ids joined by commas, decoded text) of each segment of a text."""
         if not text:
             return []
-        memo, out = self.memo, []
-        for seg in self.segment.findall(SPACE + text.replace(" ", SPACE)):
-            got = memo.get(seg)
-            if got is None:
-                ids = self.encode_segment(seg)
-                got = (len(ids), ",".join(map(str, ids)), self.decode_ids(ids))
-                if len(memo) >= MEMO_SEGMENTS:
-                    memo.clear()
-                memo[seg] = got
-            out.append(got)
+        memo = self.memo
+        parts = self.segment.findall(SPACE + text.replace(" ", SPACE))
+        out = [memo.get(p) for p in parts]
+        if None in out:
+            for k, got in enumerate(out):
+                if got is None:
+                    seg = parts[k]
+                    ids = self.encode_segment(seg)
+                    if len(memo) >= MEMO_SEGMENTS:
+                        memo.clear()
+                    out[k] = memo[seg] = (len(ids), ",".join(map(str, ids)), self.decode_ids(ids))
         return out
 
 
@@ -167,7 +176,7 @@ def _run(path: str, digests: bool):
                 got = model.segments(text.as_py() or "")
                 ids = ",".join([g[1] for g in got])
                 decoded = "".join([g[2] for g in got])[1:]
-                n.append(sum([g[0] for g in got]))
+                n.append(ids.count(",") + 1 if ids else 0)
                 if digests:
                     a.append(hashlib.sha256(ids.encode()).hexdigest())
                     b.append(hashlib.sha256(decoded.encode()).hexdigest())
