@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-FAMILIES = ("retrieval",)
+FAMILIES = ("retrieval", "analytics", "graphs")
 
 
 def load() -> tuple[dict, dict]:

@@ -167,9 +167,9 @@ def j06(t: Tables):
     return search.similar_pairs(scoped_vectors(t), 0.3, "scope").select("a", "b", r6("similarity"))
 
 
-@R.add("j07_newer_similar", PAIRS + """, both AS (SELECT a AS base, b AS newer, similarity FROM pairs UNION ALL SELECT b, a, similarity FROM pairs),
+@R.add("j07_newer_similar", PAIRS + """, twice AS (SELECT a AS base, b AS newer, similarity FROM pairs UNION ALL SELECT b, a, similarity FROM pairs),
 r AS (SELECT base, newer, similarity, row_number() OVER (PARTITION BY base ORDER BY n.created_at DESC, similarity DESC, newer DESC) AS rn
- FROM both JOIN u o ON o.id = base JOIN u n ON n.id = newer WHERE similarity > 0.3 AND (n.created_at > o.created_at OR (n.created_at = o.created_at AND n.id > o.id)))
+ FROM twice JOIN u o ON o.id = base JOIN u n ON n.id = newer WHERE similarity > 0.3 AND (n.created_at > o.created_at OR (n.created_at = o.created_at AND n.id > o.id)))
 SELECT base, newer, round(similarity, 6) AS similarity FROM r WHERE rn = 1""", "claims promotion_queue claim_vectors")
 def j07(t: Tables):
     u = scoped_vectors(t)
@@ -300,8 +300,8 @@ def r09(t: Tables):
     return search.diversify(best, 12)
 
 
-@R.add("r10_query_expansion", """, w AS (SELECT id, name, (CASE WHEN lower(name) = 'part 7' THEN 8 WHEN contains(lower(name), 'part 7') THEN 4 ELSE 0 END)
- + (CASE WHEN contains(lower(name), 'part') THEN 2 ELSE 0 END) AS weight FROM entities),
+@R.add("r10_query_expansion", """, w AS (SELECT id, name, (CASE WHEN lower(name) = 'red widget' THEN 8 WHEN contains(lower(name), 'red widget') THEN 4 ELSE 0 END)
+ + (CASE WHEN contains(lower(name), 'red') THEN 2 ELSE 0 END) + (CASE WHEN contains(lower(name), 'widget') THEN 2 ELSE 0 END) AS weight FROM entities),
 seed AS (SELECT * FROM w WHERE weight > 0 ORDER BY weight DESC, id LIMIT 3),
 rel AS (SELECT DISTINCT v FROM (SELECT src_id AS u, dst_id AS v FROM relations UNION ALL SELECT dst_id, src_id FROM relations) WHERE u IN (SELECT id FROM seed) AND v NOT IN (SELECT id FROM seed)),
 co AS (SELECT DISTINCT entity_id AS v FROM claim_entities WHERE claim_id IN (SELECT claim_id FROM claim_entities WHERE entity_id IN (SELECT id FROM seed)) AND entity_id NOT IN (SELECT id FROM seed)),
@@ -310,7 +310,7 @@ o AS (SELECT name, 'seed' AS source, CAST(weight AS DOUBLE) AS weight FROM seed
  UNION ALL SELECT * FROM (SELECT e.name, 'claim', CAST(0 AS DOUBLE) FROM co JOIN entities e ON e.id = v ORDER BY v LIMIT 8))
 SELECT nullif(trim(regexp_replace(name, '[-_]+', ' ', 'g')), '') AS term, source, weight FROM o WHERE nullif(trim(regexp_replace(name, '[-_]+', ' ', 'g')), '') IS NOT NULL""", "entities relations claim_entities")
 def r10(t: Tables):
-    return search.expand_query("part 7", t.entities, t.relations, t.claim_entities)
+    return search.expand_query("red widget", t.entities, t.relations, t.claim_entities)
 
 
 OBS = f""", obs AS (SELECT id, created_at, (CASE WHEN content ILIKE '%{WORDS[0]}%' THEN 1.0 ELSE 0 END + CASE WHEN content ILIKE '%{WORDS[1]}%' THEN 1.0 ELSE 0 END) / 2
