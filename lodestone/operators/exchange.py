@@ -51,9 +51,10 @@ def export_entities(entities: DataFrame, claim_entities: DataFrame, exported: Da
 
 def export_relations(relations: DataFrame, entities: DataFrame) -> DataFrame:
     """Relations with either end among the exported entities."""
-    e = entities.select(F.col("id").alias("e"))
-    ends = relations.select("id", F.explode(F.array("src_id", "dst_id")).alias("e")).join(e, "e", "left_semi").select("id")
-    return relations.join(ends.distinct(), "id", "left_semi")
+    e = entities.select(F.col("id").alias("e")).distinct()
+    s, d = e.select(F.col("e").alias("src_id"), F.lit(True).alias("s")), e.select(F.col("e").alias("dst_id"), F.lit(True).alias("d"))
+    rows = relations.join(s, "src_id", "left").join(d, "dst_id", "left")
+    return rows.where(F.coalesce("s", "d", F.lit(False))).select(*relations.columns)
 
 
 def import_claims(incoming: DataFrame, local: DataFrame, queue: DataFrame) -> DataFrame:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-FAMILIES = ("retrieval", "analytics", "graphs")
+FAMILIES = ("retrieval", "analytics", "graphs", "lifecycle", "exchange", "evaluation")
 
 
 def load() -> tuple[dict, dict]:

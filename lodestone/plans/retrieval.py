@@ -341,3 +341,8 @@ def l05(t: Tables):
     first = page(ordered, None, 10)
     cursor = first.orderBy(F.desc("rn")).limit(1).select(F.col("id").alias("cursor"))
     return page(ordered, cursor, 10).select("id", "rn")
+
+
+def flagship(t: Tables):
+    """The twelve best claims for two words and a vector, with their factors."""
+    return ranked(t, "resume_task", True).orderBy(F.desc("score"), "id").limit(12)
