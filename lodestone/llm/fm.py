@@ -198,9 +198,11 @@ def remove_repeated_words(docs: DataFrame, window: int = WINDOW, texts: bool = F
     a, last = F.col("a").cast("long"), F.lit(window - 1)
     at = F.sequence(F.lit(0), F.greatest(F.floor(F.size("answer") / 3).cast("int") - 1, F.lit(0)))
     runs = F.transform(at, lambda i: F.struct(F.get("answer", i * 3).alias("b"), F.get("answer", i * 3 + 1).alias("e"), F.get("answer", i * 3 + 2).alias("low")))
-    older = F.flatten(F.transform(F.filter(runs, lambda r: r["low"] < F.col("doc_id")), lambda r: F.array(r["b"] + a, r["e"] + a + last)))
-    plain = F.when(F.col("low") < F.col("doc_id"), F.array(a, a + F.col("c") + last))
-    rows = found.select("doc_id", "crc", F.when(F.col("answer").isNull(), plain).otherwise(older).alias("spans")).where(F.size("spans") > 0)
+    older = F.filter(runs, lambda r: r["low"] < F.col("doc_id"))
+    shifts = F.transform(F.sequence(F.lit(0), F.col("reps") - 1), lambda k: k * F.col("c") + a)
+    mixed = F.flatten(F.transform(shifts, lambda s: F.flatten(F.transform(older, lambda r: F.array(r["b"] + s, r["e"] + s + last)))))
+    plain = F.when(F.col("low") < F.col("doc_id"), F.array(a, a + F.col("c") * F.col("reps") + last))
+    rows = found.select("doc_id", "crc", F.when(F.col("answer").isNull(), plain).otherwise(mixed).alias("spans")).where(F.size("spans") > 0)
     out = "doc_id long, n_words long, n_removed long, kept_sha256 string"
     whole = copies(docs).where("first < doc_id")
     return with_spans(docs, rows, whole).mapInArrow(_remove(window, texts), out + (", kept string, spans array<long>" if texts else ""))

@@ -44,9 +44,14 @@ def _segment_rows(values: Values, window: int, k: int):
         for batch in batches:
             v, first = values(batch.column(2))
             for d, m, h, a, c in segments(v, first, window, k):
-                at = pa.array(d)
-                cols = [pa.array(m.view(np.int64)), pa.array(h.view(np.int64)), batch.column(0).take(at), batch.column(1).take(at), pa.array(a.astype(np.int32)), pa.array(c.astype(np.int32))]
-                yield pa.RecordBatch.from_arrays(cols, names=["m", "h", "doc_id", "crc", "a", "c"])
+                # A text that repeats itself gives equal segments side by side: they become one row.
+                again = (d[1:] == d[:-1]) & (m[1:] == m[:-1]) & (h[1:] == h[:-1]) & (a[1:] == a[:-1] + c[:-1])
+                head = np.flatnonzero(np.concatenate((np.ones(min(1, len(d)), bool), ~again)))
+                reps = np.diff(np.concatenate((head, [len(d)])))
+                at = pa.array(d[head])
+                cols = [pa.array(m[head].view(np.int64)), pa.array(h[head].view(np.int64)), batch.column(0).take(at), batch.column(1).take(at)]
+                cols += [pa.array(x.astype(np.int32)) for x in (a[head], c[head], reps)]
+                yield pa.RecordBatch.from_arrays(cols, names=["m", "h", "doc_id", "crc", "a", "c", "reps"])
 
     return run
 
@@ -97,14 +102,15 @@ def _blocks(settle: Settle):
 
 
 def settled(docs: DataFrame, window: int, k: int, values: Values, prepare: Callable[[str], object], piece: Slice, settle: Settle, across: bool) -> DataFrame:
-    """(doc_id, crc, a, c, low, n, answer): segments with repeated windows, of texts that are first of their copies.
+    """(doc_id, crc, a, c, reps, low, n, answer): segments with repeated windows, of texts that are first of their copies.
 
+    A row stands for ``reps`` equal segments of ``c`` windows side by side, the first window starting at ``a``.
     Where ``answer`` is null all windows of the segment have ``n`` rows and ``low`` as their smallest doc_id;
     otherwise it is what ``settle`` said. ``across`` keeps only anchors that more than one doc_id has.
     """
     again = materialize(copies(docs).where("first < doc_id").select("doc_id", "crc"), "copies")
     own = docs.where("doc_id is not null and text is not null").select("doc_id", crc(), "text").join(small(again, again.count()), ["doc_id", "crc"], "left_anti")
-    rows = own.select("doc_id", "crc", "text").mapInArrow(_segment_rows(values, window, k), "m long, h long, doc_id long, crc long, a int, c int")
+    rows = own.select("doc_id", "crc", "text").mapInArrow(_segment_rows(values, window, k), "m long, h long, doc_id long, crc long, a int, c int, reps int")
     by_anchor, by_segment = Window.partitionBy("m"), Window.partitionBy("m", "h")
     seen = rows.select(
         "*",
@@ -112,17 +118,17 @@ def settled(docs: DataFrame, window: int, k: int, values: Values, prepare: Calla
         F.max("h").over(by_anchor).alias("h1"),
         F.min("doc_id").over(by_anchor).alias("d0"),
         F.max("doc_id").over(by_anchor).alias("d1"),
-        F.count(F.lit(1)).over(by_segment).alias("n"),
+        F.sum("reps").over(by_segment).alias("n"),
         F.min("doc_id").over(by_segment).alias("low"),
         F.row_number().over(by_segment.orderBy("doc_id", "crc", "a")).alias("rank"),
     )
     shared = seen.where(F.col("d0") < F.col("d1") if across else (F.col("n") > 1) | (F.col("h0") != F.col("h1")))
-    kept = materialize(shared.select("m", "h", "doc_id", "crc", "a", "c", "n", "low", (F.col("h0") != F.col("h1")).alias("mixed"), (F.col("rank") == 1).alias("head")), "segments")
+    kept = materialize(shared.select("m", "h", "doc_id", "crc", "a", "c", "reps", "n", "low", (F.col("h0") != F.col("h1")).alias("mixed"), (F.col("rank") == 1).alias("head")), "segments")
     wanted = kept.where("mixed and head").groupBy("doc_id", "crc").agg(F.collect_list(F.struct("m", "h", "n", "low", "a", "c")).alias("wanted"))
     texts = own.join(wanted, ["doc_id", "crc"]).select("text", "wanted")
     cut = texts.mapInArrow(_cut(window, piece, prepare), "m long, h long, n long, low long, seg binary")
     answers = cut.repartition("m").sortWithinPartitions("m", "h").mapInArrow(_blocks(settle), "m long, h long, answer array<long>")
-    light = ["doc_id", "crc", "a", "c", "low", "n"]
+    light = ["doc_id", "crc", "a", "c", "reps", "low", "n"]
     plain = kept.where("not mixed").select(*light, F.lit(None).cast("array<long>").alias("answer"))
     return plain.unionByName(kept.where("mixed").select("m", "h", *light).join(materialize(answers, "answers"), ["m", "h"]).select(*light, "answer"))
 
