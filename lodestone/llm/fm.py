@@ -82,14 +82,37 @@ class FMIndex:
         parts = (a[1:] != a[:-1]) | (b[1:] != b[:-1])
         return np.concatenate(([0], np.cumsum(parts)))
 
+    def common_prefixes(self) -> np.ndarray:
+        """Common prefix of each place in the order with the place before, up to the sorted depth; -1 at both ends."""
+        lcp, a, b = np.zeros(self.n - 1, np.int64), self.order[:-1], self.order[1:]
+        for d in sorted(self.ranks, reverse=True):
+            rank = self.ranks[d]
+            lcp += d * (rank[(a + lcp) % self.n] == rank[(b + lcp) % self.n])
+        return np.concatenate(([-1], lcp, [-1]))
+
+    def shorten(self, lcp: np.ndarray, symbol: int, lo: int, hi: int) -> tuple[int, int, int]:
+        """The longest match of ``symbol`` before a prefix of the interval's match: (lo, hi, length), length 0 if none."""
+        depth = -1
+        while depth != 0:
+            depth = max(int(lcp[lo]), int(lcp[hi]), 0)
+            while lo > 0 and lcp[lo] >= depth:
+                lo -= 1
+            while hi < self.n and lcp[hi] >= depth:
+                hi += 1
+            l, h = self.base[symbol] + self.matrix.walk(np.array([symbol, symbol]), np.array([lo, hi]))
+            if l < h:
+                return int(l), int(h), depth + 1
+        return 0, self.n, 0
+
     def matching_intervals(self, queries: list[np.ndarray], window: int) -> list[np.ndarray]:
         """For each query and start of a full window in it, the index's window interval there, or -1.
 
-        A match that ends before a window is full starts again empty at the word that broke it.
+        These are matching statistics cut at ``window``. Queries must use the index's numbers 0..sigma-1.
         """
         near = self.intervals(window - 1)
         starts = np.flatnonzero(np.concatenate(([True], near[1:] != near[:-1], [True])))
         full = self.intervals(window)
+        lcp = None
         sizes = np.array([len(q) for q in queries])
         flat, at = np.concatenate(queries), np.concatenate(([0], np.cumsum(sizes)))
         out = np.full(len(flat), -1, np.int64)
@@ -100,14 +123,12 @@ class FMIndex:
             place = at[who[:active]] + sizes[who[:active]] - 1 - t
             c = flat[place]
             ends = self.matrix.walk(np.concatenate((c, c)), np.concatenate((lo[:active], hi[:active])))
-            l, h = self.base[c] + ends[:active], self.base[c] + ends[active:]
-            broken = l >= h
-            if broken.any():
-                # Nothing continues the match: start again with this word alone.
-                again = self.matrix.walk(np.concatenate((c, c)), np.concatenate((np.zeros(active, np.int64), np.full(active, self.n))))
-                l = np.where(broken, self.base[c] + again[:active], l)
-                h = np.where(broken, self.base[c] + again[active:], h)
-            m = np.where(broken, 1, length[:active] + 1)
+            l, h, m = self.base[c] + ends[:active], self.base[c] + ends[active:], length[:active] + 1
+            broken = np.flatnonzero(l >= h)
+            if len(broken):
+                lcp = self.common_prefixes() if lcp is None else lcp
+                for q in broken.tolist():
+                    l[q], h[q], m[q] = self.shorten(lcp, int(c[q]), int(lo[q]), int(hi[q]))
             whole = m >= window
             out[place[whole]] = full[l[whole]]
             g = near[l[whole]]
