@@ -62,7 +62,7 @@ def recency(ts: Column, half_life_days: Column, now: Column) -> Column:
     """Exponential decay of age; the future counts as now, no timestamp or half-life as oldest."""
     age = F.greatest(F.lit(0.0), days_between(now, ts))
     decay = F.exp(F.lit(-DECAY) * age / F.when(half_life_days > 0, half_life_days))
-    return F.coalesce(decay, F.lit(0.0))
+    return F.coalesce(F.when(ts.isNotNull(), decay), F.lit(0.0))
 
 
 def utility_term(utility: Column, mean: Column, deviation: Column) -> Column:

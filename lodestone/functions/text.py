@@ -7,6 +7,7 @@ from functools import reduce
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 # Fixed pattern values: what counts as sensitive in a text.
 EMAIL = r"(?i)\b[A-Z0-9._%+-]+@[A-Z0-9.-]+\.[A-Z]{2,}\b"
@@ -106,7 +107,7 @@ def flat_text(text: Column) -> Column:
     return F.trim(F.regexp_replace(F.regexp_replace(text, "\r\n", "\n"), "[\\s   -     　﻿]+", " "))
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def composed(text):  # noqa: ANN001, ANN201
     """Unicode NFC, which Spark has no function for."""
     return text.str.normalize("NFC")
