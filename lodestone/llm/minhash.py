@@ -157,8 +157,9 @@ def near_duplicates(docs: DataFrame, threshold_percent: int = 80, words: int = 5
     Two documents are linked if 100 * |A ∩ B| >= threshold_percent * |A ∪ B| for their sets of
     distinct shingles; component_id is the smallest doc_id reachable over links.
     Null, empty and word-less texts have the empty set (n_shingles 0) and no links. Texts under
-    ``words`` words are one shingle. Repeated rows with one doc_id are one document and keep
-    their rows. A null doc_id takes no part: component_id null, kept true. Empty table: no rows.
+    ``words`` words are one shingle. Repeated rows are one document and keep their rows; doc_id is a key, so
+    rows that share one and differ in text are linked as one document by one of their texts.
+    A null doc_id takes no part: component_id null, kept true. Empty table: no rows.
     """
     threshold = threshold_percent / 100
     sig = materialize(signatures(docs, threshold, words), "signatures")
@@ -207,8 +208,7 @@ def near_duplicates(docs: DataFrame, threshold_percent: int = 80, words: int = 5
     of_set = sets.select("f1", "f2", "n", F.col("r.id").alias("id")).join(joined, "id", "left")
     classes = of_set.select("f1", "f2", "n", F.coalesce("component", "id").alias("set_component"))
     out = sig.select("id", "n", "f1", "f2").join(classes, ["f1", "f2", "n"], "left")
-    # Repeated rows of one doc_id with different texts are one document: they share the smallest component.
-    component = F.coalesce("set_component", "id")
+    component = F.when(F.col("id").isNotNull(), F.coalesce("set_component", "id"))
     return out.select(
         F.col("id").alias("doc_id"),
         F.col("n").alias("n_shingles"),
