@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-FAMILIES = ("retrieval", "analytics", "graphs", "lifecycle", "exchange", "evaluation", "extras")
+FAMILIES = ("retrieval", "analytics", "graphs", "lifecycle", "exchange", "evaluation", "extras", "catalogue")
 
 
 def load() -> tuple[dict, dict]:
