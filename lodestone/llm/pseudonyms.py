@@ -9,8 +9,10 @@ equal values get equal pseudonyms in every document and different values never s
 from __future__ import annotations
 
 import datetime
+import hashlib
 import hmac
 import re
+from collections.abc import Callable
 from math import isqrt
 
 import pyarrow as pa
@@ -20,6 +22,8 @@ from pyspark.sql import functions as F
 ROUNDS = 10
 DIGITS = "0123456789"
 LOWER = "abcdefghijklmnopqrstuvwxyz"
+#: Characters that one network permutes: at most 26 ** 48 values, so that a round's 128 bits reach all of a half.
+PIECE = 48
 FIRST_DAY, LAST_DAY = datetime.date(1900, 1, 1).toordinal(), datetime.date(2099, 12, 31).toordinal()
 
 
@@ -46,8 +50,27 @@ def luhn(digits: str) -> bool:
     return total % 10 == 0
 
 
+def _in_pieces(swap: Callable[[str, bytes], str], text: str, tweak: bytes) -> str:
+    """``swap`` over the whole of a text of any length, in pieces of near-equal size.
+
+    The tweak of a piece holds a digest of all before it, so different texts still get different results.
+    """
+    n = -(-len(text) // PIECE)
+    if n < 2:
+        return swap(text, tweak)
+    at, before, out = [len(text) * k // n for k in range(n + 1)], hashlib.sha256(), []
+    for a, b in zip(at, at[1:]):
+        out.append(swap(text[a:b], tweak + b"|%d|" % len(text) + before.digest()))
+        before.update(text[a:b].encode())
+    return "".join(out)
+
+
 def _swap_chars(text: str, alphabet: str, key: bytes, tweak: bytes) -> str:
     """Permute the characters of ``text`` that are in ``alphabet``, among all strings of their length."""
+    return _in_pieces(lambda piece, more: _swap_piece(piece, alphabet, key, more), text, tweak)
+
+
+def _swap_piece(text: str, alphabet: str, key: bytes, tweak: bytes) -> str:
     at = [k for k, c in enumerate(text) if c in alphabet]
     base, value = len(alphabet), 0
     for k in at:
@@ -62,6 +85,10 @@ def _swap_chars(text: str, alphabet: str, key: bytes, tweak: bytes) -> str:
 
 def _swap_mixed(text: str, key: bytes, tweak: bytes) -> str:
     """Permute letters among letters and digits among digits, keeping each character's kind and case."""
+    return _in_pieces(lambda piece, more: _swap_mixed_piece(piece, key, more), text, tweak)
+
+
+def _swap_mixed_piece(text: str, key: bytes, tweak: bytes) -> str:
     kinds = [DIGITS if c in DIGITS else LOWER if c in LOWER else LOWER.upper() if c in LOWER.upper() else "" for c in text]
     value, size = 0, 1
     for c, kind in zip(text, kinds):
@@ -174,8 +201,8 @@ def _secret(m: re.Match, key: bytes) -> str | None:
 KINDS = (
     ("email", re.compile(r"(?<![\w.+-])[A-Za-z0-9](?:[A-Za-z0-9._%+-]{0,62}[A-Za-z0-9_%+-])?@(?:[A-Za-z0-9-]{1,63}\.){1,8}[A-Za-z]{2,24}"), _email),
     ("access_key", re.compile(r"(?<![A-Za-z0-9])(?:AKIA|ASIA)[A-Z0-9]{16}(?![A-Za-z0-9])"), _access_key),
-    ("secret", re.compile(r"(?P<lead>(?i:\b(?:password|passwd|pwd|secret|token|api[_-]?key)\b)[\"']?\s?[=:]\s?[\"']?)(?P<value>[A-Za-z0-9_/+.-]{6,128})"), _secret),
-    ("hex", re.compile(r"(?<![A-Za-z0-9])(?P<head>0x)?(?P<hex>[0-9a-f]{32,128})(?![A-Za-z0-9])"), _hex),
+    ("secret", re.compile(r"(?P<lead>(?i:\b(?:password|passwd|pwd|secret|token|api[_-]?key)\b)[\"']?\s?[=:]\s?[\"']?)(?P<value>[A-Za-z0-9_/+.-]{6,}+)"), _secret),
+    ("hex", re.compile(r"(?<![A-Za-z0-9])(?P<head>0x)?(?P<hex>[0-9a-f]{32,}+)(?![A-Za-z0-9])"), _hex),
     ("iban", re.compile(r"(?<![A-Za-z0-9])[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])"), _iban),
     ("ip", re.compile(r"(?<![\d.])\d{1,3}(?:\.\d{1,3}){3}(?![\d])(?!\.\d)"), _ip),
     ("date", re.compile(r"(?<![\d./-])(?:\d{4}([-/.])\d{1,2}\1\d{1,2}|\d{1,2}([-/.])\d{1,2}\2\d{4})(?![\d])(?![./-]\d)"), _date),
@@ -184,7 +211,7 @@ KINDS = (
     ("phone", re.compile(r"(?<![\w+])\+\d{1,3}[ .-]?\(?\d{1,4}\)?(?:[ .-]?\d{2,4}){2,4}(?![\d])|(?<![\w(])\(\d{3}\) ?\d{3}[ .-]\d{4}(?![\d])|(?<![\w.-])\d{3}[.-]\d{3}[.-]\d{4}(?![\d])"), _phone),
 )
 #: A text without any of these holds nothing that a pattern can match.
-MAYBE = re.compile(r"[0-9@]|(?i:password|passwd|pwd|secret|token|api[_-]?key)")
+MAYBE = re.compile(r"[\d@]|AKIA|ASIA|(?i:password|passwd|pwd|secret|token|api[_-]?key)")
 
 
 
