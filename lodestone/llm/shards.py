@@ -3,32 +3,37 @@
 Rows are ordered by doc_id and cut into shards of near-equal bytes. Splitters are found without
 sorting: in each round one job counts the exact bytes below a bounded list of probe keys, and
 the probes close in on the splitters until each meets the tolerance or is a single key wide.
-Then rows move once, to bins of bounded size inside their shard.
+Then whole rows move once, to bins of bounded size inside their shard, and are written by shard.
 """
 
 from __future__ import annotations
 
+import uuid
 from functools import reduce
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lodestone.runtime import materialize, small
+from lodestone.runtime import materialize, shared_dir, small
 
 #: Probe keys for each open splitter in a round: what comes to the driver is at most PROBES * shards rows.
 PROBES = 64
-#: Rows (of three numbers) that one task ranks, and the most bins in all.
+#: Rows and bytes of text that one task sorts and writes, and the most bins in all (beyond, bins grow and spill).
 BIN_ROWS = 1_000_000
+BIN_BYTES = 16_000_000
 MAX_BINS = 512
 
 
+def _digests(text: str) -> tuple[Column, Column]:
+    return (
+        (F.coalesce(F.octet_length(text), F.lit(0)) + 1).cast("long").alias("size"),
+        F.coalesce(F.crc32(F.col(text).cast("binary")), F.lit(0)).cast("long").alias("text_crc32"),
+    )
+
+
 def sized(docs: DataFrame) -> DataFrame:
     """(doc_id, size, text_crc32): UTF-8 bytes plus 1, and the unsigned CRC-32 (0 for a null text)."""
-    return docs.select(
-        "doc_id",
-        (F.coalesce(F.octet_length("text"), F.lit(0)) + 1).cast("long").alias("size"),
-        F.coalesce(F.crc32(F.col("text").cast("binary")), F.lit(0)).cast("long").alias("text_crc32"),
-    )
+    return docs.select("doc_id", *_digests("text"))
 
 
 def splitters(rows: DataFrame, shards: int, tolerance: float = 0.0) -> list[int]:
@@ -88,35 +93,63 @@ def _edge_index(key: F.Column, edges: list[int]) -> F.Column:
     return pick(0, len(edges))
 
 
-def histogram_sort(docs: DataFrame, shards: int = 16, tolerance: float = 0.0) -> DataFrame:
-    """(doc_id, size, text_crc32, law, shard, slot, grown_shard) under the law ``bytes``.
+def placed(docs: DataFrame, shards: int = 16, tolerance: float = 0.0) -> DataFrame:
+    """(row, slot, shard): each whole row of ``docs``, all its columns in the struct ``row``, with its place.
 
     Shards are ranges of doc_id whose bytes are as near j/shards of the total as whole keys allow
     (``tolerance`` 0) or within the tolerance. ``slot`` counts a shard's rows from 0 without gaps, by doc_id,
-    then size and checksum; identical rows take neighbouring slots. Rows with one doc_id stay together.
-    A null doc_id sorts before all others, in shard 0. grown_shard is null under this law.
-    An empty table gives no rows; with fewer keys than shards some shards stay empty.
+    then size and checksum, then the other columns (maps apart); identical rows take neighbouring slots. Rows with one
+    doc_id stay together. A null doc_id sorts before all others, in shard 0.
     """
     rows = materialize(sized(docs), "sized")
-    cuts = splitters(rows.where("doc_id is not null"), shards, tolerance)
+    known = rows.where("doc_id is not null")
+    cuts = splitters(known, shards, tolerance)
     # Bins are finer ranges of keys, found the same way but loosely; counts of bins give the slots.
-    count = rows.count()
-    parts = min(MAX_BINS // shards, -(-count // (BIN_ROWS * shards)))
-    fine = splitters(rows.where("doc_id is not null"), shards * parts, 0.25) if parts > 1 else []
-    key = F.col("doc_id")
-    placed = rows.withColumn("shard", _edge_index(key, cuts)).withColumn("bin", _edge_index(key, fine))
-    counts = placed.groupBy("shard", "bin").agg(F.count(F.lit(1)).alias("n"))
+    count, total = rows.agg(F.count(F.lit(1)), F.coalesce(F.sum("size"), F.lit(0))).first()
+    parts = min(MAX_BINS // shards, max(-(-count // (BIN_ROWS * shards)), -(-total // (BIN_BYTES * shards))))
+    fine = splitters(known, shards * parts, 0.25) if parts > 1 else []
+
+    def in_bins(frame: DataFrame) -> DataFrame:
+        key = F.col("doc_id")
+        return frame.withColumn("shard", _edge_index(key, cuts)).withColumn("bin", _edge_index(key, fine))
+
+    counts = in_bins(rows).groupBy("shard", "bin").agg(F.count(F.lit(1)).alias("n"))
     order = Window.partitionBy("shard").orderBy("bin").rowsBetween(Window.unboundedPreceding, -1)
     starts = materialize(counts.withColumn("start", F.coalesce(F.sum("n").over(order), F.lit(0))).drop("n"), "bins")
-    within = Window.partitionBy("shard", "bin").orderBy("doc_id", "size", "text_crc32")
-    ranked = placed.withColumn("rank", F.row_number().over(within) - 1)
-    return ranked.join(small(starts, starts.count()), ["shard", "bin"]).select(
-        "doc_id",
-        "size",
-        "text_crc32",
+    # The one exchange of whole rows.
+    whole = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
+    keyed = in_bins(whole.select("row", F.col("row.doc_id").alias("doc_id"), *_digests("row.text")))
+    ties = [f"row.`{name}`" for name, kind in docs.dtypes if "map<" not in kind and "variant" not in kind]
+    within = Window.partitionBy("shard", "bin").orderBy("doc_id", "size", "text_crc32", *ties)
+    ranked = keyed.withColumn("rank", F.row_number().over(within) - 1)
+    slot = (F.col("start") + F.col("rank")).cast("long").alias("slot")
+    return ranked.join(small(starts, starts.count()), ["shard", "bin"]).select("row", slot, F.col("shard").cast("int").alias("shard"))
+
+
+def write_shards(docs: DataFrame, path: str, shards: int = 16, tolerance: float = 0.0) -> DataFrame:
+    """Write the whole rows of ``docs`` to ``path`` as Parquet, a folder for each shard, files in order of ``slot``.
+
+    Gives what was written, read back, as (row, slot, shard); see ``placed``.
+    """
+    out = placed(docs, shards, tolerance)
+    out.sortWithinPartitions("shard", "slot").write.partitionBy("shard").option("compression", "zstd").parquet(path)
+    return docs.sparkSession.read.schema(out.schema).parquet(path)
+
+
+def histogram_sort(docs: DataFrame, shards: int = 16, tolerance: float = 0.0) -> DataFrame:
+    """(doc_id, size, text_crc32, law, shard, slot, grown_shard) under the law ``bytes``, of the rows as they stand in their shards.
+
+    ``docs`` is written by shard to the shared folder and the digests are taken from what was written;
+    ``write_shards`` has the rows themselves. grown_shard is null under this law.
+    An empty table gives no rows; with fewer keys than shards some shards stay empty.
+    """
+    rows = write_shards(docs, f"{shared_dir(docs.sparkSession)}/lodestone/shards-{uuid.uuid4().hex}", shards, tolerance)
+    return rows.select(
+        F.col("row.doc_id").alias("doc_id"),
+        *_digests("row.text"),
         F.lit("bytes").alias("law"),
-        F.col("shard").cast("int").alias("shard"),
-        (F.col("start") + F.col("rank")).cast("long").alias("slot"),
+        "shard",
+        "slot",
         F.lit(None).cast("int").alias("grown_shard"),
     )
 
