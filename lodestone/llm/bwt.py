@@ -168,7 +168,7 @@ def remove_repeated_bytes(docs: DataFrame, window: int = WINDOW, texts: bool = F
     their own. Null and shorter texts lose nothing; rows with a null doc_id are returned whole and
     are no occurrences. Extra columns are ignored; an empty table gives no rows.
     """
-    found = settled(docs, window, ANCHOR, byte_values, str.encode, lambda raw, a, n: raw[a : a + n], _settle(window), across=False)
+    found = settled(docs, window, ANCHOR, byte_values, str.encode, lambda raw, a, n: raw[a : a + n], _settle(window), lambda n, low: covered(np.flatnonzero(n > 1), window), across=False)
     length = F.col("c") * F.col("reps") + (window - 1)
     whole_segment = F.array(F.col("a").cast("long"), (F.col("a") + length).cast("long"))
     spans = F.when(F.col("n") > 1, whole_segment).otherwise(F.transform("answer", lambda x: x + F.col("a")))

@@ -150,16 +150,18 @@ def smallest_holders(segments: list[np.ndarray], low: np.ndarray, window: int =
     return [least[iv[: max(0, len(s) - window + 1)]] for s, iv in zip(segments, index.matching_intervals(segments, window))]
 
 
+def holder_runs(least: np.ndarray) -> list[int]:
+    """Flat (begin, end, smallest doc_id) of runs of windows with one smallest doc_id."""
+    new = np.flatnonzero(np.concatenate(([True], least[1:] != least[:-1])))
+    stop = np.concatenate((new[1:], [len(least)]))
+    return np.column_stack((new, stop, least[new])).ravel().tolist()
+
+
 def _settle(window: int):
     def settle(raw, group, counts, low):
         names: dict[bytes, int] = {}
         segments = [np.array([names.setdefault(w, len(names)) for w in s.split(b" ")], np.int64) for s in raw]
-        out = []
-        for least in smallest_holders(segments, low, window):
-            new = np.flatnonzero(np.concatenate(([True], least[1:] != least[:-1])))
-            stop = np.concatenate((new[1:], [len(least)]))
-            out.append(np.column_stack((new, stop, least[new])).ravel().tolist())
-        return out
+        return [holder_runs(least) for least in smallest_holders(segments, low, window)]
 
     return settle
 
@@ -215,7 +217,7 @@ def remove_repeated_words(docs: DataFrame, window: int = WINDOW, texts: bool = F
     rows with a null doc_id are returned whole and are no source. Extra columns are ignored; an
     empty table gives no rows.
     """
-    found = settled(docs, window, ANCHOR, word_values, _words, lambda words, a, n: b" ".join(words[a : a + n]), _settle(window), across=True)
+    found = settled(docs, window, ANCHOR, word_values, _words, lambda words, a, n: b" ".join(words[a : a + n]), _settle(window), lambda n, low: holder_runs(low), across=True, width=8)
     a, last = F.col("a").cast("long"), F.lit(window - 1)
     at = F.sequence(F.lit(0), F.greatest(F.floor(F.size("answer") / 3).cast("int") - 1, F.lit(0)))
     runs = F.transform(at, lambda i: F.struct(F.get("answer", i * 3).alias("b"), F.get("answer", i * 3 + 1).alias("e"), F.get("answer", i * 3 + 2).alias("low")))

@@ -2,11 +2,13 @@
 
 Every window is routed by its anchor (see ``anchors``), so all its occurrences meet in one shard.
 Segments that are equal as wholes are settled by counting; only anchors with different segments
-need an index, and only one copy of each different segment is sent to it.
+need an index, and only one copy of each different segment is sent to it. An anchor whose different
+segments would not fit a block is settled window by window, so no task holds more than two blocks.
 """
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Callable
 
 import numpy as np
@@ -19,6 +21,8 @@ from lodestone.runtime import materialize, small
 
 #: Bytes of segments that one index holds; a task works through its shard in blocks of whole anchors.
 BLOCK = 1 << 18
+#: Windows found in more segments than this meet their counts in a broadcast join.
+POPULAR = 1000
 
 #: A batch of texts as values to look for repeats in: (values, first value of each document).
 Values = Callable[[pa.Array], tuple[np.ndarray, np.ndarray]]
@@ -27,6 +31,9 @@ Slice = Callable[[object, int, int], bytes]
 #: Settle a block: segments, their anchors' group numbers, row counts and smallest doc_ids -> flat answers by segment.
 Settle = Callable[[list[bytes], np.ndarray, np.ndarray, np.ndarray], list[list[int]]]
 
+#: The flat answer of one segment from the row counts and smallest doc_ids of its windows.
+Answer = Callable[[np.ndarray, np.ndarray], list[int]]
+
 
 def copies(docs: DataFrame) -> DataFrame:
     """(doc_id, crc, first, n) of texts that more than one row has: the smallest doc_id and the number of rows."""
@@ -101,12 +108,55 @@ def _blocks(settle: Settle):
     return run
 
 
-def settled(docs: DataFrame, window: int, k: int, values: Values, prepare: Callable[[str], object], piece: Slice, settle: Settle, across: bool) -> DataFrame:
+def _windows(window: int, piece: Slice, prepare: Callable[[str], object]):
+    def run(batches):
+        for batch in batches:
+            for text, wanted in zip(batch.column(0), batch.column(1)):
+                source = prepare(text.as_py())
+                for w in wanted.as_py():
+                    keys = [hashlib.blake2b(piece(source, w["a"] + i, window), digest_size=16).digest() for i in range(w["c"])]
+                    same = [pa.array([w[x]] * len(keys), pa.int64()) for x in ("m", "h", "n", "low")]
+                    yield pa.RecordBatch.from_arrays([*same, pa.array(range(len(keys)), pa.int32()), pa.array(keys, pa.binary())], names=["m", "h", "n", "low", "i", "key"])
+
+    return run
+
+
+def _answers(answer: Answer):
+    def run(batches):
+        for batch in batches:
+            out = []
+            for found in batch.column(2).to_pylist():
+                n, low = np.zeros((2, 1 + max(w["i"] for w in found)), np.int64)
+                low[:] = np.iinfo(np.int64).max
+                for w in found:
+                    n[w["i"]] = max(n[w["i"]], w["n"])
+                    low[w["i"]] = min(low[w["i"]], w["low"])
+                out.append(answer(n, low))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(out, pa.list_(pa.int64()))], names=["m", "h", "answer"])
+
+    return run
+
+
+def by_window(texts: DataFrame, window: int, prepare: Callable[[str], object], piece: Slice, answer: Answer) -> DataFrame:
+    """(m, h, answer) of the wanted segments of ``texts``, each window counted by its 128-bit hash over all of them."""
+    rows = materialize(texts.mapInArrow(_windows(window, piece, prepare), "m long, h long, n long, low long, i int, key binary"), "windows")
+    met = rows.groupBy("key").agg(F.count(F.lit(1)).alias("rows"), F.sum("n").alias("all"), F.min("low").alias("least")).where("rows > 1")
+    met = materialize(met, "met")
+    often, seldom = met.where(F.col("rows") > POPULAR).drop("rows"), met.where(F.col("rows") <= POPULAR).drop("rows")
+    often = small(often, often.count())
+    met_at = ["m", "h", "i", F.col("all").alias("n"), F.col("least").alias("low")]
+    # A window that others have is there twice, once with its own counts, which the common ones outdo.
+    found = rows.select("m", "h", "i", "n", "low").unionByName(rows.join(often, "key").select(*met_at)).unionByName(rows.join(seldom, "key").select(*met_at))
+    return found.groupBy("m", "h").agg(F.collect_list(F.struct("i", "n", "low")).alias("found")).mapInArrow(_answers(answer), "m long, h long, answer array<long>")
+
+
+def settled(docs: DataFrame, window: int, k: int, values: Values, prepare: Callable[[str], object], piece: Slice, settle: Settle, answer: Answer, across: bool, width: int = 1) -> DataFrame:
     """(doc_id, crc, a, c, reps, low, n, answer): segments with repeated windows, of texts that are first of their copies.
 
     A row stands for ``reps`` equal segments of ``c`` windows side by side, the first window starting at ``a``.
     Where ``answer`` is null all windows of the segment have ``n`` rows and ``low`` as their smallest doc_id;
     otherwise it is what ``settle`` said. ``across`` keeps only anchors that more than one doc_id has.
+    An anchor whose different segments pass BLOCK bytes, at ``width`` bytes a value, is left to ``by_window``.
     """
     again = materialize(copies(docs).where("first < doc_id").select("doc_id", "crc"), "copies")
     own = docs.where("doc_id is not null and text is not null").select("doc_id", crc(), "text").join(small(again, again.count()), ["doc_id", "crc"], "left_anti")
@@ -124,10 +174,19 @@ def settled(docs: DataFrame, window: int, k: int, values: Values, prepare: Calla
     )
     shared = seen.where(F.col("d0") < F.col("d1") if across else (F.col("n") > 1) | (F.col("h0") != F.col("h1")))
     kept = materialize(shared.select("m", "h", "doc_id", "crc", "a", "c", "reps", "n", "low", (F.col("h0") != F.col("h1")).alias("mixed"), (F.col("rank") == 1).alias("head")), "segments")
-    wanted = kept.where("mixed and head").groupBy("doc_id", "crc").agg(F.collect_list(F.struct("m", "h", "n", "low", "a", "c")).alias("wanted"))
-    texts = own.join(wanted, ["doc_id", "crc"]).select("text", "wanted")
-    cut = texts.mapInArrow(_cut(window, piece, prepare), "m long, h long, n long, low long, seg binary")
+    heads = kept.where("mixed and head")
+    over = materialize(heads.groupBy("m").agg(F.sum((F.col("c") + (window - 1)) * width).alias("size")).where(F.col("size") > BLOCK).select("m"), "over")
+    n_over = over.count()
+
+    def texts_of(some: DataFrame) -> DataFrame:
+        wanted = some.groupBy("doc_id", "crc").agg(F.collect_list(F.struct("m", "h", "n", "low", "a", "c")).alias("wanted"))
+        return own.join(wanted, ["doc_id", "crc"]).select("text", "wanted")
+
+    fit = heads.join(small(over, n_over), "m", "left_anti") if n_over else heads
+    cut = texts_of(fit).mapInArrow(_cut(window, piece, prepare), "m long, h long, n long, low long, seg binary")
     answers = cut.repartition("m").sortWithinPartitions("m", "h").mapInArrow(_blocks(settle), "m long, h long, answer array<long>")
+    if n_over:
+        answers = answers.unionByName(by_window(texts_of(heads.join(small(over, n_over), "m", "left_semi")), window, prepare, piece, answer))
     light = ["doc_id", "crc", "a", "c", "reps", "low", "n"]
     plain = kept.where("not mixed").select(*light, F.lit(None).cast("array<long>").alias("answer"))
     return plain.unionByName(kept.where("mixed").select("m", "h", *light).join(materialize(answers, "answers"), ["m", "h"]).select(*light, "answer"))
