@@ -2,29 +2,55 @@
 
 Values are found by pattern, validated, and replaced by a keyed permutation inside their own
 format: a card number by another card number that passes the check digit, a date by another
-date, an address by another address. The permutation is a Feistel network with cycle walking, so
-equal values get equal pseudonyms in every document and different values never share one.
+date written with the same widths, an address by another address. Numbers go through a balanced
+Feistel network with cycle walking. Strings go through an alternating one over their two halves,
+whose round function draws a stream as long as the half it changes from all of the other half, so
+every character depends on the whole value, whatever its length. Equal values get equal pseudonyms
+in every document under one key and different values of one format never share one.
 """
 
 from __future__ import annotations
 
+import bisect
 import datetime
+import functools
 import hashlib
 import hmac
 import re
-from collections.abc import Callable
+import secrets
 from math import isqrt
 
+import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 ROUNDS = 10
 DIGITS = "0123456789"
 LOWER = "abcdefghijklmnopqrstuvwxyz"
-#: Characters that one network permutes: at most 26 ** 48 values, so that a round's 128 bits reach all of a half.
-PIECE = 48
-FIRST_DAY, LAST_DAY = datetime.date(1900, 1, 1).toordinal(), datetime.date(2099, 12, 31).toordinal()
+UPPER = LOWER.upper()
+#: Of each character that may change, the characters it may become.
+MIXED = {c: kind for kind in (DIGITS, LOWER, UPPER) for c in kind}
+NUMBER = {c: DIGITS for c in DIGITS}
+HEX = {c: DIGITS + "abcdef" for c in DIGITS + "abcdef"}
+KEY_CHARS = {c: UPPER + DIGITS for c in UPPER + DIGITS}
+FIRST_YEAR, LAST_YEAR = 1900, 2099
+#: The session setting that holds the key.
+KEY_SETTING = "spark.lodestone.pseudonym.key"
+
+
+@functools.cache
+def _drawn(application: str) -> str:
+    return secrets.token_hex(32)
+
+
+def session_key(spark: SparkSession) -> str:
+    """The key that the session names in KEY_SETTING; without one, a random key of this application.
+
+    Under a drawn key equal values are linked inside the application's results, and no one can link or
+    invert them later. Set the key to link results of several runs.
+    """
+    return spark.conf.get(KEY_SETTING, None) or _drawn(spark.sparkContext.applicationId)
 
 
 def permute(value: int, size: int, key: bytes, tweak: bytes) -> int:
@@ -32,75 +58,50 @@ def permute(value: int, size: int, key: bytes, tweak: bytes) -> int:
     if size < 2:
         return value
     half = isqrt(size - 1) + 1
+    width = (half.bit_length() + 7) // 8 + 16
     while True:
         left, right = divmod(value, half)
         for r in range(ROUNDS):
             mac = hmac.digest(key, b"%d|%b|%d" % (r, tweak, right), "sha256")
-            left, right = right, (left + int.from_bytes(mac[:16], "big")) % half
+            left, right = right, (left + int.from_bytes(hashlib.shake_256(mac).digest(width), "big")) % half
         value = left * half + right
         if value < size:
             return value
 
 
-def luhn(digits: str) -> bool:
-    total = 0
-    for k, c in enumerate(reversed(digits)):
-        d = int(c) * (1 + k % 2)
-        total += d - 9 * (d > 9)
-    return total % 10 == 0
-
-
-def _in_pieces(swap: Callable[[str, bytes], str], text: str, tweak: bytes) -> str:
-    """``swap`` over the whole of a text of any length, in pieces of near-equal size.
+def permute_string(values: list[int], bases: list[int], key: bytes, tweak: bytes) -> list[int]:
+    """A keyed permutation of all strings of numbers below ``bases``: an alternating Feistel network over two halves.
 
-    The tweak of a piece holds a digest of all before it, so different texts still get different results.
+    Each round adds to one half, number by number, a stream of its length drawn from the whole other half.
     """
-    n = -(-len(text) // PIECE)
-    if n < 2:
-        return swap(text, tweak)
-    at, before, out = [len(text) * k // n for k in range(n + 1)], hashlib.sha256(), []
-    for a, b in zip(at, at[1:]):
-        out.append(swap(text[a:b], tweak + b"|%d|" % len(text) + before.digest()))
-        before.update(text[a:b].encode())
-    return "".join(out)
-
-
-def _swap_chars(text: str, alphabet: str, key: bytes, tweak: bytes) -> str:
-    """Permute the characters of ``text`` that are in ``alphabet``, among all strings of their length."""
-    return _in_pieces(lambda piece, more: _swap_piece(piece, alphabet, key, more), text, tweak)
-
-
-def _swap_piece(text: str, alphabet: str, key: bytes, tweak: bytes) -> str:
-    at = [k for k, c in enumerate(text) if c in alphabet]
-    base, value = len(alphabet), 0
-    for k in at:
-        value = value * base + alphabet.index(text[k])
-    value = permute(value, base ** len(at), key, tweak + b"%d" % len(at))
+    cut = len(values) // 2
+    half = [np.array(values[:cut], np.uint64), np.array(values[cut:], np.uint64)]
+    base = [np.array(bases[:cut], np.uint64), np.array(bases[cut:], np.uint64)]
+    for r in range(ROUNDS):
+        i = r % 2
+        mac = hmac.digest(key, b"%d|%d|%b|" % (r, len(values), tweak) + half[1 - i].astype(np.uint8).tobytes(), "sha256")
+        stream = np.frombuffer(hashlib.shake_256(mac).digest(8 * len(half[i])), "<u8")
+        half[i] = (half[i] + stream % base[i]) % base[i]
+    return [*half[0].tolist(), *half[1].tolist()]
+
+
+def swap(text: str, kinds: dict[str, str], key: bytes, tweak: bytes) -> str:
+    """``text`` with the characters in ``kinds`` permuted among all strings of their kinds; the others stay."""
+    at = [k for k, c in enumerate(text) if c in kinds]
+    kind = [kinds[text[k]] for k in at]
+    new = permute_string([g.index(text[k]) for k, g in zip(at, kind)], [len(g) for g in kind], key, tweak + b"|" + "".join([g[0] for g in kind]).encode())
     out = list(text)
-    for k in reversed(at):
-        value, r = divmod(value, base)
-        out[k] = alphabet[r]
+    for k, g, v in zip(at, kind, new):
+        out[k] = g[v]
     return "".join(out)
 
 
-def _swap_mixed(text: str, key: bytes, tweak: bytes) -> str:
-    """Permute letters among letters and digits among digits, keeping each character's kind and case."""
-    return _in_pieces(lambda piece, more: _swap_mixed_piece(piece, key, more), text, tweak)
-
-
-def _swap_mixed_piece(text: str, key: bytes, tweak: bytes) -> str:
-    kinds = [DIGITS if c in DIGITS else LOWER if c in LOWER else LOWER.upper() if c in LOWER.upper() else "" for c in text]
-    value, size = 0, 1
-    for c, kind in zip(text, kinds):
-        if kind:
-            value, size = value * len(kind) + kind.index(c), size * len(kind)
-    value = permute(value, size, key, tweak + "".join(k[:1] for k in kinds).encode())
-    out = list(text)
-    for k in range(len(text) - 1, -1, -1):
-        if kinds[k]:
-            value, r = divmod(value, len(kinds[k]))
-            out[k] = kinds[k][r]
-    return "".join(out)
+def luhn(digits: str) -> bool:
+    total = 0
+    for k, c in enumerate(reversed(digits)):
+        d = int(c) * (1 + k % 2)
+        total += d - 9 * (d > 9)
+    return total % 10 == 0
 
 
 def _card(m: re.Match, key: bytes) -> str | None:
@@ -108,7 +109,7 @@ def _card(m: re.Match, key: bytes) -> str | None:
     if not 13 <= len(digits) <= 19 or not luhn(digits):
         return None
     # The leading digit stays (the network), the last is the check digit.
-    body = digits[0] + _swap_chars(digits[1:-1], DIGITS, key, b"card" + digits[0].encode())
+    body = digits[0] + swap(digits[1:-1], NUMBER, key, b"card" + digits[0].encode())
     check = next(c for c in DIGITS if luhn(body + c))
     fresh = iter(body + check)
     return re.sub(r"\d", lambda _: next(fresh), m[0])
@@ -121,16 +122,26 @@ def _iban(m: re.Match, key: bytes) -> str | None:
     plain = m[0].replace(" ", "")
     if not 15 <= len(plain) <= 34 or number(plain[4:] + plain[:4]) % 97 != 1:
         return None
-    body = _swap_mixed(plain[4:], key, b"iban" + plain[:2].encode())
+    body = swap(plain[4:], MIXED, key, b"iban" + plain[:2].encode())
     check = 98 - number(body + plain[:2] + "00") % 97
     fresh = iter(f"{plain[:2]}{check:02d}{body}")
     return re.sub(r"\S", lambda _: next(fresh), m[0])
 
 
+@functools.cache
+def _days(low_month: int, high_month: int, low_day: int, high_day: int) -> list[int]:
+    """All days of the supported years whose month and day are in the ranges, in order."""
+    first, last = datetime.date(FIRST_YEAR, 1, 1).toordinal(), datetime.date(LAST_YEAR, 12, 31).toordinal()
+    dates = (datetime.date.fromordinal(d) for d in range(first, last + 1))
+    return [d.toordinal() for d in dates if low_month <= d.month <= high_month and low_day <= d.day <= high_day]
+
+
 def _date(m: re.Match, key: bytes) -> str | None:
+    """Another day among those that are written with the same widths and leading zeros."""
     text = m[0]
-    a, b, c = (int(x) for x in re.findall(r"\d+", text))
-    first = len(re.match(r"\d+", text)[0]) == 4
+    fields = re.findall(r"\d+", text)
+    a, b, c = (int(x) for x in fields)
+    first = len(fields[0]) == 4
     try:
         day = datetime.date(a, b, c) if first else datetime.date(c, b, a)
         order = (0, 1, 2) if first else (2, 1, 0)
@@ -139,11 +150,17 @@ def _date(m: re.Match, key: bytes) -> str | None:
             day, order = datetime.date(c, a, b), (1, 2, 0)
         except ValueError:
             return None
-    if not FIRST_DAY <= day.toordinal() <= LAST_DAY:
+    if not FIRST_YEAR <= day.year <= LAST_YEAR:
         return None
-    new = datetime.date.fromordinal(FIRST_DAY + permute(day.toordinal() - FIRST_DAY, LAST_DAY - FIRST_DAY + 1, key, b"date"))
+    month, monthday = (fields[order.index(k)] for k in (1, 2))
+    if len(month) == len(monthday) == 2:
+        ranges = (1, 12, 1, 31)
+    else:
+        ranges = sum(((1, 9) if len(f) == 1 or f[0] == "0" else (10, 31) for f in (month, monthday)), ())
+    days = _days(*ranges)
+    new = datetime.date.fromordinal(days[permute(bisect.bisect_left(days, day.toordinal()), len(days), key, b"date%d,%d,%d,%d" % ranges)])
     parts = [new.year, new.month, new.day]
-    fresh = iter([f"{parts[k]:0{4 if k == 0 else 2}d}" for k in order])
+    fresh = iter([f"{parts[k]:0{len(f)}d}" for k, f in zip(order, fields)])
     return re.sub(r"\d+", lambda _: next(fresh), text)
 
 
@@ -171,7 +188,7 @@ def _phone(m: re.Match, key: bytes) -> str | None:
     if not 9 <= len(digits) <= 15:
         return None
     keep = 1 if m[0].lstrip().startswith("+") else 0
-    fresh = iter(digits[:keep] + _swap_chars(digits[keep:], DIGITS, key, b"phone" + digits[:keep].encode()))
+    fresh = iter(digits[:keep] + swap(digits[keep:], NUMBER, key, b"phone" + digits[:keep].encode()))
     return re.sub(r"\d", lambda _: next(fresh), m[0])
 
 
@@ -179,22 +196,22 @@ def _email(m: re.Match, key: bytes) -> str | None:
     """Local part and host name are permuted; the last label (the top-level domain) stays."""
     local, _, domain = m[0].rpartition("@")
     host, _, top = domain.rpartition(".")
-    return f"{_swap_mixed(local, key, b'local')}@{_swap_mixed(host, key, b'host')}.{top}"
+    return f"{swap(local, MIXED, key, b'local')}@{swap(host, MIXED, key, b'host')}.{top}"
 
 
 def _hex(m: re.Match, key: bytes) -> str | None:
     head, text = m["head"] or "", m["hex"]
     if not re.search(r"\d", text) or not re.search(r"[a-f]", text):
         return None
-    return head + _swap_chars(text, DIGITS + "abcdef", key, b"hex")
+    return head + swap(text, HEX, key, b"hex")
 
 
 def _access_key(m: re.Match, key: bytes) -> str | None:
-    return m[0][:4] + _swap_chars(m[0][4:], LOWER.upper() + DIGITS, key, b"access")
+    return m[0][:4] + swap(m[0][4:], KEY_CHARS, key, b"access")
 
 
 def _secret(m: re.Match, key: bytes) -> str | None:
-    return m["lead"] + _swap_mixed(m["value"], key, b"secret")
+    return m["lead"] + swap(m["value"], MIXED, key, b"secret")
 
 
 #: Patterns in order of precedence; where two kinds could match, the first that validates wins.
@@ -215,7 +232,6 @@ MAYBE = re.compile(r"[\d@]|AKIA|ASIA|(?i:password|passwd|pwd|secret|token|api[_-
 
 
 
-
 def pseudonymise(text: str, key: bytes) -> tuple[str, dict[str, int]]:
     """The text with every validated value replaced, and how many of each kind.
 
@@ -259,7 +275,7 @@ def _run(key: bytes):
     return run
 
 
-def pseudonyms(docs: DataFrame, key: str = "lodestone") -> DataFrame:
+def pseudonyms(docs: DataFrame, key: str) -> DataFrame:
     """(doc_id, text, n_found, kinds): each whole text with its personal data replaced by pseudonyms.
 
     Validated kinds: email, cloud access key, password or token value, long hexadecimal string, IBAN (mod 97), IP
@@ -270,7 +286,7 @@ def pseudonyms(docs: DataFrame, key: str = "lodestone") -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(_run(key.encode()), "doc_id long, text string, n_found long, kinds map<string,long>")
 
 
-def replace_text(docs: DataFrame, key: str = "lodestone") -> DataFrame:
+def replace_text(docs: DataFrame, key: str) -> DataFrame:
     """``docs`` with all its columns and rows, ``text`` (and n_chars, if there) as pseudonymised."""
     names = docs.columns
     at = names.index("text")

@@ -30,7 +30,7 @@ def op2_histogram_sort(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op3_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
     tune(spark)
-    out = pseudonyms.pseudonyms(table(spark, sf_dir, "documents"))
+    out = pseudonyms.pseudonyms(table(spark, sf_dir, "documents"), pseudonyms.session_key(spark))
     return out.select("doc_id", "text", "n_found", F.to_json("kinds").alias("kinds"))
 
 

@@ -154,9 +154,9 @@ def test_pseudonyms(docs, none):
         assert pseudonyms.pseudonymise(clean, b"k") == (clean, {})
     for size in (2, 3, 1000, 4097):
         assert sorted(pseudonyms.permute(v, size, b"k", b"t") for v in range(size)) == list(range(size))
-    got = pseudonyms.pseudonyms(docs)
+    got = pseudonyms.pseudonyms(docs, "k")
     assert rows_of(got, "doc_id", "text") == sorted(corpus(), key=repr)
-    assert pseudonyms.replace_text(docs).columns == docs.columns and pseudonyms.pseudonyms(none).count() == 0
+    assert pseudonyms.replace_text(docs, "k").columns == docs.columns and pseudonyms.pseudonyms(none, "k").count() == 0
 
 
 def test_pieces_equal_the_library(docs, none):

@@ -1,11 +1,18 @@
 """Personal values of any length are replaced as a whole."""
 
+import datetime
+import hashlib
+import hmac
+import inspect
+import itertools
 import random
+import re
 import string
 
 import pytest
 
-from lodestone.llm.pseudonyms import pseudonymise
+from lodestone.llm import pseudonyms
+from lodestone.llm.pseudonyms import permute, permute_string, pseudonymise
 
 KEY = b"k"
 
@@ -66,3 +73,115 @@ def test_different_long_values_stay_different():
     values = {base[:k] + c + base[k + 1 :] for k in (0, 47, 48, 130, 599) for c in string.ascii_lowercase}
     assert len({pseudonymise(f"token={v}", KEY)[0] for v in values}) == len(values)
     assert pseudonymise(f"token={base}", KEY) == pseudonymise(f"token={base}", KEY)
+
+
+@pytest.mark.parametrize("kind, lead, alphabet", [("hex", "", "0123456789abcdef"), ("secret", "token=", string.ascii_letters + string.digits), ("email", "", string.ascii_lowercase)])
+def test_no_position_stays_more_often_than_chance(kind, lead, alphabet):
+    """Over 1000 random values of every length to 128, each position is left as it was about as often as chance."""
+    rng = random.Random(kind)
+    stays, seen, expected = [0] * 128, [0] * 128, [0.0] * 128
+    for k in range(1000):
+        n = 32 + k % 97 if kind == "hex" else 6 + k % 123 if kind == "secret" else 3 + k % 60
+        value = "".join(rng.choices(alphabet, k=n))
+        if kind == "hex":
+            value = "1a" + value[2:]
+        got, counts = pseudonymise(lead + value + ("@example.org" if kind == "email" else ""), KEY)
+        assert counts == {kind: 1}
+        for i, (x, y) in enumerate(zip(value, got[len(lead) :])):
+            stays[i] += x == y
+            seen[i] += 1
+            expected[i] += 1 / (16 if kind == "hex" else 10 if x.isdigit() else 26)
+    for i in range(128):
+        assert stays[i] <= expected[i] + 5 * expected[i] ** 0.5 + 3, i
+
+
+def slow_string(values, bases, key, tweak):
+    """The string network again, in plain numbers; returns (forward, inverse)."""
+    cut = len(values) // 2
+
+    def stream(r, other, n):
+        text = str(r).encode() + b"|" + str(len(values)).encode() + b"|" + tweak + b"|" + bytes(other)
+        draw = hashlib.shake_256(hmac.new(key, text, hashlib.sha256).digest()).digest(8 * n)
+        return [int.from_bytes(draw[8 * k : 8 * k + 8], "little") for k in range(n)]
+
+    def run(v, rounds, sign):
+        v = list(v)
+        for r in rounds:
+            mine, other = (range(cut), range(cut, len(v))) if r % 2 == 0 else (range(cut, len(v)), range(cut))
+            for k, x in zip(mine, stream(r, [v[o] for o in other], len(mine))):
+                v[k] = (v[k] + sign * x) % bases[k]
+        return v
+
+    return run(values, range(10), 1), lambda out: run(out, range(9, -1, -1), -1)
+
+
+@pytest.mark.parametrize("n", [0, 1, 2, 3, 17, 64, 129, 400])
+def test_second_implementation_agrees_and_inverts(n):
+    rng = random.Random(n)
+    bases = [rng.choice([10, 16, 26, 36]) for _ in range(n)]
+    values = [rng.randrange(b) for b in bases]
+    got = permute_string(values, bases, KEY, b"t")
+    want, back = slow_string(values, bases, KEY, b"t")
+    assert got == want and back(got) == values
+
+
+def test_small_strings_are_permuted():
+    for bases in ([10], [10, 26], [3, 4, 5]):
+        every = [tuple(permute_string(list(v), bases, KEY, b"t")) for v in itertools.product(*map(range, bases))]
+        assert len(set(every)) == len(every)
+
+
+def test_large_numbers_invert():
+    """Sizes beyond 2 ** 256: the network run backwards gives the value again."""
+    for size in (2**256 + 1, 3**400, 10**128):
+        half = 1
+        while half * half < size:
+            half *= 2
+        low, high = half // 2, half
+        while high - low > 1:
+            mid = (low + high) // 2
+            low, high = (mid, high) if mid * mid < size else (low, mid)
+        half, width = high, (high.bit_length() + 7) // 8 + 16
+        for value in (0, 1, size - 1, random.Random(size).randrange(size)):
+            out = permute(value, size, KEY, b"t")
+            assert 0 <= out < size
+            while True:
+                left, right = divmod(out, half)
+                for r in range(9, -1, -1):
+                    mac = hmac.digest(KEY, f"{r}|t|{left}".encode(), "sha256")
+                    left, right = (right - int.from_bytes(hashlib.shake_256(mac).digest(width), "big")) % half, left
+                out = left * half + right
+                if out < size:
+                    break
+            assert out == value
+
+
+def test_dates_keep_their_widths():
+    seen = {}
+    for day in range(datetime.date(2001, 1, 1).toordinal(), datetime.date(2003, 1, 1).toordinal()):
+        d = datetime.date.fromordinal(day)
+        for text in (f"{d.year}-{d.month}-{d.day}", f"{d.year}-{d.month:02d}-{d.day:02d}", f"{d.day}.{d.month}.{d.year}", f"{d.day:02d}/{d.month:02d}/{d.year}"):
+            got = pseudonymise(text, KEY)[0]
+            assert [len(x) for x in re.split(r"\D", got)] == [len(x) for x in re.split(r"\D", text)]
+            assert seen.setdefault(got, text) == text
+    assert pseudonymise("2024-1-5", KEY)[0] != "2024-1-5"
+
+
+def test_key_is_required(spark):
+    for f in (pseudonyms.pseudonyms, pseudonyms.replace_text):
+        assert inspect.signature(f).parameters["key"].default is inspect.Parameter.empty
+    assert pseudonyms.session_key(spark) == pseudonyms.session_key(spark)
+    spark.conf.set(pseudonyms.KEY_SETTING, "given")
+    assert pseudonyms.session_key(spark) == "given"
+    spark.conf.unset(pseudonyms.KEY_SETTING)
+    assert len(pseudonyms.session_key(spark)) == 64
+
+
+def test_null_empty_repeated_and_extra_columns(spark):
+    rows = [(None, None, "a"), (1, None, "b"), (2, "", "c"), (3, "mail a.b@example.org", "d"), (3, "mail a.b@example.org", "d"), (4, "x " * 200_000 + "a.b@example.org", "e")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, kinds string")
+    got = pseudonyms.pseudonyms(docs, "k").collect()
+    assert sorted((r.doc_id or 0, r.n_found) for r in got) == [(0, 0), (1, 0), (2, 0), (3, 1), (3, 1), (4, 1)]
+    mails = {r.text[-15:] for r in got if r.n_found}
+    assert len(mails) == 1 and mails != {"a.b@example.org"}
+    assert pseudonyms.pseudonyms(docs.where("false"), "k").count() == 0
