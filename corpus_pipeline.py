@@ -20,7 +20,7 @@ from lodestone.runtime import materialize, ship_package, small
 def _without(docs: DataFrame, ids: DataFrame) -> DataFrame:
     """The rows of ``docs`` whose doc_id is not in ``ids``; rows with a null doc_id stay."""
     ids = materialize(ids.select("doc_id").distinct(), "ids")
-    return docs.join(small(ids, ids.count()), "doc_id", "left_anti").select(*docs.columns)
+    return docs.join(small(ids), "doc_id", "left_anti").select(*docs.columns)
 
 
 def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -41,9 +41,9 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     n = again.count()
     if not n:
         return left
-    repeated = left.join(small(again, n), "doc_id", "left_semi").select(*docs.columns)
+    repeated = left.join(small(again), "doc_id", "left_semi").select(*docs.columns)
     one = repeated.groupBy("doc_id").agg(F.min_by(F.struct(*docs.columns), F.struct(*[c for c in docs.columns if c != "doc_id"])).alias("r"))
-    return left.join(small(again, n), "doc_id", "left_anti").select(*docs.columns).unionByName(one.select("r.*"))
+    return left.join(small(again), "doc_id", "left_anti").select(*docs.columns).unionByName(one.select("r.*"))
 
 
 def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

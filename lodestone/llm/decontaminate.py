@@ -81,17 +81,17 @@ def contained_items(docs: DataFrame, items: DataFrame, threshold_percent: int =
     base = docs.where("doc_id is not null").select("doc_id", "text")
     sketch = materialize(sketches(items, threshold_percent / 100, n), "sketches")
     stream = exploded(base.select("doc_id", words(F.col("text")).alias("w")), n, ["doc_id"])
-    hits = stream.select("doc_id", F.xxhash64(*grams).alias("hash")).join(small(sketch, sketch.count()), "hash")
+    hits = stream.select("doc_id", F.xxhash64(*grams).alias("hash")).join(small(sketch), "hash")
     found = hits.groupBy("doc_id", "item_id", "hash").agg(F.first("weight").alias("weight"), F.first("need").alias("need"))
     enough = found.groupBy("doc_id", "item_id").agg(F.sum("weight").alias("hits"), F.first("need").alias("need")).where("hits >= need")
     pairs = materialize(enough.select("doc_id", "item_id"), "candidates")
     ids = materialize(pairs.select("doc_id").distinct(), "ids")
-    suspects = base.join(small(ids, ids.count()), "doc_id", "left_semi")
+    suspects = base.join(small(ids), "doc_id", "left_semi")
     said = F.to_json(F.array(*grams)).alias("shingle")
     full = materialize(exploded(items.select("item_id", words(F.col("text")).alias("w")), n, ["item_id"]).select("item_id", said).distinct(), "items")
     n_item = full.groupBy("item_id").agg(F.count(F.lit(1)).alias("n_item"))
     have = exploded(suspects.select("doc_id", words(F.col("text")).alias("w")), n, ["doc_id"]).select("doc_id", said)
-    shared = have.join(small(full, full.count()), "shingle").distinct().groupBy("doc_id", "item_id").agg(F.count(F.lit(1)).alias("n_shared"))
+    shared = have.join(small(full), "shingle").distinct().groupBy("doc_id", "item_id").agg(F.count(F.lit(1)).alias("n_shared"))
     return (
         shared.join(pairs, ["doc_id", "item_id"], "left_semi")
         .join(n_item, "item_id")

@@ -11,7 +11,8 @@ shingle that no other bucket member has cannot be shared, so each member's own s
 overlap with anyone; members and pairs that this exact bound rules out are dropped. Every member
 of a bucket is compared with its most central member (fewest own shingles), components are formed,
 and only members of one bucket that are still in different components, within the bound and alike
-by their planes are compared again. So a bucket of n copies costs n rows.
+by their planes are compared again. So a bucket of n copies costs n rows. Buckets of at most FEW
+members need no bound. Hot buckets, pivots and groups of equal sets are met by pushed or salted joins.
 """
 
 from __future__ import annotations
@@ -25,7 +26,7 @@ from pyspark.sql import functions as F
 
 from lodestone.llm.textbytes import LOWER_AZ, buffer_of, mix64, shingle_hashes, slices, word_hashes, words_of
 from lodestone.operators.components import connected_components
-from lodestone.runtime import materialize, small
+from lodestone.runtime import HOT_ROWS, SALTS, discard, materialize, small, spread_join
 
 HASHES = 128
 LOW_BITS = 2
@@ -35,6 +36,8 @@ MISS = 1e-6
 SLACK = 5.0
 #: Star pairs this far below the floor are still counted exactly: their overlaps bound other pairs.
 REACH = 0.2
+#: Members of larger buckets get an exact bound on their overlaps, which costs a row for each shingle.
+FEW = 8
 
 _RNG = np.random.default_rng(97)
 _MUL = (_RNG.integers(0, 2**31, HASHES, dtype=np.uint32) * np.uint32(2) + np.uint32(1))[None, :]
@@ -142,12 +145,12 @@ def _confirm(words: int):
 
 
 def shared_shingles(pairs: DataFrame, docs: DataFrame, words: int) -> DataFrame:
-    """(a, b, both): exact size of the intersection of the full shingle sets of each pair."""
+    """(a, b, both): exact size of the intersection of the full shingle sets of each pair; ``pairs`` is materialised."""
     ids = materialize(pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct(), "ids")
-    texts = materialize(docs.select("doc_id", "text").join(small(ids, ids.count()), "doc_id", "left_semi").dropDuplicates(["doc_id"]), "texts")
-    left = texts.select(F.col("doc_id").alias("a"), F.col("text").alias("ta"))
+    texts = materialize(docs.select("doc_id", "text").join(small(ids), "doc_id", "left_semi").dropDuplicates(["doc_id"]), "texts")
     right = texts.select(F.col("doc_id").alias("b"), F.col("text").alias("tb"))
-    rows = pairs.join(right, "b").join(left, "a").select("a", "b", "ta", "tb").sortWithinPartitions("a", "b")
+    left = texts.select(F.col("doc_id").alias("a"), F.col("text").alias("ta")).join(pairs.groupBy("a").agg(F.count(F.lit(1)).alias("rays")), "a")
+    rows = spread_join(pairs.join(right, "b"), left, ["a"], "rays", "b").select("a", "b", "ta", "tb").sortWithinPartitions("a", "b")
     return rows.mapInArrow(_confirm(words), "a long, b long, both long")
 
 
@@ -164,50 +167,58 @@ def near_duplicates(docs: DataFrame, threshold_percent: int = 80, words: int = 5
     threshold = threshold_percent / 100
     sig = materialize(signatures(docs, threshold, words), "signatures")
     planes = ["p0", "p1", "p2", "p3"]
-    sets = sig.where("n > 0 and id is not null").groupBy("f1", "f2", "n").agg(F.min(F.struct("id", "keys", *planes)).alias("r"))
-    reps = materialize(sets.select("r.*", "n"), "representatives")
+    sets = sig.where("n > 0 and id is not null").groupBy("f1", "f2", "n").agg(F.min(F.struct("id", "keys", *planes)).alias("r"), F.count(F.lit(1)).alias("copies"))
+    reps = materialize(sets.select("r.*", "n", "f1", "f2", "copies"), "representatives")
     rows = reps.select(F.explode("keys").alias("key"), "id")
-    shared = rows.groupBy("key").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("key")
-    members = materialize(rows.join(shared, "key", "left_semi"), "members")
-    bound = overlap_bounds(docs, members.select("id").distinct(), words)
-    sig_of = materialize(
-        reps.select("id", "n", *planes).join(bound, "id").where(F.col("most") * 100 >= F.col("n") * threshold_percent), "bounded"
-    )
-    members = members.join(sig_of.select("id", "n", "most"), "id")
+    shared = materialize(rows.groupBy("key").agg(F.count(F.lit(1)).alias("c")).where("c > 1").withColumn("size", F.col("c")), "shared")
+    buckets = materialize(spread_join(rows, shared, ["key"], "c", "id"), "buckets")
+    bound = overlap_bounds(docs, buckets.where(F.col("size") > FEW).select("id").distinct(), words)
+    # The bound holds among members of large buckets only; in small ones a member may share all it has.
+    most = F.when(F.col("size") > FEW, F.col("most")).otherwise(F.col("n"))
+    held = buckets.join(reps.select("id", "n"), "id").join(bound, "id", "left").withColumn("most", most).where(F.col("most") * 100 >= F.col("n") * threshold_percent)
+    held = materialize(held.select("key", "id", "n", "most"), "held")
     central = F.min_by("id", F.struct(F.col("n") - F.col("most"), F.col("id")))
-    pivots = members.groupBy("key").agg(central.alias("pivot"), F.count(F.lit(1)).alias("c")).where("c > 1").select("key", "pivot")
-    members = materialize(members.select("key", "id").join(pivots, "key"), "members")
-    x_of = sig_of.select(F.col("id").alias("a"), F.struct("n", "most", *planes).alias("x"))
-    y_of = sig_of.select(F.col("id").alias("b"), F.struct("n", "most", *planes).alias("y"))
+    pivots = materialize(held.groupBy("key").agg(central.alias("pivot"), F.count(F.lit(1)).alias("c")).where("c > 1"), "pivots")
+    members = materialize(spread_join(held.select("key", "id", "most"), pivots, ["key"], "c", "id"), "members")
+    sig_of = materialize(reps.select("id", "n", *planes).join(members.select("id").distinct(), "id", "left_semi"), "bounded")
+    discard(shared, buckets, held)
+    x_of = sig_of.select(F.col("id").alias("a"), F.struct("n", *planes).alias("x"))
+    y_of = sig_of.select(F.col("id").alias("b"), F.struct("n", *planes).alias("y"))
 
     def links_of(pairs: DataFrame) -> DataFrame:
         sizes = pairs.join(x_of.select("a", F.col("x.n").alias("na")), "a").join(y_of.select("b", F.col("y.n").alias("nb")), "b")
         return sizes.where(F.col("both") * 100 >= (F.col("na") + F.col("nb") - F.col("both")) * threshold_percent).select("a", "b")
 
-    star = members.where("id != pivot").select(F.col("pivot").alias("a"), F.col("id").alias("b")).distinct()
-    near = star.join(x_of, "a").join(y_of, "b").where(estimated("x", "y") >= estimate_floor(threshold) - REACH).select("a", "b")
+    star = members.where("id != pivot").select(F.col("pivot").alias("a"), F.col("id").alias("b")).distinct().join(y_of, "b")
+    pivot_of = x_of.join(pivots.groupBy(F.col("pivot").alias("a")).agg(F.sum("c").alias("rays")), "a")
+    near = spread_join(star, pivot_of, ["a"], "rays", "b").where(estimated("x", "y") >= estimate_floor(threshold) - REACH).select("a", "b")
     rays = materialize(shared_shingles(materialize(near, "pairs"), docs, words), "rays")
     links = materialize(links_of(rays), "links")
     parts = connected_components(links, "a", "b")
     # What the stars left apart: members of one bucket in different components. Each member's exact
     # overlap with the pivot bounds its overlap with the others, inside the pivot's set and outside it.
-    where = members.join(parts, "id", "left").select("key", "id", "pivot", F.coalesce("component", "id").alias("c"))
-    split = where.groupBy("key").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo < hi").select("key")
+    where = members.join(parts, "id", "left").select("key", "id", "pivot", "most", F.coalesce("component", "id").alias("c"))
+    split = where.groupBy("key").agg(F.min("c").alias("lo"), F.max("c").alias("hi"), F.count(F.lit(1)).alias("c")).where("lo < hi").select("key", "c", F.col("c").alias("left"))
     known = rays.select(F.col("a").alias("pivot"), F.col("b").alias("id"), "both")
     inside = F.when(F.col("id") == F.col("pivot"), F.col("n")).otherwise(F.col("both"))
-    rest = where.join(split, "key").join(sig_of, "id").join(known, ["pivot", "id"], "left").withColumn("inside", inside)
-    x, y = rest.alias("x"), rest.alias("y")
+    rest = spread_join(where, materialize(split, "split"), ["key"], "c", "id").join(sig_of, "id").join(known, ["id", "pivot"], "left").withColumn("inside", inside)
+    # Each member of a hot bucket meets the others in one of SALTS parts, its comparisons in all of them.
+    hot = F.col("left") > HOT_ROWS
+    rest = materialize(rest, "rest")
+    x = rest.withColumn("salt", F.when(hot, F.pmod(F.xxhash64("id"), F.lit(SALTS))).otherwise(0)).alias("x")
+    y = rest.withColumn("salt", F.explode(F.when(hot, F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0))))).alias("y")
     apart = (
-        x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.c") < F.col("y.c")) & reachable("x", "y", threshold_percent) & (estimated("x", "y") >= estimate_floor(threshold)))
+        x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.salt") == F.col("y.salt")) & (F.col("x.c") < F.col("y.c")) & reachable("x", "y", threshold_percent) & (estimated("x", "y") >= estimate_floor(threshold)))
         .select(F.least("x.id", "y.id").alias("a"), F.greatest("x.id", "y.id").alias("b"))
         .distinct()
         .join(rays.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), ["a", "b"], "left_anti")
     )
     more = links_of(shared_shingles(materialize(apart, "pairs"), docs, words))
     joined = connected_components(links.union(materialize(more, "links")), "a", "b")
-    of_set = sets.select("f1", "f2", "n", F.col("r.id").alias("id")).join(joined, "id", "left")
-    classes = of_set.select("f1", "f2", "n", F.coalesce("component", "id").alias("set_component"))
-    out = sig.select("id", "n", "f1", "f2").join(classes, ["f1", "f2", "n"], "left")
+    class_of = reps.join(joined, "id", "left").select("f1", "f2", "n", F.coalesce("component", "id").alias("set_component"), "copies")
+    plain = sig.select("id", "n", "f1", "f2")
+    met = spread_join(plain.where("n > 0 and id is not null"), class_of, ["f1", "f2", "n"], "copies", "id")
+    out = met.unionByName(plain.where("n = 0 or id is null").withColumn("set_component", F.lit(None).cast("long")))
     component = F.when(F.col("id").isNotNull(), F.coalesce("set_component", "id"))
     return out.select(
         F.col("id").alias("doc_id"),
@@ -236,7 +247,7 @@ def _shingle_rows(words: int):
 def overlap_bounds(docs: DataFrame, ids: DataFrame, words: int) -> DataFrame:
     """(id, most): how many shingles of each document at least one other document of ``ids`` has."""
     ids = materialize(ids.select(F.col("id").alias("doc_id")), "ids")
-    among = docs.select("doc_id", "text").join(small(ids, ids.count()), "doc_id", "left_semi")
+    among = docs.select("doc_id", "text").join(small(ids), "doc_id", "left_semi")
     rows = among.mapInArrow(_shingle_rows(words), "id long, hash long")
     held = rows.groupBy("hash").agg(F.count(F.lit(1)).alias("c"), F.min("id").alias("id"))
     own = held.where("c = 1").groupBy("id").agg(F.count(F.lit(1)).alias("own"))

@@ -183,7 +183,7 @@ def train(docs: DataFrame, labels: DataFrame) -> Model:
     positive = ids.join(known.where("quality = 1"), "doc_id", "left_semi").distinct().orderBy(order, "doc_id").limit(MOST_POSITIVES)
     unlabelled = ids.join(labels.where("quality is not null").select("doc_id"), "doc_id", "left_anti").distinct().orderBy(order, "doc_id").limit(MOST_UNLABELLED)
     chosen = materialize(positive.withColumn("positive", F.lit(True)).unionByName(unlabelled.withColumn("positive", F.lit(False))), "sample")
-    sample = docs.select("doc_id", "text").join(small(chosen, MOST_POSITIVES + MOST_UNLABELLED), "doc_id").select("positive", "text")
+    sample = docs.select("doc_id", "text").join(small(chosen), "doc_id").select("positive", "text")
     rows = sample.mapInArrow(_vectors, "positive boolean, x array<float>").toArrow()
     flag = rows.column("positive").combine_chunks().to_numpy(zero_copy_only=False).astype(bool)
     x = rows.column("x").combine_chunks().flatten().to_numpy().reshape(-1, len(NAMES)).astype(float)

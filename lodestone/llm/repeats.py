@@ -143,7 +143,7 @@ def by_window(texts: DataFrame, window: int, prepare: Callable[[str], object], p
     met = rows.groupBy("key").agg(F.count(F.lit(1)).alias("rows"), F.sum("n").alias("all"), F.min("low").alias("least")).where("rows > 1")
     met = materialize(met, "met")
     often, seldom = met.where(F.col("rows") > POPULAR).drop("rows"), met.where(F.col("rows") <= POPULAR).drop("rows")
-    often = small(often, often.count())
+    often = small(often)
     met_at = ["m", "h", "i", F.col("all").alias("n"), F.col("least").alias("low")]
     # A window that others have is there twice, once with its own counts, which the common ones outdo.
     found = rows.select("m", "h", "i", "n", "low").unionByName(rows.join(often, "key").select(*met_at)).unionByName(rows.join(seldom, "key").select(*met_at))
@@ -159,7 +159,7 @@ def settled(docs: DataFrame, window: int, k: int, values: Values, prepare: Calla
     An anchor whose different segments pass BLOCK bytes, at ``width`` bytes a value, is left to ``by_window``.
     """
     again = materialize(copies(docs).where("first < doc_id").select("doc_id", "crc"), "copies")
-    own = docs.where("doc_id is not null and text is not null").select("doc_id", crc(), "text").join(small(again, again.count()), ["doc_id", "crc"], "left_anti")
+    own = docs.where("doc_id is not null and text is not null").select("doc_id", crc(), "text").join(small(again), ["doc_id", "crc"], "left_anti")
     rows = own.select("doc_id", "crc", "text").mapInArrow(_segment_rows(values, window, k), "m long, h long, doc_id long, crc long, a int, c int, reps int")
     by_anchor, by_segment = Window.partitionBy("m"), Window.partitionBy("m", "h")
     seen = rows.select(
@@ -182,11 +182,11 @@ def settled(docs: DataFrame, window: int, k: int, values: Values, prepare: Calla
         wanted = some.groupBy("doc_id", "crc").agg(F.collect_list(F.struct("m", "h", "n", "low", "a", "c")).alias("wanted"))
         return own.join(wanted, ["doc_id", "crc"]).select("text", "wanted")
 
-    fit = heads.join(small(over, n_over), "m", "left_anti") if n_over else heads
+    fit = heads.join(small(over), "m", "left_anti") if n_over else heads
     cut = texts_of(fit).mapInArrow(_cut(window, piece, prepare), "m long, h long, n long, low long, seg binary")
     answers = cut.repartition("m").sortWithinPartitions("m", "h").mapInArrow(_blocks(settle), "m long, h long, answer array<long>")
     if n_over:
-        answers = answers.unionByName(by_window(texts_of(heads.join(small(over, n_over), "m", "left_semi")), window, prepare, piece, answer))
+        answers = answers.unionByName(by_window(texts_of(heads.join(small(over), "m", "left_semi")), window, prepare, piece, answer))
     light = ["doc_id", "crc", "a", "c", "reps", "low", "n"]
     plain = kept.where("not mixed").select(*light, F.lit(None).cast("array<long>").alias("answer"))
     return plain.unionByName(kept.where("mixed").select("m", "h", *light).join(materialize(answers, "answers"), ["m", "h"]).select(*light, "answer"))

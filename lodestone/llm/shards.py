@@ -123,7 +123,7 @@ def placed(docs: DataFrame, shards: int = 16, tolerance: float = 0.0) -> DataFra
     within = Window.partitionBy("shard", "bin").orderBy("doc_id", "size", "text_crc32", *ties)
     ranked = keyed.withColumn("rank", F.row_number().over(within) - 1)
     slot = (F.col("start") + F.col("rank")).cast("long").alias("slot")
-    return ranked.join(small(starts, starts.count()), ["shard", "bin"]).select("row", slot, F.col("shard").cast("int").alias("shard"))
+    return ranked.join(small(starts), ["shard", "bin"]).select("row", slot, F.col("shard").cast("int").alias("shard"))
 
 
 def write_shards(docs: DataFrame, path: str, shards: int = 16, tolerance: float = 0.0) -> DataFrame:
