@@ -2,22 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-
-def nearest_rank(df: DataFrame, group: str, value: str, shares: dict[str, float]) -> DataFrame:
-    """Percentiles of each group as the value at index floor(n * share) in ascending order, by ranks, so no group is gathered."""
-    order = Window.partitionBy(group).orderBy(value)
-    rows = df.select(group, value, (F.row_number().over(order) - 1).alias("i")).join(df.groupBy(group).agg(F.count(F.lit(1)).alias("n")), group)
-    picks = [F.round(F.max(F.when(F.col("i") == F.floor(F.col("n") * s), F.col(value))), 6).alias(name) for name, s in shares.items()]
-    return rows.groupBy(group).agg(*picks)
-
-
-def average_rank(value: str, group: str) -> Column:
-    """Descending rank in which ties share the mean of their places."""
-    ties = F.count(F.lit(1)).over(Window.partitionBy(group, value))
-    return F.rank().over(Window.partitionBy(group).orderBy(F.desc(value))) + (ties - 1) / 2
+from lodestone.operators.ordering import average_ranks
 
 
 def ranked_hits(ranked: DataFrame, judged: DataFrame) -> DataFrame:
@@ -53,6 +41,7 @@ def at_k(ranked: DataFrame, judged: DataFrame, k: int) -> DataFrame:
 
 
 def spearman(df: DataFrame, group: str, a: str, b: str) -> DataFrame:
-    """Rank correlation of two columns in each group; 0 where undefined."""
-    ranks = df.select(group, average_rank(a, group).alias("ra"), average_rank(b, group).alias("rb"))
+    """Rank correlation of two columns of rows with an ``id`` in each group; 0 where undefined."""
+    rows = df.select("id", group, a, b)
+    ranks = average_ranks(average_ranks(rows, group, a, "ra"), group, b, "rb")
     return ranks.groupBy(group).agg(F.round(F.coalesce(F.nanvl(F.corr("ra", "rb"), F.lit(0.0)), F.lit(0.0)), 6).alias("rho"))

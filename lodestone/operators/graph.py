@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lodestone.operators.components import connected_components
-from lodestone.runtime import materialize
+from lodestone.runtime import discard, materialize, small
 
 # Fixed values of the edge policy: weight of each link type and of a path over related entities.
 LINK_WEIGHT = {"supports": 0.9, "extends": 0.7, "related": 0.35, "contradicts": 0.15, "supersedes": 1.0}
@@ -16,6 +17,8 @@ FORWARD = ("supports", "extends")
 BOTH_WAYS = ("related", "contradicts")
 ENTITY_WEIGHT = 0.45
 HOP_DECAY = 0.75
+#: The steps of a way, from its start.
+SEGMENTS = "array<struct<source:string,from_claim:string,to_claim:string,weight:double,edge:string>>"
 
 
 def kind_of(link_type: Column) -> Column:
@@ -34,10 +37,16 @@ def symmetric(edges: DataFrame, a: str, b: str, *keep: str) -> DataFrame:
     return edges.select(F.col(a).alias("u"), F.col(b).alias("v"), *keep).unionByName(edges.select(F.col(b).alias("u"), F.col(a).alias("v"), *keep))
 
 
-def entity_steps(claim_entities: DataFrame, relations: DataFrame) -> DataFrame:
-    """(u, v, edge): from a claim over one relation between entities to another claim; self-relations included once."""
-    hops = symmetric(relations, "src_id", "dst_id", "id").distinct()
-    here = claim_entities.select(F.col("claim_id").alias("from_claim"), F.col("entity_id").alias("u"))
+def entity_steps(ids: DataFrame, claim_entities: DataFrame, relations: DataFrame) -> DataFrame:
+    """(u, v, edge): from each claim of ``ids`` over one relation between entities to other claims; self-relations included once.
+
+    Starts from the claims asked for: their entities, the relations of those, the entities beyond, their claims.
+    """
+    here = claim_entities.join(ids.select(F.col("id").alias("claim_id")), "claim_id", "left_semi").select(F.col("claim_id").alias("from_claim"), F.col("entity_id").alias("u")).distinct()
+    held = small(materialize(here.select("u").distinct(), "entities"))
+    ahead = relations.join(held, F.col("src_id") == F.col("u"), "left_semi").select(F.col("src_id").alias("u"), F.col("dst_id").alias("v"), "id")
+    back = relations.join(held, F.col("dst_id") == F.col("u"), "left_semi").select(F.col("dst_id").alias("u"), F.col("src_id").alias("v"), "id")
+    hops = ahead.unionByName(back).distinct()
     there = claim_entities.select(F.col("claim_id").alias("to_claim"), F.col("entity_id").alias("v"))
     steps = hops.join(here, "u").join(there, "v").where(F.col("from_claim") != F.col("to_claim"))
     return steps.select(F.col("from_claim").alias("u"), F.col("to_claim").alias("v"), F.col("id").alias("edge"))
@@ -51,52 +60,132 @@ def walk_steps(links: DataFrame) -> DataFrame:
     return ahead.unionByName(back)
 
 
-def walk(seeds: DataFrame, steps: DataFrame, allowed: DataFrame, hops: int = 2, decay: float = HOP_DECAY) -> DataFrame:
-    """Best way from the seeds (id, score) to each allowed claim within ``hops`` steps.
+def steps_from(ids: DataFrame, oriented: DataFrame, claim_entities: DataFrame, relations: DataFrame) -> DataFrame:
+    """(u, v, edge, weight, kind, source) of all steps from the claims of the materialised ``ids``: links as oriented, and entity steps."""
+    own = oriented.join(small(ids), F.col("u") == F.col("id"), "left_semi").select("u", "v", "edge", "weight", "kind", F.lit("claim_links").alias("source"))
+    ent = entity_steps(small(ids), claim_entities, relations)
+    return own.unionByName(ent.select("u", "v", "edge", F.lit(ENTITY_WEIGHT).alias("weight"), F.lit("support").alias("kind"), F.lit("entity_graph").alias("source")))
+
+
+@dataclass
+class Walk:
+    """What a walk met: ``ways`` has one row for each admitted step (id, seed, via, edge, kind, depth, path_score, path, segments)."""
+
+    ways: DataFrame
+
+    def derived(self) -> DataFrame:
+        """The best way to each claim, the earlier at a tie; then by seed, way and edge."""
+        last = Window.partitionBy("id").orderBy(F.desc("path_score"), "depth", "seed", "via", "edge")
+        return self.ways.withColumn("rn", F.row_number().over(last)).where("rn = 1").drop("rn")
+
+    def shadowed(self) -> DataFrame:
+        """(id): claims from which a step led to what supersedes them."""
+        return self.ways.where("kind = 'supersession'").select(F.col("via").alias("id")).distinct()
+
+    def conflicts(self) -> DataFrame:
+        """(seed, id, via): contradicting claims met on the ways of each seed."""
+        return self.ways.where("kind = 'conflict'").select("seed", "id", "via").distinct()
+
+
+def walk(seeds: DataFrame, links: DataFrame, claim_entities: DataFrame, relations: DataFrame, allowed: DataFrame, hops: int = 2, decay: float = HOP_DECAY) -> Walk:
+    """Ways from the seeds (id, score) over links and entity steps to allowed claims within ``hops`` steps.
 
-    Steps are (u, v, edge, weight, kind). A conflict is reported but not walked on. Of a hop's ways to a claim the
-    best goes on; over all hops the best is kept, the earlier at a tie. Ties are broken by seed, way and edge.
+    Each hop expands only its frontier. A conflict is reported but not walked on. Of a hop's ways to a
+    claim the best goes on. Scores are the seed's times all weights and the decay of each hop, to six places.
     """
-    frontier = seeds.select("id", F.col("id").alias("seed"), F.col("score").alias("seed_score"), F.lit(1.0).alias("product"), F.array("id").alias("path"))
+    oriented, ok = walk_steps(links), allowed.select("id")
+    start = seeds.select("id", F.col("id").alias("seed"), F.col("score").alias("seed_score"), F.lit(1.0).alias("product"), F.array("id").alias("path"), F.array().cast(SEGMENTS).alias("segments"))
+    frontier = materialize(start, "frontier")
     best = Window.partitionBy("id").orderBy(F.desc("path_score"), "seed", "via", "edge")
     found = []
     for hop in range(1, hops + 1):
-        out = frontier.join(steps, F.col("id") == F.col("u")).where(~F.array_contains("path", F.col("v")))
+        steps = steps_from(materialize(frontier.select("id").distinct(), "ids"), oriented, claim_entities, relations)
+        segment = F.struct("source", F.col("u").alias("from_claim"), F.col("v").alias("to_claim"), "weight", "edge")
+        out = steps.join(small(frontier), F.col("id") == F.col("u")).where(~F.array_contains("path", F.col("v")))
         out = out.select(
             F.col("v").alias("id"), "seed", "seed_score", F.col("u").alias("via"), "edge", "kind", F.lit(hop).alias("depth"),
-            (F.col("product") * F.col("weight")).alias("product"), F.concat("path", F.array("v")).alias("path"),
-        ).join(allowed.select("id"), "id", "left_semi")
+            (F.col("product") * F.col("weight")).alias("product"), F.concat("path", F.array("v")).alias("path"), F.concat("segments", F.array(segment)).alias("segments"),
+        ).join(ok, "id", "left_semi")
         out = materialize(out.withColumn("path_score", F.round(F.col("seed_score") * F.col("product") * decay**hop, 6)), "walk")
         found.append(out)
-        onward = out.where("kind <> 'conflict'").withColumn("rn", F.row_number().over(best)).where("rn = 1")
-        frontier = onward.select("id", "seed", "seed_score", "product", "path")
-    last = Window.partitionBy("id").orderBy(F.desc("path_score"), "depth", "seed", "via", "edge")
-    ways = reduce(DataFrame.unionByName, found)
-    return ways.withColumn("rn", F.row_number().over(last)).where("rn = 1").select("id", "seed", "kind", "depth", "path_score")
+        if hop < hops:
+            onward = out.where("kind <> 'conflict'").withColumn("rn", F.row_number().over(best)).where("rn = 1")
+            frontier = materialize(onward.select("id", "seed", "seed_score", "product", "path", "segments"), "frontier")
+    return Walk(reduce(DataFrame.unionByName, found))
 
 
-def blast_radius(roots: DataFrame, links: DataFrame, entity: DataFrame, claims: DataFrame, hops: int = 2, decay: float = HOP_DECAY) -> DataFrame:
-    """(root, id, score, depth): claims within reach of each root over links either way and entity steps.
+def merge_walk(found: DataFrame, walked: Walk, claims: DataFrame) -> DataFrame:
+    """Search results (id, score, created_at) after a walk from them: shadowed ones leave, derived ones join.
+
+    Adds source (search, claim_link, topology), path_score, depth, kind and the number of conflicts of each seed.
+    A result that was also reached keeps its score and takes the way. Derived claims have their path score.
+    """
+    d = walked.derived().select("id", F.col("path_score").alias("way_score"), "kind", "depth", F.when(F.forall("segments", lambda s: s["source"] == "claim_links"), "claim_link").otherwise("topology").alias("way"))
+    conflicts = walked.conflicts().groupBy(F.col("seed").alias("id")).agg(F.count(F.lit(1)).alias("conflicts"))
+    at = claims.join(d.select("id"), "id", "left_semi").select("id", F.col("created_at").alias("known_at"))
+    rows = found.withColumn("found", F.lit(True)).join(walked.shadowed(), "id", "left_anti").join(d, "id", "full_outer").join(at, "id", "left").join(conflicts, "id", "left")
+    # A shadowed result that was reached as well comes back as a derived claim.
+    return rows.select(
+        "id", F.coalesce("score", "way_score").alias("score"), F.coalesce("created_at", "known_at").alias("created_at"),
+        F.when(F.col("found"), "search").otherwise(F.col("way")).alias("source"), F.col("way_score").alias("path_score"), "kind", "depth",
+        F.when(F.col("found"), F.coalesce("conflicts", F.lit(0))).otherwise(0).alias("conflicts"),
+    )
+
+
+@dataclass
+class Blast:
+    """What a rollback reaches: ``proposals`` has one row for each step taken (root, id, kind, score, depth, source, segments)."""
+
+    proposals: DataFrame
+
+    def best(self, *by: str) -> DataFrame:
+        """The best proposal of each root and claim (and of each further column), the nearer at a tie."""
+        over = Window.partitionBy("root", "id", *by).orderBy(F.desc("score"), "depth", "kind", "via", "edge")
+        return self.proposals.withColumn("rn", F.row_number().over(over)).where("rn = 1").drop("rn")
+
+
+def blast_radius(roots: DataFrame, links: DataFrame, claim_entities: DataFrame, relations: DataFrame, claims: DataFrame, hops: int = 2, decay: float = HOP_DECAY) -> Blast:
+    """Claims within reach of each root over links either way and entity steps, expanding only each hop's frontier.
 
     Scores decay at each hop; a claim is walked on from only where its score has become strictly better.
     """
-    l = links.withColumn("weight", weight_of(F.col("link_type")) * F.col("confidence"))
-    steps = symmetric(l, "source_claim_id", "target_claim_id", "weight").unionByName(entity.select("u", "v", F.lit(ENTITY_WEIGHT).alias("weight")))
+    l = links.withColumn("weight", weight_of(F.col("link_type")) * F.col("confidence")).withColumn("kind", kind_of(F.col("link_type"))).withColumnRenamed("id", "edge")
+    oriented = symmetric(l, "source_claim_id", "target_claim_id", "edge", "weight", "kind")
     known = claims.select("id")
-    frontier = roots.select(F.col("id").alias("root"), "id", F.lit(1.0).alias("score"))
-    reached = frontier.withColumn("depth", F.lit(0))
+    start = roots.select(F.col("id").alias("root"), "id", F.lit(1.0).alias("score"), F.array().cast(SEGMENTS).alias("segments"))
+    frontier = materialize(start, "frontier")
+    reached = frontier.select("root", "id", "score")
     found = None
     for hop in range(1, hops + 1):
-        out = frontier.join(steps, F.col("id") == F.col("u")).where(F.col("v") != F.col("root"))
-        out = out.select("root", F.col("v").alias("id"), (F.col("score") * F.col("weight") * decay).alias("score")).join(known, "id", "left_semi")
-        top = materialize(out.groupBy("root", "id").agg(F.max("score").alias("score")).withColumn("depth", F.lit(hop)), "blast")
-        found = top if found is None else found.unionByName(top)
-        before = reached.groupBy("root", "id").agg(F.max("score").alias("old"))
-        better = top.join(before, ["root", "id"], "left").where(F.col("score") > F.coalesce("old", F.lit(0.0)))
-        frontier = better.select("root", "id", "score")
-        reached = reached.unionByName(top.select("root", "id", "score", "depth"))
-    best = F.max(F.struct("score", -F.col("depth"))).alias("b")
-    return found.groupBy("root", "id").agg(best).select("root", "id", F.round("b.score", 6).alias("score"), (-F.col("b.col2")).alias("depth"))
+        steps = steps_from(materialize(frontier.select("id").distinct(), "ids"), oriented, claim_entities, relations)
+        segment = F.struct(F.col("step").alias("source"), F.col("u").alias("from_claim"), F.col("v").alias("to_claim"), "weight", "edge")
+        out = steps.withColumnRenamed("source", "step").join(small(frontier), F.col("id") == F.col("u")).where(F.col("v") != F.col("root"))
+        out = out.select("root", F.col("v").alias("id"), "kind", (F.col("score") * F.col("weight") * decay).alias("score"), F.lit(hop).alias("depth"), F.col("u").alias("via"), "edge", F.col("step").alias("source"), F.concat("segments", F.array(segment)).alias("segments"))
+        # Of a hop's steps to a claim the best of each kind can matter.
+        best = Window.partitionBy("root", "id", "kind").orderBy(F.desc("score"), "via", "edge")
+        out = out.join(known, "id", "left_semi").withColumn("rn", F.row_number().over(best)).where("rn = 1").drop("rn")
+        out = materialize(out, "blast")
+        found = out if found is None else found.unionByName(out)
+        if hop < hops:
+            top = out.groupBy("root", "id").agg(F.max(F.struct("score", "segments")).alias("b")).select("root", "id", F.col("b.score").alias("score"), F.col("b.segments").alias("segments"))
+            before = reached.groupBy("root", "id").agg(F.max("score").alias("old"))
+            frontier = materialize(top.join(before, ["root", "id"], "left").where(F.col("score") > F.coalesce("old", F.lit(0.0))).select("root", "id", "score", "segments"), "frontier")
+            reached = reached.unionByName(top.select("root", "id", "score"))
+    return Blast(found)
+
+
+def affected_contexts(blast: DataFrame, items: DataFrame, layer: Column) -> DataFrame:
+    """(root, contexts, items, claims, layers, best) of the contexts that hold a claim in reach of a root.
+
+    ``layer`` is an expression over an item; null is "unknown". A score that is no finite number counts as 0.
+    """
+    score = F.coalesce(F.when(F.abs("score") < float("inf"), F.col("score")), F.lit(0.0))
+    held = items.withColumn("layer", F.coalesce(layer, F.lit("unknown"))).withColumn("score", score)
+    rows = blast.select("root", F.col("id").alias("claim_id")).distinct().join(held, "claim_id")
+    return rows.groupBy("root").agg(
+        F.count_distinct("active_context_id").alias("contexts"), F.count(F.lit(1)).alias("items"), F.count_distinct("claim_id").alias("claims"),
+        F.array_join(F.array_sort(F.collect_set("layer")), ",").alias("layers"), F.max("score").alias("best"),
+    )
 
 
 def claim_components(claims: DataFrame, links: DataFrame, claim_entities: DataFrame, relations: DataFrame) -> DataFrame:
@@ -137,53 +226,156 @@ def orphan_entities(entities: DataFrame, relations: DataFrame, claim_entities: D
     return entities.select("id").join(used.distinct(), "id", "left_anti")
 
 
-def cycles(links: DataFrame, link_type: str = "contradicts", longest: int = 5) -> DataFrame:
-    """(cycle, length): simple directed cycles of 2 to ``longest`` nodes, each from its smallest node."""
-    e = materialize(links.where(F.col("link_type") == link_type).select(F.col("source_claim_id").alias("u"), F.col("target_claim_id").alias("v")).distinct(), "cycle-edges")
-    paths = e.where("u < v").select(F.array("u", "v").alias("path"), F.col("v").alias("at"))
-    found = []
-    for n in range(2, longest + 1):
-        start = F.element_at("path", 1)
+def _directed(links: DataFrame, link_type: str) -> DataFrame:
+    return links.where(F.col("link_type") == link_type).select(F.col("source_claim_id").alias("u"), F.col("target_claim_id").alias("v")).distinct()
+
+
+def cyclic_edges(edges: DataFrame) -> DataFrame:
+    """The edges (u, v) left when vertices without a way in or a way out are taken off again and again: none if there is no cycle."""
+    left = materialize(edges.where("u <> v"), "core")
+    size = left.count()
+    while size:
+        starts, ends = left.select(F.col("u").alias("v")).distinct(), left.select(F.col("v").alias("u")).distinct()
+        core = materialize(left.join(starts, "v", "left_semi").join(ends, "u", "left_semi").select("u", "v"), "core")
+        discard(left)
+        left, before, size = core, size, core.count()
+        if size == before:
+            break
+    return left
+
+
+def strong_components(edges: DataFrame) -> DataFrame:
+    """(id, part, size): vertices that reach each other, named by their smallest; only parts of two vertices or more.
+
+    Each round every vertex takes the smallest vertex that reaches it; what reaches that one back, inside the
+    same colour, is its part. Parts found are taken off, until no cycle is left.
+    """
+    left, parts = cyclic_edges(edges), None
+    while not left.isEmpty():
+        ids = left.select(F.col("u").alias("id")).union(left.select("v")).distinct()
+        colour = _spread(materialize(ids.withColumn("c", F.col("id")), "colour"), left)
+        c_u, c_v = colour.select(F.col("id").alias("u"), F.col("c").alias("cu")), colour.select(F.col("id").alias("v"), F.col("c").alias("cv"))
+        inside = materialize(left.join(c_u, "u").join(c_v, "v").where("cu = cv").select(F.col("v").alias("u"), F.col("u").alias("v"), F.col("cu").alias("c")), "inside")
+        mark = materialize(colour.select("id", F.when(F.col("id") == F.col("c"), F.col("c")).alias("c")), "colour")
+        back = _spread(mark, inside.select("u", "v")).where("c is not null")
+        part = materialize(back.withColumnRenamed("c", "part"), "part")
+        parts = part if parts is None else parts.unionByName(part)
+        gone = part.select("id")
+        rest = left.join(gone.withColumnRenamed("id", "u"), "u", "left_anti").join(gone.withColumnRenamed("id", "v"), "v", "left_anti").select("u", "v")
+        left = cyclic_edges(rest)
+    if parts is None:
+        return edges.select(F.col("u").alias("id"), F.col("u").alias("part"), F.lit(0).cast("long").alias("size")).where("false")
+    sizes = parts.groupBy("part").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
+    return parts.join(sizes, "part").select("id", "part", "size")
+
+
+def _spread(colour: DataFrame, edges: DataFrame) -> DataFrame:
+    """The smallest non-null colour (id, c) that reaches each vertex along the edges (u, v)."""
+    while True:
+        came = edges.join(colour.withColumnRenamed("id", "u"), "u").groupBy(F.col("v").alias("id")).agg(F.min("c").alias("n"))
+        step = colour.join(came, "id", "left").select("id", F.least("c", "n").alias("c"), (~F.least("c", "n").eqNullSafe(F.col("c"))).alias("new"))
+        fresh = materialize(step, "colour")
+        done = fresh.where("new").isEmpty()
+        discard(colour)
+        colour = fresh.select("id", "c")
+        if done:
+            return colour
+
+
+def cycles(links: DataFrame, link_type: str = "contradicts") -> DataFrame:
+    """(cycle, length): all simple directed cycles of two nodes or more, each from its smallest node.
+
+    Paths grow only inside the cyclic part of the graph and until none can go on. A dense part has
+    exponentially many cycles; ``strong_components`` gives it as one part instead.
+    """
+    e = cyclic_edges(_directed(links, link_type))
+    paths, found, n = materialize(e.where("u < v").select(F.array("u", "v").alias("path"), F.col("v").alias("at")), "cycle-paths"), [], 2
+    start = F.element_at("path", 1)
+    while n == 2 or not paths.isEmpty():
         close = paths.join(e, (F.col("at") == F.col("u")) & (F.col("v") == start)).select(F.array_join("path", ">").alias("cycle"), F.lit(n).alias("length"))
-        found.append(close)
-        if n < longest:
-            step = paths.join(e, F.col("at") == F.col("u")).where((F.col("v") > start) & ~F.array_contains("path", F.col("v")))
-            paths = materialize(step.select(F.concat("path", F.array("v")).alias("path"), F.col("v").alias("at")), "cycle-paths")
+        found.append(materialize(close, "cycles"))
+        step = paths.join(e, F.col("at") == F.col("u")).where((F.col("v") > start) & ~F.array_contains("path", F.col("v")))
+        longer = materialize(step.select(F.concat("path", F.array("v")).alias("path"), F.col("v").alias("at")), "cycle-paths")
+        discard(paths)
+        paths, n = longer, n + 1
     return reduce(DataFrame.unionByName, found)
 
 
-def longest_chains(links: DataFrame, link_type: str = "supersedes", least: int = 3, longest: int = 64) -> DataFrame:
-    """(root, length, chain): the longest simple chain from each node that nothing supersedes, ``least`` edges at least."""
-    e = materialize(links.where(F.col("link_type") == link_type).select(F.col("source_claim_id").alias("u"), F.col("target_claim_id").alias("v")).distinct(), "chain-edges")
-    roots = e.select("u").distinct().join(e.select(F.col("v").alias("u")).distinct(), "u", "left_anti")
-    front = roots.select(F.col("u").alias("root"), F.array("u").alias("path"), F.col("u").alias("at"))
-    best = None
-    for _ in range(longest):
-        step = front.join(e, F.col("at") == F.col("u")).where(~F.array_contains("path", F.col("v")))
-        # Of the paths of one length from a root to a node the smallest goes on.
-        step = step.select("root", F.concat("path", F.array("v")).alias("path"), F.col("v").alias("at")).groupBy("root", "at").agg(F.min("path").alias("path"))
-        front = materialize(step.select("root", "path", "at"), "chains")
-        if front.isEmpty():
+def longest_chains(links: DataFrame, link_type: str = "supersedes", least: int = 3) -> DataFrame:
+    """(root, length, chain): the longest simple chain from each node that nothing leads to, ``least`` edges at least.
+
+    Of the paths of one length from a root to a node the smallest goes on; that is exact as long as no
+    path meets itself. Where one does, the graph has cycles: then a path also stands for the nodes it has
+    used of its end's cyclic part, as those decide how it can go on. Ends when no path can go on.
+    """
+    e = materialize(_directed(links, link_type).where("u <> v"), "chain-edges")
+    out, met = _grow_chains(e, e.select("u", "v", F.lit(None).cast("string").alias("part")), least)
+    if met:
+        parts = strong_components(e).select(F.col("id").alias("v"), "part")
+        out, _ = _grow_chains(e, materialize(e.join(parts, "v", "left").select("u", "v", "part"), "chain-edges"), least)
+    return out
+
+
+def _grow_chains(edges: DataFrame, steps: DataFrame, least: int) -> tuple[DataFrame, bool]:
+    """The longest chains, and whether a path met itself where ``steps`` (u, v, part) know no parts."""
+    roots = edges.select("u").distinct().join(edges.select(F.col("v").alias("u")).distinct(), "u", "left_anti")
+    state = roots.select(F.col("u").alias("root"), F.array("u").alias("path"), F.array(F.lit(None).cast("string")).alias("parts"), F.col("u").alias("at"))
+    front, best, met = materialize(state, "chains"), None, False
+    while True:
+        step = front.join(steps, F.col("at") == F.col("u")).withColumn("again", F.array_contains("path", F.col("v")))
+        used = F.when(F.col("part").isNotNull(), F.array_sort(F.filter(F.transform(F.arrays_zip("path", "parts"), lambda x: F.when(x["parts"] == F.col("part"), x["path"])), lambda x: x.isNotNull())))
+        step = step.select("root", "again", F.concat("path", F.array("v")).alias("path"), F.concat("parts", F.array("part")).alias("parts"), F.col("v").alias("at"), F.coalesce(used, F.array().cast("array<string>")).alias("used"))
+        longer = step.groupBy("root", "at", "used", "again").agg(F.min(F.struct("path", "parts")).alias("b"))
+        longer = materialize(longer.select("root", "again", F.col("b.path").alias("path"), F.col("b.parts").alias("parts"), "at"), "chains")
+        met = met or not longer.where("again").isEmpty()
+        longer = longer.where("not again").drop("again")
+        if longer.isEmpty():
             break
-        done = front.select("root", (F.size("path") - 1).alias("length"), "path")
-        best = done if best is None else best.unionByName(done)
+        size = F.size("path") - 1
+        done = longer.where(size >= least).groupBy("root").agg(F.min("path").alias("path"), F.max(size).alias("length"))
+        # The longest so far of each root, the smallest at a tie (a longer one always replaces it).
+        best = done if best is None else done.unionByName(best.join(done.select("root"), "root", "left_anti"))
+        best = materialize(best, "longest")
+        front = longer
     if best is None:
-        return roots.select(F.col("u").alias("root"), F.lit(0).alias("length"), F.lit("").alias("chain")).where("false")
-    rn = F.row_number().over(Window.partitionBy("root").orderBy(F.desc("length"), "path"))
-    return best.withColumn("rn", rn).where((F.col("rn") == 1) & (F.col("length") >= least)).select("root", "length", F.array_join("path", ">").alias("chain"))
+        return roots.select(F.col("u").alias("root"), F.lit(0).alias("length"), F.lit("").alias("chain")).where("false"), met
+    return best.select("root", "length", F.array_join("path", ">").alias("chain")), met
 
 
-def coactivation(items: DataFrame, least: int = 3, page: int = 128) -> DataFrame:
-    """(a, b, contexts): claims that share at least so many contexts. A context is one page of results, so its pairs are bounded."""
-    rows = items.where(F.col("rank") <= page).select("active_context_id", "claim_id").distinct()
+def coactivation(items: DataFrame, least: int = 3) -> DataFrame:
+    """(a, b, contexts, context_ids): claims that share at least so many contexts.
+
+    A context is one page of results: its pairs are bounded by what a page may hold.
+    """
+    rows = items.select("active_context_id", "claim_id").distinct()
     x, y = rows.alias("x"), rows.alias("y")
     pairs = x.join(y, (F.col("x.active_context_id") == F.col("y.active_context_id")) & (F.col("x.claim_id") < F.col("y.claim_id")))
-    return pairs.groupBy(F.col("x.claim_id").alias("a"), F.col("y.claim_id").alias("b")).agg(F.count(F.lit(1)).alias("contexts")).where(F.col("contexts") >= least)
-
-
-def unlinked_coactivation(items: DataFrame, links: DataFrame, least: int = 3) -> DataFrame:
-    direct = links.select(F.least("source_claim_id", "target_claim_id").alias("a"), F.greatest("source_claim_id", "target_claim_id").alias("b")).distinct()
-    return coactivation(items, least).join(direct, ["a", "b"], "left_anti")
+    counts = pairs.groupBy(F.col("x.claim_id").alias("a"), F.col("y.claim_id").alias("b")).agg(F.count(F.lit(1)).alias("contexts"), F.collect_set("x.active_context_id").alias("ids"))
+    return counts.where(F.col("contexts") >= least).select("a", "b", "contexts", F.array_join(F.array_sort("ids"), ",").alias("context_ids"))
+
+
+def unlinked_coactivation(items: DataFrame, links: DataFrame, claim_entities: DataFrame, relations: DataFrame, least: int = 3) -> DataFrame:
+    """Co-activated pairs without any edge: no link, no shared entity, no relation between their entities."""
+    pairs = materialize(coactivation(items, least), "pairs")
+    direct = links.select(F.least("source_claim_id", "target_claim_id").alias("a"), F.greatest("source_claim_id", "target_claim_id").alias("b"))
+    ce = claim_entities.select("claim_id", "entity_id").distinct()
+    held_a, held_b = ce.select(F.col("claim_id").alias("a"), F.col("entity_id").alias("ea")), ce.select(F.col("claim_id").alias("b"), F.col("entity_id").alias("eb"))
+    ends = pairs.select("a", "b").join(held_a, "a").join(held_b, "b")
+    shared = ends.where("ea = eb").select("a", "b")
+    hops = symmetric(relations, "src_id", "dst_id").select(F.col("u").alias("ea"), F.col("v").alias("eb")).distinct()
+    related = ends.join(hops, ["ea", "eb"], "left_semi").select("a", "b")
+    return pairs.join(direct.union(shared).union(related).distinct(), ["a", "b"], "left_anti")
+
+
+def neighbours(ids: DataFrame, links: DataFrame, claim_entities: DataFrame, relations: DataFrame) -> DataFrame:
+    """(id, other, reasons): claims next to each of the materialised ``ids`` by a link, a shared entity or a relation of entities."""
+    own = symmetric(links, "source_claim_id", "target_claim_id").join(small(ids), F.col("u") == F.col("id"), "left_semi").select("u", "v", F.lit("claim_link").alias("reason"))
+    ce = claim_entities.select("claim_id", "entity_id").distinct()
+    here = ce.join(small(ids), F.col("claim_id") == F.col("id"), "left_semi").select(F.col("claim_id").alias("u"), "entity_id")
+    mates = here.join(ce.select(F.col("claim_id").alias("v"), "entity_id"), "entity_id").select("u", "v", F.lit("shared_entity").alias("reason"))
+    over = entity_steps(small(ids), claim_entities, relations).select("u", "v", F.lit("relation").alias("reason"))
+    rows = own.unionByName(mates).unionByName(over).where("u <> v")
+    return rows.groupBy(F.col("u").alias("id"), F.col("v").alias("other")).agg(F.array_join(F.array_sort(F.collect_set("reason")), ",").alias("reasons"))
 
 
 def shared_entities(claim_entities: DataFrame) -> DataFrame:

@@ -2,26 +2,27 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lodestone.functions import scoring as S
 from lodestone.functions import text as X
 from lodestone.functions import vectors as V
 from lodestone.operators.filters import active
+from lodestone.operators.ordering import numbered
+from lodestone.operators.paging import newest_first
+from lodestone.runtime import SALTS, materialize
 
 ALPHA, THRESHOLD = 0.65, 0.15
 TEXT_LIMIT, VECTOR_LIMIT = 128, 256
 MMR_HEAD, MMR_LAMBDA = 48, 0.72
 
 
-def newest_first(score: str = "score") -> list[Column]:
-    return [F.desc(score), F.desc("created_at"), F.asc("id")]
-
-
 def text_candidates(claims: DataFrame, queue: DataFrame, critic: DataFrame, words: Sequence[str] | None, where: Column, limit: int | None = TEXT_LIMIT) -> DataFrame:
     """Active claims that hold any word, scored by their critic (0.5 without one); without a query, all, scored 0 without one."""
     match = X.any_word(F.col("text"), list(words)) if words is not None else F.lit(True)
@@ -79,33 +80,90 @@ def rerank(fused: DataFrame, features: DataFrame, stats: DataFrame, now: Column,
 
 
 def usage_only(text: DataFrame, now: Column, threshold: float = THRESHOLD) -> DataFrame:
-    """Text candidates times their usage factor: the threshold tests the raw score and the order stays the raw one."""
-    kept = text.where(F.col("score") >= threshold)
-    rank = F.row_number().over(Window.orderBy(*newest_first()))
+    """Text candidates times their usage factor: the threshold tests the raw score and ``rank`` stays that of the raw one."""
+    kept = numbered(text.where(F.col("score") >= threshold), newest_first(), "rank")
     last = F.lit(None).cast("timestamp_ntz") if "last_retrieved_at" not in text.columns else F.col("last_retrieved_at")
-    return kept.select("id", rank.alias("rank"), (F.col("score") * S.usage_term(F.col("retrieval_count"), last, now)).alias("score"))
-
-
-def similar_pairs(vectors: DataFrame, threshold: float, block: str | None = None) -> DataFrame:
-    """(a, b, similarity): pairs of one block with a < b above the threshold. Norms are taken once per vector."""
-    keys = [block] if block else []
-    unit = vectors.select("id", *keys, F.transform("embedding", lambda x: x / F.nullif(V.norm(F.col("embedding")), F.lit(0.0))).alias("u"))
-    x, y = unit.alias("x"), unit.alias("y")
-    on = F.col("x.id") < F.col("y.id")
-    if block:
-        on = (F.col(f"x.{block}") == F.col(f"y.{block}")) & on
-    pairs = x.join(y, on).select(F.col("x.id").alias("a"), F.col("y.id").alias("b"), V.dot(F.col("x.u"), F.col("y.u")).alias("similarity"))
+    return kept.withColumn("score", F.col("score") * S.usage_term(F.col("retrieval_count"), last, now))
+
+
+BLOCK_VECTORS = 1024
+
+
+def _blocks(vectors: DataFrame, block: str, name: str) -> tuple[DataFrame, int]:
+    """Vectors (id, embedding) packed into rows of about BLOCK_VECTORS, by ``block`` and a hash of the id (``part``); and how many parts."""
+    n = max(1, -(-vectors.count() // BLOCK_VECTORS))
+    dealt = vectors.select(block, F.pmod(F.xxhash64("id"), F.lit(n)).alias("part"), F.struct("id", "embedding").alias("v"))
+    return dealt.groupBy(block, "part").agg(F.collect_list("v").alias(name)), n
+
+
+def _matrix(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Ids and unit vectors of a packed block; shorter vectors are filled with zeros, a zero vector stays."""
+    vectors = column.field("embedding")
+    sizes = np.diff(vectors.offsets.to_numpy())
+    flat = vectors.flatten().to_numpy(zero_copy_only=False)
+    out = np.zeros((len(sizes), max(1, int(sizes.max(initial=0)))))
+    out[np.arange(out.shape[1]) < sizes[:, None]] = flat
+    norm = np.sqrt((out * out).sum(axis=1))
+    return column.field("id").to_numpy(zero_copy_only=False), out / np.where(norm > 0, norm, 1)[:, None]
+
+
+def _above(threshold: float):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for x, y in zip(batch.column("x"), batch.column("y")):
+                (ids, q), (others, r) = _matrix(x.values), _matrix(y.values)
+                width = max(q.shape[1], r.shape[1])
+                q, r = (np.pad(m, ((0, 0), (0, width - m.shape[1]))) for m in (q, r))
+                near = q @ r.T
+                i, j = np.nonzero((near > threshold) & (ids[:, None] != others[None, :]))
+                yield pa.RecordBatch.from_arrays([pa.array(ids[i], pa.string()), pa.array(others[j], pa.string()), pa.array(near[i, j])], names=["id", "other", "similarity"])
+
+    return run
+
+
+def similar_to(queries: DataFrame, vectors: DataFrame, threshold: float, block: str) -> DataFrame:
+    """(id, other, similarity): for each query the rows of ``vectors`` in the same ``block`` above the threshold, exactly.
+
+    Both are (id, block, embedding). They are packed into blocks of vectors, and a block of queries meets a block of
+    rows as one product of matrices in a task, so work is queries times rows and nothing is broadcast.
+    Vectors of unequal length are compared over their common part with full norms; zero vectors have no similar ones.
+    """
+    (x, _), (y, parts) = _blocks(queries, block, "x"), _blocks(vectors, block, "y")
+    salts = min(SALTS, parts)
+    # A block of queries goes to every salt of its group once; rows are dealt over the salts.
+    x = x.select(block, "x", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("salt"))
+    y = y.select(block, "y", (F.col("part") % salts).cast("int").alias("salt"))
+    return x.join(y, [block, "salt"]).select("x", "y").mapInArrow(_above(threshold), "id string, other string, similarity double")
+
+
+def page_pairs(vectors: DataFrame, threshold: float, most: int = 128) -> DataFrame:
+    """(a, b, similarity): similar pairs inside one page of at most ``most`` rows (id, embedding), a < b."""
+    rows = vectors.limit(most)
+    one = F.transform("embedding", lambda x: x / F.nullif(V.norm(F.col("embedding")), F.lit(0.0))).alias("u")
+    x, y = rows.select(F.col("id").alias("a"), one.alias("ua")), rows.select(F.col("id").alias("b"), one.alias("ub"))
+    pairs = x.join(F.broadcast(y), F.col("a") < F.col("b")).select("a", "b", S.clamp(V.dot(F.col("ua"), F.col("ub")), 0.0, 1.0).alias("similarity"))
     return pairs.where(F.col("similarity") > threshold)
 
 
+def newer_similar(near: DataFrame, created: DataFrame) -> DataFrame:
+    """(id, newer, similarity): of the similar rows (id, other, similarity) the newest that is newer than the row itself.
+
+    ``created`` is (id, created_at); equal times are ordered by id. Of several, the newest, then the most similar.
+    """
+    t0, t1 = created.select("id", F.col("created_at").alias("t0")), created.select(F.col("id").alias("other"), F.col("created_at").alias("t1"))
+    rows = near.join(t0, "id").join(t1, "other").where((F.col("t1") > F.col("t0")) | ((F.col("t1") == F.col("t0")) & (F.col("other") > F.col("id"))))
+    best = rows.groupBy("id").agg(F.max(F.struct("t1", "similarity", "other")).alias("b"))
+    return best.select("id", F.col("b.other").alias("newer"), F.col("b.similarity").alias("similarity"))
+
+
 def diversify(ranked: DataFrame, limit: int, balance: float = MMR_LAMBDA, head: int = MMR_HEAD, vectors: bool = True) -> DataFrame:
-    """Maximal marginal relevance over the best max(limit, head) rows (id, score, text, embedding); the tail follows in order.
+    """(id, position): the best max(limit, head) rows (id, score, text, embedding) by maximal marginal relevance, the others after them in order.
 
-    The choice is sequential by nature, so the bounded head goes to one task and the tail never does.
+    The choice is sequential by nature, so the bounded head goes to one task and the rest never does.
     """
     size = max(limit, head)
-    order = Window.orderBy(F.desc("score"), F.asc("id"))
-    top = ranked.orderBy(F.desc("score"), F.asc("id")).limit(size).select("id", "score", X.token_set(F.col("text")).alias("tokens"), "embedding")
+    order = [F.desc("score"), F.asc("id")]
+    top = materialize(ranked.orderBy(*order).limit(size).select("id", "score", X.token_set(F.col("text")).alias("tokens"), "embedding"), "head")
 
     def choose(rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values(["score", "id"], ascending=[False, True]).reset_index(drop=True)
@@ -133,8 +191,8 @@ def diversify(ranked: DataFrame, limit: int, balance: float = MMR_LAMBDA, head:
         return pd.DataFrame({"id": rows.id[picked].values, "position": range(1, len(picked) + 1)})
 
     first = top.groupBy(F.lit(1).alias("all")).applyInPandas(lambda rows: choose(rows), "id string, position long")
-    tail = ranked.select("id", F.row_number().over(order).cast("long").alias("position")).where(F.col("position") > size) if limit > size else None
-    return first.unionByName(tail) if tail is not None else first
+    tail = numbered(ranked.select("id", "score").join(F.broadcast(top.select("id")), "id", "left_anti"), order, "place")
+    return first.unionByName(tail.select("id", (F.col("place") + size).alias("position")))
 
 
 def observation_scores(observations: DataFrame, words: list[str], now: Column, live: Column) -> DataFrame:

@@ -68,12 +68,12 @@ def a11(t: Tables):
     return health.unrewarded(t.claims, t.feedback).select("id", "retrieval_count")
 
 
-@R.add("a12_coactivation", """SELECT a.claim_id AS a, b.claim_id AS b, count(DISTINCT a.active_context_id) AS contexts FROM active_context_items a
+@R.add("a12_coactivation", """SELECT a.claim_id AS a, b.claim_id AS b, count(DISTINCT a.active_context_id) AS contexts, string_agg(DISTINCT a.active_context_id, ',' ORDER BY a.active_context_id) AS context_ids FROM active_context_items a
 JOIN active_context_items b ON a.active_context_id = b.active_context_id AND a.claim_id < b.claim_id GROUP BY ALL HAVING count(DISTINCT a.active_context_id) >= 3""", "active_context_items")
 def a12(t: Tables):
     from lodestone.operators.graph import coactivation
 
-    return coactivation(t.active_context_items).select("a", "b", "contexts")
+    return coactivation(t.active_context_items)
 
 
 @R.add("a15_context_rollup", "SELECT claim_id, count(*) AS items, count(DISTINCT active_context_id) AS contexts, round(max(score), 6) AS best FROM active_context_items GROUP BY claim_id", "active_context_items")
@@ -99,9 +99,9 @@ def a17(t: Tables):
 @R.add("a18_latency_ranks", """, v AS (SELECT event_type, value, row_number() OVER (PARTITION BY event_type ORDER BY value, event_id) - 1 AS i, count(*) OVER (PARTITION BY event_type) AS n FROM events)
 SELECT event_type, round(max(value) FILTER (i = floor(n * 0.5)), 6) AS p50, round(max(value) FILTER (i = floor(n * 0.95)), 6) AS p95, round(max(value) FILTER (i = floor(n * 0.99)), 6) AS p99 FROM v GROUP BY 1""".replace(", v", "WITH v", 1))
 def a18(t: Tables):
-    from lodestone.operators.evaluate import nearest_rank
+    from lodestone.operators.ordering import nearest_rank
 
-    return nearest_rank(t.events, "event_type", "value", {"p50": 0.5, "p95": 0.95, "p99": 0.99})
+    return nearest_rank(t.events, "event_type", "value", {"p50": 0.5, "p95": 0.95, "p99": 0.99}, "event_id")
 
 
 @R.add("a19_vector_table_stats", "SELECT len(embedding) AS dims, count(*) AS n, min(claim_id) AS first, max(claim_id) AS last FROM claim_vectors GROUP BY 1", "claim_vectors")
@@ -117,9 +117,9 @@ def wn03(t: Tables):
 
 @R.add("wn04_average_ranks", """, r AS (SELECT id, scope, rank() OVER (PARTITION BY scope ORDER BY utility DESC) AS r, count(*) OVER (PARTITION BY scope, utility) AS ties FROM claims) SELECT id, round(r + (ties - 1) / 2.0, 6) AS avg_rank FROM r""", "claims")
 def wn04(t: Tables):
-    from lodestone.operators.evaluate import average_rank
+    from lodestone.operators.ordering import average_ranks
 
-    return t.claims.select("id", r6(average_rank("utility", "scope"), "avg_rank"))
+    return average_ranks(t.claims.select("id", "scope", "utility"), "scope", "utility", "avg_rank").select("id", r6("avg_rank"))
 
 
 @R.add("p09_stale_working_state", """, f AS (SELECT DISTINCT claim_id FROM feedback WHERE epoch({NOW} - ts) / 86400.0 BETWEEN 0 AND 14)

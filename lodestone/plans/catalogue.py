@@ -9,8 +9,9 @@ from lodestone.functions import scoring as S
 from lodestone.functions import text as X
 from lodestone.functions import vectors as V
 from lodestone.operators import exchange, filters, graph, paging, search
+from lodestone.operators.ordering import numbered
 from lodestone.plans.common import ACTIVE, Registry, now, r6
-from lodestone.plans.retrieval import PAIRS, TEXT, cos_sql, scoped_vectors, texts
+from lodestone.plans.retrieval import PAIRS, TEXT, asked, cos_sql, near, scoped_vectors, texts
 from lodestone.sources.fixtures import Tables
 
 R = Registry()
@@ -61,11 +62,15 @@ def j13(t: Tables):
     return packed.select("active_context_id", F.explode(F.from_json("claims", "array<struct<id:string>>")).alias("c")).select("active_context_id", F.col("c.id").alias("claim_id"))
 
 
-@R.add("l06_graph_presence", TEXT + """, g AS (SELECT id, score, created_at, CASE WHEN id LIKE '%7' THEN 'graph' ELSE 'search' END AS source, row_number() OVER (ORDER BY score DESC, created_at DESC, id) AS rn FROM txt)
-SELECT id, rn FROM g WHERE rn <= 10""", "claims promotion_queue critic")
+@R.add("l06_graph_presence", TEXT + """, d AS (SELECT * FROM txt ORDER BY score DESC, created_at DESC, id LIMIT 7),
+g AS (SELECT target_claim_id AS id, max(confidence) AS path_score FROM claim_links JOIN d ON d.id = source_claim_id WHERE target_claim_id NOT IN (SELECT id FROM d) GROUP BY 1)
+SELECT id, 'search' AS source FROM d UNION ALL SELECT * FROM (SELECT g.id, 'graph' FROM g JOIN claims c ON c.id = g.id ORDER BY path_score DESC, path_score DESC, created_at DESC, g.id DESC LIMIT 1)""", "claims promotion_queue critic claim_links")
 def l06(t: Tables):
-    rows = texts(t).withColumn("source", F.when(F.col("id").endswith("7"), "graph").otherwise("search"))
-    return paging.with_graph_presence(rows, 10).select("id", "rn")
+    """Seven search rows leave slots open on a page of ten; what they link to competes for one of them."""
+    found = texts(t).orderBy(*search.newest_first()).limit(7).select("id", "score", "created_at", F.lit("search").alias("source"), F.lit(None).cast("double").alias("path_score"))
+    ways = t.claim_links.join(F.broadcast(found.select(F.col("id").alias("source_claim_id"))), "source_claim_id", "left_semi").groupBy(F.col("target_claim_id").alias("id")).agg(F.max("confidence").alias("path_score"))
+    others = ways.join(t.claims.select("id", "created_at"), "id").select("id", F.col("path_score").alias("score"), "created_at", F.lit("graph").alias("source"), "path_score")
+    return paging.with_graph_presence(found, found.unionByName(others), 10).select("id", "source")
 
 
 @R.add("l07_durable_first", TEXT + """, o AS (SELECT id, row_number() OVER (ORDER BY created_at DESC, id) AS rn FROM observations), d AS (SELECT id, row_number() OVER (ORDER BY score DESC, created_at DESC, id) AS rn FROM (SELECT * FROM txt ORDER BY score DESC, created_at DESC, id LIMIT 7))
@@ -133,17 +138,13 @@ def r13(t: Tables):
     return texts(t).join(shadowed, "id", "left_anti").select("id")
 
 
-@R.add("r14_freshness_order", PAIRS.rstrip() + """, n AS (SELECT DISTINCT o.id FROM (SELECT a AS base, b AS newer, similarity FROM pairs UNION ALL SELECT b, a, similarity FROM pairs) p JOIN u o ON o.id = base JOIN u w ON w.id = newer
- WHERE similarity > 0.3 AND (w.created_at > o.created_at OR (w.created_at = o.created_at AND w.id > o.id)))
-SELECT u.id, u.id IN (SELECT id FROM n) AS stale FROM u""", "claims promotion_queue claim_vectors")
+@R.add("r14_freshness_order", PAIRS.rstrip() + """, a AS (SELECT u.id, u.created_at, u.id IN (SELECT id FROM newer) AS stale FROM u WHERE CAST(substr(u.id, 5) AS BIGINT) % 50 = 0)
+SELECT id, stale, row_number() OVER (ORDER BY stale, created_at DESC, id DESC) AS rank FROM a""", "claims promotion_queue claim_vectors")
 def r14(t: Tables):
-    u = scoped_vectors(t)
-    p = search.similar_pairs(u, 0.3, "scope")
-    both = p.select(F.col("a").alias("id"), F.col("b").alias("newer")).union(p.select("b", "a"))
-    at = u.select("id", "created_at")
-    later = both.join(at, "id").join(at.select(F.col("id").alias("newer"), F.col("created_at").alias("t1")), "newer")
-    stale = later.where((F.col("t1") > F.col("created_at")) | ((F.col("t1") == F.col("created_at")) & (F.col("newer") > F.col("id")))).select("id").distinct().withColumn("stale", F.lit(True))
-    return u.select("id").join(stale, "id", "left").select("id", F.coalesce("stale", F.lit(False)).alias("stale"))
+    """Stale rows last, then the final order (all scores are equal here)."""
+    stale = search.newer_similar(near(t), t.claims).select("id", F.lit(True).alias("stale"))
+    rows = asked(scoped_vectors(t)).select("id", "created_at", F.lit(1.0).alias("score")).join(stale, "id", "left").withColumn("stale", F.coalesce("stale", F.lit(False)))
+    return numbered(rows, [F.asc("stale"), *paging.final_order(rows.columns)], "rank").select("id", "stale", "rank")
 
 
 @R.add("r17_combined_scores", "SELECT id, round(utility + confidence * 0.5 * (1 - utility), 6) AS score FROM claims", "claims")

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lodestone.functions import text as X
@@ -10,6 +13,7 @@ from lodestone.operators.exchange import referenced
 from lodestone.plans.analytics import GENERIC
 from lodestone.plans.common import ACTIVE, Registry
 from lodestone.plans.retrieval import SCOPES, TEXT, texts
+from lodestone.runtime import materialize
 from lodestone.sources.fixtures import Tables
 
 R = Registry()
@@ -24,29 +28,86 @@ STEPS = f""", steps AS (SELECT source_claim_id AS u, target_claim_id AS v, id AS
 OK = f"(SELECT c.id FROM claims c WHERE c.scope IN ('project', 'principle') AND {ACTIVE})"
 
 
-@R.add("g01_walk", TEXT + ENTITY + STEPS + f""", seeds AS (SELECT id, score FROM txt ORDER BY score DESC, created_at DESC, id LIMIT 6),
-h1 AS (SELECT v AS id, s.id AS seed, s.score AS ss, s.id AS via, edge, kind, 1 AS depth, 1.0 * weight AS p, round(s.score * (1.0 * weight) * 0.75, 6) AS path_score
+WALK = (TEXT + ENTITY + STEPS).rstrip() + f""", seeds AS (SELECT id, score FROM txt ORDER BY score DESC, created_at DESC, id LIMIT 6),
+h1 AS (SELECT v AS id, s.id AS seed, s.score AS ss, s.id AS via, edge, kind, 1 AS depth, 1.0 * weight AS p, round(s.score * (1.0 * weight) * 0.75, 6) AS path_score, concat(s.id, '>', v) AS path, edge AS edges
  FROM seeds s JOIN steps ON u = s.id WHERE v <> s.id AND v IN {OK}),
 f1 AS (SELECT * FROM h1 WHERE kind <> 'conflict' QUALIFY row_number() OVER (PARTITION BY id ORDER BY path_score DESC, seed, via, edge) = 1),
-h2 AS (SELECT v AS id, seed, ss, f.id AS via, s.edge, s.kind, 2 AS depth, p * weight AS p, round(ss * (p * weight) * 0.5625, 6) AS path_score
- FROM f1 f JOIN steps s ON s.u = f.id WHERE v <> seed AND v <> f.id AND v IN {OK})
-SELECT id, seed, kind, depth, path_score FROM (SELECT * FROM h1 UNION ALL SELECT * FROM h2)
-QUALIFY row_number() OVER (PARTITION BY id ORDER BY path_score DESC, depth, seed, via, edge) = 1""", "claims promotion_queue critic claim_links relations claim_entities")
-def g01(t: Tables):
+h2 AS (SELECT v AS id, seed, ss, f.id AS via, s.edge, s.kind, 2 AS depth, p * weight AS p, round(ss * (p * weight) * 0.5625, 6) AS path_score, concat(f.path, '>', v) AS path, concat(f.edge, '>', s.edge) AS edges
+ FROM f1 f JOIN steps s ON s.u = f.id WHERE v <> seed AND v <> f.id AND v IN {OK}),
+ways AS (SELECT * FROM h1 UNION ALL SELECT * FROM h2),
+derived AS (SELECT * FROM ways QUALIFY row_number() OVER (PARTITION BY id ORDER BY path_score DESC, depth, seed, via, edge) = 1)
+"""
+WALK_VIEWS = "claims promotion_queue critic claim_links relations claim_entities"
+
+
+def walked(t: Tables):
     seeds = texts(t).orderBy(F.desc("score"), F.desc("created_at"), "id").limit(6).select("id", "score")
-    ent = graph.entity_steps(t.claim_entities, t.relations).select("u", "v", "edge", F.lit(graph.ENTITY_WEIGHT).alias("weight"), F.lit("support").alias("kind"))
-    steps = graph.walk_steps(t.claim_links).unionByName(ent)
-    return graph.walk(seeds, steps, filters.active(t.claims, t.promotion_queue).where(filters.one_of("scope", SCOPES)))
+    return graph.walk(seeds, t.claim_links, t.claim_entities, t.relations, filters.active(t.claims, t.promotion_queue).where(filters.one_of("scope", SCOPES)))
+
+
+@R.add("g01_walk", WALK + "SELECT id, seed, kind, depth, path_score FROM derived", WALK_VIEWS)
+def g01(t: Tables):
+    return walked(t).derived().select("id", "seed", "kind", "depth", "path_score")
+
+
+@R.add("g01_shadowed", WALK + "SELECT DISTINCT via AS id FROM ways WHERE kind = 'supersession'", WALK_VIEWS)
+def g01s(t: Tables):
+    return walked(t).shadowed()
+
+
+@R.add("g01_conflicts", WALK + "SELECT DISTINCT seed, id, via FROM ways WHERE kind = 'conflict'", WALK_VIEWS)
+def g01c(t: Tables):
+    return walked(t).conflicts()
+
+
+@R.add("g14_walk_paths", WALK + "SELECT id, path, edges FROM derived", WALK_VIEWS)
+def g14w(t: Tables):
+    edges = F.array_join(F.transform("segments", lambda x: x["edge"]), ">").alias("edges")
+    return walked(t).derived().select("id", F.array_join("path", ">").alias("path"), edges)
 
 
-@R.add("g03_blast_radius", ENTITY + f""", steps AS (SELECT source_claim_id AS u, target_claim_id AS v, {W} AS weight FROM claim_links UNION ALL SELECT target_claim_id, source_claim_id, {W} FROM claim_links
- UNION ALL SELECT u, v, 0.45 FROM ent),
+BLAST = ENTITY + f""", steps AS (SELECT source_claim_id AS u, target_claim_id AS v, id AS edge, {W} AS weight, {K} AS kind, 'claim_links' AS source FROM claim_links UNION ALL SELECT target_claim_id, source_claim_id, id, {W}, {K}, 'claim_links' FROM claim_links
+ UNION ALL SELECT u, v, edge, 0.45, 'support', 'entity_graph' FROM ent),
 roots AS (SELECT DISTINCT accepted_claim_id AS id FROM promotion_queue WHERE status = 'rolled_back'),
-h1 AS (SELECT r.id AS root, v AS id, max(1.0 * weight * 0.75) AS score, 1 AS depth FROM roots r JOIN steps ON u = r.id WHERE v <> r.id AND v IN (SELECT id FROM claims) GROUP BY ALL),
-h2 AS (SELECT root, v AS id, max(score * weight * 0.75) AS score, 2 AS depth FROM h1 JOIN steps ON u = h1.id WHERE v <> root AND v IN (SELECT id FROM claims) GROUP BY ALL)
-SELECT root, id, round(score, 6) AS score, depth FROM (SELECT * FROM h1 UNION ALL SELECT * FROM h2) QUALIFY row_number() OVER (PARTITION BY root, id ORDER BY score DESC, depth) = 1""", "claims promotion_queue claim_links relations claim_entities")
+h1 AS (SELECT r.id AS root, v AS id, kind, 1.0 * weight * 0.75 AS score, 1 AS depth, r.id AS via, edge, source FROM roots r JOIN steps ON u = r.id WHERE v <> r.id AND v IN (SELECT id FROM claims)),
+f1 AS (SELECT root, id, max(score) AS score FROM h1 GROUP BY ALL),
+h2 AS (SELECT root, v AS id, kind, score * weight * 0.75 AS score, 2 AS depth, f1.id AS via, edge, source FROM f1 JOIN steps ON u = f1.id WHERE v <> root AND v IN (SELECT id FROM claims)),
+prop AS (SELECT * FROM h1 UNION ALL SELECT * FROM h2),
+best AS (SELECT * FROM prop QUALIFY row_number() OVER (PARTITION BY root, id ORDER BY score DESC, depth, kind, via, edge) = 1)
+"""
+BLAST_VIEWS = "claims promotion_queue claim_links relations claim_entities"
+
+
+def blast(t: Tables):
+    return graph.blast_radius(filters.rolled_back(t.promotion_queue), t.claim_links, t.claim_entities, t.relations, t.claims)
+
+
+@R.add("g03_blast_radius", BLAST + "SELECT root, id, round(score, 6) AS score, depth FROM best", BLAST_VIEWS)
 def g03(t: Tables):
-    return graph.blast_radius(filters.rolled_back(t.promotion_queue), t.claim_links, graph.entity_steps(t.claim_entities, t.relations), t.claims)
+    return blast(t).best().select("root", "id", F.round("score", 6).alias("score"), "depth")
+
+
+@R.add("g03_best_by_kind", BLAST + "SELECT root, id, kind, round(score, 6) AS score, depth FROM prop QUALIFY row_number() OVER (PARTITION BY root, id, kind ORDER BY score DESC, depth, via, edge) = 1", BLAST_VIEWS)
+def g03k(t: Tables):
+    return blast(t).best("kind").select("root", "id", "kind", F.round("score", 6).alias("score"), "depth")
+
+
+@R.add("g03_linked_entities", BLAST + "SELECT DISTINCT root, entity_id FROM best JOIN claim_entities ON claim_id = best.id", BLAST_VIEWS)
+def g03e(t: Tables):
+    return blast(t).best().join(t.claim_entities, F.col("id") == F.col("claim_id")).select("root", "entity_id").distinct()
+
+
+@R.add("g14_blast_paths", BLAST + "SELECT root, id, source, via, edge FROM best", BLAST_VIEWS)
+def g14b(t: Tables):
+    last = F.element_at("segments", -1)
+    return blast(t).best().select("root", "id", last["source"].alias("source"), last["from_claim"].alias("via"), last["edge"].alias("edge"))
+
+
+@R.add("a15_affected_contexts", BLAST + """, it AS (SELECT *, coalesce(CASE WHEN rank < 3 THEN 'top' WHEN rank < 6 THEN 'rest' END, 'unknown') AS layer FROM active_context_items)
+SELECT root, count(DISTINCT active_context_id) AS contexts, count(*) AS items, count(DISTINCT it.claim_id) AS claims, string_agg(DISTINCT layer, ',' ORDER BY layer) AS layers, max(it.score) AS best FROM best JOIN it ON it.claim_id = best.id GROUP BY root""", BLAST_VIEWS + " active_context_items")
+def a15b(t: Tables):
+    layer = F.when(F.col("rank") < 3, "top").when(F.col("rank") < 6, "rest")
+    return graph.affected_contexts(blast(t).best(), t.active_context_items, layer)
 
 
 COMPONENTS = """, e AS (SELECT source_claim_id AS a, target_claim_id AS b FROM claim_links
@@ -79,12 +140,21 @@ def g05e(t: Tables):
 
 
 @R.add("g06_cycles", """, e AS (SELECT DISTINCT source_claim_id AS u, target_claim_id AS v FROM claim_links WHERE link_type = 'contradicts'),
-p AS (SELECT [u, v] AS path FROM e WHERE u < v UNION ALL SELECT list_append(path, v) FROM p JOIN e ON e.u = path[-1] WHERE v > path[1] AND NOT list_contains(path, v) AND len(path) < 5)
+p AS (SELECT [u, v] AS path FROM e WHERE u < v UNION ALL SELECT list_append(path, v) FROM p JOIN e ON e.u = path[-1] WHERE v > path[1] AND NOT list_contains(path, v))
 SELECT array_to_string(path, '>') AS cycle, CAST(len(path) AS INTEGER) AS length FROM p JOIN e ON e.u = path[-1] AND e.v = path[1]""", "claim_links")
 def g06(t: Tables):
     return graph.cycles(t.claim_links)
 
 
+@R.add("g06_cyclic_parts", """, e AS (SELECT DISTINCT source_claim_id AS u, target_claim_id AS v FROM claim_links),
+r AS (SELECT u, v FROM e UNION SELECT r.u, e.v FROM r JOIN e ON e.u = r.v),
+m AS (SELECT a.u AS id, min(a.v) AS part FROM r a JOIN r b ON a.u = b.v AND a.v = b.u GROUP BY 1)
+SELECT id, part, count(*) OVER (PARTITION BY part) AS size FROM m QUALIFY count(*) OVER (PARTITION BY part) > 1""", "claim_links")
+def g06p(t: Tables):
+    """Parts of the whole directed link graph whose claims reach each other."""
+    return graph.strong_components(t.claim_links.select(F.col("source_claim_id").alias("u"), F.col("target_claim_id").alias("v")).distinct())
+
+
 @R.add("g07_chains", """, e AS (SELECT DISTINCT source_claim_id AS u, target_claim_id AS v FROM claim_links WHERE link_type = 'supersedes'),
 p AS (SELECT u AS root, [u] AS path FROM e WHERE u NOT IN (SELECT v FROM e) UNION SELECT root, list_append(path, v) FROM p JOIN e ON e.u = path[-1] WHERE NOT list_contains(path, v))
 SELECT root, CAST(len(path) - 1 AS INTEGER) AS length, array_to_string(path, '>') AS chain FROM p WHERE len(path) > 3 QUALIFY row_number() OVER (PARTITION BY root ORDER BY len(path) DESC, path) = 1""", "claim_links")
@@ -98,11 +168,21 @@ def g08(t: Tables):
     return graph.scope_holes(components(t), t.claims)
 
 
-@R.add("g09_unlinked_coactivation", """, p AS (SELECT a.claim_id AS a, b.claim_id AS b, count(DISTINCT a.active_context_id) AS contexts FROM active_context_items a
- JOIN active_context_items b ON a.active_context_id = b.active_context_id AND a.claim_id < b.claim_id GROUP BY ALL HAVING count(DISTINCT a.active_context_id) >= 3)
-SELECT a, b, contexts FROM p WHERE NOT EXISTS (SELECT 1 FROM claim_links l WHERE (l.source_claim_id = a AND l.target_claim_id = b) OR (l.source_claim_id = b AND l.target_claim_id = a))""", "active_context_items claim_links")
+UNLINKED = """, p AS (SELECT a.claim_id AS a, b.claim_id AS b, count(DISTINCT a.active_context_id) AS contexts FROM active_context_items a
+ JOIN active_context_items b ON a.active_context_id = b.active_context_id AND a.claim_id < b.claim_id GROUP BY ALL HAVING count(DISTINCT a.active_context_id) >= 3),
+un AS (SELECT a, b, contexts FROM p WHERE NOT EXISTS (SELECT 1 FROM claim_links l WHERE (l.source_claim_id = a AND l.target_claim_id = b) OR (l.source_claim_id = b AND l.target_claim_id = a))
+ AND NOT EXISTS (SELECT 1 FROM claim_entities x JOIN claim_entities y ON x.entity_id = y.entity_id WHERE x.claim_id = a AND y.claim_id = b)
+ AND NOT EXISTS (SELECT 1 FROM relations r JOIN claim_entities x ON x.entity_id = r.src_id JOIN claim_entities y ON y.entity_id = r.dst_id WHERE (x.claim_id = a AND y.claim_id = b) OR (x.claim_id = b AND y.claim_id = a)))
+"""
+
+
+def unlinked(t: Tables):
+    return graph.unlinked_coactivation(t.active_context_items, t.claim_links, t.claim_entities, t.relations)
+
+
+@R.add("g09_unlinked_coactivation", UNLINKED + "SELECT a, b, contexts FROM un", "active_context_items claim_links claim_entities relations")
 def g09(t: Tables):
-    return graph.unlinked_coactivation(t.active_context_items, t.claim_links)
+    return unlinked(t).select("a", "b", "contexts")
 
 
 HUBS = f""", d AS (SELECT e.id, e.name, (SELECT count(DISTINCT claim_id) FROM claim_entities x WHERE x.entity_id = e.id) + coalesce(r.n, 0) AS degree
@@ -122,32 +202,93 @@ def g10(t: Tables):
     return hubs(t)
 
 
-AUDIT = (
-    HUBS.rstrip()
-    + """, f AS (SELECT 'orphan_claim' AS kind, id AS subject FROM claims WHERE id NOT IN (SELECT claim_id FROM claim_entities) AND id NOT IN (SELECT source_claim_id FROM claim_links) AND id NOT IN (SELECT target_claim_id FROM claim_links)
+NEIGHBOURS = ENTITY + """, nb AS (SELECT * FROM (SELECT source_claim_id AS id, target_claim_id AS other, 'claim_link' AS reason FROM claim_links UNION ALL SELECT target_claim_id, source_claim_id, 'claim_link' FROM claim_links
+ UNION ALL SELECT x.claim_id, y.claim_id, 'shared_entity' FROM claim_entities x JOIN claim_entities y ON x.entity_id = y.entity_id UNION ALL SELECT u, v, 'relation' FROM ent) WHERE id <> other {WHO})
+"""
+ASKED = "CAST(substr({c}, 5) AS BIGINT) % 50 = 0"
+
+
+def asked_ids(t: Tables):
+    return materialize(t.claims.where(F.substring("id", 5, 20).cast("long") % 50 == 0).select("id"), "ids")
+
+
+@R.add("g13_claim_neighbours", NEIGHBOURS.replace("{WHO}", "AND " + ASKED.format(c="id")) + "SELECT id, other, string_agg(DISTINCT reason, ',' ORDER BY reason) AS reasons FROM nb GROUP BY ALL", "claim_links relations claim_entities")
+def g13(t: Tables):
+    """Neighbours of the claims whose number is divisible by 50, with the reasons."""
+    return graph.neighbours(asked_ids(t), t.claim_links, t.claim_entities, t.relations)
+
+
+GENERIC_CLAIMS = f""", gn AS (SELECT id, trim(regexp_replace(lower(text), '[_-]+', ' ', 'g')) AS f FROM claims), gk AS (SELECT id, f, list_filter(regexp_split_to_array(f, '[ \\t\\n\\x0B\\f\\r]+'), lambda x: x <> '') AS w FROM gn),
+gc AS (SELECT id FROM gk WHERE {GENERIC}), cd AS (SELECT id, count(DISTINCT other) AS degree FROM nb WHERE id IN (SELECT id FROM gc) GROUP BY 1 HAVING count(DISTINCT other) >= 4)
+"""
+FINDINGS = (
+    COMPONENTS.rstrip() + HUBS.rstrip() + NEIGHBOURS.replace("{WHO}", "").rstrip() + GENERIC_CLAIMS.rstrip() + UNLINKED.rstrip()
+    + """, ce1 AS (SELECT DISTINCT source_claim_id AS u, target_claim_id AS v FROM claim_links WHERE link_type = 'contradicts'),
+cp AS (SELECT [u, v] AS path FROM ce1 WHERE u < v UNION ALL SELECT list_append(path, v) FROM cp JOIN ce1 ON ce1.u = path[-1] WHERE v > path[1] AND NOT list_contains(path, v)),
+se1 AS (SELECT DISTINCT source_claim_id AS u, target_claim_id AS v FROM claim_links WHERE link_type = 'supersedes'),
+sp AS (SELECT u AS root, [u] AS path FROM se1 WHERE u NOT IN (SELECT v FROM se1) UNION SELECT root, list_append(path, v) FROM sp JOIN se1 ON se1.u = path[-1] WHERE NOT list_contains(path, v)),
+z AS (SELECT component, bool_or(scope = 'principle') AS pr, bool_or(scope = 'project') AS pj, bool_or(scope = 'session') AS se FROM comp JOIN claims USING (id) GROUP BY 1),
+f AS (SELECT 'orphan_claim' AS kind, id AS subject FROM claims WHERE id NOT IN (SELECT claim_id FROM claim_entities) AND id NOT IN (SELECT source_claim_id FROM claim_links) AND id NOT IN (SELECT target_claim_id FROM claim_links)
  UNION ALL SELECT 'orphan_entity', id FROM entities WHERE id NOT IN (SELECT src_id FROM relations) AND id NOT IN (SELECT dst_id FROM relations) AND id NOT IN (SELECT entity_id FROM claim_entities)
- UNION ALL SELECT 'generic_hub', id FROM hubs)
-SELECT kind, subject, count(*) OVER (PARTITION BY kind) AS total FROM f QUALIFY row_number() OVER (PARTITION BY kind ORDER BY subject) <= 20"""
+ UNION ALL SELECT 'contradiction_cycle', array_to_string(path, '>') FROM cp JOIN ce1 ON ce1.u = path[-1] AND ce1.v = path[1]
+ UNION ALL SELECT 'supersession_chain', chain FROM (SELECT array_to_string(path, '>') AS chain FROM sp WHERE len(path) > 3 QUALIFY row_number() OVER (PARTITION BY root ORDER BY len(path) DESC, path) = 1)
+ UNION ALL SELECT 'scope_hole', component FROM z WHERE (pj AND NOT pr) OR (se AND NOT pj AND NOT pr)
+ UNION ALL SELECT 'repeated_coactivation', concat(a, '::', b) FROM un
+ UNION ALL SELECT 'generic_hub', id FROM hubs UNION ALL SELECT 'generic_hub', id FROM cd)
+"""
 )
+AUDIT_VIEWS = "claims claim_links entities claim_entities relations active_context_items"
+
+
+def generic_claims(t: Tables):
+    """Claims with a generic text and four neighbours or more."""
+    ids = materialize(t.claims.where(X.generic_label(F.col("text"))).select("id"), "ids")
+    return graph.neighbours(ids, t.claim_links, t.claim_entities, t.relations).groupBy("id").agg(F.count(F.lit(1)).alias("degree")).where("degree >= 4")
+
 
+def findings(t: Tables):
+    """(kind, subject) of all seven kinds of finding."""
+    parts = {
+        "orphan_claim": graph.orphan_claims(t.claims, t.claim_links, t.claim_entities).select("id"),
+        "orphan_entity": graph.orphan_entities(t.entities, t.relations, t.claim_entities).select("id"),
+        "contradiction_cycle": graph.cycles(t.claim_links).select("cycle"),
+        "supersession_chain": graph.longest_chains(t.claim_links).select("chain"),
+        "scope_hole": graph.scope_holes(components(t), t.claims).select("component"),
+        "repeated_coactivation": unlinked(t).select(F.concat_ws("::", "a", "b")),
+        "generic_hub": hubs(t).select("id").union(generic_claims(t).select("id")),
+    }
+    return reduce(DataFrame.union, [rows.toDF("subject").select(F.lit(kind).alias("kind"), "subject") for kind, rows in parts.items()])
 
-@R.add("g11_audit", AUDIT, "claims claim_links entities claim_entities relations")
+
+@R.add("g11_audit", FINDINGS + "SELECT kind, subject, count(*) OVER (PARTITION BY kind) AS total FROM f QUALIFY row_number() OVER (PARTITION BY kind ORDER BY subject) <= 20", AUDIT_VIEWS)
 def g11(t: Tables):
-    f = graph.orphan_claims(t.claims, t.claim_links, t.claim_entities).select(F.lit("orphan_claim").alias("kind"), F.col("id").alias("subject"))
-    f = f.union(graph.orphan_entities(t.entities, t.relations, t.claim_entities).select(F.lit("orphan_entity"), "id")).union(hubs(t).select(F.lit("generic_hub"), "id"))
-    return graph.capped(f).select("kind", "subject", "total")
+    return graph.capped(findings(t)).select("kind", "subject", "total")
 
 
-@R.add("g13_claim_neighbours", """, s AS (SELECT source_claim_id AS u, target_claim_id AS v, link_type FROM claim_links UNION ALL SELECT target_claim_id, source_claim_id, link_type FROM claim_links)
-SELECT u AS id, count(DISTINCT v) AS neighbours, string_agg(DISTINCT link_type, ',' ORDER BY link_type) AS reasons FROM s GROUP BY u""", "claim_links")
-def g13(t: Tables):
-    s = graph.symmetric(t.claim_links, "source_claim_id", "target_claim_id", "link_type")
-    return s.groupBy(F.col("u").alias("id")).agg(F.count_distinct("v").alias("neighbours"), F.array_join(F.array_sort(F.collect_set("link_type")), ",").alias("reasons"))
+SCAN_LIMIT = 100_000
+
+
+@R.add("g11_summary", FINDINGS + f""", tally AS (SELECT 'claims' AS kind, count(*) AS n FROM claims UNION ALL SELECT 'entities', count(*) FROM entities UNION ALL SELECT 'relations', count(*) FROM relations
+ UNION ALL SELECT 'claim_links', count(*) FROM claim_links UNION ALL SELECT 'components', count(DISTINCT component) FROM comp UNION ALL SELECT kind, count(*) FROM f GROUP BY kind)
+SELECT kind, n, kind IN ('claims', 'entities', 'relations') AND n > {SCAN_LIMIT} AS over_scan_limit FROM tally""", AUDIT_VIEWS)
+def g11s(t: Tables):
+    """Uncapped counts; the flag tells which tables a scan limit of 100 000 rows would have cut (nothing is cut here)."""
+    counted = {"claims": t.claims, "entities": t.entities, "relations": t.relations, "claim_links": t.claim_links, "components": components(t).select("component").distinct()}
+    rows = [df.agg(F.count(F.lit(1)).alias("n")).select(F.lit(k).alias("kind"), "n") for k, df in counted.items()]
+    n = reduce(DataFrame.unionByName, rows).unionByName(findings(t).groupBy("kind").agg(F.count(F.lit(1)).alias("n")))
+    return n.select("kind", "n", (F.col("kind").isin("claims", "entities", "relations") & (F.col("n") > SCAN_LIMIT)).alias("over_scan_limit"))
+
+
+@R.add("a14_scope_counts", COMPONENTS + "SELECT component, count(*) FILTER (scope = 'principle') AS principle, count(*) FILTER (scope = 'project') AS project, count(*) FILTER (scope = 'session') AS session FROM comp JOIN claims USING (id) GROUP BY 1", GRAPH_VIEWS)
+def a14(t: Tables):
+    counts = {s: F.count_if(F.col("scope") == s).alias(s) for s in ("principle", "project", "session")}
+    return components(t).join(t.claims.select("id", "scope"), "id").groupBy("component").agg(*counts.values())
 
 
-@R.add("j10_entity_steps", ENTITY + " SELECT u, v, count(*) AS ways FROM ent GROUP BY ALL", "relations claim_entities")
+@R.add("j10_entity_steps", ENTITY + f" SELECT u, v, count(*) AS ways FROM ent WHERE {ASKED.format(c='u')} GROUP BY ALL", "relations claim_entities")
 def j10(t: Tables):
-    return graph.entity_steps(t.claim_entities, t.relations).groupBy("u", "v").agg(F.count(F.lit(1)).alias("ways"))
+    """From the claims whose number is divisible by 50."""
+    return graph.entity_steps(asked_ids(t), t.claim_entities, t.relations).groupBy("u", "v").agg(F.count(F.lit(1)).alias("ways"))
 
 
 @R.add("j12_entities_of_claims", "SELECT x.claim_id, e.id AS entity_id, e.type FROM claim_entities x JOIN entities e ON e.id = x.entity_id", "entities claim_entities")

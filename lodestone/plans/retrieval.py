@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from lodestone.functions import scoring as S
@@ -153,8 +152,11 @@ def j03(t: Tables):
     return features(t).select("id", "evidence_count", "lineage", "helpful", "harmful", "outdated", "duplicate")
 
 
+#: Pairs are asked of the claims whose number is divisible by 50, against all.
 PAIRS = f""", u AS (SELECT c.id, c.scope, c.created_at, v.embedding FROM claims c JOIN claim_vectors v ON v.claim_id = c.id WHERE {ACTIVE}),
-pairs AS (SELECT a.id AS a, b.id AS b, a.scope, {cos_sql('a.embedding', 'b.embedding')} AS similarity FROM u a JOIN u b ON a.scope = b.scope AND a.id < b.id)
+near AS (SELECT * FROM (SELECT a.id, b.id AS other, {cos_sql('a.embedding', 'b.embedding')} AS similarity FROM u a JOIN u b ON a.scope = b.scope AND a.id <> b.id WHERE CAST(substr(a.id, 5) AS BIGINT) % 50 = 0) WHERE similarity > 0.3),
+newer AS (SELECT near.id, arg_max(other, row(n.created_at, similarity, other)) AS newer, arg_max(similarity, row(n.created_at, similarity, other)) AS similarity FROM near JOIN u o ON o.id = near.id JOIN u n ON n.id = other
+ WHERE n.created_at > o.created_at OR (n.created_at = o.created_at AND n.id > o.id) GROUP BY near.id)
 """
 
 
@@ -162,31 +164,31 @@ def scoped_vectors(t: Tables):
     return filters.active(t.claims, t.promotion_queue).join(t.claim_vectors, F.col("id") == F.col("claim_id")).select("id", "scope", "created_at", "embedding")
 
 
-@R.add("j06_similar_claims", PAIRS + "SELECT a, b, round(similarity, 6) AS similarity FROM pairs WHERE similarity > 0.3", "claims promotion_queue claim_vectors")
+def asked(vectors):
+    return vectors.where(F.substring("id", 5, 20).cast("long") % 50 == 0)
+
+
+def near(t: Tables):
+    u = scoped_vectors(t)
+    return search.similar_to(asked(u), u, 0.3, "scope")
+
+
+@R.add("j06_similar_claims", PAIRS + "SELECT id, other, round(similarity, 6) AS similarity FROM near", "claims promotion_queue claim_vectors")
 def j06(t: Tables):
-    return search.similar_pairs(scoped_vectors(t), 0.3, "scope").select("a", "b", r6("similarity"))
+    return near(t).select("id", "other", r6("similarity"))
 
 
-@R.add("j07_newer_similar", PAIRS + """, twice AS (SELECT a AS base, b AS newer, similarity FROM pairs UNION ALL SELECT b, a, similarity FROM pairs),
-r AS (SELECT base, newer, similarity, row_number() OVER (PARTITION BY base ORDER BY n.created_at DESC, similarity DESC, newer DESC) AS rn
- FROM twice JOIN u o ON o.id = base JOIN u n ON n.id = newer WHERE similarity > 0.3 AND (n.created_at > o.created_at OR (n.created_at = o.created_at AND n.id > o.id)))
-SELECT base, newer, round(similarity, 6) AS similarity FROM r WHERE rn = 1""", "claims promotion_queue claim_vectors")
+@R.add("j07_newer_similar", PAIRS + "SELECT id, newer, round(similarity, 6) AS similarity FROM newer", "claims promotion_queue claim_vectors")
 def j07(t: Tables):
-    u = scoped_vectors(t)
-    p = search.similar_pairs(u, 0.3, "scope")
-    both = p.select(F.col("a").alias("base"), F.col("b").alias("newer"), "similarity").union(p.select("b", "a", "similarity"))
-    at = u.select("id", "created_at")
-    rows = both.join(at.select(F.col("id").alias("base"), F.col("created_at").alias("t0")), "base").join(at.select(F.col("id").alias("newer"), F.col("created_at").alias("t1")), "newer")
-    later = rows.where((F.col("t1") > F.col("t0")) | ((F.col("t1") == F.col("t0")) & (F.col("newer") > F.col("base"))))
-    best = F.row_number().over(Window.partitionBy("base").orderBy(F.desc("t1"), F.desc("similarity"), F.desc("newer")))
-    return later.withColumn("rn", best).where("rn = 1").select("base", "newer", r6("similarity"))
+    return search.newer_similar(near(t), t.claims).select("id", "newer", r6("similarity"))
 
 
-@R.add("j05_unlinked_pairs", PAIRS + """SELECT p.a, p.b FROM pairs p WHERE similarity > 0.3 AND NOT EXISTS (SELECT 1 FROM claim_links l
- WHERE (l.source_claim_id = p.a AND l.target_claim_id = p.b) OR (l.source_claim_id = p.b AND l.target_claim_id = p.a))""", "claims promotion_queue claim_vectors claim_links")
+@R.add("j05_unlinked_pairs", PAIRS + """SELECT p.id, p.other FROM near p WHERE NOT EXISTS (SELECT 1 FROM claim_links l
+ WHERE (l.source_claim_id = p.id AND l.target_claim_id = p.other) OR (l.source_claim_id = p.other AND l.target_claim_id = p.id))""", "claims promotion_queue claim_vectors claim_links")
 def j05(t: Tables):
-    links = t.claim_links.select(F.least("source_claim_id", "target_claim_id").alias("a"), F.greatest("source_claim_id", "target_claim_id").alias("b"))
-    return search.similar_pairs(scoped_vectors(t), 0.3, "scope").join(links, ["a", "b"], "left_anti").select("a", "b")
+    l = t.claim_links
+    linked = l.select(F.col("source_claim_id").alias("id"), F.col("target_claim_id").alias("other")).union(l.select("target_claim_id", "source_claim_id"))
+    return near(t).join(linked, ["id", "other"], "left_anti").select("id", "other")
 
 
 @R.add("r16_link_suggestions", f""", u AS (SELECT c.id, v.embedding FROM claims c JOIN claim_vectors v ON v.claim_id = c.id WHERE {ACTIVE}),
@@ -287,14 +289,33 @@ for _intent in INTENTS:
     _add_ranked(f"r07_reranked_{_intent}", _intent, True)
 
 
-@R.add("r08_usage_only", TEXT + """ SELECT id, CAST(row_number() OVER (ORDER BY score DESC, created_at DESC, id) AS INTEGER) AS rank,
+@R.add("r08_usage_only", TEXT + """ SELECT id, row_number() OVER (ORDER BY score DESC, created_at DESC, id) AS rank,
  round(score * greatest(1, least(2, 1 + 0.1 * log2(CASE WHEN retrieval_count >= 10 THEN retrieval_count ELSE 0 END + 1))), 6) AS score
  FROM (SELECT t.id, t.score, t.created_at, c.retrieval_count FROM txt t JOIN claims c USING (id)) WHERE score >= 0.15""", "claims promotion_queue critic")
 def r08(t: Tables):
     return search.usage_only(texts(t), now()).select("id", "rank", r6("score"))
 
 
-@R.add("r09_diversified")
+MMR = """, mr AS (SELECT id, score, row_number() OVER (ORDER BY score DESC, id) AS p FROM rk),
+hd AS (SELECT p, mr.id, score, list_distinct(list_filter(regexp_split_to_array(lower(c.text), '[^\\p{L}\\p{N}]+'), lambda x: length(x) >= 2)) AS tok, v.embedding AS e FROM mr JOIN claims c ON c.id = mr.id LEFT JOIN claim_vectors v ON v.claim_id = mr.id WHERE p <= 48),
+sm AS (SELECT a.p AS a, b.p AS b, greatest(CASE WHEN len(a.tok) = 0 OR len(b.tok) = 0 THEN 0 ELSE len(list_intersect(a.tok, b.tok)) / CAST(len(a.tok) + len(b.tok) - len(list_intersect(a.tok, b.tok)) AS DOUBLE) END,
+ coalesce(greatest(0, least(1, ({COS} + 1) / 2)), 0)) AS s FROM hd a JOIN hd b ON a.p <> b.p),
+rl AS (SELECT p, score, (score - min(score) OVER ()) / greatest(max(score) OVER () - min(score) OVER (), 1e-6) AS r FROM hd),
+pk(n, picked) AS (SELECT 0, CAST([] AS BIGINT[]) UNION ALL SELECT n + 1, list_append(picked, (SELECT rl.p FROM rl WHERE NOT list_contains(picked, rl.p)
+ ORDER BY round(0.72 * r - 0.28 * coalesce((SELECT max(s) FROM sm WHERE sm.a = rl.p AND list_contains(picked, sm.b)), 0), 12) DESC, score DESC, rl.p LIMIT 1)) FROM pk WHERE n < (SELECT count(*) FROM hd)),
+od AS (SELECT unnest(picked) AS p, generate_subscripts(picked, 1) AS position FROM (SELECT picked FROM pk ORDER BY n DESC LIMIT 1))
+SELECT mr.id, CAST(coalesce(od.position, mr.p) AS BIGINT) AS position FROM mr LEFT JOIN od ON od.p = mr.p"""
+
+
+def diversified_sql() -> str:
+    """The reranked rows as rk, then a greedy choice in a recursive query."""
+    sql = RANKED.replace("{W}", "1.0").replace("{INTENT}", "1").replace("{FB}", "1")
+    head, tail = sql.rsplit("SELECT u.id, round(", 1)
+    score, rest = tail.split(", 6) AS score FROM", 1)
+    return f"{head.rstrip()}, rk AS (SELECT u.id, {score} AS score FROM{rest})" + MMR.replace("{COS}", cos_sql("a.e", "b.e"))
+
+
+@R.add("r09_diversified", diversified_sql(), "claims promotion_queue evidence feedback critic claim_vectors")
 def r09(t: Tables):
     best = ranked(t).join(t.claims.select("id", "text"), "id").join(t.claim_vectors.withColumnRenamed("claim_id", "id"), "id", "left")
     return search.diversify(best, 12)
