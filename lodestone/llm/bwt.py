@@ -50,10 +50,11 @@ def before(text: np.ndarray) -> np.ndarray:
     return out
 
 
-def merge(left: np.ndarray, right: np.ndarray, rounds: int) -> tuple[np.ndarray, np.ndarray]:
+def merge(left: np.ndarray, right: np.ndarray, rounds: int, last: int = 0) -> tuple[np.ndarray, np.ndarray]:
     """Interleave of two transforms after so many rounds: whether each place is from the right, and its interval.
 
-    Places with one interval number have rounds * SYMBOL symbols' bytes of common prefix.
+    Places with one interval number have rounds * SYMBOL bytes of common prefix. With ``last`` set the first round takes
+    only the ``last`` bytes next before a place, which become the end of the prefix: its length is then (rounds - 1) * SYMBOL + last.
     """
     names, both = np.unique(np.concatenate((left, right)), return_inverse=True)
     kind = np.uint16 if len(names) <= 65536 else np.uint32
@@ -62,11 +63,15 @@ def merge(left: np.ndarray, right: np.ndarray, rounds: int) -> tuple[np.ndarray,
     take = np.concatenate((np.zeros(len(a), bool), np.ones(len(b), bool)))
     group = np.zeros(len(take), np.int32)
     symbols = np.empty(len(take), kind)
-    for _ in range(rounds):
+    # The first bytes of a symbol name come first in its order, so a cut name is a coarser number in the same order.
+    cut = (names >> np.uint32(8 * (SYMBOL - last))).astype(np.uint32) if last else None
+    for r in range(rounds):
         symbols[~take] = a
         symbols[take] = b
         order = np.argsort(symbols, kind="stable")
         take, group, s = take[order], group[order], symbols[order]
+        if r == 0 and cut is not None:
+            s = cut[s]
         parts = (s[1:] != s[:-1]) | (group[1:] != group[:-1])
         group = np.concatenate((np.zeros(1, np.int32), np.cumsum(parts, dtype=np.int32)))
     return take, group
@@ -86,7 +91,7 @@ def repeated_starts(segments: list[bytes], counts: np.ndarray, window: int = WIN
         owners.append((side, sizes))
     orders = [rotations(t, window) for t in texts]
     merged = [before(t)[o] for t, o in zip(texts, orders)]
-    take, group = merge(merged[0], merged[1], window // SYMBOL)
+    take, group = merge(merged[0], merged[1], -(-window // SYMBOL), window % SYMBOL)
     weight = np.empty(len(take), np.int64)
     weight[~take], weight[take] = weights[0][orders[0]], weights[1][orders[1]]
     twice = np.bincount(group, weights=weight)[group] >= 2
@@ -168,7 +173,7 @@ def remove_repeated_bytes(docs: DataFrame, window: int = WINDOW, texts: bool = F
     their own. Null and shorter texts lose nothing; rows with a null doc_id are returned whole and
     are no occurrences. Extra columns are ignored; an empty table gives no rows.
     """
-    found = settled(docs, window, ANCHOR, byte_values, str.encode, lambda raw, a, n: raw[a : a + n], _settle(window), lambda n, low: covered(np.flatnonzero(n > 1), window), across=False)
+    found = settled(docs, window, min(ANCHOR, -(-window // 3)), byte_values, str.encode, lambda raw, a, n: raw[a : a + n], _settle(window), lambda n, low: covered(np.flatnonzero(n > 1), window), across=False)
     length = F.col("c") * F.col("reps") + (window - 1)
     whole_segment = F.array(F.col("a").cast("long"), (F.col("a") + length).cast("long"))
     spans = F.when(F.col("n") > 1, whole_segment).otherwise(F.transform("answer", lambda x: x + F.col("a")))

@@ -217,7 +217,7 @@ def remove_repeated_words(docs: DataFrame, window: int = WINDOW, texts: bool = F
     rows with a null doc_id are returned whole and are no source. Extra columns are ignored; an
     empty table gives no rows.
     """
-    found = settled(docs, window, ANCHOR, word_values, _words, lambda words, a, n: b" ".join(words[a : a + n]), _settle(window), lambda n, low: holder_runs(low), across=True, width=8)
+    found = settled(docs, window, min(ANCHOR, -(-window // 3)), word_values, _words, lambda words, a, n: b" ".join(words[a : a + n]), _settle(window), lambda n, low: holder_runs(low), across=True, width=8)
     a, last = F.col("a").cast("long"), F.lit(window - 1)
     at = F.sequence(F.lit(0), F.greatest(F.floor(F.size("answer") / 3).cast("int") - 1, F.lit(0)))
     runs = F.transform(at, lambda i: F.struct(F.get("answer", i * 3).alias("b"), F.get("answer", i * 3 + 1).alias("e"), F.get("answer", i * 3 + 2).alias("low")))

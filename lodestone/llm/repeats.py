@@ -8,7 +8,6 @@ segments would not fit a block is settled window by window, so no task holds mor
 
 from __future__ import annotations
 
-import hashlib
 from collections.abc import Callable
 
 import numpy as np
@@ -16,13 +15,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from lodestone.llm.anchors import segments
-from lodestone.runtime import materialize, small
+from lodestone.llm.anchors import range_hashes, segments
+from lodestone.llm.textbytes import mix64
+from lodestone.runtime import materialize, small, spread_join
 
 #: Bytes of segments that one index holds; a task works through its shard in blocks of whole anchors.
 BLOCK = 1 << 18
-#: Windows found in more segments than this meet their counts in a broadcast join.
-POPULAR = 1000
 
 #: A batch of texts as values to look for repeats in: (values, first value of each document).
 Values = Callable[[pa.Array], tuple[np.ndarray, np.ndarray]]
@@ -38,8 +36,9 @@ Answer = Callable[[np.ndarray, np.ndarray], list[int]]
 def copies(docs: DataFrame) -> DataFrame:
     """(doc_id, crc, first, n) of texts that more than one row has: the smallest doc_id and the number of rows."""
     h = docs.where("doc_id is not null").select("doc_id", crc(), F.xxhash64("text").alias("h"), F.octet_length("text").alias("l"))
-    groups = h.groupBy("h", "crc", "l").agg(F.min("doc_id").alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1")
-    return h.join(groups, ["h", "crc", "l"]).select("doc_id", "crc", "first", "n").distinct()
+    groups = h.groupBy("h", "crc", "l").agg(F.min("doc_id").alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1").withColumn("rows", F.col("n"))
+    found = spread_join(h.where("l is not null"), materialize(groups.where("l is not null"), "equal"), ["h", "crc", "l"], "rows", "doc_id")
+    return found.select("doc_id", "crc", "first", "n").distinct()
 
 
 def crc() -> F.Column:
@@ -108,15 +107,19 @@ def _blocks(settle: Settle):
     return run
 
 
-def _windows(window: int, piece: Slice, prepare: Callable[[str], object]):
+def _windows(window: int, values: Values):
     def run(batches):
         for batch in batches:
-            for text, wanted in zip(batch.column(0), batch.column(1)):
-                source = prepare(text.as_py())
+            v, first = values(batch.column(0))
+            parts = []
+            for begin, wanted in zip(first, batch.column(1)):
                 for w in wanted.as_py():
-                    keys = [hashlib.blake2b(piece(source, w["a"] + i, window), digest_size=16).digest() for i in range(w["c"])]
-                    same = [pa.array([w[x]] * len(keys), pa.int64()) for x in ("m", "h", "n", "low")]
-                    yield pa.RecordBatch.from_arrays([*same, pa.array(range(len(keys)), pa.int32()), pa.array(keys, pa.binary())], names=["m", "h", "n", "low", "i", "key"])
+                    seg = v[begin + w["a"] : begin + w["a"] + w["c"] + window - 1]
+                    at = np.arange(w["c"])
+                    keys = [range_hashes(x, at, at + window).view(np.int64) for x in (seg, mix64(seg))]
+                    parts.append([*(np.full(w["c"], w[x], np.int64) for x in ("m", "h", "n", "low")), at.astype(np.int32), *keys])
+            if parts:
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*parts)], names=["m", "h", "n", "low", "i", "k", "k2"])
 
     return run
 
@@ -125,29 +128,30 @@ def _answers(answer: Answer):
     def run(batches):
         for batch in batches:
             out = []
-            for found in batch.column(2).to_pylist():
-                n, low = np.zeros((2, 1 + max(w["i"] for w in found)), np.int64)
-                low[:] = np.iinfo(np.int64).max
-                for w in found:
-                    n[w["i"]] = max(n[w["i"]], w["n"])
-                    low[w["i"]] = min(low[w["i"]], w["low"])
+            for c, own_n, own_low, found in zip(*(batch.column(k).to_pylist() for k in range(2, 6))):
+                n, low = np.full(c, own_n, np.int64), np.full(c, own_low, np.int64)
+                for w in found or ():
+                    n[w["i"]], low[w["i"]] = w["n"], w["low"]
                 out.append(answer(n, low))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(out, pa.list_(pa.int64()))], names=["m", "h", "answer"])
 
     return run
 
 
-def by_window(texts: DataFrame, window: int, prepare: Callable[[str], object], piece: Slice, answer: Answer) -> DataFrame:
-    """(m, h, answer) of the wanted segments of ``texts``, each window counted by its 128-bit hash over all of them."""
-    rows = materialize(texts.mapInArrow(_windows(window, piece, prepare), "m long, h long, n long, low long, i int, key binary"), "windows")
-    met = rows.groupBy("key").agg(F.count(F.lit(1)).alias("rows"), F.sum("n").alias("all"), F.min("low").alias("least")).where("rows > 1")
-    met = materialize(met, "met")
-    often, seldom = met.where(F.col("rows") > POPULAR).drop("rows"), met.where(F.col("rows") <= POPULAR).drop("rows")
-    often = small(often)
-    met_at = ["m", "h", "i", F.col("all").alias("n"), F.col("least").alias("low")]
-    # A window that others have is there twice, once with its own counts, which the common ones outdo.
-    found = rows.select("m", "h", "i", "n", "low").unionByName(rows.join(often, "key").select(*met_at)).unionByName(rows.join(seldom, "key").select(*met_at))
-    return found.groupBy("m", "h").agg(F.collect_list(F.struct("i", "n", "low")).alias("found")).mapInArrow(_answers(answer), "m long, h long, answer array<long>")
+def by_window(segments: DataFrame, texts: DataFrame, window: int, values: Values, answer: Answer) -> DataFrame:
+    """(m, h, answer) of ``segments`` (m, h, c, n, low), each window counted by a 128-bit hash over all of them.
+
+    ``texts`` has each text with its wanted segments. One 64-bit hash a window is shuffled, as partial counts; only windows
+    whose hash comes again are followed further, the others stand for themselves.
+    """
+    rows = texts.mapInArrow(_windows(window, values), "m long, h long, n long, low long, i int, k long, k2 long")
+    again = materialize(rows.groupBy("k").agg(F.count(F.lit(1)).alias("rows")).where("rows > 1").withColumn("hits", F.col("rows")), "again")
+    # The hashes that come again are far fewer than the windows; with very many of them the join shuffles.
+    hits = materialize(rows.join(small(again.select("k")), "k", "left_semi"), "hits")
+    met = hits.groupBy("k", "k2").agg(F.sum("n").alias("all"), F.min("low").alias("least"), F.count(F.lit(1)).alias("rows")).where("rows > 1")
+    found = spread_join(hits.select("m", "h", "i", "k", "k2"), materialize(met, "met"), ["k", "k2"], "rows", "h")
+    lists = found.groupBy("m", "h").agg(F.collect_list(F.struct("i", F.col("all").alias("n"), F.col("least").alias("low"))).alias("found"))
+    return segments.select("m", "h", "c", "n", "low").join(lists, ["m", "h"], "left").mapInArrow(_answers(answer), "m long, h long, answer array<long>")
 
 
 def settled(docs: DataFrame, window: int, k: int, values: Values, prepare: Callable[[str], object], piece: Slice, settle: Settle, answer: Answer, across: bool, width: int = 1) -> DataFrame:
@@ -186,7 +190,8 @@ def settled(docs: DataFrame, window: int, k: int, values: Values, prepare: Calla
     cut = texts_of(fit).mapInArrow(_cut(window, piece, prepare), "m long, h long, n long, low long, seg binary")
     answers = cut.repartition("m").sortWithinPartitions("m", "h").mapInArrow(_blocks(settle), "m long, h long, answer array<long>")
     if n_over:
-        answers = answers.unionByName(by_window(texts_of(heads.join(small(over), "m", "left_semi")), window, prepare, piece, answer))
+        wide = materialize(heads.join(small(over), "m", "left_semi"), "wide")
+        answers = answers.unionByName(by_window(wide, texts_of(wide), window, values, answer))
     light = ["doc_id", "crc", "a", "c", "reps", "low", "n"]
     plain = kept.where("not mixed").select(*light, F.lit(None).cast("array<long>").alias("answer"))
     return plain.unionByName(kept.where("mixed").select("m", "h", *light).join(materialize(answers, "answers"), ["m", "h"]).select(*light, "answer"))

@@ -57,3 +57,35 @@ def test_bytes(notices, monkeypatch):
             counts[k] = counts.get(k, 0) + 1
     for d, t in data:
         assert got[d] == len({j for i in range(len(t) - 199) if counts[hash(t[i : i + 200])] > 1 for j in range(i, i + 200)})
+
+
+def test_one_anchor_with_ten_thousand_contexts(spark):
+    """A passage longer than a window in 10 000 documents, all with other words around it."""
+    rng = random.Random(8)
+    vocab = ["".join(rng.choices("abcdefgh", k=4)) for _ in range(3000)]
+    notice = rng.sample(vocab, 55)
+    data = [(d, " ".join(rng.sample(vocab, 30) + notice + rng.sample(vocab, 30))) for d in range(10_000)]
+    docs = spark.createDataFrame(data, "doc_id long, text string").repartition(8)
+    # A word or two beside the passage may be the same by chance.
+    assert {r.n_removed for r in fm.remove_repeated_words(docs).where("doc_id > 0").collect()} <= set(range(55, 60))
+    got = bwt.remove_repeated_bytes(docs).collect()
+    core = len(" ".join(notice))
+    assert all(core <= r.n_removed <= core + 24 and r.n_spans == 1 for r in got)
+
+
+@pytest.mark.parametrize("window", [9, 50, 89, 90, 91, 92, 137])
+def test_windows_of_any_length(spark, window):
+    rng = random.Random(window)
+    base = "".join(rng.choices("abcdefgh ", k=700))
+    data = []
+    for d in range(40):
+        a, n = rng.randrange(500), rng.choice([window - 1, window, window + 5])
+        data.append((d, "".join(rng.choices("stuvwxyz", k=60)) + base[a : a + n] + "".join(rng.choices("stuvwxyz", k=60))))
+    docs = spark.createDataFrame(data, "doc_id long, text string")
+    counts = {}
+    for _, t in data:
+        for i in range(len(t) - window + 1):
+            counts[t[i : i + window]] = counts.get(t[i : i + window], 0) + 1
+    got = {r.doc_id: r.n_removed for r in bwt.remove_repeated_bytes(docs, window).collect()}
+    for d, t in data:
+        assert got[d] == len({j for i in range(len(t) - window + 1) if counts[t[i : i + window]] > 1 for j in range(i, i + window)})
