@@ -1,47 +1,113 @@
-"""Deterministic text embeddings: a bag of words hashed into signed buckets."""
+"""Deterministic text embeddings, and embedding with a cache."""
 
 from __future__ import annotations
 
+import functools
+import re
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lodestone.functions.text import token_set
+from lodestone.functions.boundary import confidential, redacted_for_embedding
 
 DIMENSIONS = 64
+WAVE_DIMENSIONS = 384
+VECTOR = T.ArrayType(T.DoubleType())
+# Fixed values of the 32-bit FNV-1a hash.
+FNV_START, FNV_STEP = 0x811C9DC5, 0x01000193
+
+
+def fnv1a(text: str) -> int:
+    h = FNV_START
+    for c in text.encode():
+        h = (h ^ c) * FNV_STEP & 0xFFFFFFFF
+    return h
+
+
+@functools.lru_cache(1 << 16)
+def _bucket(token: str) -> tuple[int, int]:
+    return fnv1a(token) % DIMENSIONS, 1 - 2 * (fnv1a(token + ":sign") & 1)
 
 
-@F.pandas_udf(T.ArrayType(T.DoubleType()))
-def _signed_buckets(codes: pd.Series) -> pd.Series:
+def _tokens(text: str) -> list[str]:
+    apart = re.sub(r"([a-z0-9])([A-Z])", r"\1 \2", text)
+    return re.findall(r"[a-z0-9]+", re.sub(r"[_./:-]+", " ", apart).lower())
+
+
+@F.pandas_udf(VECTOR)
+def _signed_buckets(texts: pd.Series) -> pd.Series:
     out = []
-    for c in codes:
-        a = np.asarray(c, np.int64)
-        v = np.bincount(a % DIMENSIONS, weights=np.where((a // DIMENSIONS) % 2 == 0, 1.0, -1.0), minlength=DIMENSIONS)
+    for text in texts:
+        found = [_bucket(t) for t in _tokens(text or "")]
+        v = np.bincount([b for b, _ in found], weights=[s for _, s in found], minlength=DIMENSIONS) if found else np.zeros(DIMENSIONS)
         length = np.sqrt((v * v).sum())
-        out.append(np.round(v / length, 6) if length else v)
+        if length:
+            v = np.round(v / length, 6)
+        else:
+            v[0] = 1.0
+        out.append(v)
     return pd.Series(out)
 
 
 def bag_embedding(text: Column) -> Column:
-    """Each distinct token adds +1 or -1 to one bucket; the vector has unit length, rounded to six places.
+    """Each token (a run of a-z and 0-9; camel case and separators part words) adds +1 or -1 to one of 64 buckets.
 
-    crc32 of the token picks bucket and sign; null and token-less texts have the zero vector.
+    FNV-1a picks bucket and sign. The vector has unit length, rounded to six places. Null, token-less
+    and cancelling texts have the first unit vector.
     """
-    tokens = F.coalesce(token_set(text), F.array().cast("array<string>"))
-    return _signed_buckets(F.transform(tokens, lambda t: F.crc32(t.cast("binary"))))
+    return _signed_buckets(text)
+
 
+@F.pandas_udf(VECTOR)
+def _waves(texts: pd.Series) -> pd.Series:
+    out = []
+    for text in texts:
+        units = np.frombuffer((text or "").encode("utf-16-le", "surrogatepass"), "<u2").astype(np.uint64)
+        powers = np.multiply.accumulate(np.full(len(units), 31, np.uint64)) if len(units) else units
+        total = int((units * np.concatenate((np.ones(min(1, len(units)), np.uint64), powers[:-1]))[::-1]).sum()) & 0xFFFFFFFF if len(units) else 0
+        h = total - (total >> 31 << 32)
+        out.append(np.sin(h * np.arange(1, WAVE_DIMENSIONS + 1) * 0.001) * 0.5)
+    return pd.Series(out)
 
-def with_cache(texts: DataFrame, cache: DataFrame, version: str) -> DataFrame:
-    """(id, embedding, cached): vectors from the cache (hash, version, embedding), computed where it has none."""
-    hashed = texts.withColumn("hash", F.sha2(F.col("text").cast("binary"), 256))
-    have = cache.where(F.col("version") == version).select("hash", F.col("embedding").alias("old"))
-    rows = hashed.join(have, "hash", "left")
-    return rows.select("id", F.coalesce("old", bag_embedding(F.col("text"))).alias("embedding"), F.col("old").isNotNull().alias("cached"))
+
+def wave_embedding(text: Column) -> Column:
+    """384 values sin(h * i / 1000) / 2 of the text's 32-bit polynomial hash (base 31, UTF-16 units); null counts as empty."""
+    return _waves(text)
+
+
+def with_cache(texts: DataFrame, cache: DataFrame, version: str, embed=bag_embedding) -> DataFrame:
+    """(id, hash, embedding, cached, redacted) of texts (id, text, boundary_class): cached vectors, and new ones only where the cache has none.
+
+    Confidential texts are redacted before they are hashed and embedded. The cache is (hash, version, embedding).
+    """
+    said = F.when(confidential(F.col("boundary_class")), redacted_for_embedding(F.col("text"))).otherwise(F.col("text"))
+    prepared = texts.select("id", said.alias("said"), (~said.eqNullSafe(F.col("text"))).alias("redacted"))
+    hashed = prepared.withColumn("hash", F.sha2(F.coalesce("said", F.lit("")).cast("binary"), 256))
+    have = cache.where(F.col("version") == version).select("hash", "embedding").dropDuplicates(["hash"])
+    hits = hashed.join(have, "hash").select("id", "hash", "embedding", F.lit(True).alias("cached"), "redacted")
+    missed = hashed.join(have, "hash", "left_anti")
+    # Equal texts are embedded once.
+    fresh = missed.select("hash", "said").dropDuplicates(["hash"]).select("hash", embed(F.col("said")).alias("embedding"))
+    return hits.unionByName(missed.join(fresh, "hash").select("id", "hash", "embedding", F.lit(False).alias("cached"), "redacted"))
+
+
+def hydrated(claims: DataFrame, vectors: DataFrame, embed=bag_embedding) -> DataFrame:
+    """(id, embedding, embedded) of claims (id, text): stored vectors (claim_id, embedding), computed ones where none is stored."""
+    stored = vectors.select(F.col("claim_id").alias("id"), "embedding")
+    have = claims.select("id").join(stored, "id").withColumn("embedded", F.lit(False))
+    missing = claims.join(stored, "id", "left_anti").select("id", embed(F.col("text")).alias("embedding"), F.lit(True).alias("embedded"))
+    return have.unionByName(missing)
 
 
 def live_cache(cache: DataFrame, now: Column, most: int = 10_000, hours: int = 24) -> DataFrame:
     """Cache rows younger than a day, and of those the newest ``most``."""
     young = cache.where(F.col("created_at") >= now - F.expr(f"INTERVAL '{hours}' HOUR"))
     return young.orderBy(F.desc("created_at"), "hash").limit(most)
+
+
+def cache_stats(cache: DataFrame) -> DataFrame:
+    """(version, entries, oldest, newest) of a cache, and one row with a null version for all of it."""
+    return cache.rollup("version").agg(F.count(F.lit(1)).alias("entries"), F.min("created_at").alias("oldest"), F.max("created_at").alias("newest"))

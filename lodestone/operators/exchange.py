@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lodestone.functions.documents import stable_json
 from lodestone.operators.filters import active
 
 # Fixed order of boundary classes, from open to closed.
@@ -58,12 +59,13 @@ def export_relations(relations: DataFrame, entities: DataFrame) -> DataFrame:
 
 
 def import_claims(incoming: DataFrame, local: DataFrame, queue: DataFrame) -> DataFrame:
-    """(hash, action, boundary_class) of incoming claims (hash, scope, boundary_class) against local ones (id, hash, boundary_class, tombstone).
+    """(hash, action, boundary_class, memory_type, id) of incoming claims (hash, scope, boundary_class, memory_type) against local ones.
 
-    new, skipped_duplicate, skipped_scope, upgraded_boundary or skipped_tombstone; a class only ever gets stricter.
+    new, skipped_duplicate, skipped_scope, upgraded_boundary or skipped_tombstone; a class only ever gets stricter, a memory
+    type is filled in only where there is none. A new claim gets an id of its hash.
     """
     alive = active(local, queue).select("id", F.lit(True).alias("alive"))
-    have = local.select("id", "hash", F.col("boundary_class").alias("old")).join(alive, "id", "left").drop("id")
+    have = local.select("id", "hash", F.col("boundary_class").alias("old"), F.col("memory_type").alias("old_type")).join(alive, "id", "left")
     rows = incoming.join(have, "hash", "left")
     merged = stricter(F.col("old"), F.col("boundary_class"))
     action = (
@@ -73,18 +75,80 @@ def import_claims(incoming: DataFrame, local: DataFrame, queue: DataFrame) -> Da
         .when(merged != F.col("old"), "upgraded_boundary")
         .otherwise("skipped_duplicate")
     )
-    return rows.select("hash", action.alias("action"), F.when(action == "upgraded_boundary", merged).otherwise(F.coalesce("old", "boundary_class")).alias("boundary_class"))
+    taken = action.isin("upgraded_boundary", "skipped_duplicate")
+    memory = F.when(taken, F.coalesce("old_type", "memory_type")).when(action == "new", F.col("memory_type")).otherwise(F.col("old_type"))
+    fresh = F.when(action == "new", F.concat(F.lit("clm_"), F.substring("hash", 1, 12))).otherwise(F.col("id"))
+    return rows.select("hash", action.alias("action"), F.when(action == "upgraded_boundary", merged).otherwise(F.coalesce("old", "boundary_class")).alias("boundary_class"), memory.alias("memory_type"), fresh.alias("id"))
+
+
+def inserted_claims(incoming: DataFrame, actions: DataFrame) -> DataFrame:
+    """Rows to insert for the new claims: given fields, with the defaults of a fresh claim; one row for each hash."""
+    new = actions.where("action = 'new'").select("hash", "id").distinct()
+    rows = incoming.join(new, "hash").groupBy("id", "hash").agg(*[F.min(c).alias(c) for c in ("text", "kind", "scope", "boundary_class", "memory_type")])
+    return rows.select("*", F.lit(0.0).alias("utility"), F.lit(0.5).alias("confidence"), F.lit("active").alias("status"), F.lit(0).alias("retrieval_count"))
+
+
+def exported_claims(claims: DataFrame) -> DataFrame:
+    """(hash, document): claims as exchange documents: no id, scores or times; nulls are left out."""
+    fields = ("text", "kind", "scope", "boundary_class", "memory_type", "content_hash")
+    return claims.select("content_hash", F.to_json(F.struct(*fields)).alias("document"))
+
+
+def exported_entities(entities: DataFrame) -> DataFrame:
+    """(id, document) of entities; nulls are left out, attrs are nested as JSON."""
+    attrs = F.try_parse_json("attrs").alias("attrs")
+    return entities.select("id", F.to_json(F.struct("id", "type", "name", "canonical_key", attrs)).alias("document"))
+
+
+def exported_relations(relations: DataFrame) -> DataFrame:
+    props = F.try_parse_json("props").alias("props")
+    return relations.select("id", F.to_json(F.struct("id", "src_id", "dst_id", "type", props)).alias("document"))
+
+
+def imported_documents(documents: DataFrame, schema: str) -> DataFrame:
+    """Columns of exchange documents (id, document); a nested object stays JSON text, an unreadable one gives nulls."""
+    return documents.select(F.from_json("document", schema).alias("d")).select("d.*")
+
+
+def _content_diff(incoming: DataFrame, local: DataFrame, plain: list[str], nested: str) -> DataFrame:
+    """Incoming rows with their action: new, skipped_duplicate, or diff if any field differs (key order aside)."""
+
+    def content(df: DataFrame) -> Column:
+        return F.struct(*[F.col(c) for c in plain], F.coalesce(stable_json(F.col(nested)), F.lit("{}")).alias(nested))
+
+    old = local.select("id", content(local).alias("old"))
+    rows = incoming.select("*", content(incoming).alias("new")).join(old, "id", "left")
+    return rows.withColumn("diff", F.when(F.col("old").isNull(), "new").when(F.col("new").eqNullSafe(F.col("old")), "skipped_duplicate").otherwise("diff")).drop("new", "old")
 
 
 def import_entities(incoming: DataFrame, local: DataFrame) -> DataFrame:
-    """(id, action): existing entities win; a differing one is reported as a conflict and left alone."""
-    old = local.select("id", F.struct("type", "name").alias("old"))
-    rows = incoming.join(old, "id", "left")
-    action = F.when(F.col("old").isNull(), "new").when(F.struct("type", "name") != F.col("old"), "entity_content_diff").otherwise("skipped_duplicate")
+    """(id, action) of incoming entities (id, type, name, canonical_key, attrs): existing ones win, a differing one is reported and left alone."""
+    rows = _content_diff(incoming, local, ["type", "name", "canonical_key"], "attrs")
+    return rows.select("id", F.when(F.col("diff") == "diff", "entity_content_diff").otherwise(F.col("diff")).alias("action"))
+
+
+def import_relations(incoming: DataFrame, local: DataFrame, entities: DataFrame) -> DataFrame:
+    """(id, action) of incoming relations (id, src_id, dst_id, type, props) after the entities came in: both ends must exist."""
+    missing = referenced(incoming, entities).select("id", (F.col("src_missing") | F.col("dst_missing")).alias("missing"))
+    rows = _content_diff(incoming, local, ["src_id", "dst_id", "type"], "props").join(missing, "id")
+    action = F.when(F.col("missing"), "missing_reference").when(F.col("diff") == "diff", "relation_content_diff").otherwise(F.col("diff"))
     return rows.select("id", action.alias("action"))
 
 
+# How each kind of conflict is settled.
+RESOLUTION = {"boundary_upgrade": "auto_resolved", "entity_content_diff": "skipped", "relation_content_diff": "skipped", "missing_reference": "skipped"}
+
+
+def conflicts(claims: DataFrame, entities: DataFrame, relations: DataFrame) -> DataFrame:
+    """(type, id, resolution): what an import of claims, entities and relations (id or hash, action) ran into."""
+    found = claims.where("action = 'upgraded_boundary'").select(F.lit("boundary_upgrade").alias("type"), F.col("hash").alias("id"))
+    for rows in (entities, relations):
+        found = found.unionByName(rows.where(F.col("action").isin(*RESOLUTION)).select(F.col("action").alias("type"), "id"))
+    resolution = F.create_map(*[F.lit(x) for pair in RESOLUTION.items() for x in pair])
+    return found.withColumn("resolution", F.try_element_at(resolution, F.col("type")))
+
+
 def grow(local: DataFrame, incoming: DataFrame, key: str = "id") -> DataFrame:
-    """Grow-only union: existing rows win unchanged, new keys are added once."""
-    fresh = incoming.join(local.select(key), key, "left_anti").dropDuplicates([key])
-    return local.unionByName(fresh.select(*local.columns))
+    """Grow-only union: existing rows win unchanged, new keys are added once (the smallest of several)."""
+    fresh = incoming.join(local.select(key), key, "left_anti").groupBy(key).agg(F.min(F.struct(*local.columns)).alias("r"))
+    return local.unionByName(fresh.select("r.*"))

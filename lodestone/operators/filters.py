@@ -47,15 +47,6 @@ def live(now: Column) -> Column:
     return F.col("content").isNotNull() & (F.col("expires_at").isNull() | (F.col("expires_at") > now))
 
 
-def tag_matches(pattern: Column, tag: Column) -> Column:
-    """``*`` on either side, a trailing ``*`` as a prefix on either side, or equality."""
-
-    def prefix(p: Column, t: Column) -> Column:
-        return p.endswith("*") & t.startswith(F.rtrim(p, F.lit("*")))
-
-    return (pattern == "*") | (tag == "*") | (pattern == tag) | prefix(pattern, tag) | prefix(tag, pattern)
-
-
 def durable(df: DataFrame) -> DataFrame:
     """Rows that stand for lasting claims: not transient, not observations, with a claim id and text."""
     return df.where((F.col("scope") != "session") & (F.col("kind") != "observation") & F.col("id").startswith("clm_") & (F.length(F.trim("text")) > 0))

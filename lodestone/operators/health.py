@@ -28,13 +28,14 @@ def last_helpful_ages(claims: DataFrame, feedback: DataFrame, now: Column) -> Da
     )
 
 
-def never_activated(claims: DataFrame, items: DataFrame, now: Column) -> DataFrame:
-    """By age bucket: claims, and the share that no context has ever held."""
+def never_activated(claims: DataFrame, items: DataFrame, now: Column, digits: int | None = 6) -> DataFrame:
+    """By age bucket: claims, and the share that no context has ever held, rounded unless ``digits`` is none."""
     used = items.select(F.col("claim_id").alias("id")).distinct().withColumn("used", F.lit(True))
     age = days_between(now, F.col("created_at"))
     bucket = F.when(age < 30, "0-30").when(age < 90, "30-90").otherwise("90+")
     rows = claims.select("id", bucket.alias("bucket")).join(used, "id", "left")
-    return rows.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"), F.round(F.avg(F.when(F.col("used").isNull(), 1.0).otherwise(0.0)), 6).alias("ratio"))
+    share = F.avg(F.when(F.col("used").isNull(), 1.0).otherwise(0.0))
+    return rows.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"), (F.round(share, digits) if digits is not None else share).alias("ratio"))
 
 
 def utility_spread(claims: DataFrame) -> DataFrame:

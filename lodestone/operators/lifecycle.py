@@ -3,12 +3,16 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass
+from functools import reduce
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lodestone.functions import text as X
+from lodestone.operators.exchange import strictest, stricter
 from lodestone.operators.filters import active
 
 # Fixed effects of feedback on utility, confidence and critic.
@@ -16,6 +20,7 @@ UTILITY = {"helpful": 0.1, "harmful": -0.2, "outdated": 0.0, "duplicate": -0.05,
 CONFIDENCE = {"helpful": 0.05, "harmful": -0.1, "outdated": -0.2, "duplicate": 0.0, "completed": 0.0}
 CRITIC = {"helpful": 1.0, "harmful": -1.0, "outdated": -0.5, "duplicate": -0.5, "completed": 0.0}
 CHUNK = 4096
+LINK_TYPES = ("supports", "extends", "related", "contradicts", "supersedes")
 
 
 def effect(signal: Column, values: dict[str, float]) -> Column:
@@ -118,37 +123,165 @@ def scrub_expired(observations: DataFrame, now: Column) -> DataFrame:
     return observations.withColumn("scrubbed", F.coalesce(gone, F.lit(False))).withColumn("content", F.when(~F.col("scrubbed"), F.col("content")))
 
 
-def observe(rows: DataFrame) -> DataFrame:
-    """Observations (id, content) classified and redacted; a secret keeps only its digest. Works on a stream too."""
+def observe(rows: DataFrame, now: Column | None = None, mode: str = "redact") -> DataFrame:
+    """Observations (id, content, and if there boundary_class, ttl_days) classified and stored by ``mode``; works on a stream too.
+
+    The class is the stricter of the requested one (internal by default) and what the text shows. A secret keeps
+    only a fixed digest, never its text; personal data is redacted unless the mode is raw; digest_only keeps no
+    text at all. ``now`` adds expires_at, ``ttl_days`` (30 by default, 90 at most) later.
+    """
+    if mode not in ("raw", "redact", "digest_only"):
+        raise ValueError(f"unknown mode: {mode}")
     c = F.col("content")
     secret = F.size(X.kinds_found(c, X.SECRET)) > 0
     personal = F.size(X.kinds_found(c, X.PERSONAL)) > 0
-    cls = F.when(secret, "secret").when(personal, "pii").otherwise("internal")
-    return rows.select(
-        "id", cls.alias("boundary_class"), F.when(secret, F.lit(None)).when(personal, X.redact(c)).otherwise(c).alias("content"),
-        F.when(secret, F.concat(F.lit("sha256:"), F.sha2(F.lit("secret").cast("binary"), 256))).otherwise(X.digest(c)).alias("digest"), F.length(c).cast("long").alias("length"),
-    )
+    asked = F.coalesce("boundary_class", F.lit("internal")) if "boundary_class" in rows.columns else F.lit("internal")
+    cls = stricter(F.when(secret, "secret").when(personal, "pii").otherwise(asked), asked)
+    hidden = cls == "secret"
+    kept = F.lit(None).cast("string") if mode == "digest_only" else F.when(personal, X.redact(c)).otherwise(c) if mode == "redact" else c
+    out = [
+        "id", cls.alias("boundary_class"), F.when(hidden, F.lit(None)).otherwise(kept).alias("content"),
+        F.when(hidden, F.concat(F.lit("sha256:"), F.sha2(F.lit("secret").cast("binary"), 256))).otherwise(X.digest(c)).alias("digest"), F.length(c).cast("long").alias("length"),
+    ]
+    if now is not None:
+        days = F.col("ttl_days") if "ttl_days" in rows.columns else F.lit(None)
+        out.append((now + F.make_dt_interval(F.least(F.coalesce(days.cast("int"), F.lit(30)), F.lit(90)))).alias("expires_at"))
+    return rows.select(*out)
+
 
+SEPARATOR = "\n\n---\n\n"
 
-def distill(sources: DataFrame, most: int = 64) -> DataFrame:
-    """One candidate for each group (candidate, position, text, kind): texts joined in order, the common kind or fact.
 
-    A candidate has at most ``most`` sources by rule; one with more is rejected and gives no row.
+def distill(sources: DataFrame, evidence: DataFrame | None = None, most: int = 64, most_bytes: int = 65_536) -> DataFrame:
+    """One candidate for each group of sources (candidate, position, id, text, kind, memory_type, boundary_class).
+
+    Texts are joined in order; the kind is the common one or fact, the memory type the common one (never evidence)
+    or the kind's default, the class the strictest, and with ``evidence`` (claim_id, id) its ids are united.
+    A candidate with more than ``most`` sources or ``most_bytes`` of text is rejected by rule and gives no row.
     """
+    ordered = F.sort_array(F.collect_list(F.when(F.col("position") <= most, F.struct("position", "text", "id"))))
     agg = sources.groupBy("candidate").agg(
-        F.count(F.lit(1)).alias("n"), F.array_join(F.transform(F.sort_array(F.collect_list(F.when(F.col("position") <= most, F.struct("position", "text")))), lambda s: s["text"]), "\n\n---\n\n").alias("text"),
+        F.count(F.lit(1)).alias("n"), F.sum(F.octet_length("text")).alias("size"), ordered.alias("s"),
         F.when(F.min("kind") == F.max("kind"), F.min("kind")).otherwise("fact").alias("kind"),
+        F.when(F.min("memory_type") == F.max("memory_type"), F.min("memory_type")).alias("common"), strictest("boundary_class").alias("boundary_class"),
+    )
+    size = F.col("size") + len(SEPARATOR) * (F.col("n") - 1)
+    kept = agg.where((F.col("n") <= most) & (size <= most_bytes))
+    memory = F.coalesce(F.when(F.col("common") != "evidence", F.col("common")), X.memory_type_of_kind(F.col("kind")))
+    out = kept.select("candidate", "n", F.array_join(F.transform("s", lambda x: x["text"]), SEPARATOR).alias("text"), "kind", memory.alias("memory_type"), "boundary_class")
+    out = out.withColumn("scope", X.durable_scope(F.col("kind"), F.col("memory_type")))
+    if evidence is None:
+        return out
+    found = sources.select("candidate", F.col("id").alias("claim_id")).distinct().join(evidence.select("claim_id", "id"), "claim_id")
+    ids = found.groupBy("candidate").agg(F.array_join(F.array_sort(F.collect_set("id")), ",").alias("evidence_ids"))
+    return out.join(ids, "candidate", "left").withColumn("evidence_ids", F.coalesce("evidence_ids", F.lit("")))
+
+
+@dataclass
+class Promotion:
+    """Outcome of promoting candidates: one verdict each, the claims that come in, their evidence, and the queue's new state."""
+
+    verdicts: DataFrame
+    evidence: DataFrame
+
+
+def promote(candidates: DataFrame, claims: DataFrame, queue: DataFrame, sources: DataFrame) -> Promotion:
+    """Promote pending candidates (id, status, hash, text, kind, memory_type, boundary_class) into claims (id, hash, text, kind, memory_type).
+
+    Of candidates with one hash the first by id decides. Verdicts: not_pending, secret, conflict (a claim or an earlier
+    candidate has the hash but another text, kind or memory type), existing, revived or new. Accepted
+    ones name the claim they became. Evidence rows come from ``sources`` (candidate, source_type, source_id) of new claims only.
+    """
+    first = F.row_number().over(Window.partitionBy("hash").orderBy("id"))
+    open_ones = candidates.where("status = 'pending' and boundary_class <> 'secret'").withColumn("place", first)
+    lead = open_ones.where("place = 1").select("hash", F.col("id").alias("lead"), *[F.col(c).alias(f"l_{c}") for c in ("text", "kind", "memory_type")])
+    alive = active(claims, queue).select("id", F.lit(True).alias("alive"))
+    old = claims.select(F.col("id").alias("old_id"), "hash", *[F.col(c).alias(f"o_{c}") for c in ("text", "kind", "memory_type")]).join(alive.withColumnRenamed("id", "old_id"), "old_id", "left")
+
+    def differs(side: str) -> Column:
+        return reduce(lambda a, b: a | b, [~F.col(c).eqNullSafe(F.col(f"{side}_{c}")) for c in ("text", "kind", "memory_type")])
+
+    rows = candidates.join(lead, "hash", "left").join(old, "hash", "left")
+    verdict = (
+        F.when(F.col("status") != "pending", "not_pending").when(F.col("boundary_class") == "secret", "secret")
+        .when(F.col("old_id").isNotNull() & differs("o"), "conflict").when(F.col("old_id").isNotNull(), F.when(F.col("alive"), "existing").otherwise("revived"))
+        .when(F.col("id") == F.col("lead"), "new").when(differs("l"), "conflict").otherwise("existing")
+    )
+    accepted = F.when(verdict.isin("existing", "revived", "new"), F.coalesce("old_id", F.concat(F.lit("clm_of_"), "lead")))
+    verdicts = rows.select("id", verdict.alias("verdict"), accepted.alias("accepted_claim_id"))
+    fresh = verdicts.where("verdict = 'new'").select(F.col("id").alias("candidate"), F.col("accepted_claim_id").alias("claim_id"))
+    evidence = sources.join(fresh, "candidate").select("claim_id", "source_type", "source_id", F.concat(F.lit("promotion candidate "), "candidate").alias("snippet")).distinct()
+    return Promotion(verdicts, evidence)
+
+
+def confirm_links(requests: DataFrame, claims: DataFrame, existing: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Check requested links (id, source_claim_id, target_claim_id, link_type, confidence) and upsert those that hold.
+
+    Returns (id, reason) for every request, a null reason if it holds, and the links after the upsert.
+    """
+    known = claims.select(F.col("id").alias("k")).distinct()
+    rows = requests.join(known.select(F.col("k").alias("source_claim_id"), F.lit(True).alias("s")), "source_claim_id", "left").join(known.select(F.col("k").alias("target_claim_id"), F.lit(True).alias("d")), "target_claim_id", "left")
+    c = F.col("confidence")
+    reason = (
+        F.when(~F.coalesce(F.col("link_type").isin(*LINK_TYPES), F.lit(False)), "link_type").when(F.col("source_claim_id") == F.col("target_claim_id"), "same_claim")
+        .when(c.isNotNull() & (F.isnan(c) | ~c.between(0, 1)), "confidence").when(F.col("s").isNull() | F.col("d").isNull(), "missing_claim")
     )
-    return agg.where(F.col("n") <= most)
+    checked = rows.withColumn("reason", reason)
+    good = checked.where("reason is null").select("id", "source_claim_id", "target_claim_id", "link_type", F.coalesce("confidence", F.lit(1.0)).alias("confidence"))
+    return checked.select("id", "reason"), upsert_links(existing, good)
+
+
+def attach_graph(claims: DataFrame, entities: DataFrame, relations: DataFrame, links: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Entities (claim_id, id, type, name) and relations that come with claims (id, is_new): what is inserted, what is linked.
+
+    Only new claims attach anything. Rows without an id or type are errors. Returns (claim_id, entities, entity_errors,
+    relations, relation_errors) and the new (claim_id, entity_id) links.
+    """
+    fresh = claims.where("is_new").select(F.col("id").alias("claim_id"))
+
+    def counted(rows: DataFrame, name: str) -> DataFrame:
+        bad = F.col("id").isNull() | F.col("type").isNull()
+        return rows.join(fresh, "claim_id", "left_semi").groupBy("claim_id").agg(F.count_if(~bad).alias(name + "s" if name == "relation" else "entities"), F.count_if(bad).alias(f"{name}_errors"))
+
+    out = fresh.join(counted(entities, "entity"), "claim_id", "left").join(counted(relations, "relation"), "claim_id", "left")
+    good = entities.where("id is not null and type is not null").join(fresh, "claim_id", "left_semi").select("claim_id", F.col("id").alias("entity_id")).distinct()
+    return out.na.fill(0), good.join(links, ["claim_id", "entity_id"], "left_anti")
 
 
 def migrate_types(claims: DataFrame, now: Column, stale_days: int = 30) -> DataFrame:
-    """Backfilled memory types, and what becomes of session claims: stale ones end, others become candidates."""
+    """Backfilled memory types, and what becomes of session claims: stale ones end, others become candidates.
+
+    A preference without a type is ambiguous and becomes knowledge only if the caller says so; here it stays open.
+    Session claims that have already ended stay as they are.
+    """
     from lodestone.functions.scoring import days_between
 
     session = F.col("scope") == "session"
-    fate = F.when(session & (days_between(now, F.col("created_at")) > stale_days), "tombstone").when(session, "candidate").otherwise("keep")
-    return claims.select("id", F.coalesce("memory_type", X.memory_type_of_kind(F.col("kind"))).alias("memory_type"), fate.alias("fate"))
+    gone = F.coalesce(F.col("tombstone"), F.lit(False)) if "tombstone" in claims.columns else F.lit(False)
+    fate = F.when(session & gone, "ended").when(session & (days_between(now, F.col("created_at")) > stale_days), "tombstone").when(session, "candidate").otherwise("keep")
+    memory = F.coalesce("memory_type", X.memory_type_of_kind(F.col("kind")))
+    return claims.select("id", memory.alias("memory_type"), fate.alias("fate"), (F.col("memory_type").isNull() & memory.isNotNull()).alias("backfilled"), F.col("memory_type").isNull().alias("unset"), F.col("kind").alias("source_kind"), "boundary_class")
+
+
+def migration_report(migrated: DataFrame) -> DataFrame:
+    """(item, n): counts of a migration."""
+    counts = {
+        "memory_type_backfilled": F.count_if("backfilled"), "memory_type_already_set": F.count_if(~F.col("unset")), "ambiguous_preferences": F.count_if(F.col("unset") & (F.col("source_kind") == "preference")),
+        "session_claims_scanned": F.count_if(F.col("fate") != "keep"), "session_claims_already_tombstoned": F.count_if(F.col("fate") == "ended"),
+        "session_claims_tombstoned": F.count_if(F.col("fate").isin("tombstone", "candidate")), "session_queue_candidates_created": F.count_if(F.col("fate") == "candidate"),
+    }
+    one = migrated.agg(*[c.alias(k) for k, c in counts.items()])
+    return one.select(F.explode(F.map_from_arrays(F.array(*[F.lit(k) for k in counts]), F.array(*counts))).alias("item", "n"))
+
+
+def migration_candidates(migrated: DataFrame) -> DataFrame:
+    """Queue rows for the session claims that become candidates."""
+    rows = migrated.where("fate = 'candidate'")
+    return rows.select(
+        F.concat(F.lit("pq_session_"), "id").alias("id"), F.lit("micro").alias("source_layer"), F.lit("meso").alias("target_layer"), F.to_json(F.array("id")).alias("source_ids"),
+        F.col("source_kind").alias("proposed_kind"), F.lit("project").alias("proposed_scope"), F.col("boundary_class").alias("proposed_boundary_class"),
+        F.lit("working_state").alias("proposed_memory_type"), F.lit("pending").alias("status"),
+    )
 
 
 def limit_rate(calls: DataFrame, cap: int, seconds: float) -> DataFrame:
@@ -160,16 +293,43 @@ def limit_rate(calls: DataFrame, cap: int, seconds: float) -> DataFrame:
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         bucket, start, used = None, 0.0, 0
         for rows in batches:
-            out = []
-            for b, at in zip(rows.bucket, rows["at"]):
-                if b != bucket:
-                    bucket, start, used = b, at, 0
-                elif at - start >= seconds:
-                    start, used = at, 0
-                ok = used < cap
-                used += ok
-                out.append(ok)
-            yield pd.DataFrame({"bucket": rows.bucket, "seq": rows.seq, "allowed": out})
+            buckets, times, allowed = rows.bucket.to_numpy(), rows["at"].to_numpy(), np.zeros(len(rows), bool)
+            edges = np.concatenate(([0], np.flatnonzero(buckets[1:] != buckets[:-1]) + 1, [len(rows)]))
+            for low, high in zip(edges[:-1], edges[1:]):
+                i = low
+                if low < high and buckets[low] != bucket:
+                    bucket, start, used = buckets[low], times[low], 0
+                while i < high:
+                    # To the end of the window, then on from the first call beyond it.
+                    j = i + int(np.searchsorted(times[i:high], start + seconds))
+                    taken = min(max(0, cap - used), j - i)
+                    allowed[i : i + taken] = True
+                    used += taken
+                    i = j
+                    if i < high:
+                        start, used = times[i], 0
+            yield pd.DataFrame({"bucket": buckets, "seq": rows.seq, "allowed": allowed})
 
     dealt = calls.select("bucket", "seq", "at").repartition("bucket").sortWithinPartitions("bucket", "at", "seq")
     return dealt.mapInPandas(run, "bucket long, seq long, allowed boolean")
+
+
+DEFAULT_BUCKETS = ("tool", "activate", "observe")
+
+
+def reset_rates(rates: DataFrame, now: Column, buckets: tuple[str, ...] = DEFAULT_BUCKETS) -> DataFrame:
+    """Rate state (name, value, last_reset) with the given buckets at zero as of now; the others stay."""
+    spark = rates.sparkSession
+    fresh = spark.createDataFrame([(b,) for b in buckets], "name string").select("name", F.lit(0).cast("long").alias("value"), now.alias("last_reset"))
+    return overwrite(rates, fresh, "name", ["value", "last_reset"])
+
+
+def deleted_versions(cache: DataFrame, version: str) -> tuple[DataFrame, DataFrame]:
+    """A cache without one version, and (deleted) how many rows went."""
+    old = F.col("version") == version
+    return cache.where(~old), cache.agg(F.count_if(old).alias("deleted"))
+
+
+def appended(existing: DataFrame, incoming: DataFrame, now: Column, stamp: str = "recorded_at") -> DataFrame:
+    """Plain insert: incoming rows after the existing ones, stamped now where they have no time of their own."""
+    return existing.unionByName(incoming.withColumn(stamp, F.coalesce(stamp, now)).select(*existing.columns))

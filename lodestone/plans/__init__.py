@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-FAMILIES = ("retrieval", "analytics", "graphs", "lifecycle", "exchange", "evaluation", "extras", "catalogue")
+FAMILIES = ("retrieval", "analytics", "graphs", "lifecycle", "exchange", "evaluation", "extras", "catalogue", "records")
 
 
 def load() -> tuple[dict, dict]:

@@ -63,11 +63,6 @@ def a10(t: Tables):
     return health.stale_candidates(t.claims, t.active_context_items, now()).select("id")
 
 
-@R.add("a11_unrewarded", "SELECT id, retrieval_count FROM claims WHERE retrieval_count > 5 AND id NOT IN (SELECT claim_id FROM feedback) ORDER BY retrieval_count DESC, id LIMIT 10", "claims feedback")
-def a11(t: Tables):
-    return health.unrewarded(t.claims, t.feedback).select("id", "retrieval_count")
-
-
 @R.add("a12_coactivation", """SELECT a.claim_id AS a, b.claim_id AS b, count(DISTINCT a.active_context_id) AS contexts, string_agg(DISTINCT a.active_context_id, ',' ORDER BY a.active_context_id) AS context_ids FROM active_context_items a
 JOIN active_context_items b ON a.active_context_id = b.active_context_id AND a.claim_id < b.claim_id GROUP BY ALL HAVING count(DISTINCT a.active_context_id) >= 3""", "active_context_items")
 def a12(t: Tables):
@@ -169,11 +164,6 @@ def x21(t: Tables):
     return t.claims.select("id", X.redact(F.col("text")).alias("text"))
 
 
-@R.add("x21_sensitive_kinds")
-def x21k(t: Tables):
-    return t.claims.select("id", F.array_join(X.kinds_found(F.col("text"), X.PERSONAL), ",").alias("personal"), F.array_join(X.kinds_found(F.col("text"), X.SECRET), ",").alias("secret"))
-
-
 @R.add("x25_scrubbed_paths", r"SELECT url, regexp_replace(url, '/\S+', '[PATH]', 'g') AS scrubbed FROM pages")
 def x25(t: Tables):
     return t.pages.select("url", X.scrub_paths(F.col("url")).alias("scrubbed"))

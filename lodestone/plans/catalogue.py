@@ -17,21 +17,6 @@ from lodestone.sources.fixtures import Tables
 R = Registry()
 
 
-@R.add("f08_allow_tags", "SELECT id, boundary_class IN ('public', 'internal') AS allowed FROM claims", "claims")
-def f08(t: Tables):
-    patterns = ["pub*", "internal"]
-    ok = F.lit(False)
-    for p in patterns:
-        ok = ok | filters.tag_matches(F.lit(p), F.col("boundary_class"))
-    return t.claims.select("id", ok.alias("allowed"))
-
-
-@R.add("f14_observe_validation", "SELECT id, concat_ws(',', CASE WHEN octet_length(encode(content)) > 1024 THEN 'size' END, CASE WHEN source_type NOT IN ('chat', 'tool') THEN 'source_type' END) AS reasons FROM observations", "observations")
-def f14(t: Tables):
-    rules = {"size": F.octet_length("content") <= 1024, "source_type": F.col("source_type").isin("chat", "tool")}
-    return checks.rejected(t.observations, rules).select("id", F.array_join("reasons", ",").alias("reasons"))
-
-
 @R.add("f17_syncable", "SELECT id, scope <> 'session' AND boundary_class <> 'secret' AS syncable FROM claims", "claims")
 def f17(t: Tables):
     return t.claims.select("id", ((F.col("scope") != "session") & (F.col("boundary_class") != "secret")).alias("syncable"))
@@ -113,19 +98,6 @@ def x14(t: Tables):
     return t.claims.select("id", r6(S.usage_term(F.col("retrieval_count"), F.col("created_at"), now()), "usage"))
 
 
-@R.add("x22_bag_embeddings")
-def x22(t: Tables):
-    return t.claims.select("id", embeddings.bag_embedding(F.col("text")).alias("embedding"))
-
-
-@R.add("s21_cached_embeddings", ", h AS (SELECT id, sha256(text) AS hash, doc FROM (SELECT id, text, CAST(substr(id, 5) AS BIGINT) % 3 AS doc FROM claims)), c AS (SELECT DISTINCT hash FROM h WHERE doc = 0) SELECT id, hash IN (SELECT hash FROM c) AS cached FROM h", "claims")
-def s21(t: Tables):
-    third = t.claims.where(F.substring("id", 5, 20).cast("long") % 3 == 0)
-    cache = third.select(F.sha2(F.col("text").cast("binary"), 256).alias("hash"), F.lit("v1").alias("version"), "text").dropDuplicates(["hash"])
-    cache = cache.select("hash", "version", embeddings.bag_embedding(F.col("text")).alias("embedding"))
-    return embeddings.with_cache(t.claims.select("id", "text"), cache, "v1").select("id", "cached")
-
-
 @R.add("w06_live_cache", "SELECT id FROM claims WHERE created_at >= {NOW} - INTERVAL '720' HOUR ORDER BY created_at DESC, id LIMIT 10000", "claims")
 def w06(t: Tables):
     cache = t.claims.withColumn("hash", F.col("id"))
@@ -163,12 +135,6 @@ def x36(t: Tables):
     return t.observations.where("content <> ''").select("id", F.lit("observation").alias("kind"), F.lit("session").alias("scope"), F.col("content").alias("text"))
 
 
-@R.add("x40_normalised_confidence", "SELECT id, greatest(0, least(1, CASE WHEN confidence * 2 = 0 THEN 1 ELSE confidence * 2 END)) AS confidence FROM claim_links", "claim_links")
-def x40(t: Tables):
-    c = F.col("confidence") * 2
-    return t.claim_links.select("id", S.clamp(F.when(c == 0, F.lit(1.0)).otherwise(c), 0.0, 1.0).alias("confidence"))
-
-
 @R.add("x35_canonical_cycles", ", e AS (SELECT a.source_claim_id AS x, a.target_claim_id AS y, b.target_claim_id AS z FROM claim_links a JOIN claim_links b ON b.source_claim_id = a.target_claim_id) SELECT x, y, z, least(concat(x, '>', y, '>', z), concat(y, '>', z, '>', x), concat(z, '>', x, '>', y)) AS least FROM e", "claim_links")
 def x35(t: Tables):
     a = t.claim_links.select(F.col("source_claim_id").alias("x"), F.col("target_claim_id").alias("y"))

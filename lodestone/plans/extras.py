@@ -15,38 +15,6 @@ from lodestone.streaming import jobs
 R = Registry()
 
 
-@R.add("f15_claim_validation", """SELECT id, concat_ws(',', CASE WHEN NOT (length(trim(text)) > 0 AND length(text) <= 5000) THEN 'text' END, CASE WHEN scope NOT IN ('project', 'principle') THEN 'scope' END,
- CASE WHEN boundary_class NOT IN ('public', 'internal', 'pii') THEN 'boundary_class' END) AS reasons FROM claims""", "claims")
-def f15(t: Tables):
-    return checks.rejected(t.claims, checks.claim_rules()).select("id", F.array_join("reasons", ",").alias("reasons"))
-
-
-@R.add("f11_hash_match", "SELECT id, true AS matches FROM claims", "claims")
-def f11(t: Tables):
-    h = F.concat(F.lit("sha256:"), F.sha2(F.col("text").cast("binary"), 256))
-    return t.claims.select("id", h.rlike(checks.HASH).alias("matches"))
-
-
-@R.add("f12_instants", "SELECT event_id, event_id % 2 = 0 AS valid FROM events")
-def f12(t: Tables):
-    at = F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss")
-    return t.events.select("event_id", checks.valid_instant(F.when(F.col("event_id") % 2 == 0, F.concat(at, F.lit("Z"))).otherwise(at)).alias("valid"))
-
-
-@R.add("f13_path_traversal", "SELECT page_id, page_id % 2 = 1 AS climbs FROM pages")
-def f13(t: Tables):
-    path = F.when(F.col("page_id") % 2 == 1, F.lit("/%2e%2e/etc")).otherwise(F.lit("/a/b..c"))
-    return t.pages.select("page_id", checks.climbs(path).alias("climbs"))
-
-
-@R.add("s18_reconciled", "SELECT id, scope, coalesce(memory_type, 'knowledge') AS memory_type, CAST(NULL AS VARCHAR) AS note FROM claims", "claims")
-def s18(t: Tables):
-    from pyspark.sql import types as T
-
-    schema = T.StructType([T.StructField(n, T.StringType()) for n in ("id", "scope", "memory_type", "note")])
-    return records.reconcile(t.claims, schema, {"memory_type": "knowledge"})
-
-
 @R.add("s09_s10_file_round_trip", "SELECT kind, scope, count(*) AS n FROM claims GROUP BY ALL", "claims")
 def s09(t: Tables):
     import uuid

@@ -72,17 +72,6 @@ def w03(t: Tables):
     return L.upsert_claims(h.select("id", "hash", "text"), old, t.promotion_queue)
 
 
-@R.add("w01_insert_ignore", "SELECT id, type, name FROM entities", "entities")
-def w01(t: Tables):
-    have = t.entities.where("type <> 'Artifact'")
-    return L.insert_ignore(have, t.entities, ["id"]).select("id", "type", "name")
-
-
-@R.add("w02_link_insert_ignore", "SELECT claim_id, entity_id FROM claim_entities", "claim_entities")
-def w02(t: Tables):
-    return L.insert_ignore(t.claim_entities.where("claim_id < 'clm_5'"), t.claim_entities.unionByName(t.claim_entities), ["claim_id", "entity_id"])
-
-
 @R.add("w04_vector_upsert", "SELECT coalesce(v.claim_id, k.claim_id) AS claim_id, CASE WHEN k.claim_id IS NOT NULL THEN k.score ELSE CAST(len(v.embedding) AS DOUBLE) END AS value FROM claim_vectors v FULL JOIN critic k ON k.claim_id = v.claim_id", "claim_vectors critic")
 def w04(t: Tables):
     old = t.claim_vectors.select("claim_id", F.size("embedding").cast("double").alias("value"))

@@ -83,11 +83,6 @@ def f18(t: Tables):
     return t.observations.where(filters.live(now())).agg(F.count(F.lit(1)).alias("n"))
 
 
-@R.add("s02_newest_entities", "SELECT id, type, name FROM entities ORDER BY id DESC LIMIT 10000", "entities")
-def s02(t: Tables):
-    return t.entities.orderBy(F.desc("id")).limit(10000).select("id", "type", "name")
-
-
 @R.add("s03_filtered_scan", f"""SELECT c.id, c.scope, EXISTS (SELECT 1 FROM promotion_queue p WHERE p.accepted_claim_id = c.id AND p.status = 'rolled_back') AS rolled_back
 FROM claims c WHERE {IN_SCOPE} AND c.created_at >= {{NOW}} - INTERVAL '60' DAY""", CORE)
 def s03(t: Tables):
@@ -101,13 +96,6 @@ def s05(t: Tables):
     return t.entities.where(F.lower("name") == "1-urgent").orderBy(F.desc("id")).limit(1).select("id", "type")
 
 
-@R.add("s06_ordered_multi_get", f"""SELECT r.pos AS pos, c.id, c.kind FROM (SELECT claim_id, CAST(min(rank) AS BIGINT) AS pos FROM active_context_items GROUP BY claim_id) r
-JOIN claims c ON c.id = r.claim_id WHERE {ACTIVE}""", "claims promotion_queue active_context_items")
-def s06(t: Tables):
-    wanted = t.active_context_items.groupBy(F.col("claim_id").alias("id")).agg(F.min("rank").cast("long").alias("pos"))
-    return filters.active(t.claims, t.promotion_queue).join(wanted, "id").select("pos", "id", "kind")
-
-
 @R.add("s07_evidence_by_claim", "SELECT claim_id, count(*) AS n, string_agg(id, ',' ORDER BY id) AS ids FROM evidence GROUP BY claim_id", "evidence")
 def s07(t: Tables):
     return t.evidence.groupBy("claim_id").agg(F.count(F.lit(1)).alias("n"), F.array_join(F.sort_array(F.collect_list("id")), ",").alias("ids"))
