@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from lodestone.operators.ordering import average_ranks
+from lodestone.operators.ordering import average_ranks, nearest_rank
 
 
 def ranked_hits(ranked: DataFrame, judged: DataFrame) -> DataFrame:
@@ -14,7 +14,7 @@ def ranked_hits(ranked: DataFrame, judged: DataFrame) -> DataFrame:
 
 
 def at_k(ranked: DataFrame, judged: DataFrame, k: int) -> DataFrame:
-    """Per query: precision, recall, reciprocal rank, average precision, DCG and normalised DCG at ``k``.
+    """Per query: precision, recall, F1, reciprocal rank, average precision, DCG, normalised DCG, whether anything was hit, and the first useful place, at ``k``.
 
     Gain is 2^grade - 1 over log2(place + 1); every query with a judgement appears, with zeros if nothing was found.
     """
@@ -36,6 +36,7 @@ def at_k(ranked: DataFrame, judged: DataFrame, k: int) -> DataFrame:
     values = {
         "precision": F.coalesce(F.col("hits") / k, zero), "recall": F.coalesce(F.col("hits") / F.col("relevant"), zero), "mrr": F.coalesce(1 / F.col("first"), zero),
         "map": F.coalesce(F.col("ap") / F.least("relevant", F.lit(k)), zero), "dcg": F.coalesce("dcg", zero), "ndcg": F.coalesce(F.col("dcg") / F.col("ideal"), zero),
+        "f1": F.coalesce(2 * F.col("hits") / (F.lit(k) + F.col("relevant")), zero), "hit": F.when(F.col("hits") > 0, 1.0).otherwise(0.0), "first_useful": F.col("first").cast("double"),
     }
     return rows.select("query", *[F.round(c, 6).alias(n) for n, c in values.items()])
 
@@ -45,3 +46,70 @@ def spearman(df: DataFrame, group: str, a: str, b: str) -> DataFrame:
     rows = df.select("id", group, a, b)
     ranks = average_ranks(average_ranks(rows, group, a, "ra"), group, b, "rb")
     return ranks.groupBy(group).agg(F.round(F.coalesce(F.nanvl(F.corr("ra", "rb"), F.lit(0.0)), F.lit(0.0)), 6).alias("rho"))
+
+
+GRAPH_SOURCES = ("graph", "claim_link", "topology")
+
+
+def noise_at_k(results: DataFrame, relevant: DataFrame, k: int) -> DataFrame:
+    """(query, variant, precision, recall, noise, graph, graph_share) of results (query, variant, id, rn, source) at ``k``."""
+    known = relevant.select("query", "id").distinct()
+    total = known.groupBy("query").agg(F.count(F.lit(1)).alias("total"))
+    top = results.where(F.col("rn") <= k).join(known.withColumn("good", F.lit(True)), ["query", "id"], "left")
+    per = top.groupBy("query", "variant").agg(F.count("good").alias("hits"), F.count_if(F.col("good").isNull()).alias("noise"), F.count_if(F.col("source").isin(*GRAPH_SOURCES)).alias("graph"))
+    rows = per.join(total, "query", "left")
+    recall = F.coalesce(F.col("hits") / F.nullif(F.col("total"), F.lit(0)), F.lit(0.0))
+    return rows.select("query", "variant", F.round(F.col("hits") / k, 6).alias("precision"), F.round(recall, 6).alias("recall"), "noise", "graph", F.round(F.col("graph") / k, 3).alias("graph_share"))
+
+
+def noise_deltas(measured: DataFrame, baseline: str, other: str) -> DataFrame:
+    """Per query: what ``other`` changed against ``baseline`` (precision and recall to three places)."""
+    a, b = (measured.where(F.col("variant") == v).select("query", *[F.col(c).alias(f"{side}_{c}") for c in ("precision", "recall", "noise", "graph")]) for side, v in (("a", baseline), ("b", other)))
+    return a.join(b, "query").select("query", *[F.round(F.col(f"b_{c}") - F.col(f"a_{c}"), 3).alias(c) for c in ("precision", "recall")], *[(F.col(f"b_{c}") - F.col(f"a_{c}")).alias(c) for c in ("noise", "graph")])
+
+
+def sweep_summary(deltas: DataFrame) -> DataFrame:
+    """One row over all cases: how many got worse, and the largest drop of precision."""
+    return deltas.agg(
+        F.count(F.lit(1)).alias("cases"), F.count_if(F.col("precision") < 0).alias("precision_drops"), F.count_if(F.col("recall") < 0).alias("recall_drops"),
+        F.count_if(F.col("noise") > 0).alias("noisier"), F.round(F.greatest(F.lit(0.0), -F.min("precision")), 3).alias("largest_drop"),
+    )
+
+
+def similarity_spread(pairs: DataFrame, above: float = 0.7) -> DataFrame:
+    """Per id: mean, percentiles by nearest rank and how many are above, of its similarities (id, other, similarity)."""
+    shares = {"p50": 0.5, "p75": 0.75, "p90": 0.9, "p100": 1.0}
+    ranks = nearest_rank(pairs, "id", "similarity", shares, "other")
+    return pairs.groupBy("id").agg(F.round(F.avg("similarity"), 6).alias("mean"), F.count_if(F.col("similarity") > above).alias("above")).join(ranks, "id")
+
+
+def match_overlap(queries: DataFrame, docs: DataFrame) -> DataFrame:
+    """(query, golden, other, ratio): how many golden and other documents (text, golden) hold any word of each query (query, words).
+
+    Queries are few and bounded by the caller; each document is read once.
+    """
+    hit = F.exists("words", lambda w: F.contains(F.lower("text"), F.lower(w)))
+    rows = docs.join(F.broadcast(queries)).where(hit).groupBy("query").agg(F.count_if("golden").alias("golden"), F.count_if(~F.col("golden")).alias("other"))
+    rows = queries.select("query").join(rows, "query", "left").na.fill(0)
+    return rows.select("query", "golden", "other", F.round(F.col("other") / F.nullif(F.col("golden") + F.col("other"), F.lit(0)), 2).alias("ratio"))
+
+
+def grid(spark, **axes: list) -> DataFrame:
+    """Every combination of a few parameter values, as rows."""
+    out = None
+    for name, values in axes.items():
+        one = spark.createDataFrame([(v,) for v in values], [name])
+        out = one if out is None else out.crossJoin(one)
+    return out
+
+
+def synthetic_claims(spark, golden: DataFrame, n: int, templates: list[tuple[str, str, str]], fillers: list[str]) -> DataFrame:
+    """Golden rows (id, text, kind, scope), then made ones up to ``n`` in all: by index, a template (text, kind, scope) and a filler for its {tech}."""
+    have = golden.count()
+    pick = F.array(*[F.struct(*[F.lit(x).alias(c) for x, c in zip(row, ("text", "kind", "scope"))]) for row in templates])
+    names = F.array(*[F.lit(x) for x in fillers])
+    i = F.col("i")
+    row = F.get(pick, (i % len(templates)).cast("int"))
+    text = F.replace(row["text"], F.lit("{tech}"), F.get(names, (i % len(fillers)).cast("int")))
+    made = spark.range(max(0, n - have)).select(F.col("id").alias("i")).select(F.concat(F.lit("synth-"), F.lpad(i.cast("string"), 5, "0")).alias("id"), text.alias("text"), row["kind"].alias("kind"), row["scope"].alias("scope"))
+    return golden.select("id", "text", "kind", "scope").orderBy("id").limit(n).unionByName(made)

@@ -88,10 +88,9 @@ def inserted_claims(incoming: DataFrame, actions: DataFrame) -> DataFrame:
     return rows.select("*", F.lit(0.0).alias("utility"), F.lit(0.5).alias("confidence"), F.lit("active").alias("status"), F.lit(0).alias("retrieval_count"))
 
 
-def exported_claims(claims: DataFrame) -> DataFrame:
-    """(hash, document): claims as exchange documents: no id, scores or times; nulls are left out."""
-    fields = ("text", "kind", "scope", "boundary_class", "memory_type", "content_hash")
-    return claims.select("content_hash", F.to_json(F.struct(*fields)).alias("document"))
+def claim_document() -> Column:
+    """A claim as an exchange document: no id, scores or times; nulls are left out."""
+    return F.to_json(F.struct("text", "kind", "scope", "boundary_class", "memory_type", "content_hash"))
 
 
 def exported_entities(entities: DataFrame) -> DataFrame:

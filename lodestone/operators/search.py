@@ -62,6 +62,14 @@ def candidate_features(ids: DataFrame, claims: DataFrame, evidence: DataFrame, q
     return rows.select(*claims.columns, F.coalesce("lineage", F.lit(False)).alias("lineage"), *zero)
 
 
+def provenance_given(rows: DataFrame) -> Column:
+    """Whether a row's provenance document names both an actor and a note; false without that column."""
+    if "provenance" not in rows.columns:
+        return F.lit(False)
+    said = [F.length(F.coalesce(F.get_json_object("provenance", f"$.{k}"), F.lit(""))) > 0 for k in ("actor", "note")]
+    return said[0] & said[1]
+
+
 def rerank(fused: DataFrame, features: DataFrame, stats: DataFrame, now: Column, intent: str | None = None, feedback: bool = False, threshold: float = THRESHOLD) -> DataFrame:
     """Fused score times utility/confidence/recency, intent, provenance and feedback factors; threshold on the product."""
     f = features.join(F.broadcast(stats))
@@ -71,7 +79,7 @@ def rerank(fused: DataFrame, features: DataFrame, stats: DataFrame, now: Column,
         * S.confidence_term(F.col("confidence"))
         * S.recency_term(S.recency(F.col("created_at"), S.half_life(F.col("kind")), now), weight)
     )
-    quality = S.provenance_quality(F.col("evidence_count"), F.lit(False), F.col("lineage"))
+    quality = S.provenance_quality(F.col("evidence_count"), provenance_given(f), F.col("lineage"))
     boost = S.feedback_boost({s: F.col(s) for s in S.FEEDBACK_WEIGHTS}) if feedback else F.lit(1.0)
     factors = f.select("id", "created_at", g.alias("g"), S.intent_boost(intent, F.col("kind"), F.col("memory_type")).alias("intent_boost"), quality.alias("quality"), boost.alias("feedback_boost"))
     one = [F.coalesce(c, F.lit(1.0)).alias(c) for c in ("g", "intent_boost", "quality", "feedback_boost")]
@@ -209,24 +217,34 @@ def scaled_observations(durable: DataFrame, observations: DataFrame) -> DataFram
     return observations.join(F.broadcast(tops)).withColumn("score", F.col("score") * factor).drop("d", "o")
 
 
+# Fixed weights of a match of the whole query or of one of its words with an entity's name or key.
+EXACT, PART, WORD = {"name": 8.0, "canonical_key": 10.0}, {"name": 4.0, "canonical_key": 5.0}, {"name": 2.0, "canonical_key": 3.0}
+
+
 def expand_query(query: str, entities: DataFrame, relations: DataFrame, claim_entities: DataFrame, seeds: int = 3, related: int = 8, tokens: int = 8) -> DataFrame:
-    """(term, source, weight): names of entities that match the query, then of entities related to them or sharing a claim with them."""
+    """(term, source, weight): names of entities that match the query, then of entities related to them or sharing a claim with them.
+
+    Entities are (id, name, and if there canonical_key, created_at); of equal weights the newer goes first, then the smaller id.
+    """
     q = query.strip().lower()
-    name = F.lower("name")
-    weight = F.when(name == q, 8.0).when(name.contains(q), 4.0).otherwise(0.0)
-    words = [w for w in X.query_words(q) if len(w) >= 2][:tokens]
-    for w in words:
-        weight = weight + F.when(name.contains(w), 2.0).otherwise(0.0)
-    seed = entities.withColumn("weight", weight).where("weight > 0").orderBy(F.desc("weight"), F.asc("id")).limit(seeds).select("id", "name", "weight")
-    edges = relations.select(F.col("src_id").alias("u"), F.col("dst_id").alias("v")).union(relations.select("dst_id", "src_id"))
-    ids = seed.select(F.col("id").alias("u"))
+    words = [w for w in dict.fromkeys(X.query_words(q)) if len(w) >= 2][:tokens]
+    weight = F.lit(0.0)
+    for column in EXACT:
+        if column in entities.columns:
+            at = F.lower(F.coalesce(column, F.lit("")))
+            weight = weight + F.when(at == q, EXACT[column]).otherwise(0.0) + F.when(at.contains(q), PART[column]).otherwise(0.0)
+            for w in words:
+                weight = weight + F.when(at.contains(w), WORD[column]).otherwise(0.0)
+    order = [F.desc("weight"), *([F.desc("created_at")] if "created_at" in entities.columns else []), F.asc("id")]
+    seed = materialize(entities.withColumn("weight", weight).where("weight > 0").orderBy(*order).limit(seeds).select("id", "name", "weight"), "seeds")
+    ids = F.broadcast(seed.select(F.col("id").alias("u")))
     names = entities.select(F.col("id").alias("v"), F.col("name"))
-    linked = edges.join(F.broadcast(ids), "u").select("v").distinct().join(ids.select(F.col("u").alias("v")), "v", "left_anti")
-    linked = linked.join(names, "v").orderBy("v").limit(related)
-    ce = claim_entities
-    mates = ce.join(F.broadcast(ids), F.col("entity_id") == F.col("u"), "left_semi").select("claim_id").distinct()
-    shared = ce.join(mates, "claim_id").select(F.col("entity_id").alias("v")).distinct().join(ids.select(F.col("u").alias("v")), "v", "left_anti")
-    shared = shared.join(names, "v").orderBy("v").limit(related)
+    ahead = relations.join(ids, F.col("src_id") == F.col("u"), "left_semi").select(F.col("dst_id").alias("v"))
+    back = relations.join(ids, F.col("dst_id") == F.col("u"), "left_semi").select(F.col("src_id").alias("v"))
+    own = F.broadcast(seed.select(F.col("id").alias("v")))
+    linked = ahead.union(back).distinct().join(own, "v", "left_anti").join(names, "v").orderBy("v").limit(related)
+    mates = claim_entities.join(ids, F.col("entity_id") == F.col("u"), "left_semi").select("claim_id").distinct()
+    shared = claim_entities.join(mates, "claim_id").select(F.col("entity_id").alias("v")).distinct().join(own, "v", "left_anti").join(names, "v").orderBy("v").limit(related)
     out = seed.select("name", F.lit("seed").alias("source"), "weight")
     out = out.unionByName(linked.select("name", F.lit("relation").alias("source"), F.lit(0.0).alias("weight")))
     out = out.unionByName(shared.select("name", F.lit("claim").alias("source"), F.lit(0.0).alias("weight")))

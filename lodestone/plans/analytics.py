@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from lodestone.functions import text as X
 from lodestone.operators import filters, health
 from lodestone.plans.common import ACTIVE, Registry, now, r6
+from lodestone.plans.retrieval import cos_sql
 from lodestone.sources.fixtures import Tables
 
 R = Registry()
@@ -195,11 +196,21 @@ def x01(t: Tables):
     return t.claims.select("id", X.content_hash(F.col("text")).alias("hash"))
 
 
-@R.add("r15_maintenance_hints", """SELECT 'stale' AS hint, id FROM (SELECT id FROM claims WHERE epoch({NOW} - created_at) / 86400.0 > 30 AND id NOT IN (SELECT claim_id FROM active_context_items) ORDER BY created_at, id LIMIT 10)
+R15_PAGE = "pg AS (SELECT c.id, v.embedding AS e FROM claims c JOIN claim_vectors v ON v.claim_id = c.id WHERE c.scope <> 'session' AND length(trim(c.text)) > 0 ORDER BY utility DESC, c.id LIMIT 50)"
+
+
+@R.add("r15_maintenance_hints", f""", {R15_PAGE}, sp AS (SELECT concat(a.id, '+', b.id) AS id FROM pg a JOIN pg b ON a.id < b.id WHERE {cos_sql('a.e', 'b.e')} > 0.2 ORDER BY {cos_sql('a.e', 'b.e')} DESC, a.id, b.id LIMIT 10)
+SELECT 'stale' AS hint, id FROM (SELECT id FROM claims WHERE epoch({{NOW}} - created_at) / 86400.0 > 30 AND id NOT IN (SELECT claim_id FROM active_context_items) ORDER BY created_at, id LIMIT 10)
 UNION ALL SELECT 'unrewarded', id FROM (SELECT id FROM claims WHERE retrieval_count > 5 AND id NOT IN (SELECT claim_id FROM feedback) ORDER BY retrieval_count DESC, id LIMIT 10)
-UNION ALL SELECT 'unprocessed', CAST(count(*) AS VARCHAR) FROM observations WHERE content IS NOT NULL AND (expires_at IS NULL OR expires_at > {NOW})""", "claims active_context_items feedback observations")
+UNION ALL SELECT 'similar', id FROM sp
+UNION ALL SELECT 'unprocessed', CAST(count(*) AS VARCHAR) FROM observations WHERE content IS NOT NULL AND (expires_at IS NULL OR expires_at > {{NOW}})""", "claims active_context_items feedback observations claim_vectors")
 def r15(t: Tables):
+    """Similar pairs are looked for on the page that was returned, here the 50 most useful durable claims."""
+    from lodestone.operators import search
+
     stale = health.stale_candidates(t.claims, t.active_context_items, now()).select(F.lit("stale").alias("hint"), "id")
     often = health.unrewarded(t.claims, t.feedback).select(F.lit("unrewarded").alias("hint"), "id")
     waiting = t.observations.where(filters.live(now())).agg(F.count(F.lit(1)).cast("string").alias("id")).select(F.lit("unprocessed").alias("hint"), "id")
-    return stale.unionByName(often).unionByName(waiting)
+    page = filters.durable(t.claims).join(t.claim_vectors, F.col("id") == F.col("claim_id")).orderBy(F.desc("utility"), "id").limit(50).select("id", "embedding")
+    pairs = search.page_pairs(page, 0.2).orderBy(F.desc("similarity"), "a", "b").limit(10).select(F.lit("similar").alias("hint"), F.concat_ws("+", "a", "b").alias("id"))
+    return stale.unionByName(often).unionByName(pairs).unionByName(waiting)

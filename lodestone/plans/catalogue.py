@@ -8,7 +8,7 @@ from lodestone.functions import checks, embeddings
 from lodestone.functions import scoring as S
 from lodestone.functions import text as X
 from lodestone.functions import vectors as V
-from lodestone.operators import exchange, filters, graph, paging, search
+from lodestone.operators import filters, graph, paging, search
 from lodestone.operators.ordering import numbered
 from lodestone.plans.common import ACTIVE, Registry, now, r6
 from lodestone.plans.retrieval import PAIRS, TEXT, asked, cos_sql, near, scoped_vectors, texts
@@ -153,10 +153,3 @@ def p04(t: Tables):
     rows = filters.active(t.claims, t.promotion_queue).join(accepted, "id", "left_semi").select("id")
     n = t.evidence.groupBy(F.col("claim_id").alias("id")).agg(F.count(F.lit(1)).alias("n"))
     return rows.join(n, "id", "left").select("id", F.coalesce("n", F.lit(0)).alias("evidence"))
-
-
-@R.add("y04_conflicts", """, c AS (SELECT id, CASE WHEN src_id NOT IN (SELECT id FROM entities WHERE type <> 'Artifact') OR dst_id NOT IN (SELECT id FROM entities WHERE type <> 'Artifact') THEN 'missing_reference' END AS conflict FROM relations)
-SELECT conflict, count(*) AS n FROM c WHERE conflict IS NOT NULL GROUP BY 1""", "relations entities")
-def y04(t: Tables):
-    missing = exchange.referenced(t.relations, t.entities.where("type <> 'Artifact'")).where("src_missing or dst_missing")
-    return missing.groupBy(F.lit("missing_reference").alias("conflict")).agg(F.count(F.lit(1)).alias("n"))

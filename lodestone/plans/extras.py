@@ -5,9 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from lodestone.functions import checks
 from lodestone.plans.common import Registry, r6
-from lodestone.runtime import shared_dir
+from lodestone.runtime import fresh_path
 from lodestone.sources import records
 from lodestone.sources.fixtures import Tables
 from lodestone.streaming import jobs
@@ -17,9 +16,7 @@ R = Registry()
 
 @R.add("s09_s10_file_round_trip", "SELECT kind, scope, count(*) AS n FROM claims GROUP BY ALL", "claims")
 def s09(t: Tables):
-    import uuid
-
-    path = f"{shared_dir(t.spark)}/lodestone/export-{uuid.uuid4().hex}"
+    path = fresh_path(t.spark, "export")
     records.write_claims(t.claims.select("text", "kind", "scope", "boundary_class"), path)
     back = t.spark.read.schema("text string, kind string, boundary_class string, scope string").json(f"{path}/claims")
     return back.groupBy("kind", "scope").agg(F.count(F.lit(1)).alias("n"))

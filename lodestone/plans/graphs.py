@@ -28,8 +28,7 @@ STEPS = f""", steps AS (SELECT source_claim_id AS u, target_claim_id AS v, id AS
 OK = f"(SELECT c.id FROM claims c WHERE c.scope IN ('project', 'principle') AND {ACTIVE})"
 
 
-WALK = (TEXT + ENTITY + STEPS).rstrip() + f""", seeds AS (SELECT id, score FROM txt ORDER BY score DESC, created_at DESC, id LIMIT 6),
-h1 AS (SELECT v AS id, s.id AS seed, s.score AS ss, s.id AS via, edge, kind, 1 AS depth, 1.0 * weight AS p, round(s.score * (1.0 * weight) * 0.75, 6) AS path_score, concat(s.id, '>', v) AS path, edge AS edges
+WALK_AFTER_SEEDS = f""", h1 AS (SELECT v AS id, s.id AS seed, s.score AS ss, s.id AS via, edge, kind, 1 AS depth, 1.0 * weight AS p, round(s.score * (1.0 * weight) * 0.75, 6) AS path_score, concat(s.id, '>', v) AS path, edge AS edges
  FROM seeds s JOIN steps ON u = s.id WHERE v <> s.id AND v IN {OK}),
 f1 AS (SELECT * FROM h1 WHERE kind <> 'conflict' QUALIFY row_number() OVER (PARTITION BY id ORDER BY path_score DESC, seed, via, edge) = 1),
 h2 AS (SELECT v AS id, seed, ss, f.id AS via, s.edge, s.kind, 2 AS depth, p * weight AS p, round(ss * (p * weight) * 0.5625, 6) AS path_score, concat(f.path, '>', v) AS path, concat(f.edge, '>', s.edge) AS edges
@@ -37,6 +36,7 @@ h2 AS (SELECT v AS id, seed, ss, f.id AS via, s.edge, s.kind, 2 AS depth, p * we
 ways AS (SELECT * FROM h1 UNION ALL SELECT * FROM h2),
 derived AS (SELECT * FROM ways QUALIFY row_number() OVER (PARTITION BY id ORDER BY path_score DESC, depth, seed, via, edge) = 1)
 """
+WALK = (TEXT + ENTITY + STEPS).rstrip() + ", seeds AS (SELECT id, score FROM txt ORDER BY score DESC, created_at DESC, id LIMIT 6)" + WALK_AFTER_SEEDS
 WALK_VIEWS = "claims promotion_queue critic claim_links relations claim_entities"
 
 

@@ -43,19 +43,6 @@ def p02(t: Tables):
     return L.scrub_expired(t.observations, now()).select("id", "scrubbed", "content")
 
 
-@R.add("p01_observe")
-def p01(t: Tables):
-    return L.observe(t.observations)
-
-
-@R.add("p03_distilled", r""", s AS (SELECT active_context_id AS candidate, rank AS position, text, kind FROM active_context_items JOIN claims c ON c.id = claim_id)
-SELECT candidate, count(*) AS n, sha256(string_agg(text, chr(10) || chr(10) || '---' || chr(10) || chr(10) ORDER BY position, text)) AS text_sha256, CASE WHEN min(kind) = max(kind) THEN min(kind) ELSE 'fact' END AS kind FROM s GROUP BY 1 HAVING count(*) <= 64""", "claims active_context_items")
-def p03(t: Tables):
-    c = t.claims.select(F.col("id").alias("claim_id"), "text", "kind")
-    s = t.active_context_items.join(c, "claim_id").select(F.col("active_context_id").alias("candidate"), F.col("rank").alias("position"), "text", "kind")
-    return L.distill(s).select("candidate", "n", F.sha2(F.col("text").cast("binary"), 256).alias("text_sha256"), "kind")
-
-
 HASHED = ", h AS (SELECT *, sha256(text) AS hash FROM claims), old AS (SELECT * FROM h WHERE utility < 0.5 QUALIFY row_number() OVER (PARTITION BY hash ORDER BY id) = 1)"
 
 
@@ -101,12 +88,6 @@ def p05(t: Tables):
     return t.promotion_queue.unionByName(gone)
 
 
-@R.add("p10_type_migration", """SELECT id, coalesce(memory_type, CASE kind WHEN 'fact' THEN 'knowledge' WHEN 'task' THEN 'working_state' WHEN 'policy_hint' THEN 'norm' END) AS memory_type,
-CASE WHEN scope = 'session' AND epoch({NOW} - created_at) / 86400.0 > 30 THEN 'tombstone' WHEN scope = 'session' THEN 'candidate' ELSE 'keep' END AS fate FROM claims""", "claims")
-def p10(t: Tables):
-    return L.migrate_types(t.claims, now())
-
-
 @R.add("p11_rate_limit", """WITH RECURSIVE e AS (SELECT user_id, event_id, epoch(ts) AS tm, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS rn FROM events),
 r AS (SELECT user_id, event_id, rn, tm AS began, 1 AS used, true AS allowed FROM e WHERE rn = 1
  UNION ALL SELECT e.user_id, e.event_id, e.rn, CASE WHEN e.tm - r.began >= 86400 THEN e.tm ELSE r.began END, CASE WHEN e.tm - r.began >= 86400 THEN 1 WHEN r.used < 2 THEN r.used + 1 ELSE r.used END, e.tm - r.began >= 86400 OR r.used < 2
@@ -123,3 +104,137 @@ def p14(t: Tables):
     h, _ = hashed(t)
     g = h.groupBy("hash").agg(F.count_distinct("kind").alias("kinds"), F.count_distinct(F.coalesce("memory_type", F.lit("-"))).alias("types"), F.count(F.lit(1)).alias("n"))
     return g.where("n > 1").select("hash", "n", ((F.col("kinds") > 1) | (F.col("types") > 1)).alias("conflict"))
+
+
+PII = r"regexp_matches({c}, '(?i)\b[A-Z0-9._%+-]+@[A-Z0-9.-]+\.[A-Z]{{2,}}\b') OR regexp_matches({c}, '\b\+?\d{{1,3}}[- ]?\d{{2,4}}[- ]?\d{{2,4}}[- ]?\d{{3,4}}\b') OR regexp_matches({c}, '\b(?:\d[ -]*?){{13,19}}\b')"
+KEYS = r"regexp_matches({c}, '-----BEGIN [A-Z0-9 ]*PRIVATE KEY-----|\bsk-[A-Za-z0-9]{{20,}}\b|\b(?:gh[pousr]_[A-Za-z0-9]{{20,}}|github_pat_[A-Za-z0-9_]{{20,}})\b|\bxox[baprs]-[A-Za-z0-9-]{{10,}}\b|\beyJ[a-zA-Z0-9_-]*\.[a-zA-Z0-9_-]+\.[a-zA-Z0-9_-]+\b|\bAKIA[0-9A-Z]{{16}}\b')"
+CLEAN = r"regexp_replace(regexp_replace(regexp_replace({c}, '(?i)\b[A-Z0-9._%+-]+@[A-Z0-9.-]+\.[A-Z]{{2,}}\b', '[REDACTED]', 'g'), '\b\+?\d{{1,3}}[- ]?\d{{2,4}}[- ]?\d{{2,4}}[- ]?\d{{3,4}}\b', '[REDACTED]', 'g'), '\b(?:\d[ -]*?){{13,19}}\b', '[REDACTED]', 'g')"
+NUM = "CAST(substr(id, 5) AS BIGINT)"
+OBSERVE = f""", o AS (SELECT id, text AS c, boundary_class AS asked, {NUM} % 120 AS ttl, {KEYS.format(c='text')} AS k, {PII.format(c='text')} AS p FROM claims),
+cl AS (SELECT *, CASE WHEN k OR asked = 'secret' THEN 'secret' WHEN p OR asked = 'pii' THEN 'pii' ELSE asked END AS cls FROM o)
+"""
+
+
+def to_observe(t: Tables):
+    return t.claims.select("id", F.col("text").alias("content"), "boundary_class", (F.substring("id", 5, 20).cast("long") % 120).alias("ttl_days"))
+
+
+@R.add("p01_observe", OBSERVE + f"""SELECT id, cls AS boundary_class, CASE WHEN cls = 'secret' THEN NULL WHEN p THEN sha256({CLEAN.format(c='c')}) ELSE sha256(c) END AS content,
+ 'sha256:' || CASE WHEN cls = 'secret' THEN sha256('secret') ELSE sha256(c) END AS digest, length(c) AS length, strftime({{NOW}} + INTERVAL '1' DAY * CAST(least(ttl, 90) AS INT), '%Y-%m-%d') AS expires FROM cl""", "claims")
+def p01(t: Tables):
+    o = L.observe(to_observe(t), now())
+    return o.select("id", "boundary_class", F.sha2(F.col("content").cast("binary"), 256).alias("content"), "digest", "length", F.date_format("expires_at", "yyyy-MM-dd").alias("expires"))
+
+
+@R.add("p01_observe_modes", OBSERVE + "SELECT cls AS boundary_class, count(*) AS n, count(*) FILTER (cls <> 'secret') AS raw, 0 AS digest_only FROM cl GROUP BY 1", "claims")
+def p01m(t: Tables):
+    raw, none = L.observe(to_observe(t), mode="raw"), L.observe(to_observe(t), mode="digest_only").select("id", F.col("content").alias("nothing"))
+    return raw.join(none, "id").groupBy("boundary_class").agg(F.count(F.lit(1)).alias("n"), F.count("content").alias("raw"), F.count("nothing").cast("int").alias("digest_only"))
+
+
+DISTILL = r""", s AS (SELECT active_context_id AS candidate, rank AS position, c.* FROM active_context_items JOIN claims c ON c.id = claim_id),
+ds AS (SELECT candidate, count(*) AS n, string_agg(text, chr(10) || chr(10) || '---' || chr(10) || chr(10) ORDER BY position, text, id) AS text, CASE WHEN min(kind) = max(kind) THEN min(kind) ELSE 'fact' END AS kind,
+ CASE WHEN min(memory_type) = max(memory_type) AND min(memory_type) <> 'evidence' THEN min(memory_type) END AS common,
+ ['public', 'internal', 'pii', 'secret'][max(list_position(['public', 'internal', 'pii', 'secret'], boundary_class))] AS boundary_class FROM s GROUP BY 1),
+dt AS (SELECT *, coalesce(common, CASE kind WHEN 'fact' THEN 'knowledge' WHEN 'task' THEN 'working_state' WHEN 'policy_hint' THEN 'norm' END) AS memory_type FROM ds WHERE n <= 64 AND octet_length(encode(text)) <= 16384)
+"""
+
+
+def distilled(t: Tables):
+    s = t.active_context_items.join(t.claims, F.col("claim_id") == t.claims["id"]).select(F.col("active_context_id").alias("candidate"), F.col("rank").alias("position"), t.claims["id"], "text", "kind", "memory_type", "boundary_class")
+    return L.distill(s, t.evidence, most_bytes=16_384)
+
+
+@R.add("p03_distilled", DISTILL + """, ev AS (SELECT candidate, string_agg(DISTINCT e.id, ',' ORDER BY e.id) AS ids FROM s JOIN evidence e ON e.claim_id = s.id GROUP BY 1)
+SELECT dt.candidate, n, sha256(text) AS text_sha256, kind, memory_type, boundary_class, CASE WHEN kind = 'policy_hint' OR coalesce(memory_type = 'norm', false) THEN 'principle' ELSE 'project' END AS scope, coalesce(ids, '') AS evidence_ids FROM dt LEFT JOIN ev ON ev.candidate = dt.candidate""", "claims active_context_items evidence")
+def p03(t: Tables):
+    """With a limit of 16 384 bytes, which some contexts pass."""
+    return distilled(t).select("candidate", "n", F.sha2(F.col("text").cast("binary"), 256).alias("text_sha256"), "kind", "memory_type", "boundary_class", "scope", "evidence_ids")
+
+
+PROMOTE = """, h AS (SELECT *, sha256(text) AS hash, CAST(substr(id, 5) AS BIGINT) AS num FROM claims), loc AS (SELECT * FROM h WHERE num % 3 = 0 QUALIFY row_number() OVER (PARTITION BY hash ORDER BY id) = 1),
+cand AS (SELECT concat('pq_', num) AS id, CASE WHEN num % 11 = 0 THEN 'accepted' ELSE 'pending' END AS status, hash, CASE WHEN num % 13 = 0 THEN text || '!' ELSE text END AS text, kind, memory_type, boundary_class FROM h),
+lead AS (SELECT * FROM cand WHERE status = 'pending' AND boundary_class <> 'secret' QUALIFY row_number() OVER (PARTITION BY hash ORDER BY id) = 1),
+v AS (SELECT c.id, CASE WHEN c.status <> 'pending' THEN 'not_pending' WHEN c.boundary_class = 'secret' THEN 'secret' WHEN o.id IS NOT NULL AND (c.text <> o.text OR c.kind <> o.kind OR c.memory_type IS DISTINCT FROM o.memory_type) THEN 'conflict'
+ WHEN o.id IS NOT NULL THEN CASE WHEN NOT coalesce(o.tombstone, false) AND NOT EXISTS (SELECT 1 FROM promotion_queue p WHERE p.accepted_claim_id = o.id AND p.status = 'rolled_back') THEN 'existing' ELSE 'revived' END
+ WHEN c.id = l.id THEN 'new' WHEN c.text <> l.text OR c.kind <> l.kind OR c.memory_type IS DISTINCT FROM l.memory_type THEN 'conflict' ELSE 'existing' END AS verdict, o.id AS old, l.id AS lead FROM cand c LEFT JOIN loc o ON o.hash = c.hash LEFT JOIN lead l ON l.hash = c.hash)
+"""
+
+
+def promotion(t: Tables):
+    """Every claim's text as a candidate; a third of the claims is there already, some candidates say something else under the same hash."""
+    num = F.substring("id", 5, 20).cast("long")
+    h = t.claims.withColumn("hash", F.sha2(F.col("text").cast("binary"), 256)).withColumn("num", num)
+    some = h.where("num % 3 = 0")
+    local = some.join(some.groupBy("hash").agg(F.min("id").alias("id")), ["hash", "id"], "left_semi")
+    text = F.when(F.col("num") % 13 == 0, F.concat("text", F.lit("!"))).otherwise(F.col("text"))
+    candidates = h.select(F.concat(F.lit("pq_"), "num").alias("id"), F.when(F.col("num") % 11 == 0, "accepted").otherwise("pending").alias("status"), "hash", text.alias("text"), "kind", "memory_type", "boundary_class")
+    sources = h.select(F.concat(F.lit("pq_"), "num").alias("candidate"), F.explode(F.array(F.struct(F.lit("claim").alias("t"), F.col("id").alias("i")), F.struct(F.lit("active_context").alias("t"), F.concat(F.lit("ac_"), "num").alias("i")))).alias("s"))
+    return L.promote(candidates, local, t.promotion_queue, sources.select("candidate", F.col("s.t").alias("source_type"), F.col("s.i").alias("source_id")))
+
+
+@R.add("p04_promoted", PROMOTE + "SELECT id, verdict, CASE WHEN verdict IN ('existing', 'revived', 'new') THEN coalesce(old, 'clm_of_' || lead) END AS accepted_claim_id FROM v", "claims promotion_queue")
+def p04v(t: Tables):
+    return promotion(t).verdicts
+
+
+@R.add("p04_evidence", PROMOTE + "SELECT 'clm_of_' || lead AS claim_id, t AS source_type, CASE t WHEN 'claim' THEN 'clm_' || substr(id, 4) ELSE 'ac_' || substr(id, 4) END AS source_id FROM v, (SELECT unnest(['claim', 'active_context']) AS t) WHERE verdict = 'new'", "claims promotion_queue")
+def p04e(t: Tables):
+    return promotion(t).evidence.select("claim_id", "source_type", "source_id")
+
+
+LINKS = """, rq AS (SELECT id, source_claim_id, CASE WHEN num % 7 = 0 THEN source_claim_id WHEN num % 7 = 1 THEN 'clm_none' ELSE target_claim_id END AS target_claim_id, CASE WHEN num % 5 = 0 THEN 'likes' ELSE link_type END AS link_type, CASE WHEN num % 11 = 0 THEN confidence + 1 ELSE confidence / 2 END AS confidence FROM (SELECT *, CAST(substr(id, 5) AS BIGINT) AS num FROM claim_links)),
+ck AS (SELECT *, CASE WHEN link_type = 'likes' THEN 'link_type' WHEN source_claim_id = target_claim_id THEN 'same_claim' WHEN confidence > 1 THEN 'confidence' WHEN target_claim_id = 'clm_none' THEN 'missing_claim' END AS reason FROM rq)
+"""
+
+
+def link_requests(t: Tables):
+    num = F.substring("id", 5, 20).cast("long")
+    rows = t.claim_links.withColumn("num", num)
+    target = F.when(F.col("num") % 7 == 0, F.col("source_claim_id")).when(F.col("num") % 7 == 1, "clm_none").otherwise(F.col("target_claim_id"))
+    confidence = F.when(F.col("num") % 11 == 0, F.col("confidence") + 1).otherwise(F.col("confidence") / 2)
+    requests = rows.select("id", "source_claim_id", target.alias("target_claim_id"), F.when(F.col("num") % 5 == 0, "likes").otherwise(F.col("link_type")).alias("link_type"), confidence.alias("confidence"))
+    return L.confirm_links(requests, t.claims, t.claim_links)
+
+
+@R.add("p16_link_requests", LINKS + "SELECT id, reason FROM ck", "claims claim_links")
+def p16(t: Tables):
+    return link_requests(t)[0]
+
+
+@R.add("p16_confirmed_links", LINKS + "SELECT l.id, round(coalesce(c.confidence, l.confidence), 6) AS confidence FROM claim_links l LEFT JOIN ck c ON c.id = l.id AND c.reason IS NULL", "claims claim_links")
+def p16l(t: Tables):
+    return link_requests(t)[1].select("id", r6("confidence"))
+
+
+@R.add("p12_attached_graph", """, n AS (SELECT id FROM claims WHERE utility < 0.5), e AS (SELECT claim_id, entity_id, CASE WHEN entity_id LIKE '%5' THEN NULL ELSE 'x' END AS type FROM claim_entities WHERE claim_id IN (SELECT id FROM n))
+SELECT n.id AS claim_id, count(*) FILTER (e.type IS NOT NULL) AS entities, count(*) FILTER (e.entity_id IS NOT NULL AND e.type IS NULL) AS entity_errors, (SELECT count(*) FROM claim_links l WHERE l.source_claim_id = n.id) AS relations FROM n LEFT JOIN e ON e.claim_id = n.id GROUP BY n.id""", "claims claim_entities claim_links")
+def p12(t: Tables):
+    """Claims of low utility are new; entities whose id ends in 5 come without a type."""
+    claims = t.claims.select("id", (F.col("utility") < 0.5).alias("is_new"))
+    entities = t.claim_entities.select("claim_id", F.col("entity_id").alias("id"), F.when(~F.col("entity_id").endswith("5"), "x").alias("type"))
+    relations = t.claim_links.select(F.col("source_claim_id").alias("claim_id"), "id", F.col("link_type").alias("type"))
+    counts, _ = L.attach_graph(claims, entities, relations, t.claim_entities.where("false"))
+    return counts.select("claim_id", "entities", "entity_errors", "relations")
+
+
+MIGRATED = """, mt AS (SELECT id, kind, boundary_class, memory_type AS was, coalesce(memory_type, CASE kind WHEN 'fact' THEN 'knowledge' WHEN 'task' THEN 'working_state' WHEN 'policy_hint' THEN 'norm' END) AS memory_type,
+CASE WHEN scope = 'session' AND tombstone THEN 'ended' WHEN scope = 'session' AND epoch({NOW} - created_at) / 86400.0 > 30 THEN 'tombstone' WHEN scope = 'session' THEN 'candidate' ELSE 'keep' END AS fate FROM claims)
+"""
+
+
+@R.add("p10_type_migration", MIGRATED + "SELECT id, memory_type, fate FROM mt", "claims")
+def p10(t: Tables):
+    return L.migrate_types(t.claims, now()).select("id", "memory_type", "fate")
+
+
+@R.add("p10_migration_report", MIGRATED + """SELECT unnest(['memory_type_backfilled', 'memory_type_already_set', 'ambiguous_preferences', 'session_claims_scanned', 'session_claims_already_tombstoned', 'session_claims_tombstoned', 'session_queue_candidates_created']) AS item,
+ unnest([count(*) FILTER (was IS NULL AND memory_type IS NOT NULL), count(*) FILTER (was IS NOT NULL), count(*) FILTER (was IS NULL AND kind = 'preference'), count(*) FILTER (fate <> 'keep'), count(*) FILTER (fate = 'ended'), count(*) FILTER (fate IN ('tombstone', 'candidate')), count(*) FILTER (fate = 'candidate')]) AS n FROM mt""", "claims")
+def p10r(t: Tables):
+    return L.migration_report(L.migrate_types(t.claims, now()))
+
+
+@R.add("p10_migration_queue", MIGRATED + "SELECT 'pq_session_' || id AS id, '[\"' || id || '\"]' AS source_ids, kind AS proposed_kind, 'project' AS proposed_scope, boundary_class AS proposed_boundary_class, 'pending' AS status FROM mt WHERE fate = 'candidate'", "claims")
+def p10q(t: Tables):
+    rows = L.migration_candidates(L.migrate_types(t.claims, now()))
+    return rows.select("id", "source_ids", "proposed_kind", "proposed_scope", "proposed_boundary_class", "status")

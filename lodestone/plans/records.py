@@ -342,7 +342,7 @@ def f20(t: Tables):
     return rows.where(filters.one_of("boundary_class", ["public", "internal"])).select("id")
 
 
-@R.add("u04_unique_lists", "SELECT active_context_id, string_agg(kind, ',' ORDER BY pos) AS in_order, string_agg(kind, ',' ORDER BY kind) AS sorted FROM (SELECT active_context_id, kind, min(rank) AS pos FROM active_context_items JOIN claims c ON c.id = claim_id GROUP BY ALL) GROUP BY 1", "claims active_context_items")
+@R.add("u04_unique_lists", "SELECT active_context_id, string_agg(kind, ',' ORDER BY pos, kind) AS in_order, string_agg(kind, ',' ORDER BY kind) AS sorted FROM (SELECT active_context_id, kind, min(rank) AS pos FROM active_context_items JOIN claims c ON c.id = claim_id GROUP BY ALL) GROUP BY 1", "claims active_context_items")
 def u04(t: Tables):
     kinds = t.active_context_items.join(t.claims.select(F.col("id").alias("claim_id"), "kind"), "claim_id")
     lists = kinds.groupBy("active_context_id").agg(F.transform(F.sort_array(F.collect_list(F.struct("rank", "kind"))), lambda s: s["kind"]).alias("kinds"))

@@ -303,23 +303,47 @@ def diversified_sql() -> str:
     return f"{head.rstrip()}, rk AS (SELECT u.id, {score} AS score FROM{rest})" + MMR.replace("{COS}", cos_sql("a.e", "b.e"))
 
 
+@R.add("x12_provenance", FEATURES + """, q AS (SELECT *, CAST(substr(id, 5) AS BIGINT) AS k FROM feat)
+SELECT id, round(CAST(1 AS DOUBLE) * (CASE WHEN evidence_count > 0 THEN 1.1 ELSE 1 END) * (CASE WHEN k % 3 = 0 AND k % 5 <> 0 THEN 1.05 ELSE 1 END) * (CASE WHEN lineage THEN 1.05 ELSE 1 END), 6) AS quality FROM q""", "claims promotion_queue evidence feedback")
+def x12(t: Tables):
+    """Provenance documents with an actor in every third row and an empty note in every fifth."""
+    k = F.substring("id", 5, 20).cast("long")
+    document = F.concat(F.lit("{"), F.when(k % 3 == 0, '"actor":"a",').otherwise(""), F.lit('"note":"'), F.when(k % 5 == 0, "").otherwise("n"), F.lit('"}'))
+    rows = features(t).withColumn("provenance", document)
+    return rows.select("id", r6(S.provenance_quality(F.col("evidence_count"), search.provenance_given(rows), F.col("lineage")), "quality"))
+
+
+@R.add("r18_page_similarity", TEXT + """, hd AS (SELECT txt.id, list_distinct(list_filter(regexp_split_to_array(lower(c.text), '[^\\p{L}\\p{N}]+'), lambda x: length(x) >= 2)) AS tok, v.embedding AS e FROM txt JOIN claims c ON c.id = txt.id LEFT JOIN claim_vectors v ON v.claim_id = txt.id)
+SELECT a.id AS a, b.id AS b, round(greatest(CASE WHEN len(a.tok) = 0 OR len(b.tok) = 0 THEN 0 ELSE len(list_intersect(a.tok, b.tok)) / CAST(len(a.tok) + len(b.tok) - len(list_intersect(a.tok, b.tok)) AS DOUBLE) END, coalesce(greatest(0, least(1, ({COS} + 1) / 2)), 0)), 6) AS alike FROM hd a JOIN hd b ON a.id < b.id""".replace("{COS}", cos_sql("a.e", "b.e")), "claims promotion_queue critic claim_vectors")
+def r18(t: Tables):
+    """Likeness inside one page of text results: the larger of the vectors' and the words'."""
+    rows = texts(t).select("id", X.token_set(F.col("text")).alias("tok")).join(t.claim_vectors.select(F.col("claim_id").alias("id"), F.col("embedding").alias("e")), "id", "left")
+    a, b = (rows.select(*[F.col(c).alias(f"{side}_{c}") for c in rows.columns]) for side in "ab")
+    vectors = F.coalesce(F.when(F.col("a_e").isNotNull() & F.col("b_e").isNotNull(), V.diversity_cosine(F.col("a_e"), F.col("b_e"))), F.lit(0.0))
+    alike = F.greatest(X.jaccard(F.col("a_tok"), F.col("b_tok")), vectors)
+    return a.join(b, F.col("a_id") < F.col("b_id")).select(F.col("a_id").alias("a"), F.col("b_id").alias("b"), r6(alike, "alike"))
+
+
 @R.add("r09_diversified", diversified_sql(), "claims promotion_queue evidence feedback critic claim_vectors")
 def r09(t: Tables):
     best = ranked(t).join(t.claims.select("id", "text"), "id").join(t.claim_vectors.withColumnRenamed("claim_id", "id"), "id", "left")
     return search.diversify(best, 12)
 
 
-@R.add("r10_query_expansion", """, w AS (SELECT id, name, (CASE WHEN lower(name) = 'red widget' THEN 8 WHEN contains(lower(name), 'red widget') THEN 4 ELSE 0 END)
- + (CASE WHEN contains(lower(name), 'red') THEN 2 ELSE 0 END) + (CASE WHEN contains(lower(name), 'widget') THEN 2 ELSE 0 END) AS weight FROM entities),
-seed AS (SELECT * FROM w WHERE weight > 0 ORDER BY weight DESC, id LIMIT 3),
+@R.add("r10_query_expansion", """, w AS (SELECT id, name, created_at, (CASE WHEN lower(name) = 'red widget' THEN 8 ELSE 0 END) + (CASE WHEN contains(lower(name), 'red widget') THEN 4 ELSE 0 END)
+ + (CASE WHEN contains(lower(name), 'red') THEN 2 ELSE 0 END) + (CASE WHEN contains(lower(name), 'widget') THEN 2 ELSE 0 END) + (CASE WHEN lower(canonical_key) = 'red widget' THEN 10 ELSE 0 END) + (CASE WHEN contains(lower(canonical_key), 'red widget') THEN 5 ELSE 0 END)
+ + (CASE WHEN contains(lower(canonical_key), 'red') THEN 3 ELSE 0 END) + (CASE WHEN contains(lower(canonical_key), 'widget') THEN 3 ELSE 0 END) AS weight FROM ek),
+seed AS (SELECT * FROM w WHERE weight > 0 ORDER BY weight DESC, created_at DESC, id LIMIT 3),
 rel AS (SELECT DISTINCT v FROM (SELECT src_id AS u, dst_id AS v FROM relations UNION ALL SELECT dst_id, src_id FROM relations) WHERE u IN (SELECT id FROM seed) AND v NOT IN (SELECT id FROM seed)),
 co AS (SELECT DISTINCT entity_id AS v FROM claim_entities WHERE claim_id IN (SELECT claim_id FROM claim_entities WHERE entity_id IN (SELECT id FROM seed)) AND entity_id NOT IN (SELECT id FROM seed)),
 o AS (SELECT name, 'seed' AS source, CAST(weight AS DOUBLE) AS weight FROM seed
- UNION ALL SELECT * FROM (SELECT e.name, 'relation', CAST(0 AS DOUBLE) FROM rel JOIN entities e ON e.id = v ORDER BY v LIMIT 8)
- UNION ALL SELECT * FROM (SELECT e.name, 'claim', CAST(0 AS DOUBLE) FROM co JOIN entities e ON e.id = v ORDER BY v LIMIT 8))
-SELECT nullif(trim(regexp_replace(name, '[-_]+', ' ', 'g')), '') AS term, source, weight FROM o WHERE nullif(trim(regexp_replace(name, '[-_]+', ' ', 'g')), '') IS NOT NULL""", "entities relations claim_entities")
+ UNION ALL SELECT * FROM (SELECT e.name, 'relation', CAST(0 AS DOUBLE) FROM rel JOIN ek e ON e.id = v ORDER BY v LIMIT 8)
+ UNION ALL SELECT * FROM (SELECT e.name, 'claim', CAST(0 AS DOUBLE) FROM co JOIN ek e ON e.id = v ORDER BY v LIMIT 8))
+SELECT nullif(trim(regexp_replace(name, '[-_]+', ' ', 'g')), '') AS term, source, weight FROM o WHERE nullif(trim(regexp_replace(name, '[-_]+', ' ', 'g')), '') IS NOT NULL""".replace(", w AS", ", ek AS (SELECT id, name, created_at, coalesce(CASE WHEN type = 'Artifact' AND canonical_key IS NOT NULL THEN 'key of red things' ELSE canonical_key END, '') AS canonical_key FROM entity_rows), w AS", 1), "entity_rows relations claim_entities")
 def r10(t: Tables):
-    return search.expand_query("red widget", t.entities, t.relations, t.claim_entities)
+    """Artifacts that have a key get one with a word of the query in it."""
+    key = F.when((F.col("type") == "Artifact") & F.col("canonical_key").isNotNull(), "key of red things").otherwise(F.col("canonical_key"))
+    return search.expand_query("red widget", t.entity_rows.withColumn("canonical_key", key), t.relations, t.claim_entities)
 
 
 OBS = f""", obs AS (SELECT id, created_at, (CASE WHEN content ILIKE '%{WORDS[0]}%' THEN 1.0 ELSE 0 END + CASE WHEN content ILIKE '%{WORDS[1]}%' THEN 1.0 ELSE 0 END) / 2

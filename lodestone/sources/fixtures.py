@@ -44,9 +44,9 @@ VIEWS = {
  UNION ALL SELECT concat('ord_', o_orderkey), 'Event', o_orderpriority, o_orderkey FROM orders
  UNION ALL SELECT concat('part_', p_partkey), 'Artifact', p_name, p_partkey FROM part
  UNION ALL SELECT concat('nat_', n_nationkey), 'Concept', n_name, n_nationkey FROM nation) x""",
-    "relation_rows": """SELECT id, src_id, dst_id, type, concat('{{"w":', k % 5, '}}') AS props, {TS} '2024-02-01 00:00:00' - INTERVAL '1' HOUR * CAST((k * 41) % 4800 AS INT) AS created_at FROM (
+    "relation_rows": """SELECT id, src_id, dst_id, type, concat('{{"w":', k % 5, '}}') AS props, {TS} '2024-02-01 00:00:00' - INTERVAL '1' HOUR * CAST((k * 41) % 4800 AS INT) AS created_at FROM (SELECT id, min(src_id) AS src_id, min(dst_id) AS dst_id, min(type) AS type, min(k) AS k FROM (
  SELECT concat('r_po_', o_orderkey) AS id, concat('cust_', o_custkey) AS src_id, concat('ord_', o_orderkey) AS dst_id, 'PLACED' AS type, o_orderkey AS k FROM orders
- UNION ALL SELECT concat('r_oc_', l_orderkey, '_', l_linenumber), concat('ord_', l_orderkey), concat('part_', l_partkey), 'CONTAINS', l_orderkey + l_linenumber FROM lineitem) x""",
+ UNION ALL SELECT concat('r_oc_', l_orderkey, '_', l_linenumber), concat('ord_', l_orderkey), concat('part_', l_partkey), 'CONTAINS', l_orderkey + l_linenumber FROM lineitem) y GROUP BY id) x""",
     "active_context_items": f"""SELECT concat('aci_', l_orderkey, '_', l_linenumber) AS id, concat('ac_', l_orderkey) AS active_context_id,
  concat('clm_', l_partkey % {_ND}) AS claim_id, CAST(l_linenumber AS INT) AS rank, l_discount AS score FROM lineitem WHERE (l_partkey % {_ND}) % 5 <> 0""",
     "claim_entities": f"""SELECT DISTINCT claim_id, entity_id FROM (

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestone.operators.lifecycle import observe
-from lodestone.runtime import shared_dir
+from lodestone.runtime import fresh_path
 
 EVENTS = "event_id long, ts timestamp_ntz, user_id long, event_type string, value double, props string"
 TURNS = "conv_id long, turn long, role string, text string"
@@ -33,12 +33,16 @@ def sessions(events: DataFrame, gap: str = "12 hours") -> DataFrame:
     return agg.select("user_id", F.date_format("w.start", "yyyy-MM-dd HH:mm:ss").alias("start"), "n")
 
 
-def run_once(df: DataFrame, name: str, mode: str = "append") -> DataFrame:
-    """Drive a stream over all that is there, into a table in the shared folder, and read it back."""
-    import uuid
+def run_once(df: DataFrame, name: str, mode: str = "append", keys: list[str] | None = None) -> DataFrame:
+    """Drive a stream over all that is there, into a table in the shared folder, and read it back.
 
+    In update mode a row may be given again by a later micro-batch: ``keys`` say which rows are the same, and the
+    last one counts. A micro-batch that runs again overwrites its own files.
+    """
+    if mode not in ("append", "update") or (mode == "update") != bool(keys):
+        raise ValueError("append without keys, or update with keys")
     spark = df.sparkSession
-    base = f"{shared_dir(spark)}/lodestone/{name}-{uuid.uuid4().hex}"
+    base = fresh_path(spark, name)
     out = f"{base}/rows"
 
     def put(batch: DataFrame, number: int) -> None:
@@ -46,7 +50,10 @@ def run_once(df: DataFrame, name: str, mode: str = "append") -> DataFrame:
 
     q = df.writeStream.outputMode(mode).option("checkpointLocation", f"{base}/state").trigger(availableNow=True).foreachBatch(put).start()
     q.awaitTermination()
-    return spark.read.schema(df.schema).parquet(out).select(*df.columns)
+    if mode == "append":
+        return spark.read.schema(df.schema).parquet(out).select(*df.columns)
+    rows = spark.read.schema(f"{', '.join(f'`{f.name}` {f.dataType.simpleString()}' for f in df.schema.fields)}, batch long").option("basePath", out).parquet(out)
+    return rows.groupBy(*keys).agg(F.max_by(F.struct(*df.columns), "batch").alias("r")).select("r.*")
 
 
 def observe_stream(turns: DataFrame) -> DataFrame:
