@@ -207,7 +207,7 @@ def test_random_directed_graphs(spark, seed):
 
 
 def test_diversified_tail_is_kept(spark):
-    rows = [(f"r{k:02d}", 1.0 - k / 100, f"word{k % 5} mark{k % 5} of", None) for k in range(60)]
+    rows = [(f"r{k:02d}", 1.0 - k / 100, f"word{k // 4} mark{k // 4} of", None) for k in range(60)]
     ranked = spark.createDataFrame(rows, "id string, score double, text string, embedding array<double>")
     got = {r.position: r.id for r in search.diversify(ranked, 12).collect()}
     assert sorted(got) == list(range(1, 61)) and [got[p] for p in range(49, 61)] == [f"r{k}" for k in range(48, 60)]
