@@ -136,17 +136,17 @@ def x22(t: Tables):
 
 
 @R.add("x22_wave_embeddings", """, h AS (SELECT id, list_reduce(list_prepend(CAST(0 AS BIGINT), list_transform(string_split(name, ''), lambda c: CAST(ord(c) AS BIGINT))), lambda h, c: (h * 31 + c) % 4294967296) AS u FROM entities WHERE length(name) > 0),
-s AS (SELECT id, CASE WHEN u >= 2147483648 THEN u - 4294967296 ELSE u END AS h FROM h) SELECT id, round(sin(h * 1 * 0.001) * 0.5, 5) AS first, round(sin(h * 384 * 0.001) * 0.5, 5) AS last FROM s""", "entities")
+s AS (SELECT id, CASE WHEN u >= 2147483648 THEN u - 4294967296 ELSE u END AS h FROM h) SELECT id, round(sin(CAST(h AS DOUBLE) * CAST(0.001 AS DOUBLE)) * 0.5, 5) AS first, round(sin(CAST(h * 384 AS DOUBLE) * CAST(0.001 AS DOUBLE)) * 0.5, 5) AS last FROM s""", "entities")
 def x22w(t: Tables):
     v = F.col("v")
     return t.entities.where("length(name) > 0").select("id", embeddings.wave_embedding(F.col("name")).alias("v")).select("id", F.round(F.get(v, 0), 5).alias("first"), F.round(F.get(v, 383), 5).alias("last"))
 
 
 @R.add("s19_hydrated_vectors", BAG.replace("{FROM}", "(SELECT id, text FROM claims WHERE id NOT IN (SELECT claim_id FROM claim_vectors))") + """
-SELECT id, true AS embedded, count(*) AS parts, round(sum(value * (dim + 1)), 4) AS total FROM bag GROUP BY id UNION ALL SELECT c.id, false, len(v.embedding), round(list_sum(list_transform(v.embedding, lambda x, i: x * i)), 4) FROM claims c JOIN claim_vectors v ON v.claim_id = c.id""", "claims claim_vectors")
+SELECT id, true AS embedded, count(*) AS parts, round(sum(value * (dim + 1)), 6) AS total FROM bag GROUP BY id UNION ALL SELECT c.id, false, len(v.embedding), round(list_sum(list_transform(v.embedding, lambda x, i: x * i)), 6) FROM claims c JOIN claim_vectors v ON v.claim_id = c.id""", "claims claim_vectors")
 def s19(t: Tables):
     v = embeddings.hydrated(t.claims.select("id", "text"), t.claim_vectors)
-    return v.select("id", "embedded", F.posexplode("embedding").alias("dim", "value")).where("value <> 0").groupBy("id", "embedded").agg(F.count(F.lit(1)).alias("parts"), F.round(F.sum(F.col("value") * (F.col("dim") + 1)), 4).alias("total"))
+    return v.select("id", "embedded", F.posexplode("embedding").alias("dim", "value")).where("value <> 0").groupBy("id", "embedded").agg(F.count(F.lit(1)).alias("parts"), F.round(F.sum(F.col("value") * (F.col("dim") + 1)), 6).alias("total"))
 
 
 E_MAIL = r"(?i)\b[A-Z0-9._%+-]+@[A-Z0-9.-]+\.[A-Z]{2,}\b"

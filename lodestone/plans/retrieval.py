@@ -285,10 +285,10 @@ def r08(t: Tables):
 
 
 MMR = """, mr AS (SELECT id, score, row_number() OVER (ORDER BY score DESC, id) AS p FROM rk),
-hd AS (SELECT p, mr.id, score, list_distinct(list_filter(regexp_split_to_array(lower(c.text), '[^\\p{L}\\p{N}]+'), lambda x: length(x) >= 2)) AS tok, v.embedding AS e FROM mr JOIN claims c ON c.id = mr.id LEFT JOIN claim_vectors v ON v.claim_id = mr.id WHERE p <= 48),
-sm AS (SELECT a.p AS a, b.p AS b, greatest(CASE WHEN len(a.tok) = 0 OR len(b.tok) = 0 THEN 0 ELSE len(list_intersect(a.tok, b.tok)) / CAST(len(a.tok) + len(b.tok) - len(list_intersect(a.tok, b.tok)) AS DOUBLE) END,
- coalesce(greatest(0, least(1, ({COS} + 1) / 2)), 0)) AS s FROM hd a JOIN hd b ON a.p <> b.p),
-rl AS (SELECT p, score, (score - min(score) OVER ()) / greatest(max(score) OVER () - min(score) OVER (), 1e-6) AS r FROM hd),
+hd AS MATERIALIZED (SELECT p, mr.id, score, list_distinct(list_filter(regexp_split_to_array(lower(c.text), '[^\\p{L}\\p{N}]+'), lambda x: length(x) >= 2)) AS tok, v.embedding AS e FROM mr JOIN claims c ON c.id = mr.id LEFT JOIN claim_vectors v ON v.claim_id = mr.id WHERE p <= 48),
+sm AS MATERIALIZED (SELECT a.p AS a, b.p AS b, greatest(CASE WHEN len(a.tok) = 0 OR len(b.tok) = 0 THEN 0 ELSE len(list_intersect(a.tok, b.tok)) / CAST(len(a.tok) + len(b.tok) - len(list_intersect(a.tok, b.tok)) AS DOUBLE) END,
+ CASE WHEN ({COS}) IS NULL THEN 0 ELSE greatest(0, least(1, ({COS} + 1) / 2)) END) AS s FROM hd a JOIN hd b ON a.p <> b.p),
+rl AS MATERIALIZED (SELECT p, score, (score - min(score) OVER ()) / greatest(max(score) OVER () - min(score) OVER (), 1e-6) AS r FROM hd),
 pk(n, picked) AS (SELECT 0, CAST([] AS BIGINT[]) UNION ALL SELECT n + 1, list_append(picked, (SELECT rl.p FROM rl WHERE NOT list_contains(picked, rl.p)
  ORDER BY round(0.72 * r - 0.28 * coalesce((SELECT max(s) FROM sm WHERE sm.a = rl.p AND list_contains(picked, sm.b)), 0), 12) DESC, score DESC, rl.p LIMIT 1)) FROM pk WHERE n < (SELECT count(*) FROM hd)),
 od AS (SELECT unnest(picked) AS p, generate_subscripts(picked, 1) AS position FROM (SELECT picked FROM pk ORDER BY n DESC LIMIT 1))
@@ -314,7 +314,7 @@ def x12(t: Tables):
 
 
 @R.add("r18_page_similarity", TEXT + """, hd AS (SELECT txt.id, list_distinct(list_filter(regexp_split_to_array(lower(c.text), '[^\\p{L}\\p{N}]+'), lambda x: length(x) >= 2)) AS tok, v.embedding AS e FROM txt JOIN claims c ON c.id = txt.id LEFT JOIN claim_vectors v ON v.claim_id = txt.id)
-SELECT a.id AS a, b.id AS b, round(greatest(CASE WHEN len(a.tok) = 0 OR len(b.tok) = 0 THEN 0 ELSE len(list_intersect(a.tok, b.tok)) / CAST(len(a.tok) + len(b.tok) - len(list_intersect(a.tok, b.tok)) AS DOUBLE) END, coalesce(greatest(0, least(1, ({COS} + 1) / 2)), 0)), 6) AS alike FROM hd a JOIN hd b ON a.id < b.id""".replace("{COS}", cos_sql("a.e", "b.e")), "claims promotion_queue critic claim_vectors")
+SELECT a.id AS a, b.id AS b, round(greatest(CASE WHEN len(a.tok) = 0 OR len(b.tok) = 0 THEN 0 ELSE len(list_intersect(a.tok, b.tok)) / CAST(len(a.tok) + len(b.tok) - len(list_intersect(a.tok, b.tok)) AS DOUBLE) END, CASE WHEN ({COS}) IS NULL THEN 0 ELSE greatest(0, least(1, ({COS} + 1) / 2)) END), 6) AS alike FROM hd a JOIN hd b ON a.id < b.id""".replace("{COS}", cos_sql("a.e", "b.e")), "claims promotion_queue critic claim_vectors")
 def r18(t: Tables):
     """Likeness inside one page of text results: the larger of the vectors' and the words'."""
     rows = texts(t).select("id", X.token_set(F.col("text")).alias("tok")).join(t.claim_vectors.select(F.col("claim_id").alias("id"), F.col("embedding").alias("e")), "id", "left")
