@@ -100,7 +100,7 @@ class PieceModel:
         at: list[list[tuple[int, int]]] = [[] for _ in range(n)]
         for end, match in self.automaton.iter(text):
             at[end - match[0] + 1].append(match)
-        alive = (1 << (n + 1)) - 1
+        dead = bytearray(n // 8 + 1)  # a bit for each position from which no way leads on
         ids = []
         tried: list[tuple[int, int]] = []
         pos, k = 0, len(at[0]) - 1
@@ -108,7 +108,7 @@ class PieceModel:
             options = at[pos]
             while k >= 0:
                 length, i = options[k]
-                if alive >> (pos + length) & 1 and (not ids or self.compatible(ids[-1], i)):
+                if not dead[(pos + length) >> 3] >> ((pos + length) & 7) & 1 and (not ids or self.compatible(ids[-1], i)):
                     break
                 k -= 1
             if k >= 0:
@@ -117,7 +117,7 @@ class PieceModel:
                 pos += length
                 k = len(at[pos]) - 1 if pos < n else -1
             else:
-                alive &= ~(1 << pos)
+                dead[pos >> 3] |= 1 << (pos & 7)
                 pos, k = tried.pop()
                 ids.pop()
                 k -= 1

@@ -5,14 +5,21 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestone.llm import bwt, chat, chunks, decontaminate, fm, minhash, pieces, pseudonyms, quality, shards
+from lodestone.llm import bwt, chat, chunks, decontaminate, fm, minhash, pieces, pseudonyms, quality, shards, sql
 from lodestone.runtime import ship_package
 
 
+#: Bytes of an Arrow batch that goes to a Python worker.
+BATCH_BYTES = 4 << 20
+
+
 def tune(spark: SparkSession) -> None:
-    """Arrow batches of bounded size: long texts must not pile up in one batch."""
+    """Arrow batches bounded by bytes: long texts must not pile up in one batch.
+
+    Spark reads this setting when a result is computed, so it stays with the session.
+    """
     ship_package(spark)
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -82,4 +89,10 @@ QUERIES = {
     "op10_decontaminate": op10_decontaminate,
 }
 
-ORACLES: dict[str, str] = {"op10_decontaminate": decontaminate.ORACLE}
+ORACLES: dict[str, str] = {
+    "op1_minhash_near_dedup": sql.near_duplicates(85),
+    "op5_fm_substring_dedup": sql.repeated_words(fm.WINDOW),
+    "op6_chat_format": sql.chats(chat.OPEN.decode(), chat.CLOSE.decode()),
+    "op9_bwt_substring_dedup": sql.repeated_bytes(bwt.WINDOW),
+    "op10_decontaminate": decontaminate.ORACLE,
+}
