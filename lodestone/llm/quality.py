@@ -3,8 +3,10 @@
 Trusted positives are documents labelled good, the rest of the web text is unlabelled. The
 non-negative unbiased risk  prior * E_pos[l(g)] + max(0, E_unl[l(-g)] - prior * E_pos[l(-g)])
 is minimised; where the second part turns negative, its gradient is reversed, so that it cannot be
-pushed below zero by overfitting. The model adds up one weight for each feature's bin, so any
-single-feature shape can be learned; features are counts of the text alone.
+pushed below zero by overfitting. The prior is estimated from positives and unlabelled texts alone: no
+negative label is used anywhere. The model adds up one weight for each feature's bin, so any
+single-feature shape can be learned; features are counts of the text, and shares of its words and character
+runs in hashed buckets.
 """
 
 from __future__ import annotations
@@ -16,12 +18,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodestone.llm.textbytes import buffer_of, mix64, slices, word_hashes, words_of
+from lodestone.llm.textbytes import LOWER_AZ, buffer_of, mix64, slices, word_hashes, words_of
 from lodestone.runtime import materialize, small
 
 #: The classifier is fitted on at most so many documents of each kind, those with the smallest hash of their id.
 MOST_POSITIVES, MOST_UNLABELLED = 12_000, 24_000
 BINS = 24
+#: Buckets of hashed words and of hashed runs of GRAM characters.
+BUCKETS, GRAM = 32, 4
+#: Positives that must lie above a cut of the prior's estimate, and its slack in standard deviations.
+LEAST_ABOVE, SLACK = 0.2, 1.5
 
 _CLASSES = {
     "upper": range(65, 91),
@@ -38,7 +44,8 @@ _CLASSES = {
 _CLASS_OF = np.full(256, len(_CLASSES), np.int64)
 for _k, _members in enumerate(_CLASSES.values()):
     _CLASS_OF[list(_members)] = _k
-NAMES = [*_CLASSES, "words", "word_length", "longest", "distinct", "distinct_pairs", "distinct_triples", "top_word", "distinct_lines", "marked"]
+COUNTS = [*_CLASSES, "words", "word_length", "longest", "distinct", "distinct_pairs", "distinct_triples", "top_word", "distinct_lines", "marked"]
+NAMES = [*COUNTS, *[f"word_{k}" for k in range(BUCKETS)], *[f"gram_{k}" for k in range(BUCKETS)]]
 
 
 def _distinct(values: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -100,7 +107,29 @@ def _features(buf: np.ndarray, off: np.ndarray) -> np.ndarray:
     marks = np.concatenate(([0], np.cumsum(mark)))
     marked = np.bincount(owner, weights=(marks[ends] > marks[starts]), minlength=n) / some
     total = np.bincount(owner, weights=length, minlength=n)
-    return np.column_stack([shares, np.log1p(count), total / some, np.log1p(longest), *ratios, top / some, line_ratio, marked])
+    return np.column_stack([shares, np.log1p(count), total / some, np.log1p(longest), *ratios, top / some, line_ratio, marked, _hashed(words, owner, n, some), _grams(buf, off)])
+
+
+def _hashed(values: np.ndarray, owner: np.ndarray, n: int, totals: np.ndarray) -> np.ndarray:
+    """Share of each document's values in each bucket."""
+    bucket = (values % np.uint64(BUCKETS)).astype(np.int64)
+    return np.bincount(owner * BUCKETS + bucket, minlength=n * BUCKETS).reshape(n, BUCKETS) / totals[:, None]
+
+
+def _grams(buf: np.ndarray, off: np.ndarray) -> np.ndarray:
+    """Share of the runs of GRAM bytes, letters in lower case, in each bucket; none reaches into another document."""
+    n = len(off) - 1
+    low = LOWER_AZ[buf].astype(np.uint32)
+    if len(low) < GRAM:
+        return np.zeros((n, BUCKETS))
+    code = low[: len(low) - GRAM + 1].copy()
+    for k in range(1, GRAM):
+        code = (code << np.uint32(8)) | low[k : len(low) - GRAM + 1 + k]
+    owner = np.repeat(np.arange(n), np.diff(off))[: len(code)]
+    whole = off[1:][owner] - np.arange(len(code)) >= GRAM
+    bucket = ((code * np.uint32(0x9E3779B1)) >> np.uint32(27)).astype(np.int64)[whole]
+    counts = np.bincount(owner[whole] * BUCKETS + bucket, minlength=n * BUCKETS).reshape(n, BUCKETS)
+    return counts / np.maximum(np.diff(off) - GRAM + 1, 1)[:, None]
 
 
 def features(texts: pa.Array) -> np.ndarray:
@@ -156,6 +185,35 @@ def fit(positive: np.ndarray, unlabelled: np.ndarray, prior: float, steps: int =
     return model
 
 
+def risk(model: Model, positive: np.ndarray, unlabelled: np.ndarray, prior: float) -> tuple[float, float]:
+    """The two parts of the risk: of the positives, and of the negatives before it is kept from falling below zero."""
+    loss = lambda x, sign: np.logaddexp(0, -sign * (model.weights[model.bins(x)].sum(axis=1) + model.bias)).mean()
+    return prior * loss(positive, 1), loss(unlabelled, -1) - prior * loss(positive, -1)
+
+
+def estimated_prior(positive: np.ndarray, unlabelled: np.ndarray) -> float:
+    """Share of positives among unlabelled scores: the least ratio of the parts above a cut, over all cuts.
+
+    Above any cut lie at least prior * (part of the positives) of the unlabelled, and where only positives are left just
+    that. Each ratio is taken at its upper bound for chance, so the estimate leans to the side that keeps good documents;
+    cuts with few positives above are left out.
+    """
+    cuts = np.unique(positive)
+    above = 1 - np.searchsorted(np.sort(positive), cuts, "left") / len(positive)
+    also = 1 - np.searchsorted(np.sort(unlabelled), cuts, "left") / len(unlabelled)
+    keep = above >= LEAST_ABOVE
+    deviation = np.sqrt(also * (1 - also) / len(unlabelled) + (also / above) ** 2 * above * (1 - above) / len(positive))
+    ratio = (also + SLACK * deviation) / above
+    best = int(np.argmin(np.where(keep, ratio, np.inf)))
+    return float(min(0.95, max(0.05, ratio[best])))
+
+
+def fit_prior(positive: np.ndarray, unlabelled: np.ndarray) -> float:
+    """The prior, from scores of one half of the rows by a model fitted on the other half."""
+    first = fit(positive[::2], unlabelled[::2], 0.5, steps=300)
+    return estimated_prior(first.score(positive[1::2]), first.score(unlabelled[1::2]))
+
+
 def held_out(doc_id: F.Column) -> F.Column:
     """Rows whose labels are never learned from."""
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 3 == 1, F.lit(False))
@@ -168,16 +226,13 @@ def _vectors(batches):
         yield pa.RecordBatch.from_arrays([batch.column(0), lists], names=["positive", "x"])
 
 
-def train(docs: DataFrame, labels: DataFrame) -> Model:
+def train(docs: DataFrame, labels: DataFrame) -> Model | None:
     """Fit on documents outside the held-out part: those labelled 1, and those without a label.
 
-    The class prior is the share of 1 among labels outside the held-out part, kept within 0.05 and 0.95.
-    Samples are bounded by MOST_POSITIVES and MOST_UNLABELLED. Without positives or unlabelled
-    documents every text scores the prior.
+    Samples are bounded by MOST_POSITIVES and MOST_UNLABELLED, each the documents with the smallest hash of their id.
+    Without at least two of each kind there is nothing to learn from, and no model.
     """
     known = labels.where("quality is not null and doc_id is not null").where(~held_out(F.col("doc_id"))).groupBy("doc_id").agg(F.max("quality").alias("quality"))
-    good, n = known.agg(F.sum("quality"), F.count(F.lit(1))).first()
-    prior = min(0.95, max(0.05, (good or 0) / n)) if n else 0.5
     order = F.xxhash64("doc_id", F.lit(8))
     ids = docs.where("doc_id is not null").where(~held_out(F.col("doc_id"))).select("doc_id")
     positive = ids.join(known.where("quality = 1"), "doc_id", "left_semi").distinct().orderBy(order, "doc_id").limit(MOST_POSITIVES)
@@ -186,28 +241,33 @@ def train(docs: DataFrame, labels: DataFrame) -> Model:
     sample = docs.select("doc_id", "text").join(small(chosen), "doc_id").select("positive", "text")
     rows = sample.mapInArrow(_vectors, "positive boolean, x array<float>").toArrow()
     flag = rows.column("positive").combine_chunks().to_numpy(zero_copy_only=False).astype(bool)
-    x = rows.column("x").combine_chunks().flatten().to_numpy().reshape(-1, len(NAMES)).astype(float)
-    order = np.lexsort((*x.T, flag))  # the same sums whatever order the rows came in
+    x = rows.column("x").combine_chunks().flatten().to_numpy().reshape(-1, len(NAMES))
+    order = np.lexsort((*x.T[: len(COUNTS)], flag))  # the same sums whatever order the rows came in
     x, flag = x[order], flag[order]
-    if not flag.any() or flag.all():
-        return Model([np.zeros(0)] * len(NAMES), np.zeros(BINS * len(NAMES)), float(np.log(prior / (1 - prior))))
-    return fit(x[flag], x[~flag], prior)
+    if min(flag.sum(), (~flag).sum()) < 2:
+        return None
+    # A fixed shuffle, so that the halves of the prior's estimate are alike.
+    mixed = np.random.default_rng(8).permutation(len(flag))
+    x, flag = x[mixed], flag[mixed]
+    return fit(x[flag], x[~flag], fit_prior(x[flag], x[~flag]))
 
 
-def scores(docs: DataFrame, model: Model) -> DataFrame:
-    """(doc_id, held_out, score, predicted) for each row; null and empty texts are scored as empty."""
+def scores(docs: DataFrame, model: Model | None) -> DataFrame:
+    """(doc_id, held_out, score, predicted) for each row; null and empty texts are scored as empty. Without a model all score 0.5."""
 
     def run(batches):
         for batch in batches:
-            s = model.score(features(batch.column(1)))
+            s = model.score(features(batch.column(1))) if model is not None else np.full(batch.num_rows, 0.5)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(s)], names=["doc_id", "score"])
 
     scored = docs.select("doc_id", "text").mapInArrow(run, "doc_id long, score double")
     return scored.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
-def keep_good(docs: DataFrame, model: Model) -> DataFrame:
-    """The rows of ``docs``, with all their columns, whose text the model takes for good."""
+def keep_good(docs: DataFrame, model: Model | None) -> DataFrame:
+    """The rows of ``docs``, with all their columns, whose text the model takes for good; all of them without a model."""
+    if model is None:
+        return docs
     at = docs.columns.index("text")
 
     def run(batches):
