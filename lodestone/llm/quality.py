@@ -26,8 +26,8 @@ MOST_POSITIVES, MOST_UNLABELLED = 12_000, 24_000
 BINS = 24
 #: Buckets of hashed words and of hashed runs of GRAM characters.
 BUCKETS, GRAM = 32, 4
-#: Positives that must lie above a cut of the prior's estimate, and its slack in standard deviations.
-LEAST_ABOVE, SLACK = 0.2, 1.5
+#: The part, and the number, of positives that must lie above a cut of the prior's estimate, and its slack in standard deviations.
+LEAST_ABOVE, LEAST_POSITIVES, SLACK = 0.2, 30, 1.5
 
 _CLASSES = {
     "upper": range(65, 91),
@@ -196,12 +196,13 @@ def estimated_prior(positive: np.ndarray, unlabelled: np.ndarray) -> float:
 
     Above any cut lie at least prior * (part of the positives) of the unlabelled, and where only positives are left just
     that. Each ratio is taken at its upper bound for chance, so the estimate leans to the side that keeps good documents;
-    cuts with few positives above are left out.
+    cuts with few positives above are left out, so a small sample gives a high prior.
     """
     cuts = np.unique(positive)
     above = 1 - np.searchsorted(np.sort(positive), cuts, "left") / len(positive)
-    also = 1 - np.searchsorted(np.sort(unlabelled), cuts, "left") / len(unlabelled)
-    keep = above >= LEAST_ABOVE
+    # One more of each kind than seen, so that no part is taken for certain.
+    also = (len(unlabelled) - np.searchsorted(np.sort(unlabelled), cuts, "left") + 1) / (len(unlabelled) + 2)
+    keep = above >= min(1.0, max(LEAST_ABOVE, LEAST_POSITIVES / len(positive)))
     deviation = np.sqrt(also * (1 - also) / len(unlabelled) + (also / above) ** 2 * above * (1 - above) / len(positive))
     ratio = (also + SLACK * deviation) / above
     best = int(np.argmin(np.where(keep, ratio, np.inf)))

@@ -8,13 +8,12 @@ Then whole rows move once, to bins of bounded size inside their shard, and are w
 
 from __future__ import annotations
 
-import uuid
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lodestone.runtime import materialize, shared_dir, small
+from lodestone.runtime import materialize, fresh_path, small
 
 #: Probe keys for each open splitter in a round: what comes to the driver is at most PROBES * shards rows.
 PROBES = 64
@@ -99,7 +98,8 @@ def placed(docs: DataFrame, shards: int = 16, tolerance: float = 0.0) -> DataFra
     Shards are ranges of doc_id whose bytes are as near j/shards of the total as whole keys allow
     (``tolerance`` 0) or within the tolerance. ``slot`` counts a shard's rows from 0 without gaps, by doc_id,
     then size and checksum, then the other columns (maps apart); identical rows take neighbouring slots. Rows with one
-    doc_id stay together. A null doc_id sorts before all others, in shard 0.
+    doc_id stay together, so a doc_id with more bytes than a shard's share makes that shard larger (doc_id is a key). A null
+    doc_id sorts before all others, in shard 0.
     """
     rows = materialize(sized(docs), "sized")
     known = rows.where("doc_id is not null")
@@ -143,7 +143,7 @@ def histogram_sort(docs: DataFrame, shards: int = 16, tolerance: float = 0.0) ->
     ``write_shards`` has the rows themselves. grown_shard is null under this law.
     An empty table gives no rows; with fewer keys than shards some shards stay empty.
     """
-    rows = write_shards(docs, f"{shared_dir(docs.sparkSession)}/lodestone/shards-{uuid.uuid4().hex}", shards, tolerance)
+    rows = write_shards(docs, fresh_path(docs.sparkSession, "shards"), shards, tolerance)
     return rows.select(
         F.col("row.doc_id").alias("doc_id"),
         *_digests("row.text"),
