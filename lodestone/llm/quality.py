@@ -26,6 +26,8 @@ MOST_POSITIVES, MOST_UNLABELLED = 12_000, 24_000
 BINS = 24
 #: Buckets of hashed words and of hashed runs of GRAM characters.
 BUCKETS, GRAM = 32, 4
+#: Bytes of texts whose features are counted at once; a worker needs some 80 bytes for each.
+SLICE = 1 << 18
 #: The part, and the number, of positives that must lie above a cut of the prior's estimate, and its slack in standard deviations.
 LEAST_ABOVE, LEAST_POSITIVES, SLACK = 0.2, 30, 1.5
 
@@ -135,8 +137,8 @@ def _grams(buf: np.ndarray, off: np.ndarray) -> np.ndarray:
 def features(texts: pa.Array) -> np.ndarray:
     """One row of numbers for each text; an empty or null text has the row of zero counts."""
     buf, off = buffer_of(texts)
-    parts = [_features(buf[off[i] : off[j]], off[i : j + 1] - off[i]) for i, j in slices(off)]
-    return np.concatenate(parts) if parts else np.zeros((0, len(NAMES)))
+    parts = [_features(buf[off[i] : off[j]], off[i : j + 1] - off[i]).astype(np.float32) for i, j in slices(off, SLICE)]
+    return np.concatenate(parts) if parts else np.zeros((0, len(NAMES)), np.float32)
 
 
 @dataclass

@@ -9,17 +9,18 @@ from lodestone.llm import bwt, chat, chunks, decontaminate, fm, minhash, pieces,
 from lodestone.runtime import ship_package
 
 
-#: Bytes of an Arrow batch that goes to a Python worker.
-BATCH_BYTES = 4 << 20
+#: Bytes and rows of an Arrow batch that goes to a Python worker.
+BATCH_BYTES, BATCH_ROWS = 2 << 20, 1000
 
 
 def tune(spark: SparkSession) -> None:
-    """Arrow batches bounded by bytes: long texts must not pile up in one batch.
+    """Arrow batches bounded by bytes, as long texts must not pile up in one batch, and by rows, as short ones grow in a worker.
 
-    Spark reads this setting when a result is computed, so it stays with the session.
+    Spark reads these settings when a result is computed, so they stay with the session.
     """
     ship_package(spark)
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
