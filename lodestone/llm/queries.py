@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestone.llm import bwt, chat, chunks, decontaminate, fm, minhash, pieces, pseudonyms, quality, shards, sql
+from lodestone.llm import bwt, chat, chunks, decontaminate, fm, minhash, pieces, pseudonyms, quality, shards, sql, trie
 from lodestone.runtime import ship_package
 
 
@@ -77,6 +77,11 @@ def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.contained_items(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    tune(spark)
+    return trie.conversation_trie(table(spark, sf_dir, "conversations"))
+
+
 QUERIES = {
     "op1_minhash_near_dedup": op1_minhash_near_dedup,
     "op2_histogram_sort": op2_histogram_sort,
@@ -88,6 +93,7 @@ QUERIES = {
     "op8_quality": op8_quality,
     "op9_bwt_substring_dedup": op9_bwt_substring_dedup,
     "op10_decontaminate": op10_decontaminate,
+    "op11_prefix_trie": op11_prefix_trie,
 }
 
 ORACLES: dict[str, str] = {
@@ -96,4 +102,5 @@ ORACLES: dict[str, str] = {
     "op6_chat_format": sql.chats(chat.OPEN.decode(), chat.CLOSE.decode()),
     "op9_bwt_substring_dedup": sql.repeated_bytes(bwt.WINDOW),
     "op10_decontaminate": decontaminate.ORACLE,
+    "op11_prefix_trie": trie.oracle(),
 }
