@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestone.llm import bwt, chat, chunks, decontaminate, fm, minhash, pieces, pseudonyms, quality, shards, sql, trie, whitening
+from lodestone.llm import bwt, chat, chunks, decontaminate, fm, minhash, pieces, pseudonyms, quality, secretscan, shards, sql, trie, whitening
 from lodestone.runtime import ship_package
 
 
@@ -87,6 +87,11 @@ def op12_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
     return whitening.whiten(table(spark, sf_dir, "embeddings"))
 
 
+def op13_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    tune(spark)
+    return secretscan.find_secrets(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op1_minhash_near_dedup": op1_minhash_near_dedup,
     "op2_histogram_sort": op2_histogram_sort,
@@ -100,6 +105,7 @@ QUERIES = {
     "op10_decontaminate": op10_decontaminate,
     "op11_prefix_trie": op11_prefix_trie,
     "op12_whitening": op12_whitening,
+    "op13_secret_scan": op13_secret_scan,
 }
 
 ORACLES: dict[str, str] = {
