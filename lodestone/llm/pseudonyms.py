@@ -2,7 +2,8 @@
 
 Values are found by pattern, validated, and replaced by a keyed permutation inside their own
 format: a card number by another card number that passes the check digit, a date by another
-date written with the same widths, an address by another address. Numbers go through a balanced
+date written with the same widths, an address by another address. Decimal digits of any script are read by their value and
+written back in their own script. Numbers go through a balanced
 Feistel network with cycle walking. Strings go through an alternating one over their two halves,
 whose round function draws a stream as long as the half it changes from all of the other half, so
 every character depends on the whole value, whatever its length. Equal values get equal pseudonyms
@@ -16,8 +17,11 @@ import datetime
 import functools
 import hashlib
 import hmac
+import ipaddress
 import re
 import secrets
+import unicodedata
+from collections.abc import Mapping
 from math import isqrt
 
 import numpy as np
@@ -25,6 +29,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lodestone.llm.frames import map_rows
+
 ROUNDS = 10
 DIGITS = "0123456789"
 LOWER = "abcdefghijklmnopqrstuvwxyz"
@@ -33,12 +39,45 @@ UPPER = LOWER.upper()
 MIXED = {c: kind for kind in (DIGITS, LOWER, UPPER) for c in kind}
 NUMBER = {c: DIGITS for c in DIGITS}
 HEX = {c: DIGITS + "abcdef" for c in DIGITS + "abcdef"}
+UPPER_HEX = {c: DIGITS + "ABCDEF" for c in DIGITS + "ABCDEF"}
+MIXED_HEX = {c: kind for kind in (DIGITS, "abcdef", "ABCDEF") for c in kind}
+#: Signs that may stand inside a secret; quotes and backslashes keep their places.
+SIGNS = "!#$%&()*+,-./:;<=>?@[]^_`{|}~"
 KEY_CHARS = {c: UPPER + DIGITS for c in UPPER + DIGITS}
 FIRST_YEAR, LAST_YEAR = 1900, 2099
 #: The session setting that holds the key.
 KEY_SETTING = "spark.lodestone.pseudonym.key"
 
 
+@functools.cache
+def _alike(c: str) -> str:
+    """The characters near ``c`` in the code table that are of its category."""
+    low = ord(c) & ~31
+    return "".join(x for x in map(chr, range(low, low + 32)) if unicodedata.category(x) == unicodedata.category(c))
+
+
+class Everything(Mapping):
+    """Kinds of all letters and digits of any script, and of ``signs``."""
+
+    def __init__(self, signs: str = ""):
+        self.known = MIXED | {c: signs for c in signs}
+
+    def __contains__(self, c: object) -> bool:
+        return c in self.known or (c > "\x7f" and c.isalnum())
+
+    def __getitem__(self, c: str) -> str:
+        return self.known[c] if c in self.known else _alike(c)
+
+    def __iter__(self):
+        return iter(self.known)
+
+    def __len__(self) -> int:
+        return len(self.known)
+
+
+ANY_LETTER, ANY_SIGN = Everything(), Everything(SIGNS)
+
+
 @functools.cache
 def _drawn(application: str) -> str:
     return secrets.token_hex(32)
@@ -85,7 +124,7 @@ def permute_string(values: list[int], bases: list[int], key: bytes, tweak: bytes
     return [*half[0].tolist(), *half[1].tolist()]
 
 
-def swap(text: str, kinds: dict[str, str], key: bytes, tweak: bytes) -> str:
+def swap(text: str, kinds: Mapping[str, str], key: bytes, tweak: bytes) -> str:
     """``text`` with the characters in ``kinds`` permuted among all strings of their kinds; the others stay."""
     at = [k for k, c in enumerate(text) if c in kinds]
     kind = [kinds[text[k]] for k in at]
@@ -196,14 +235,27 @@ def _email(m: re.Match, key: bytes) -> str | None:
     """Local part and host name are permuted; the last label (the top-level domain) stays."""
     local, _, domain = m[0].rpartition("@")
     host, _, top = domain.rpartition(".")
-    return f"{swap(local, MIXED, key, b'local')}@{swap(host, MIXED, key, b'host')}.{top}"
+    return f"{swap(local, ANY_LETTER, key, b'local')}@{swap(host, ANY_LETTER, key, b'host')}.{top}"
 
 
 def _hex(m: re.Match, key: bytes) -> str | None:
     head, text = m["head"] or "", m["hex"]
-    if not re.search(r"\d", text) or not re.search(r"[a-f]", text):
+    low, high = re.search(r"[a-f]", text), re.search(r"[A-F]", text)
+    if not re.search(r"\d", text) or not (low or high):
         return None
-    return head + swap(text, HEX, key, b"hex")
+    return head + swap(text, MIXED_HEX if low and high else UPPER_HEX if high else HEX, key, b"hex")
+
+
+def _ip6(m: re.Match, key: bytes) -> str | None:
+    """Another address, in the short form; however an address is written, it becomes the same one."""
+    try:
+        value = int(ipaddress.IPv6Address(m[0]))
+    except ValueError:
+        return None
+    if value < 2:  # unspecified and loopback
+        return None
+    text = str(ipaddress.IPv6Address(permute(value, 1 << 128, key, b"ip6")))
+    return text.upper() if re.search("[A-F]", m[0]) else text
 
 
 def _access_key(m: re.Match, key: bytes) -> str | None:
@@ -211,25 +263,62 @@ def _access_key(m: re.Match, key: bytes) -> str | None:
 
 
 def _secret(m: re.Match, key: bytes) -> str | None:
-    return m["lead"] + swap(m["value"], MIXED, key, b"secret")
+    """A quoted value as a whole; one without quotes but for the punctuation after it."""
+    if m["quoted"]:
+        return m["lead"] + m["quote"] + swap(m["quoted"], ANY_SIGN, key, b"secret") + m["quote"]
+    value = m["value"]
+    end = len(value.rstrip(".,;:!?)]}>"))
+    end = end if end >= 6 else len(value)
+    return m["lead"] + m["open"] + swap(value[:end], ANY_SIGN, key, b"secret") + value[end:]
+
+
+def _token(m: re.Match, key: bytes) -> str | None:
+    """A token behind its fixed lead; a value without any digit is a word."""
+    if not re.search(r"\d", m["value"]):
+        return None
+    return m["lead"] + swap(m["value"], MIXED, key, b"token" + m["lead"].strip().lower().encode())
 
 
-#: Patterns in order of precedence; where two kinds could match, the first that validates wins.
+_NAME = r"(?i:\b(?:password|passwd|pwd|secret|token|api[_-]?key)\b)[\"']?[ \t]*+[=:][ \t]*+"
+#: Patterns in order of precedence, and what a text must hold for them; where two kinds could match, the first that validates wins.
 KINDS = (
-    ("email", re.compile(r"(?<![\w.+-])[A-Za-z0-9](?:[A-Za-z0-9._%+-]{0,62}[A-Za-z0-9_%+-])?@(?:[A-Za-z0-9-]{1,63}\.){1,8}[A-Za-z]{2,24}"), _email),
-    ("access_key", re.compile(r"(?<![A-Za-z0-9])(?:AKIA|ASIA)[A-Z0-9]{16}(?![A-Za-z0-9])"), _access_key),
-    ("secret", re.compile(r"(?P<lead>(?i:\b(?:password|passwd|pwd|secret|token|api[_-]?key)\b)[\"']?\s?[=:]\s?[\"']?)(?P<value>[A-Za-z0-9_/+.-]{6,}+)"), _secret),
-    ("hex", re.compile(r"(?<![A-Za-z0-9])(?P<head>0x)?(?P<hex>[0-9a-f]{32,}+)(?![A-Za-z0-9])"), _hex),
-    ("iban", re.compile(r"(?<![A-Za-z0-9])[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])"), _iban),
-    ("ip", re.compile(r"(?<![\d.])\d{1,3}(?:\.\d{1,3}){3}(?![\d])(?!\.\d)"), _ip),
-    ("date", re.compile(r"(?<![\d./-])(?:\d{4}([-/.])\d{1,2}\1\d{1,2}|\d{1,2}([-/.])\d{1,2}\2\d{4})(?![\d])(?![./-]\d)"), _date),
-    ("ssn", re.compile(r"(?<![\d-])\d{3}-\d{2}-\d{4}(?![\d])(?!-\d)"), _ssn),
-    ("card", re.compile(r"(?<!\d)(?:\d{13,19}|\d{4}([ -])\d{4}\1\d{4}\1\d{1,7}|\d{4}([ -])\d{6}\2\d{5})(?!\d)"), _card),
-    ("phone", re.compile(r"(?<![\w+])\+\d{1,3}[ .-]?\(?\d{1,4}\)?(?:[ .-]?\d{2,4}){2,4}(?![\d])|(?<![\w(])\(\d{3}\) ?\d{3}[ .-]\d{4}(?![\d])|(?<![\w.-])\d{3}[.-]\d{3}[.-]\d{4}(?![\d])"), _phone),
+    ("email", ("@",), re.compile(r"(?<![\w.%+-])[\w.%+-]++@(?:[\w-]++\.)+[^\W\d_][\w-]*[^\W_]"), _email),
+    ("access_key", ("AKIA", "ASIA"), re.compile(r"(?<![A-Za-z0-9])(?:AKIA|ASIA)[A-Z0-9]{16}(?![A-Za-z0-9])"), _access_key),
+    ("secret", ("=", ":"), re.compile(rf"(?P<lead>{_NAME})(?:(?P<quote>[\"'])(?P<quoted>[^\"'\r\n]{{6,}}+)(?P=quote)|(?P<open>[\"']?)(?P<value>[^\s\"']{{6,}}+))"), _secret),
+    ("token", ("earer", "EARER"), re.compile(r"(?P<lead>(?i:\bbearer)[ \t]++)(?P<value>[A-Za-z0-9._~+/-]{12,}+)"), _token),
+    ("token", ("eyJ",), re.compile(r"(?P<lead>\beyJ)(?P<value>[A-Za-z0-9_-]*+\.[A-Za-z0-9_-]++\.[A-Za-z0-9_-]++)"), _token),
+    ("token", ("gh", "xox", "sk-"), re.compile(r"(?P<lead>\b(?:gh[pousr]_|github_pat_|xox[baprs]-|sk-))(?P<value>[A-Za-z0-9_-]{10,}+)"), _token),
+    ("hex", (), re.compile(r"(?<![A-Za-z0-9])(?P<head>0[xX])?(?P<hex>[0-9a-fA-F]{32,}+)(?![A-Za-z0-9])"), _hex),
+    ("iban", (), re.compile(r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])"), _iban),
+    ("ip", (":",), re.compile(r"(?<![\w:.])(?:[0-9A-Fa-f]{0,4}:){2,7}(?:[0-9]{1,3}(?:\.[0-9]{1,3}){3}|[0-9A-Fa-f]{0,4})(?![\w:])"), _ip6),
+    ("ip", (".",), re.compile(r"(?<![0-9.])[0-9]{1,3}(?:\.[0-9]{1,3}){3}(?![0-9])(?!\.[0-9])"), _ip),
+    ("date", (), re.compile(r"(?<![0-9./-])(?:[0-9]{4}([-/.])[0-9]{1,2}\1[0-9]{1,2}|[0-9]{1,2}([-/.])[0-9]{1,2}\2[0-9]{4})(?![0-9])(?![./-][0-9])"), _date),
+    ("ssn", ("-",), re.compile(r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9])(?!-[0-9])"), _ssn),
+    ("card", (), re.compile(r"(?<![0-9])(?:[0-9]{13,19}|[0-9]{4}([ -])[0-9]{4}\1[0-9]{4}\1[0-9]{1,7}|[0-9]{4}([ -])[0-9]{6}\2[0-9]{5})(?![0-9])"), _card),
+    ("phone", (), re.compile(r"(?<![\w+])\+[0-9]{1,3}[ .-]?\(?[0-9]{1,4}\)?(?:[ .-]?[0-9]{2,4}){2,4}(?![0-9])|(?<![\w(])\([0-9]{3}\) ?[0-9]{3}[ .-][0-9]{4}(?![0-9])|(?<![\w.-])[0-9]{3}[.-][0-9]{3}[.-][0-9]{4}(?![0-9])"), _phone),
 )
 #: A text without any of these holds nothing that a pattern can match.
-MAYBE = re.compile(r"[\d@]|AKIA|ASIA|(?i:password|passwd|pwd|secret|token|api[_-]?key)")
-
+MAYBE = re.compile(r"[\d@]|::|AKIA|ASIA|(?i:password|passwd|pwd|secret|token|api[_-]?key)")
+_OTHER_DIGIT = re.compile(r"[^\D0-9]")
+
+
+def _folded(text: str) -> str:
+    """The text with decimal digits of all scripts as 0 to 9; every character keeps its place."""
+    return text if text.isascii() else _OTHER_DIGIT.sub(lambda m: str(unicodedata.decimal(m[0])), text)
+
+
+def _in_script(new: str, old: str) -> str:
+    """``new`` with its digits in the scripts of the digits of ``old``, place by place, the last one for the rest."""
+    zeros = [ord(c) - unicodedata.decimal(c) for c in old if c.isdecimal()]
+    if not zeros or set(zeros) == {ord("0")}:
+        return new
+    out, k = [], 0
+    for c in new:
+        if c in DIGITS:
+            c = chr(zeros[min(k, len(zeros) - 1)] + int(c))
+            k += 1
+        out.append(c)
+    return "".join(out)
 
 
 def pseudonymise(text: str, key: bytes) -> tuple[str, dict[str, int]]:
@@ -240,23 +329,27 @@ def pseudonymise(text: str, key: bytes) -> tuple[str, dict[str, int]]:
     counts: dict[str, int] = {}
     if not MAYBE.search(text):
         return text, counts
-    parts: list[tuple[bool, str]] = [(False, text)]
-    for k, (name, pattern, make) in enumerate(KINDS):
-        fresh: list[tuple[bool, str]] = []
-        for done, part in parts:
-            if done or len(part) < 6:
-                fresh.append((done, part))
+    plain = _folded(text)
+    parts: list[tuple[str | None, int, int]] = [(None, 0, len(text))]
+    for name, needs, pattern, make in KINDS:
+        if needs and not any(x in plain for x in needs):
+            continue
+        fresh: list[tuple[str | None, int, int]] = []
+        for new, start, end in parts:
+            if new is not None or end - start < 6:
+                fresh.append((new, start, end))
                 continue
-            at = 0
+            at, part = start, plain[start:end]
             for m in pattern.finditer(part):
-                new = make(m, key)
-                if new is not None:
-                    fresh += [(False, part[at : m.start()]), (True, new)]
-                    at = m.end()
+                value = make(m, key)
+                if value is not None:
+                    low, high = start + m.start(), start + m.end()
+                    fresh += [(None, at, low), (_in_script(value, text[low:high]), low, high)]
+                    at = high
                     counts[name] = counts.get(name, 0) + 1
-            fresh.append((False, part[at:]))
+            fresh.append((None, at, end))
         parts = fresh
-    return "".join([p for _, p in parts]), counts
+    return "".join([text[a:b] if new is None else new for new, a, b in parts]), counts
 
 
 def _run(key: bytes):
@@ -278,8 +371,9 @@ def _run(key: bytes):
 def pseudonyms(docs: DataFrame, key: str) -> DataFrame:
     """(doc_id, text, n_found, kinds): each whole text with its personal data replaced by pseudonyms.
 
-    Validated kinds: email, cloud access key, password or token value, long hexadecimal string, IBAN (mod 97), IP
-    address, date (1900-2099), social security number, card number (check digit), phone number. What
+    Validated kinds: email, cloud access key, password or token value, bearer, web, hub and chat token, long hexadecimal string of either case,
+    IBAN (mod 97), IP address of either version, date (1900-2099), social security number, card number (check digit), phone number, with
+    decimal digits of any script. What
     fails validation stays as it is. A null text stays null; rows are independent, so repeated rows
     get equal results; other columns are ignored; an empty table gives no rows.
     """
@@ -299,5 +393,5 @@ def replace_text(docs: DataFrame, key: str) -> DataFrame:
             cols[at] = pa.array(new, pa.string())
             yield pa.RecordBatch.from_arrays(cols, names=batch.schema.names)
 
-    out = docs.mapInArrow(run, docs.schema)
+    out = map_rows(docs, run)
     return out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in names else out

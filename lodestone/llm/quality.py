@@ -18,6 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lodestone.llm.frames import map_rows
 from lodestone.llm.textbytes import LOWER_AZ, buffer_of, mix64, slices, word_hashes, words_of
 from lodestone.runtime import materialize, small
 
@@ -277,4 +278,4 @@ def keep_good(docs: DataFrame, model: Model | None) -> DataFrame:
         for batch in batches:
             yield batch.filter(pa.array(model.score(features(batch.column(at))) >= 0.5))
 
-    return docs.mapInArrow(run, docs.schema)
+    return map_rows(docs, run)

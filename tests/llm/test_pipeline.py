@@ -27,6 +27,18 @@ def test_stages(spark):
     assert last.count() == kept.count()
 
 
+def test_any_column_names_pass(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet").limit(60).selectExpr("*", "lang AS `a.b`", "map('k', source) AS `x``y`", "1 AS `count`", "2 AS `r`")
+    kept = docs.union(docs.limit(3))
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        kept = stage(spark, kept, SF)
+        assert kept.columns == docs.columns, name
+        rows = kept.collect()
+        assert rows and all(r["a.b"] == r.lang and r["x`y"] == {"k": r.source} and (r["count"], r["r"]) == (1, 2) for r in rows)
+        kept = spark.createDataFrame(rows, kept.schema)
+    corpus_pipeline.STAGES[-1][1](spark, kept, SF).collect()
+
+
 def test_odd_rows_pass(spark):
     schema = spark.read.parquet(f"{SF}/documents.parquet").schema
     rows = [(None, None, None, None, None), (1, "", "en", "s", 0), (1, "", "en", "s", 0), (1, "a b", "en", "s", 3), (2, None, None, "s", None), (3, "word " * 300, "en", "s", 1500)]
