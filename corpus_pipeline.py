@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestone.llm import decontaminate, minhash, pieces, pseudonyms, quality
+from lodestone.llm.frames import columns_of
 from lodestone.llm.queries import table, tune
 from lodestone.runtime import discard, fresh_path, materialize, scope, ship_package, small
 
@@ -20,7 +21,7 @@ from lodestone.runtime import discard, fresh_path, materialize, scope, ship_pack
 def _without(docs: DataFrame, ids: DataFrame) -> DataFrame:
     """The rows of ``docs`` whose doc_id is not in ``ids``; rows with a null doc_id stay."""
     ids = materialize(ids.select("doc_id").distinct(), "ids")
-    return docs.join(small(ids), "doc_id", "left_anti").select(*docs.columns)
+    return docs.join(small(ids), "doc_id", "left_anti").select(*columns_of(docs))
 
 
 def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -48,10 +49,10 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     n = again.count()
     if not n:
         return left
-    repeated = left.join(small(again), "doc_id", "left_semi").select(*docs.columns)
-    order = ["text", *[c for c, kind in docs.dtypes if c not in ("doc_id", "text") and not any(k in kind for k in ("map<", "variant", "interval"))]]
-    one = repeated.groupBy("doc_id").agg(F.min_by(F.struct(*docs.columns), F.struct(*order)).alias("r"))
-    return left.join(small(again), "doc_id", "left_anti").select(*docs.columns).unionByName(one.select("r.*"))
+    repeated = left.join(small(again), "doc_id", "left_semi").select(*columns_of(docs))
+    ordered = [c for c, (name, kind) in zip(columns_of(docs), docs.dtypes) if name not in ("doc_id", "text") and not any(k in kind for k in ("map<", "variant", "interval"))]
+    one = repeated.groupBy("doc_id").agg(F.min_by(F.struct(*columns_of(docs)), F.struct("text", *ordered)).alias("r"))
+    return left.join(small(again), "doc_id", "left_anti").select(*columns_of(docs)).unionByName(one.select("r.*"))
 
 
 def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
