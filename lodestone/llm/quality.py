@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lodestone.llm.frames import map_rows
-from lodestone.llm.textbytes import LOWER_AZ, buffer_of, mix64, slices, word_hashes, words_of
+from lodestone.llm.textbytes import LOWER_AZ, WORD_BREAKS, buffer_of, mix64, slices, word_hashes, words_of
 from lodestone.runtime import materialize, small
 
 #: The classifier is fitted on at most so many documents of each kind, those with the smallest hash of their id.
@@ -27,7 +27,7 @@ MOST_POSITIVES, MOST_UNLABELLED = 12_000, 24_000
 BINS = 24
 #: Buckets of hashed words and of hashed runs of GRAM characters.
 BUCKETS, GRAM = 32, 4
-#: Bytes of texts whose features are counted at once; a worker needs some 80 bytes for each.
+#: Bytes of texts whose features are counted at once; longer texts are counted in pieces. A worker needs some 60 bytes for each.
 SLICE = 1 << 18
 #: The part, and the number, of positives that must lie above a cut of the prior's estimate, and its slack in standard deviations.
 LEAST_ABOVE, LEAST_POSITIVES, SLACK = 0.2, 30, 1.5
@@ -44,9 +44,11 @@ _CLASSES = {
     "other": [*range(9), *range(14, 32), 127],
     "high": range(128, 256),
 }
-_CLASS_OF = np.full(256, len(_CLASSES), np.int64)
+_CLASS_OF = np.full(256, len(_CLASSES), np.int32)
 for _k, _members in enumerate(_CLASSES.values()):
     _CLASS_OF[list(_members)] = _k
+_MARKS = np.isin(np.arange(len(_CLASSES) + 1), [list(_CLASSES).index(c) for c in ("bang", "symbol", "bar")])
+_LINE_VALUE = mix64(np.arange(1, 257, dtype=np.uint64))
 COUNTS = [*_CLASSES, "words", "word_length", "longest", "distinct", "distinct_pairs", "distinct_triples", "top_word", "distinct_lines", "marked"]
 NAMES = [*COUNTS, *[f"word_{k}" for k in range(BUCKETS)], *[f"gram_{k}" for k in range(BUCKETS)]]
 
@@ -78,17 +80,83 @@ def _runs(words: np.ndarray, first: np.ndarray, k: int) -> tuple[np.ndarray, np.
     return h, out
 
 
-def _features(buf: np.ndarray, off: np.ndarray) -> np.ndarray:
+@dataclass
+class Parts:
+    """What the bytes of some texts add to their features; the parts of pieces of one text add up."""
+
+    classes: np.ndarray
+    grams: np.ndarray
+    words: np.ndarray
+    first: np.ndarray
+    lengths: np.ndarray
+    marked: np.ndarray
+    lines: np.ndarray
+    first_line: np.ndarray
+    #: Of a piece's first and last line: the sum without places, and the last line's length.
+    plain: np.uint64 = np.uint64(0)
+    open_length: int = 0
+
+
+def _parts(buf: np.ndarray, off: np.ndarray, follow: np.ndarray = np.zeros(0, np.uint8)) -> Parts:
+    """``follow``: the bytes after the piece, where runs of characters may go on."""
     n = len(off) - 1
-    size = np.maximum(np.diff(off), 1).astype(float)
     kind = _CLASS_OF[buf]
-    doc = np.repeat(np.arange(n), np.diff(off))
-    shares = np.bincount(doc * (len(_CLASSES) + 1) + kind, minlength=n * (len(_CLASSES) + 1)).reshape(n, -1)[:, : len(_CLASSES)] / size[:, None]
+    doc = np.repeat(np.arange(n, dtype=np.int32), np.diff(off))
+    classes = np.bincount(doc * np.int32(len(_CLASSES) + 1) + kind, minlength=n * (len(_CLASSES) + 1)).reshape(n, -1)[:, : len(_CLASSES)]
     starts, ends, first = words_of(buf, off)
-    words = word_hashes(buf, starts, ends)
+    marks = np.concatenate((np.zeros(1, np.int32), np.cumsum(_MARKS[kind], dtype=np.int32)))
+    ends_line = np.flatnonzero(buf == 10)
+    cuts = np.unique(np.concatenate((off[:-1][np.diff(off) > 0], ends_line + 1)))
+    cuts = cuts[cuts < len(buf)]
+    lines, plain, open_length = np.zeros(0, np.uint64), np.uint64(0), 0
+    if len(cuts):
+        sizes = np.diff(np.append(cuts, len(buf)))
+        lines = np.add.reduceat(_LINE_VALUE[buf] * (np.arange(1, len(buf) + 1) - np.repeat(cuts, sizes)).astype(np.uint64), cuts)
+        plain, open_length = _LINE_VALUE[buf[: sizes[0]]].sum(), 0 if buf[-1] == 10 else int(sizes[-1])
+    return Parts(classes, _grams(buf, off, follow), word_hashes(buf, starts, ends), first, (ends - starts).astype(np.int32), marks[ends] > marks[starts], lines, np.searchsorted(cuts, off), plain, open_length)
+
+
+def _joined(pieces: list[Parts]) -> Parts:
+    """The parts of one text from those of its pieces; a line that goes on in the next piece keeps its places."""
+    lines, held = [pieces[0].lines], pieces[0].open_length
+    for p in pieces[1:]:
+        more = p.lines.copy()
+        if held and len(more):
+            lines[-1][-1:] += more[:1] + np.array([held], np.uint64) * p.plain
+            alone = len(more) == 1
+            more = more[1:]
+            held = (held + p.open_length) if alone and p.open_length else p.open_length
+        else:
+            held = p.open_length
+        if len(more):
+            lines.append(more)
+    words, every = np.concatenate([p.words for p in pieces]), np.concatenate(lines)
+    return Parts(
+        sum(p.classes for p in pieces), sum(p.grams for p in pieces), words, np.array([0, len(words)]), np.concatenate([p.lengths for p in pieces]),
+        np.concatenate([p.marked for p in pieces]), every, np.array([0, len(every)]),
+    )
+
+
+def _long_text(buf: np.ndarray) -> Parts:
+    """The parts of one long text, SLICE bytes at a time and on to the next word break."""
+    pieces, low = [], 0
+    while low < len(buf):
+        high = min(len(buf), low + SLICE)
+        while high < len(buf) and not WORD_BREAKS[buf[high - 1]]:
+            stop = np.flatnonzero(WORD_BREAKS[buf[high : high + SLICE]])
+            high = high + int(stop[0]) + 1 if len(stop) else min(len(buf), high + SLICE)
+        pieces.append(_parts(buf[low:high], np.array([0, high - low]), buf[high : high + GRAM - 1]))
+        low = high
+    return _joined(pieces)
+
+
+def _features(p: Parts, size: np.ndarray) -> np.ndarray:
+    """The features of texts of ``size`` bytes from their parts."""
+    n = len(size)
+    shares = p.classes / np.maximum(size, 1)[:, None]
+    words, first, length = p.words, p.first, p.lengths.astype(float)
     count = np.diff(first).astype(float)
     some = np.maximum(count, 1)
-    length = (ends - starts).astype(float)
     longest = np.zeros(n)
     owner = np.repeat(np.arange(n), np.diff(first))
     np.maximum.at(longest, owner, length)
@@ -97,20 +165,11 @@ def _features(buf: np.ndarray, off: np.ndarray) -> np.ndarray:
     for k in (2, 3):
         h, at = _runs(words, first, k)
         ratios.append(np.where(count >= k, _distinct(h, at)[0] / np.maximum(count - k + 1, 1), 1.0))
-    ends_line = np.flatnonzero(buf == 10)
-    cuts = np.unique(np.concatenate((off[:-1][np.diff(off) > 0], ends_line + 1)))
-    cuts = cuts[cuts < len(buf)]
-    if len(cuts):
-        sums = np.add.reduceat(mix64(buf.astype(np.uint64) + np.uint64(1)) * (np.arange(len(buf)) - np.repeat(cuts, np.diff(np.concatenate((cuts, [len(buf)])))) + 1).astype(np.uint64), cuts)
-        lines, _ = _distinct(sums, np.searchsorted(cuts, off))
-        line_ratio = lines / np.maximum(np.diff(np.searchsorted(cuts, off)), 1)
-    else:
-        line_ratio = np.ones(n)
-    mark = np.isin(kind, [list(_CLASSES).index(c) for c in ("bang", "symbol", "bar")])
-    marks = np.concatenate(([0], np.cumsum(mark)))
-    marked = np.bincount(owner, weights=(marks[ends] > marks[starts]), minlength=n) / some
+    line_ratio = _distinct(p.lines, p.first_line)[0] / np.maximum(np.diff(p.first_line), 1) if len(p.lines) else np.ones(n)
+    marked = np.bincount(owner, weights=p.marked, minlength=n) / some
     total = np.bincount(owner, weights=length, minlength=n)
-    return np.column_stack([shares, np.log1p(count), total / some, np.log1p(longest), *ratios, top / some, line_ratio, marked, _hashed(words, owner, n, some), _grams(buf, off)])
+    grams = p.grams / np.maximum(size - GRAM + 1, 1)[:, None]
+    return np.column_stack([shares, np.log1p(count), total / some, np.log1p(longest), *ratios, top / some, line_ratio, marked, _hashed(words, owner, n, some), grams])
 
 
 def _hashed(values: np.ndarray, owner: np.ndarray, n: int, totals: np.ndarray) -> np.ndarray:
@@ -119,27 +178,34 @@ def _hashed(values: np.ndarray, owner: np.ndarray, n: int, totals: np.ndarray) -
     return np.bincount(owner * BUCKETS + bucket, minlength=n * BUCKETS).reshape(n, BUCKETS) / totals[:, None]
 
 
-def _grams(buf: np.ndarray, off: np.ndarray) -> np.ndarray:
-    """Share of the runs of GRAM bytes, letters in lower case, in each bucket; none reaches into another document."""
+def _grams(buf: np.ndarray, off: np.ndarray, follow: np.ndarray) -> np.ndarray:
+    """Counts of the runs of GRAM bytes, letters in lower case, by bucket; none reaches into another document."""
     n = len(off) - 1
-    low = LOWER_AZ[buf].astype(np.uint32)
+    low = LOWER_AZ[np.concatenate((buf, follow))]
     if len(low) < GRAM:
-        return np.zeros((n, BUCKETS))
-    code = low[: len(low) - GRAM + 1].copy()
+        return np.zeros((n, BUCKETS), np.int64)
+    runs = min(len(buf), len(low) - GRAM + 1)
+    code = low[:runs].astype(np.uint32)
     for k in range(1, GRAM):
-        code = (code << np.uint32(8)) | low[k : len(low) - GRAM + 1 + k]
-    owner = np.repeat(np.arange(n), np.diff(off))[: len(code)]
-    whole = off[1:][owner] - np.arange(len(code)) >= GRAM
-    bucket = ((code * np.uint32(0x9E3779B1)) >> np.uint32(27)).astype(np.int64)[whole]
-    counts = np.bincount(owner[whole] * BUCKETS + bucket, minlength=n * BUCKETS).reshape(n, BUCKETS)
-    return counts / np.maximum(np.diff(off) - GRAM + 1, 1)[:, None]
+        code = (code << np.uint32(8)) | low[k : runs + k]
+    owner = np.repeat(np.arange(n, dtype=np.int32), np.diff(off))[:runs]
+    limit = off[1:].astype(np.int32)
+    if n == 1:
+        limit = limit + np.int32(len(follow))
+    whole = limit[owner] - np.arange(runs, dtype=np.int32) >= GRAM
+    bucket = ((code * np.uint32(0x9E3779B1)) >> np.uint32(27)).astype(np.int32)[whole]
+    return np.bincount(owner[whole] * np.int32(BUCKETS) + bucket, minlength=n * BUCKETS).reshape(n, BUCKETS)
 
 
 def features(texts: pa.Array) -> np.ndarray:
     """One row of numbers for each text; an empty or null text has the row of zero counts."""
     buf, off = buffer_of(texts)
-    parts = [_features(buf[off[i] : off[j]], off[i : j + 1] - off[i]).astype(np.float32) for i, j in slices(off, SLICE)]
-    return np.concatenate(parts) if parts else np.zeros((0, len(NAMES)), np.float32)
+    out = []
+    for i, j in slices(off, SLICE):
+        part, at = buf[off[i] : off[j]], off[i : j + 1] - off[i]
+        parts = _long_text(part) if len(part) > 2 * SLICE and j == i + 1 else _parts(part, at)
+        out.append(_features(parts, np.diff(at)).astype(np.float32))
+    return np.concatenate(out) if out else np.zeros((0, len(NAMES)), np.float32)
 
 
 @dataclass

@@ -2,9 +2,11 @@
 
 import random
 
+import numpy as np
+import pyarrow as pa
 import pytest
 
-from lodestone.llm import bwt, fm, repeats
+from lodestone.llm import bwt, fm, quality, repeats
 
 
 def guarded(real):
@@ -89,3 +91,12 @@ def test_windows_of_any_length(spark, window):
     got = {r.doc_id: r.n_removed for r in bwt.remove_repeated_bytes(docs, window).collect()}
     for d, t in data:
         assert got[d] == len({j for i in range(len(t) - window + 1) if counts[t[i : i + window]] > 1 for j in range(i, i + window)})
+
+
+def test_long_texts_have_the_same_features_in_pieces(monkeypatch):
+    rng = random.Random(3)
+    parts = ["ab", "é", " ", "  ", "\n", "word!", "x" * 700, "7"]
+    texts = ["".join(rng.choices(parts, weights=[9, 3, 9, 2, 2, 9, 0.1, 5], k=rng.choice([500, 2000]))) for _ in range(40)]
+    whole = quality.features(pa.array(texts))
+    monkeypatch.setattr(quality, "SLICE", 300)
+    assert np.array_equal(whole, quality.features(pa.array(texts)))
