@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lodestone.functions.documents import stable_json
 from lodestone.operators.filters import active
+from lodestone.runtime import materialize, spread_join
 
 # Fixed order of boundary classes, from open to closed.
 CLASSES = ["public", "internal", "pii", "secret"]
@@ -58,34 +61,83 @@ def export_relations(relations: DataFrame, entities: DataFrame) -> DataFrame:
     return rows.where(F.coalesce("s", "d", F.lit(False))).select(*relations.columns)
 
 
-def import_claims(incoming: DataFrame, local: DataFrame, queue: DataFrame) -> DataFrame:
-    """(hash, action, boundary_class, memory_type, id) of incoming claims (hash, scope, boundary_class, memory_type) against local ones.
+def _admitted(boundary: tuple[str, ...], columns: list[str]) -> Column:
+    """What keeps a record out before anything is compared, or null."""
+    gone = F.coalesce("tombstone", F.lit(False)) if "tombstone" in columns else F.lit(False)
+    return F.when(F.col("scope") == "session", "skipped_scope").when(~F.col("boundary_class").isin(*boundary), "skipped_duplicate").when(gone, "skipped_tombstone")
+
 
-    new, skipped_duplicate, skipped_scope, upgraded_boundary or skipped_tombstone; a class only ever gets stricter, a memory
-    type is filled in only where there is none. A new claim gets an id of its hash.
+def _states(incoming: DataFrame, local: DataFrame, queue: DataFrame, order: list[str], boundary: tuple[str, ...]) -> tuple[DataFrame, DataFrame]:
+    """Incoming rows with their place ``at`` and what keeps them out (``barred``), and one row for each of their hashes.
+
+    Places of the first row of each severity tell what any row found when it came: a few levels, so a few minima do.
     """
+    rows = incoming.withColumn("barred", _admitted(boundary, incoming.columns)).withColumn("at", F.struct(*order, "boundary_class", "memory_type"))
+    level, at = severity(F.col("boundary_class")), F.when(F.col("barred").isNull(), F.col("at"))
+    typed = F.when(F.col("memory_type").isNotNull(), at)
+    fresh = F.struct(*[c for c in ("text", "kind", "scope", "status", "provenance") if c in incoming.columns])
+    sums = rows.groupBy("hash").agg(
+        F.count(F.lit(1)).alias("n"), F.min(at).alias("first"), F.min_by(fresh, at).alias("given"), F.max(F.when(at.isNotNull(), level)).alias("top"),
+        *[F.min(F.when(level >= k, at)).alias(f"at{k}") for k in range(1, len(CLASSES) + 1)], F.min(typed).alias("at_type"), F.min_by("memory_type", typed).alias("new_type"),
+    )
     alive = active(local, queue).select("id", F.lit(True).alias("alive"))
-    have = local.select("id", "hash", F.col("boundary_class").alias("old"), F.col("memory_type").alias("old_type")).join(alive, "id", "left")
-    rows = incoming.join(have, "hash", "left")
-    merged = stricter(F.col("old"), F.col("boundary_class"))
+    have = local.join(alive, "id", "left").groupBy("hash").agg(F.min_by(F.struct("id", "boundary_class", "memory_type", "alive"), F.struct(F.col("alive").isNull(), "id")).alias("old"))
+    return rows, sums.join(have, "hash", "left")
+
+
+def import_claims(incoming: DataFrame, local: DataFrame, queue: DataFrame, order: list[str], boundary: tuple[str, ...] = ("public", "internal", "pii")) -> DataFrame:
+    """(hash, action, boundary_class, memory_type, id) of incoming claims (hash, scope, boundary_class, memory_type, ``order``) against local ones.
+
+    Rows come one after another in ``order`` (ties by class and type), each to what those before left: skipped_scope (session),
+    skipped_duplicate (class not in ``boundary``, or nothing to raise, or an inactive claim has the hash), skipped_tombstone (where incoming rows
+    have such a mark), upgraded_boundary, or new. Class and type are those of the claim after the row; a class only ever gets
+    stricter, a type is filled in only where there is none. A new claim's id holds the whole hash. A row that is kept out changes nothing
+    and has its own class and type, and the id of the claim, if there is one.
+    """
+    rows, states = _states(incoming, local, queue, order, boundary)
+    states = materialize(states.drop("given", "top"), "states")
+    x = spread_join(rows.select("hash", "at", "barred", F.col("boundary_class").alias("own"), F.col("memory_type").alias("own_type")), states, ["hash"], "n", "at")
+    at, level = F.col("at"), severity(F.col("own"))
+    base = F.coalesce(severity(F.col("old.boundary_class")), F.lit(0))
+    # The strictest level that a row up to this one had.
+    reached = F.greatest(base, *[F.when(F.col(f"at{k}") <= at, F.lit(k)).otherwise(F.lit(0)) for k in range(1, len(CLASSES) + 1)])
+    raised = (level > base) & (F.element_at(F.array(*[F.col(f"at{k}") for k in range(1, len(CLASSES) + 1)]), level.cast("int")) == at)
+    dead = F.col("old").isNotNull() & F.col("old.alive").isNull()
+    barred = F.col("barred").isNotNull()
     action = (
-        F.when((F.col("scope") == "session") | (F.col("boundary_class") == "secret"), "skipped_scope")
-        .when(F.col("old").isNull(), "new")
-        .when(F.col("alive").isNull(), "skipped_tombstone")
-        .when(merged != F.col("old"), "upgraded_boundary")
-        .otherwise("skipped_duplicate")
+        F.when(barred, F.col("barred")).when(dead, "skipped_duplicate").when(F.col("old").isNull() & (at == F.col("first")), "new")
+        .when(raised, "upgraded_boundary").otherwise("skipped_duplicate")
     )
-    taken = action.isin("upgraded_boundary", "skipped_duplicate")
-    memory = F.when(taken, F.coalesce("old_type", "memory_type")).when(action == "new", F.col("memory_type")).otherwise(F.col("old_type"))
-    fresh = F.when(action == "new", F.concat(F.lit("clm_"), F.substring("hash", 1, 12))).otherwise(F.col("id"))
-    return rows.select("hash", action.alias("action"), F.when(action == "upgraded_boundary", merged).otherwise(F.coalesce("old", "boundary_class")).alias("boundary_class"), memory.alias("memory_type"), fresh.alias("id"))
+    cls = F.when(barred, F.col("own")).when(dead, F.col("old.boundary_class")).otherwise(class_at(reached))
+    filled = F.coalesce("old.memory_type", F.when(F.col("at_type") <= at, F.col("new_type")))
+    memory = F.when(barred, F.col("own_type")).when(dead, F.col("old.memory_type")).otherwise(filled)
+    fresh = F.when(~barred, F.concat(F.lit("clm_"), "hash"))
+    return x.select("hash", action.alias("action"), cls.alias("boundary_class"), memory.alias("memory_type"), F.coalesce("old.id", fresh).alias("id"))
+
+
+def inserted_claims(incoming: DataFrame, local: DataFrame, queue: DataFrame, order: list[str], boundary: tuple[str, ...] = ("public", "internal", "pii")) -> DataFrame:
+    """The claims that an import inserts, as they are after its last row: the first row's fields, the strictest class, the first memory type."""
+    _, states = _states(incoming, local, queue, order, boundary)
+    new = states.where("old is null and first is not null").select(F.concat(F.lit("clm_"), "hash").alias("id"), "hash", "given.*", class_at(F.col("top")).alias("boundary_class"), F.col("new_type").alias("memory_type"))
+    status = F.coalesce("status", F.lit("active")) if "status" in new.columns else F.lit("active")
+    return new.withColumn("status", status).select("*", F.lit(0.0).alias("utility"), F.lit(0.5).alias("confidence"), F.lit(0).alias("retrieval_count"))
 
 
-def inserted_claims(incoming: DataFrame, actions: DataFrame) -> DataFrame:
-    """Rows to insert for the new claims: given fields, with the defaults of a fresh claim; one row for each hash."""
-    new = actions.where("action = 'new'").select("hash", "id").distinct()
-    rows = incoming.join(new, "hash").groupBy("id", "hash").agg(*[F.min(c).alias(c) for c in ("text", "kind", "scope", "boundary_class", "memory_type")])
-    return rows.select("*", F.lit(0.0).alias("utility"), F.lit(0.5).alias("confidence"), F.lit("active").alias("status"), F.lit(0).alias("retrieval_count"))
+def merge_replicas(replicas: list[DataFrame]) -> DataFrame:
+    """(hash, text, kind, scope, boundary_class, memory_type, copies) of any number of replicas of a claim set, merged at once.
+
+    Existence only grows; the class is the strictest of all; the memory type is that of the earliest copy that has one; text, kind and scope are the
+    earliest copy's (created_at, then the values themselves). Each part is a least upper bound, so neither the order of the replicas nor a
+    repeated one matters; ``copies`` counts different rows.
+    """
+    fields = ["hash", "text", "kind", "scope", "boundary_class", "memory_type", "created_at"]
+    rows = reduce(DataFrame.unionByName, [r.select(*fields) for r in replicas]).distinct()
+    at = F.struct("created_at", "text", "kind", "scope")
+    merged = rows.groupBy("hash").agg(
+        F.min(at).alias("first"), strictest("boundary_class").alias("boundary_class"),
+        F.min_by("memory_type", F.when(F.col("memory_type").isNotNull(), F.struct("created_at", "memory_type"))).alias("memory_type"), F.count(F.lit(1)).alias("copies"),
+    )
+    return merged.select("hash", "first.text", "first.kind", "first.scope", "boundary_class", "memory_type", "copies")
 
 
 def claim_document() -> Column:

@@ -14,6 +14,8 @@ from pyspark.sql import functions as F
 from lodestone.functions import text as X
 from lodestone.operators.exchange import strictest, stricter
 from lodestone.operators.filters import active
+from lodestone.operators.ordering import numbered
+from lodestone.runtime import materialize, spread_join
 
 # Fixed effects of feedback on utility, confidence and critic.
 UTILITY = {"helpful": 0.1, "harmful": -0.2, "outdated": 0.0, "duplicate": -0.05, "completed": 0.0}
@@ -33,10 +35,10 @@ def effect(signal: Column, values: dict[str, float]) -> Column:
 def clamped_fold(events: DataFrame, key: str, order: list[str], delta: Column, low: float, high: float) -> DataFrame:
     """(key, s, l, u): all of a key's steps x -> clamp(x + delta) in order, as one step x -> min(u, max(l, x + s)).
 
-    Steps compose, so a key's events are folded in chunks of CHUNK rows and then chunk by chunk.
+    Events get their places over all keys by range, so one key's events lie in as many tasks as they need. Steps compose: runs of CHUNK
+    events are folded first, then runs of CHUNK such runs, then each key's; no task holds more than a run of one of these.
     """
-    rn = F.row_number().over(Window.partitionBy(key).orderBy(*order)) - 1
-    rows = events.select(key, *[c for c in order if c != key], delta.alias("d")).withColumn("rn", rn).withColumn("chunk", F.floor(F.col("rn") / CHUNK))
+    rows = numbered(events.select(key, *[c for c in order if c != key], delta.alias("d")), [F.asc(key), *[F.asc(c) for c in order]], "place")
 
     def step(acc: Column, s: Column, l: Column, u: Column) -> Column:
         def bound(x: Column) -> Column:
@@ -45,10 +47,13 @@ def clamped_fold(events: DataFrame, key: str, order: list[str], delta: Column, l
         return F.struct((acc["s"] + s).alias("s"), bound(acc["l"]).alias("l"), bound(acc["u"]).alias("u"))
 
     start = F.struct(F.lit(0.0).alias("s"), F.lit(-1e300).alias("l"), F.lit(1e300).alias("u"))
-    one = F.sort_array(F.collect_list(F.struct("rn", "d")))
-    chunks = rows.groupBy(key, "chunk").agg(F.aggregate(one, start, lambda acc, x: step(acc, x["d"], F.lit(low), F.lit(high))).alias("f"))
-    many = F.sort_array(F.collect_list(F.struct("chunk", "f")))
-    return chunks.groupBy(key).agg(F.aggregate(many, start, lambda acc, x: step(acc, x["f"]["s"], x["f"]["l"], x["f"]["u"])).alias("f")).select(key, "f.*")
+    one = F.sort_array(F.collect_list(F.struct("place", "d")))
+    f = F.aggregate(one, start, lambda acc, x: step(acc, x["d"], F.lit(low), F.lit(high))).alias("f")
+    folded = rows.groupBy(key, F.floor(F.col("place") / CHUNK).alias("place")).agg(f)
+    many = F.sort_array(F.collect_list(F.struct("place", "f")))
+    f = F.aggregate(many, start, lambda acc, x: step(acc, x["f"]["s"], x["f"]["l"], x["f"]["u"])).alias("f")
+    folded = folded.groupBy(key, F.floor(F.col("place") / CHUNK).alias("place")).agg(f)
+    return folded.groupBy(key).agg(f).select(key, "f.*")
 
 
 def apply_feedback(claims: DataFrame, feedback: DataFrame) -> DataFrame:
@@ -76,33 +81,61 @@ def insert_ignore(existing: DataFrame, incoming: DataFrame, keys: list[str]) ->
     return existing.unionByName(fresh.withColumn("rn", rn).where("rn = 1").select(*existing.columns))
 
 
-def overwrite(existing: DataFrame, incoming: DataFrame, key: str, columns: list[str]) -> DataFrame:
-    """Upsert that updates: new values where the key comes in, old ones elsewhere."""
-    new = incoming.select(key, *[F.col(c).alias(f"new_{c}") for c in columns], F.lit(True).alias("hit"))
+def overwrite(existing: DataFrame, incoming: DataFrame, key: str, columns: list[str], order: list[str] | None = None) -> DataFrame:
+    """Upsert that updates: new values where the key comes in, old ones elsewhere.
+
+    Of several incoming rows of one key the last by ``order`` wins; without an order, or where it ties, the one with the largest values.
+    """
+    last = F.max_by(F.struct(*columns), F.struct(*(order or []), *columns)).alias("new")
+    new = incoming.groupBy(key).agg(last)
     rows = existing.join(new, key, "full_outer")
-    return rows.select(key, *[F.when(F.col("hit"), F.col(f"new_{c}")).otherwise(F.col(c)).alias(c) for c in columns])
+    return rows.select(key, *[F.when(F.col("new").isNotNull(), F.col(f"new.{c}")).otherwise(F.col(c)).alias(c) for c in columns])
 
 
-def upsert_claims(incoming: DataFrame, existing: DataFrame, queue: DataFrame) -> DataFrame:
-    """(hash, id, action) of incoming claims (id, hash, text) by content hash.
+def upsert_claims(incoming: DataFrame, existing: DataFrame, queue: DataFrame, order: list[str]) -> DataFrame:
+    """(hash, id, action) of each incoming claim (id, hash, text, and ``order``, in which they come) by content hash.
 
-    new; existing (active, same text); revived (inactive, same text); collision (same hash, other text).
+    existing (an active claim has the hash and the same text), collision (it has another text), revived (an inactive one with the same text
+    becomes active) or new. Each row sees what the rows of its hash before it did: of several the first inserts or revives, later ones
+    exist or collide. Rows that tie in ``order`` go by id, then text; equal rows all do what the first does.
     """
     alive = active(existing, queue).select("id", F.lit(True).alias("alive"))
-    old = existing.select(F.col("id").alias("old_id"), "hash", F.col("text").alias("old_text")).join(alive.withColumnRenamed("id", "old_id"), "old_id", "left")
+    old = existing.join(alive, "id", "left").groupBy("hash").agg(F.min_by(F.struct("id", "text", "alive"), F.struct(F.col("alive").isNull(), "id")).alias("old"))
+    at = F.struct(*order, "id", "text")
+    texts = incoming.groupBy("hash", "text").agg(F.min(at).alias("at"), F.count(F.lit(1)).alias("n"))
+    lead = texts.groupBy("hash").agg(F.min("at").alias("first"), F.sum("n").alias("n")).join(old, "hash", "left")
+    lead = lead.withColumn("held", F.when(F.col("old").isNotNull(), F.col("old.text")).otherwise(F.col("first.text")))
+    turn = lead.join(texts.select("hash", F.col("text").alias("held"), "at"), ["hash", "held"], "left")
+    table = materialize(turn.select("hash", "held", F.col("at").alias("turn"), F.coalesce("old.id", "first.id").alias("kept_id"), F.col("old").isNotNull().alias("known"), F.coalesce("old.alive", F.lit(False)).alias("alive"), "n"), "lead")
+    rows = spread_join(incoming.withColumn("at", at), table, ["hash"], "n", "id")
     action = (
-        F.when(F.col("old_id").isNull(), "new").when(F.col("text") != F.col("old_text"), "collision").when(F.col("alive"), "existing").otherwise("revived")
+        F.when(F.col("text") != F.col("held"), "collision").when(F.col("alive") | (F.col("at") > F.col("turn")), "existing")
+        .when(F.col("known"), "revived").otherwise("new")
     )
-    return incoming.join(old, "hash", "left").select("hash", F.coalesce("old_id", "id").alias("id"), action.alias("action"))
+    return rows.select("hash", F.col("kept_id").alias("id"), action.alias("action"))
 
 
-def upsert_links(existing: DataFrame, incoming: DataFrame) -> DataFrame:
-    """Links by source, target and type: a new confidence, clamped, replaces the old one; the old id stays."""
+def upsert_links(existing: DataFrame, incoming: DataFrame, order: list[str] | None = None) -> DataFrame:
+    """Links by source, target and type; the id that came first stays, a new confidence (clamped) and created_by replace the old ones.
+
+    Evidence and provenance, where there are such columns, are replaced by values only, not by nulls. Several incoming rows of one
+    link act one after another in ``order``, else by id.
+    """
     key = ["source_claim_id", "target_claim_id", "link_type"]
     c = F.when(F.isnan("confidence") | F.col("confidence").isNull(), 1.0).otherwise(F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.col("confidence"))))
-    new = incoming.select(*key, F.col("id").alias("new_id"), c.alias("new_confidence"))
+    at = F.struct(*(order or []), "id", c)
+    kept = [x for x in ("evidence_claim_id", "provenance") if x in existing.columns]
+    last = [x for x in ("created_by",) if x in existing.columns]
+    new = incoming.groupBy(*key).agg(
+        F.min_by("id", at).alias("new_id"), F.max_by(c, at).alias("new_confidence"),
+        *[F.max_by(x, at).alias(f"new_{x}") for x in last], *[F.max_by(x, F.when(F.col(x).isNotNull(), at)).alias(f"new_{x}") for x in kept],
+    )
     rows = existing.join(new, key, "full_outer")
-    return rows.select(F.coalesce("id", "new_id").alias("id"), *key, F.coalesce("new_confidence", "confidence").alias("confidence"))
+    came = F.col("new_id").isNotNull()
+    return rows.select(
+        F.coalesce("id", "new_id").alias("id"), *key, F.coalesce("new_confidence", "confidence").alias("confidence"),
+        *[F.when(came, F.col(f"new_{x}")).otherwise(F.col(x)).alias(x) for x in last], *[F.coalesce(f"new_{x}", x).alias(x) for x in kept],
+    )
 
 
 def first_claim_wins(requests: DataFrame, key: str, order: list[str]) -> DataFrame:

@@ -29,35 +29,50 @@ def y01r(t: Tables):
 
 
 SEV = "list_position(['public', 'internal', 'pii', 'secret'], {c})"
+#: Everything comes in twice, the second time in reverse order, with other classes, types, kinds and some tombstones.
 IMPORT = f""", loc AS (SELECT *, sha256(text) AS hash FROM claims WHERE retrieval_count < 15 QUALIFY row_number() OVER (PARTITION BY sha256(text) ORDER BY id) = 1),
-inc AS (SELECT sha256(text) AS hash, CASE WHEN utility > 0.8 THEN 'session' ELSE 'project' END AS scope, CASE WHEN utility < 0.3 THEN 'pii' ELSE boundary_class END AS boundary_class, CASE WHEN utility > 0.5 THEN 'norm' ELSE memory_type END AS memory_type, kind, text, id FROM claims),
-j AS (SELECT i.*, l.id AS lid, l.boundary_class AS old, l.memory_type AS old_type, l.id IN (SELECT c.id FROM claims c WHERE {ACTIVE}) AS alive FROM inc i LEFT JOIN loc l ON l.hash = i.hash),
-a AS (SELECT *, CASE WHEN scope = 'session' OR boundary_class = 'secret' THEN 'skipped_scope' WHEN lid IS NULL THEN 'new' WHEN NOT alive THEN 'skipped_tombstone'
- WHEN {SEV.format(c='boundary_class')} > {SEV.format(c='old')} THEN 'upgraded_boundary' ELSE 'skipped_duplicate' END AS action FROM j)
+h AS (SELECT *, sha256(text) AS hash, CAST(substr(id, 5) AS BIGINT) AS n FROM claims),
+inc AS (SELECT hash, CASE WHEN utility > 0.8 THEN 'session' ELSE 'project' END AS scope, CASE WHEN utility < 0.3 THEN 'pii' ELSE boundary_class END AS boundary_class, CASE WHEN utility > 0.5 THEN 'norm' ELSE memory_type END AS memory_type, kind, text, n AS seq, n % 13 = 5 AS tombstone FROM h
+ UNION ALL SELECT hash, 'project', CASE n % 4 WHEN 0 THEN 'public' WHEN 1 THEN 'internal' WHEN 2 THEN 'pii' ELSE boundary_class END, CASE WHEN n % 3 = 0 THEN 'evidence' END, 'other', text || '~', 100000000 - n, false FROM h),
+j AS (SELECT i.*, l.id AS lid, l.boundary_class AS old, l.memory_type AS old_type, l.id IN (SELECT c.id FROM claims c WHERE {ACTIVE}) AS alive,
+ CASE WHEN i.scope = 'session' THEN 'skipped_scope' WHEN i.boundary_class = 'secret' THEN 'skipped_duplicate' WHEN i.tombstone THEN 'skipped_tombstone' END AS barred FROM inc i LEFT JOIN loc l ON l.hash = i.hash),
+kk AS (SELECT *, row_number() OVER w AS turn, max({SEV.format(c='boundary_class')}) OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before, max({SEV.format(c='boundary_class')}) OVER (w ROWS UNBOUNDED PRECEDING) AS upto,
+ first_value(memory_type IGNORE NULLS) OVER (w ROWS UNBOUNDED PRECEDING) AS typed FROM j WHERE barred IS NULL WINDOW w AS (PARTITION BY hash ORDER BY seq)),
+a AS (SELECT hash, barred AS action, boundary_class, memory_type, lid AS id, kind, seq FROM j WHERE barred IS NOT NULL
+ UNION ALL SELECT hash, CASE WHEN lid IS NOT NULL AND NOT alive THEN 'skipped_duplicate' WHEN lid IS NULL AND turn = 1 THEN 'new' WHEN {SEV.format(c='boundary_class')} > greatest(coalesce(before, 0), coalesce({SEV.format(c='old')}, 0)) THEN 'upgraded_boundary' ELSE 'skipped_duplicate' END,
+ CASE WHEN lid IS NOT NULL AND NOT alive THEN old ELSE ['public', 'internal', 'pii', 'secret'][greatest(upto, coalesce({SEV.format(c='old')}, 0))] END, CASE WHEN lid IS NOT NULL AND NOT alive THEN old_type ELSE coalesce(old_type, typed) END, coalesce(lid, 'clm_' || hash), kind, seq FROM kk)
 """
 
 
 def incoming_claims(t: Tables):
-    h = t.claims.withColumn("hash", F.sha2(F.col("text").cast("binary"), 256))
+    n = F.substring("id", 5, 20).cast("long")
+    h = t.claims.withColumn("hash", F.sha2(F.col("text").cast("binary"), 256)).withColumn("n", n)
     memory = F.when(F.col("utility") > 0.5, "norm").otherwise(F.col("memory_type"))
-    return h.select("hash", "text", "kind", F.when(F.col("utility") > 0.8, "session").otherwise("project").alias("scope"), F.when(F.col("utility") < 0.3, "pii").otherwise(F.col("boundary_class")).alias("boundary_class"), memory.alias("memory_type"))
+    once = h.select("hash", "text", "kind", F.when(F.col("utility") > 0.8, "session").otherwise("project").alias("scope"), F.when(F.col("utility") < 0.3, "pii").otherwise(F.col("boundary_class")).alias("boundary_class"), memory.alias("memory_type"), F.col("n").alias("seq"), (F.col("n") % 13 == 5).alias("tombstone"))
+    turned = F.when(F.col("n") % 4 == 0, "public").when(F.col("n") % 4 == 1, "internal").when(F.col("n") % 4 == 2, "pii").otherwise(F.col("boundary_class"))
+    again = h.select("hash", F.concat("text", F.lit("~")).alias("text"), F.lit("other").alias("kind"), F.lit("project").alias("scope"), turned.alias("boundary_class"), F.when(F.col("n") % 3 == 0, "evidence").alias("memory_type"), (F.lit(100_000_000) - F.col("n")).alias("seq"), F.lit(False).alias("tombstone"))
+    return once.unionByName(again)
 
 
-def imported(t: Tables):
+def local_claims(t: Tables):
     some = t.claims.withColumn("hash", F.sha2(F.col("text").cast("binary"), 256)).where("retrieval_count < 15")
-    local = some.join(some.groupBy("hash").agg(F.min("id").alias("id")), ["hash", "id"], "left_semi")
-    return E.import_claims(incoming_claims(t), local, t.promotion_queue)
+    return some.join(some.groupBy("hash").agg(F.min("id").alias("id")), ["hash", "id"], "left_semi")
+
 
+def imported(t: Tables):
+    return E.import_claims(incoming_claims(t), local_claims(t), t.promotion_queue, ["seq"])
 
-@R.add("y02_import_claims", IMPORT + """SELECT hash, action, CASE WHEN action = 'upgraded_boundary' THEN boundary_class ELSE coalesce(old, boundary_class) END AS boundary_class,
- CASE WHEN action IN ('upgraded_boundary', 'skipped_duplicate') THEN coalesce(old_type, memory_type) WHEN action = 'new' THEN memory_type ELSE old_type END AS memory_type FROM a""", "claims promotion_queue")
+
+@R.add("y02_import_claims", IMPORT + "SELECT hash, action, boundary_class, memory_type, id FROM a", "claims promotion_queue")
 def y02(t: Tables):
-    return imported(t).select("hash", "action", "boundary_class", "memory_type")
+    return imported(t)
 
 
-@R.add("y02_inserted_claims", IMPORT + "SELECT 'clm_' || substr(hash, 1, 12) AS id, hash, min(kind) AS kind, min(boundary_class) AS boundary_class, 'active' AS status, CAST(0.5 AS DOUBLE) AS confidence FROM a WHERE hash IN (SELECT hash FROM a WHERE action = 'new') GROUP BY hash", "claims promotion_queue")
+@R.add("y02_inserted_claims", IMPORT + f"""SELECT 'clm_' || hash AS id, hash, first(kind ORDER BY seq) AS kind, ['public', 'internal', 'pii', 'secret'][max({SEV.format(c='boundary_class')})] AS boundary_class, first(memory_type ORDER BY seq) FILTER (memory_type IS NOT NULL) AS memory_type,
+ sha256(first(text ORDER BY seq)) AS text, 'active' AS status, CAST(0.5 AS DOUBLE) AS confidence FROM kk WHERE lid IS NULL GROUP BY hash""", "claims promotion_queue")
 def y02i(t: Tables):
-    return E.inserted_claims(incoming_claims(t), imported(t)).select("id", "hash", "kind", "boundary_class", "status", "confidence")
+    new = E.inserted_claims(incoming_claims(t), local_claims(t), t.promotion_queue, ["seq"])
+    return new.select("id", "hash", "kind", "boundary_class", "memory_type", F.sha2(F.col("text").cast("binary"), 256).alias("text"), "status", "confidence")
 
 
 @R.add("y05_dry_run_counts", IMPORT + "SELECT action, count(*) AS n FROM a GROUP BY 1", "claims promotion_queue")
@@ -133,3 +148,28 @@ def u05(t: Tables):
     r = t.relation_rows.select("id", "type")
     incoming = r.select("id", F.lit("b").alias("note")).union(r.select("id", F.lit("a").alias("note")))
     return E.grow(r.where("type = 'PLACED'").select("id", F.lit("old").alias("note")), incoming)
+
+
+CLASS_OF = "CASE (n + {k}) % 5 WHEN 0 THEN 'public' WHEN 1 THEN 'internal' WHEN 2 THEN 'pii' ELSE boundary_class END"
+REPLICAS = " UNION ALL ".join(
+    f"SELECT hash, text, CASE WHEN n % {k + 2} = 0 THEN 'fact' ELSE kind END AS kind, scope, {CLASS_OF.format(k=k)} AS boundary_class, CASE WHEN (n + {k}) % 3 = 0 THEN memory_type END AS memory_type, created_at + INTERVAL '1' DAY * CAST((n * {k + 1}) % 7 AS INT) AS created_at FROM h WHERE n % 5 <> {k}"
+    for k in range(5)
+)
+
+
+def replicas(t: Tables):
+    """Five replicas: each lacks a fifth of the claims and has other classes, kinds, types and times."""
+    n = F.substring("id", 5, 20).cast("long")
+    h = t.claims.withColumn("hash", F.sha2(F.col("text").cast("binary"), 256)).withColumn("n", n)
+    parts = []
+    for k in range(5):
+        days = F.make_dt_interval(((F.col("n") * (k + 1)) % 7).cast("int"))
+        parts.append(h.where(F.col("n") % 5 != k).select("hash", "text", F.when(F.col("n") % (k + 2) == 0, "fact").otherwise(F.col("kind")).alias("kind"), "scope", F.expr(CLASS_OF.format(k=k)).alias("boundary_class"), F.when((F.col("n") + k) % 3 == 0, F.col("memory_type")).alias("memory_type"), (F.col("created_at") + days).alias("created_at")))
+    return parts
+
+
+@R.add("u05_merged_replicas", f""", h AS (SELECT *, sha256(text) AS hash, CAST(substr(id, 5) AS BIGINT) AS n FROM claims), u AS (SELECT DISTINCT * FROM ({REPLICAS}))
+SELECT hash, sha256(first(text ORDER BY created_at, text, kind, scope)) AS text, first(kind ORDER BY created_at, text, kind, scope) AS kind, first(scope ORDER BY created_at, text, kind, scope) AS scope,
+ ['public', 'internal', 'pii', 'secret'][max({SEV.format(c='boundary_class')})] AS boundary_class, first(memory_type ORDER BY created_at, memory_type) FILTER (memory_type IS NOT NULL) AS memory_type, count(*) AS copies FROM u GROUP BY hash""", "claims")
+def u05r(t: Tables):
+    return E.merge_replicas(replicas(t)).withColumn("text", F.sha2(F.col("text").cast("binary"), 256))

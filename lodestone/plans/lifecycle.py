@@ -52,23 +52,56 @@ def hashed(t: Tables):
     return h, h.join(first, ["hash", "id"], "left_semi")
 
 
-@R.add("w03_upsert_claims", HASHED + """ SELECT h.hash, coalesce(o.id, h.id) AS id, CASE WHEN o.id IS NULL THEN 'new' WHEN o.text <> h.text THEN 'collision'
- WHEN NOT coalesce(o.tombstone, false) AND NOT EXISTS (SELECT 1 FROM promotion_queue p WHERE p.accepted_claim_id = o.id AND p.status = 'rolled_back') THEN 'existing' ELSE 'revived' END AS action FROM h LEFT JOIN old o ON o.hash = h.hash""", "claims promotion_queue")
+#: Claims twice over, the second time in reverse; every fifth row of either has another text under the same hash.
+BATCH = HASHED + """, b AS (SELECT id, hash, CASE WHEN CAST(substr(id, 5) AS BIGINT) % 5 = 2 THEN text || '!' ELSE text END AS text, CAST(substr(id, 5) AS BIGINT) AS seq FROM h
+ UNION ALL SELECT 'again_' || id, hash, CASE WHEN CAST(substr(id, 5) AS BIGINT) % 5 = 3 THEN text || '?' ELSE text END, 100000000 - CAST(substr(id, 5) AS BIGINT) FROM h),
+st AS (SELECT b.*, o.id AS oid, o.id IS NOT NULL AS known, coalesce(o.text, first_value(b.text) OVER w) AS held, coalesce(o.id, first_value(b.id) OVER w) AS kept,
+ o.id IS NOT NULL AND NOT coalesce(o.tombstone, false) AND NOT EXISTS (SELECT 1 FROM promotion_queue p WHERE p.accepted_claim_id = o.id AND p.status = 'rolled_back') AS alive
+ FROM b LEFT JOIN old o ON o.hash = b.hash WINDOW w AS (PARTITION BY b.hash ORDER BY b.seq))
+"""
+
+
+@R.add("w03_upsert_claims", BATCH + """SELECT hash, kept AS id, CASE WHEN text <> held THEN 'collision' WHEN alive OR count(*) FILTER (text = held) OVER (PARTITION BY hash ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) > 0 THEN 'existing'
+ WHEN known THEN 'revived' ELSE 'new' END AS action FROM st""", "claims promotion_queue")
 def w03(t: Tables):
+    """Hashes come again inside the batch, with equal and with other texts."""
     h, old = hashed(t)
-    return L.upsert_claims(h.select("id", "hash", "text"), old, t.promotion_queue)
+    n = F.substring("id", 5, 20).cast("long")
+    once = h.select("id", "hash", F.when(n % 5 == 2, F.concat("text", F.lit("!"))).otherwise(F.col("text")).alias("text"), n.alias("seq"))
+    again = h.select(F.concat(F.lit("again_"), "id").alias("id"), "hash", F.when(n % 5 == 3, F.concat("text", F.lit("?"))).otherwise(F.col("text")).alias("text"), (F.lit(100_000_000) - n).alias("seq"))
+    return L.upsert_claims(once.unionByName(again), old, t.promotion_queue, ["seq"])
 
 
-@R.add("w04_vector_upsert", "SELECT coalesce(v.claim_id, k.claim_id) AS claim_id, CASE WHEN k.claim_id IS NOT NULL THEN k.score ELSE CAST(len(v.embedding) AS DOUBLE) END AS value FROM claim_vectors v FULL JOIN critic k ON k.claim_id = v.claim_id", "claim_vectors critic")
+@R.add("w04_vector_upsert", """, f AS (SELECT claim_id, score FROM feedback QUALIFY row_number() OVER (PARTITION BY claim_id ORDER BY ts DESC, id DESC) = 1)
+SELECT coalesce(v.claim_id, f.claim_id) AS claim_id, CASE WHEN f.claim_id IS NOT NULL THEN f.score ELSE CAST(len(v.embedding) AS DOUBLE) END AS value FROM claim_vectors v FULL JOIN f ON f.claim_id = v.claim_id""", "claim_vectors feedback")
 def w04(t: Tables):
+    """Each claim comes in many times; the last value in time stays."""
     old = t.claim_vectors.select("claim_id", F.size("embedding").cast("double").alias("value"))
-    return L.overwrite(old, t.critic.withColumnRenamed("score", "value"), "claim_id", ["value"])
+    return L.overwrite(old, t.feedback.select("claim_id", F.col("score").alias("value"), "ts", "id"), "claim_id", ["value"], ["ts", "id"])
+
+
+LINKS = """, n AS (SELECT *, CAST(substr(id, 5) AS BIGINT) AS k, CASE WHEN CAST(substr(id, 5) AS BIGINT) % 4 = 0 THEN 'old evidence' END AS evidence_claim_id FROM claim_links),
+i AS (SELECT 'a_' || id AS id, source_claim_id, target_claim_id, link_type, confidence * 2 AS confidence, 1 AS seq, CASE WHEN k % 3 = 0 THEN 'first' END AS evidence_claim_id, 'client' AS created_by FROM n WHERE k % 2 = 0
+ UNION ALL SELECT 'b_' || id, source_claim_id, target_claim_id, link_type, CASE WHEN k % 7 = 0 THEN NULL ELSE confidence / 2 END, 2, CASE WHEN k % 5 = 0 THEN 'second' END, 'daemon' FROM n WHERE k % 3 <> 1),
+f AS (SELECT *, row_number() OVER (PARTITION BY source_claim_id, target_claim_id, link_type ORDER BY seq) AS rn, row_number() OVER (PARTITION BY source_claim_id, target_claim_id, link_type ORDER BY seq DESC) AS back,
+ last_value(evidence_claim_id IGNORE NULLS) OVER (PARTITION BY source_claim_id, target_claim_id, link_type ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING) AS e FROM i),
+e AS (SELECT * FROM n WHERE k % 5 <> 4),
+l AS (SELECT a.source_claim_id, a.target_claim_id, a.link_type, a.id AS first_id, z.confidence, z.created_by, a.e FROM f a JOIN f z ON a.rn = 1 AND z.back = 1 AND (a.source_claim_id, a.target_claim_id, a.link_type) = (z.source_claim_id, z.target_claim_id, z.link_type))
+"""
 
 
-@R.add("w05_link_upsert", "SELECT id, source_claim_id, target_claim_id, link_type, round(CASE WHEN confidence > 0.7 THEN least(1.0, confidence * 2) ELSE confidence END, 6) AS confidence FROM claim_links", "claim_links")
+@R.add("w05_link_upsert", LINKS + """SELECT coalesce(e.id, l.first_id) AS id, coalesce(e.source_claim_id, l.source_claim_id) AS source_claim_id, coalesce(e.target_claim_id, l.target_claim_id) AS target_claim_id, coalesce(e.link_type, l.link_type) AS link_type,
+ round(CASE WHEN l.first_id IS NULL THEN e.confidence ELSE greatest(0.0, least(1.0, coalesce(l.confidence, 1.0))) END, 6) AS confidence, CASE WHEN l.first_id IS NULL THEN 'import' ELSE l.created_by END AS created_by, coalesce(l.e, e.evidence_claim_id) AS evidence_claim_id
+ FROM e FULL JOIN l ON (e.source_claim_id, e.target_claim_id, e.link_type) = (l.source_claim_id, l.target_claim_id, l.link_type)""", "claim_links")
 def w05(t: Tables):
-    incoming = t.claim_links.where("confidence > 0.7").withColumn("confidence", F.col("confidence") * 2).withColumn("id", F.concat(F.lit("new_"), "id"))
-    return L.upsert_links(t.claim_links, incoming).withColumn("confidence", F.round("confidence", 6))
+    """Links come in twice with other confidences, evidence and authors; some have no old row, some no confidence."""
+    k = F.substring("id", 5, 20).cast("long")
+    n = t.claim_links.withColumn("k", k).withColumn("evidence_claim_id", F.when(k % 4 == 0, "old evidence"))
+    key = ["source_claim_id", "target_claim_id", "link_type"]
+    first = n.where("k % 2 = 0").select(F.concat(F.lit("a_"), "id").alias("id"), *key, (F.col("confidence") * 2).alias("confidence"), F.lit(1).alias("seq"), F.when(F.col("k") % 3 == 0, "first").alias("evidence_claim_id"), F.lit("client").alias("created_by"))
+    second = n.where("k % 3 <> 1").select(F.concat(F.lit("b_"), "id").alias("id"), *key, F.when(F.col("k") % 7 != 0, F.col("confidence") / 2).alias("confidence"), F.lit(2).alias("seq"), F.when(F.col("k") % 5 == 0, "second").alias("evidence_claim_id"), F.lit("daemon").alias("created_by"))
+    old = n.where("k % 5 <> 4").select("id", *key, "confidence", F.lit("import").alias("created_by"), "evidence_claim_id")
+    return L.upsert_links(old, first.unionByName(second), ["seq"]).withColumn("confidence", F.round("confidence", 6))
 
 
 @R.add("w07_bulk_update", "SELECT id, CASE WHEN id IN (SELECT accepted_claim_id FROM promotion_queue) THEN 'secret' ELSE boundary_class END AS boundary_class FROM claims", "claims promotion_queue")
