@@ -8,6 +8,8 @@ from lodestone.functions import scoring as S
 from lodestone.functions import text as X
 from lodestone.functions import vectors as V
 from lodestone.operators import filters, search
+from lodestone.operators.neighbours import neighbours
+from lodestone.operators.ordering import numbered
 from lodestone.plans.common import ACTIVE, Registry, now, r6
 from lodestone.sources.fixtures import Tables
 
@@ -179,6 +181,45 @@ def j05(t: Tables):
     return near(t).join(linked, ["id", "other"], "left_anti").select("id", "other")
 
 
+#: Active claims and a later version of each that has a successor, whose vector leans to the successor's.
+VERSIONS = f""", v0 AS (SELECT c.id, c.scope AS block, sha256(c.text) AS hash, c.created_at, CAST(substr(c.id, 5) AS BIGINT) AS k, v.embedding AS e FROM claims c JOIN claim_vectors v ON v.claim_id = c.id WHERE {ACTIVE}),
+u AS (SELECT id, block, hash, created_at, e FROM v0 UNION ALL SELECT 'ver_' || a.id, a.block, sha256('v' || a.hash), a.created_at + INTERVAL '1' DAY * CAST(a.k % 5 - 2 AS INT), list_transform(range(1, len(a.e) + 1), lambda i: a.e[i] + 0.1 * CAST(a.k % 5 AS DOUBLE) * coalesce(b.e[i], 0.0)) FROM v0 a JOIN v0 b ON b.k = a.k + 1),
+n AS (SELECT *, sqrt(list_sum(list_transform(e, lambda x: x * x))) AS norm FROM u),
+p AS (SELECT a.id, a.created_at AS t0, b.id AS other, b.created_at AS t1, list_sum(list_transform(range(1, least(len(a.e), len(b.e)) + 1), lambda i: a.e[i] * b.e[i])) / a.norm / b.norm AS s FROM n a JOIN n b ON a.block = b.block AND a.id <> b.id AND a.hash <> b.hash),
+g AS (SELECT id, count(*) AS n_links, arg_max(other, {{'s': round(s, 9), 't': t1, 'o': other}}) AS nearest, max(s) AS similarity FROM p WHERE s > 0.85 GROUP BY 1),
+w AS (SELECT id, arg_max(other, {{'t': t1, 'o': other}}) AS newer, arg_max(s, {{'t': t1, 'o': other}}) AS newer_similarity FROM p WHERE s > 0.85 AND (t1 > t0 OR t1 = t0 AND other > id) GROUP BY 1)
+"""
+
+
+def versions(t: Tables):
+    c = filters.active(t.claims, t.promotion_queue).join(t.claim_vectors, F.col("id") == F.col("claim_id"))
+    v = c.select("id", F.col("scope").alias("block"), F.sha2(F.col("text").cast("binary"), 256).alias("hash"), "created_at", F.substring("id", 5, 20).cast("long").alias("k"), "embedding")
+    after = v.select((F.col("k") - 1).alias("k"), F.col("embedding").alias("next"))
+    leaning = F.transform("embedding", lambda x, i: x + 0.1 * (F.col("k") % 5).cast("double") * F.coalesce(F.get("next", i), F.lit(0.0)))
+    days = F.make_dt_interval((F.col("k") % 5 - 2).cast("int"))
+    later = v.join(after, "k").select(F.concat(F.lit("ver_"), "id").alias("id"), "block", F.sha2(F.concat(F.lit("v"), "hash").cast("binary"), 256).alias("hash"), (F.col("created_at") + days).alias("created_at"), leaning.alias("embedding"))
+    return v.select("id", "block", "hash", "created_at", "embedding").unionByName(later)
+
+
+@R.add("j06_all_neighbours", VERSIONS + "SELECT u.id, coalesce(n_links, 0) AS n_links, nearest, round(similarity, 6) AS similarity FROM u LEFT JOIN g ON g.id = u.id", "claims promotion_queue claim_vectors")
+def j06all(t: Tables):
+    """Every claim and version against all of its scope, through the index."""
+    return neighbours(versions(t)).select("id", "n_links", "nearest", r6("similarity"))
+
+
+@R.add("j07_all_newer", VERSIONS + "SELECT id, newer, round(newer_similarity, 6) AS similarity FROM w", "claims promotion_queue claim_vectors")
+def j07all(t: Tables):
+    return neighbours(versions(t)).where("newer is not null").select("id", "newer", r6("newer_similarity", "similarity"))
+
+
+@R.add("r14_all_freshness", VERSIONS + "SELECT u.id, w.newer IS NOT NULL AS stale, row_number() OVER (ORDER BY w.newer IS NOT NULL, created_at DESC, u.id DESC) AS rank FROM u LEFT JOIN w ON w.id = u.id", "claims promotion_queue claim_vectors")
+def r14all(t: Tables):
+    """All rows, those with a newer similar one last."""
+    rows = versions(t)
+    stale = neighbours(rows).select("id", F.col("newer").isNotNull().alias("stale"))
+    return numbered(rows.select("id", "created_at").join(stale, "id"), [F.asc("stale"), F.desc("created_at"), F.desc("id")], "rank").select("id", "stale", "rank")
+
+
 @R.add("r16_link_suggestions", f""", u AS (SELECT c.id, v.embedding FROM claims c JOIN claim_vectors v ON v.claim_id = c.id WHERE {ACTIVE}),
 s AS (SELECT a.id AS source, b.id AS target, ({cos_sql('a.embedding', 'b.embedding')} + 1) / 2 AS score FROM (SELECT claim_id AS id, embedding FROM claim_vectors WHERE claim_id = 'clm_0') a JOIN u b ON a.id <> b.id),
 k AS (SELECT s.*, row_number() OVER (PARTITION BY source ORDER BY score DESC, target) AS rn FROM s WHERE score >= 0.6 AND score < 0.85 AND NOT EXISTS (SELECT 1 FROM claim_links l
