@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from dataclasses import dataclass
 from functools import reduce
 
@@ -230,17 +231,90 @@ def _directed(links: DataFrame, link_type: str) -> DataFrame:
     return links.where(F.col("link_type") == link_type).select(F.col("source_claim_id").alias("u"), F.col("target_claim_id").alias("v")).distinct()
 
 
-def cyclic_edges(edges: DataFrame) -> DataFrame:
-    """The edges (u, v) left when vertices without a way in or a way out are taken off again and again: none if there is no cycle."""
-    left = materialize(edges.where("u <> v"), "core")
-    size = left.count()
-    while size:
-        starts, ends = left.select(F.col("u").alias("v")).distinct(), left.select(F.col("v").alias("u")).distinct()
-        core = materialize(left.join(starts, "v", "left_semi").join(ends, "u", "left_semi").select("u", "v"), "core")
-        discard(left)
-        left, before, size = core, size, core.count()
-        if size == before:
+#: What stands for no way at all where lengths are compared.
+NO_WAY = -(1 << 40)
+
+
+def depths(edges: DataFrame) -> DataFrame:
+    """(id, depth): the most edges on a way from each vertex, for vertices of the edges (u, v) that reach no cycle.
+
+    A vertex whose ways on are known but for one has the depth max(b, a + that one's). Such steps compose, so runs of these
+    vertices are followed by doubling, three doublings a round. Rounds grow with the logarithm of the longest run, and with the number of
+    vertices on a way that wait for two unknown ones or more, not with the way's length.
+    """
+    left = materialize(edges.select("u", "v").where("u <> v").distinct(), "depth-edges")
+    known = materialize(left.select(F.col("v").alias("id")).distinct().join(left.select(F.col("u").alias("id")), "id", "left_anti").withColumn("depth", F.lit(0).cast("long")), "depths")
+    found = [known]
+    while True:
+        d = reduce(DataFrame.unionByName, found).select(F.col("id").alias("v"), "depth")
+        ways = left.join(d, "v", "left").groupBy(F.col("u").alias("id")).agg(
+            (F.max("depth") + 1).alias("b"), F.count_if(F.col("depth").isNull()).alias("open"), F.max(F.when(F.col("depth").isNull(), F.col("v"))).alias("to")
+        )
+        ways = materialize(ways.withColumn("b", F.coalesce("b", F.lit(NO_WAY))), "ways")
+        whole = ways.where("open = 0").select("id", F.col("b").alias("depth"))
+        if whole.isEmpty():
+            discard(left, ways)
+            return reduce(DataFrame.unionByName, found)
+        run = _followed(materialize(ways.where("open = 1").select("id", "to", F.lit(1).cast("long").alias("a"), "b"), "runs"))
+        ends = whole.select(F.col("id").alias("to"), "depth")
+        solved = materialize(whole.unionByName(run.join(ends, "to").select("id", F.greatest("b", F.col("a") + F.col("depth")).alias("depth"))), "depths")
+        found.append(solved)
+        rest = materialize(left.join(solved.select(F.col("id").alias("u")), "u", "left_anti").select("u", "v"), "depth-edges")
+        discard(left, ways, run)
+        left = rest
+
+
+def _followed(run: DataFrame) -> DataFrame:
+    """Steps (id, to, a, b) composed with those of their ends again and again, until an end has none; what runs into a circle stays inside."""
+    n = run.count()
+    for _ in range(math.ceil(math.log2(n + 1) / 3) if n else 0):
+        longer = run
+        for _ in range(3):
+            on = longer.select(F.col("id").alias("to"), F.col("to").alias("to2"), F.col("a").alias("a2"), F.col("b").alias("b2"))
+            longer = longer.join(on, "to", "left").select(
+                "id", F.coalesce("to2", "to").alias("to"), (F.col("a") + F.coalesce("a2", F.lit(0))).alias("a"),
+                F.greatest("b", F.when(F.col("b2") > NO_WAY, F.col("a") + F.col("b2"))).alias("b"), F.col("to2").isNotNull().alias("moved"),
+            )
+        longer = materialize(longer, "runs")
+        discard(run)
+        run = longer.drop("moved")
+        run._lodestone_path = longer._lodestone_path
+        if longer.where("moved").isEmpty():
+            break
+    return run
+
+
+def _ways(starts: DataFrame, onward: DataFrame, longest: int) -> DataFrame:
+    """(root, path): the vertices from each start (root) along ``onward`` (id, next), ``longest`` edges at most.
+
+    Jumps of 1, 8, 64, ... edges are made first; then the places of a path that are multiples of the largest jump, then of the one below.
+    """
+    jumps = [onward.select("id", F.col("next").alias("j1"))]
+    tables = []
+    while True:
+        j1 = jumps[-1]
+        two = j1.join(j1.select(F.col("id").alias("j1"), F.col("j1").alias("j2")), "j1", "left")
+        four = two.join(two.select(F.col("id").alias("j2"), F.col("j2").alias("j4")), "j2", "left")
+        table = materialize(four.select("id", "j1", "j2", "j4"), "jumps")
+        tables.append(table)
+        if 8 ** len(tables) > longest:
             break
+        jumps.append(table.where("j4 is not null").join(table.select(F.col("id").alias("j4"), F.col("j4").alias("j8")), "j4").where("j8 is not null").select("id", F.col("j8").alias("j1")))
+    rows = starts.select("root", F.lit(0).cast("long").alias("pos"), F.col("root").alias("at"))
+    for k in range(len(tables) - 1, -1, -1):
+        for m in (4, 2, 1):
+            far = tables[k].select(F.col("id").alias("at"), F.col(f"j{m}").alias("to")).where("to is not null")
+            rows = rows.unionByName(rows.join(far, "at").select("root", (F.col("pos") + m * 8**k).alias("pos"), F.col("to").alias("at")))
+        rows = materialize(rows, "places")
+    return rows.groupBy("root").agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "at"))), lambda x: x["at"]).alias("path"))
+
+
+def cyclic_edges(edges: DataFrame) -> DataFrame:
+    """The edges (u, v) that lie between vertices which a cycle reaches and which reach a cycle: none if there is no cycle."""
+    left = edges.where("u <> v")
+    for a, b in (("u", "v"), ("v", "u")):
+        off = depths(left.select(F.col(a).alias("u"), F.col(b).alias("v"))).select(F.col("id").alias(b))
+        left = materialize(left.join(off, b, "left_anti").select("u", "v"), "core")
     return left
 
 
@@ -301,34 +375,56 @@ def cycles(links: DataFrame, link_type: str = "contradicts") -> DataFrame:
     return reduce(DataFrame.unionByName, found)
 
 
+def small_cycles(links: DataFrame, link_type: str = "contradicts", most: int = 12) -> DataFrame:
+    """(cycle, length): the cycles in strong parts of at most ``most`` claims, and each larger part as one row, its smallest claim and its size.
+
+    A part of n claims may hold exponentially many cycles, so a report lists those of small parts and names the others.
+    """
+    e = _directed(links, link_type)
+    parts = materialize(strong_components(e.where("u <> v")), "parts")
+    few = parts.where(F.col("size") <= most).select("id")
+    inside = links.join(few.withColumnRenamed("id", "source_claim_id"), "source_claim_id", "left_semi").join(few.withColumnRenamed("id", "target_claim_id"), "target_claim_id", "left_semi")
+    large = parts.where(F.col("size") > most).select(F.concat("part", F.lit("..."), F.col("size").cast("string")).alias("cycle"), F.col("size").cast("int").alias("length")).distinct()
+    return cycles(inside, link_type).unionByName(large)
+
+
 def longest_chains(links: DataFrame, link_type: str = "supersedes", least: int = 3) -> DataFrame:
     """(root, length, chain): the longest simple chain from each node that nothing leads to, ``least`` edges at least.
 
-    Of the paths of one length from a root to a node the smallest goes on; that is exact as long as no
-    path meets itself. Where one does, the graph has cycles: then a path also stands for the nodes it has
-    used of its end's cyclic part, as those decide how it can go on. Ends when no path can go on.
+    Where no cycle is in reach, lengths come from ``depths``; of the nodes that go on as far the smallest follows, which gives the smallest of the
+    longest chains, and it is followed by doubling. From other roots paths are grown an edge at a time: of the paths of
+    one length from a root to a node the smallest goes on, and a path also stands for the nodes it has
+    used of its end's cyclic part, as those decide how it can go on.
     """
     e = materialize(_directed(links, link_type).where("u <> v"), "chain-edges")
-    out, met = _grow_chains(e, e.select("u", "v", F.lit(None).cast("string").alias("part")), least)
-    if met:
-        parts = strong_components(e).select(F.col("id").alias("v"), "part")
-        out, _ = _grow_chains(e, materialize(e.join(parts, "v", "left").select("u", "v", "part"), "chain-edges"), least)
-    return out
-
-
-def _grow_chains(edges: DataFrame, steps: DataFrame, least: int) -> tuple[DataFrame, bool]:
-    """The longest chains, and whether a path met itself where ``steps`` (u, v, part) know no parts."""
-    roots = edges.select("u").distinct().join(edges.select(F.col("v").alias("u")).distinct(), "u", "left_anti")
-    state = roots.select(F.col("u").alias("root"), F.array("u").alias("path"), F.array(F.lit(None).cast("string")).alias("parts"), F.col("u").alias("at"))
-    front, best, met = materialize(state, "chains"), None, False
+    roots = materialize(e.select("u").distinct().join(e.select(F.col("v").alias("u")).distinct(), "u", "left_anti").withColumnRenamed("u", "root"), "roots")
+    d = materialize(depths(e), "depths")
+    far = roots.join(d.where(F.col("depth") >= least), F.col("root") == F.col("id")).select("root", "depth")
+    longest = far.agg(F.coalesce(F.max("depth"), F.lit(0))).first()[0]
+    out = roots.select("root", F.lit(0).alias("length"), F.lit("").alias("chain")).where("false")
+    if longest:
+        at_u, at_v = d.select(F.col("id").alias("u"), F.col("depth").alias("du")), d.select(F.col("id").alias("v"), F.col("depth").alias("dv"))
+        onward = e.join(at_u, "u").join(at_v, "v").where("du = dv + 1").groupBy(F.col("u").alias("id")).agg(F.min("v").alias("next"))
+        ways = _ways(far, materialize(onward, "onward"), longest)
+        out = ways.select("root", (F.size("path") - 1).alias("length"), F.array_join("path", ">").alias("chain"))
+    other = roots.join(d.select(F.col("id").alias("root")), "root", "left_anti")
+    if other.isEmpty():
+        return out
+    parts = strong_components(e).select(F.col("id").alias("v"), "part")
+    steps = materialize(e.join(parts, "v", "left").select("u", "v", "part"), "chain-edges")
+    return out.unionByName(_grow_chains(other, steps, least))
+
+
+def _grow_chains(roots: DataFrame, steps: DataFrame, least: int) -> DataFrame:
+    """The longest chains from ``roots`` over the steps (u, v, cyclic part of v), an edge a round."""
+    state = roots.select("root", F.array("root").alias("path"), F.array(F.lit(None).cast("string")).alias("parts"), F.col("root").alias("at"))
+    front, best = materialize(state, "chains"), None
     while True:
-        step = front.join(steps, F.col("at") == F.col("u")).withColumn("again", F.array_contains("path", F.col("v")))
+        step = front.join(steps, F.col("at") == F.col("u")).where(~F.array_contains("path", F.col("v")))
         used = F.when(F.col("part").isNotNull(), F.array_sort(F.filter(F.transform(F.arrays_zip("path", "parts"), lambda x: F.when(x["parts"] == F.col("part"), x["path"])), lambda x: x.isNotNull())))
-        step = step.select("root", "again", F.concat("path", F.array("v")).alias("path"), F.concat("parts", F.array("part")).alias("parts"), F.col("v").alias("at"), F.coalesce(used, F.array().cast("array<string>")).alias("used"))
-        longer = step.groupBy("root", "at", "used", "again").agg(F.min(F.struct("path", "parts")).alias("b"))
-        longer = materialize(longer.select("root", "again", F.col("b.path").alias("path"), F.col("b.parts").alias("parts"), "at"), "chains")
-        met = met or not longer.where("again").isEmpty()
-        longer = longer.where("not again").drop("again")
+        step = step.select("root", F.concat("path", F.array("v")).alias("path"), F.concat("parts", F.array("part")).alias("parts"), F.col("v").alias("at"), F.coalesce(used, F.array().cast("array<string>")).alias("used"))
+        longer = step.groupBy("root", "at", "used").agg(F.min(F.struct("path", "parts")).alias("b"))
+        longer = materialize(longer.select("root", F.col("b.path").alias("path"), F.col("b.parts").alias("parts"), "at"), "chains")
         if longer.isEmpty():
             break
         size = F.size("path") - 1
@@ -336,10 +432,11 @@ def _grow_chains(edges: DataFrame, steps: DataFrame, least: int) -> tuple[DataFr
         # The longest so far of each root, the smallest at a tie (a longer one always replaces it).
         best = done if best is None else done.unionByName(best.join(done.select("root"), "root", "left_anti"))
         best = materialize(best, "longest")
+        discard(front)
         front = longer
     if best is None:
-        return roots.select(F.col("u").alias("root"), F.lit(0).alias("length"), F.lit("").alias("chain")).where("false"), met
-    return best.select("root", "length", F.array_join("path", ">").alias("chain")), met
+        return roots.select("root", F.lit(0).alias("length"), F.lit("").alias("chain")).where("false")
+    return best.select("root", "length", F.array_join("path", ">").alias("chain"))
 
 
 def coactivation(items: DataFrame, least: int = 3) -> DataFrame:

@@ -251,7 +251,7 @@ def findings(t: Tables):
     parts = {
         "orphan_claim": graph.orphan_claims(t.claims, t.claim_links, t.claim_entities).select("id"),
         "orphan_entity": graph.orphan_entities(t.entities, t.relations, t.claim_entities).select("id"),
-        "contradiction_cycle": graph.cycles(t.claim_links).select("cycle"),
+        "contradiction_cycle": graph.small_cycles(t.claim_links).select("cycle"),
         "supersession_chain": graph.longest_chains(t.claim_links).select("chain"),
         "scope_hole": graph.scope_holes(components(t), t.claims).select("component"),
         "repeated_coactivation": unlinked(t).select(F.concat_ws("::", "a", "b")),
