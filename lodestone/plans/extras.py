@@ -6,10 +6,11 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from lodestone.plans.common import Registry, r6
+from lodestone.plans.lifecycle import RATE_SQL
 from lodestone.runtime import fresh_path
 from lodestone.sources import records
 from lodestone.sources.fixtures import Tables
-from lodestone.streaming import jobs
+from lodestone.streaming import jobs, state
 
 R = Registry()
 
@@ -40,6 +41,36 @@ def observe_stream(t: Tables):
     return jobs.run_once(jobs.observe_stream(stream), "observe").select("id", "length")
 
 
+DAYS = ["2024-01-07", "2024-01-13", "2024-01-19", "2024-01-25"]
+
+
+def spans(rows, column: str):
+    """The rows in order of time, cut at DAYS."""
+    at = F.col(column)
+    edges = [None, *DAYS, None]
+    for low, high in zip(edges[:-1], edges[1:]):
+        part = rows if low is None else rows.where(at >= F.lit(low).cast("timestamp_ntz"))
+        yield part if high is None else part.where(at < F.lit(high).cast("timestamp_ntz"))
+
+
+@R.add("p11_rate_stream", RATE_SQL)
+def rate_stream(t: Tables):
+    """Five runs of one query, each from the checkpoint of the one before; the result is that of the batch limiter."""
+    calls = t.events.select(F.col("user_id").alias("bucket"), F.col("event_id").alias("seq"), "ts")
+    rows = state.run_in_steps(lambda s: state.limit_rate_stream(s, 2, 86400.0), spans(calls, "ts"), "rates")
+    return rows.select("bucket", "seq", "allowed")
+
+
+@R.add("p02_expiry_stream", """, o AS (SELECT id, content, created_at, created_at + INTERVAL '1' HOUR * CAST(24 + length(content) % 480 AS INT) AS expires_at FROM observations), w AS (SELECT max(created_at) - INTERVAL '10' MINUTE AS mark FROM o)
+SELECT id, expires_at <= mark AS scrubbed, CASE WHEN expires_at > mark THEN sha256(content) END AS content FROM o, w""", "observations")
+def expiry_stream(t: Tables):
+    """Observations that come in order of time and are scrubbed when event time passes their expiry."""
+    hours = F.make_dt_interval(F.lit(0), (F.lit(24) + F.length("content") % 480).cast("int"))
+    o = t.observations.select("id", F.col("content"), "created_at", (F.col("created_at") + hours).alias("expires_at"))
+    rows = state.latest(state.run_in_steps(state.expire_stream, spans(o, "created_at"), "expiry"), "id")
+    return rows.select("id", "scrubbed", F.sha2(F.col("content").cast("binary"), 256).alias("content"))
+
+
 @R.add("x_rollup", "SELECT kind, scope, count(*) AS n, round(avg(utility), 6) AS utility FROM claims GROUP BY ROLLUP (kind, scope)", "claims")
 def rollup(t: Tables):
     return t.claims.rollup("kind", "scope").agg(F.count(F.lit(1)).alias("n"), F.round(F.avg("utility"), 6).alias("utility"))

@@ -121,11 +121,14 @@ def p05(t: Tables):
     return t.promotion_queue.unionByName(gone)
 
 
-@R.add("p11_rate_limit", """WITH RECURSIVE e AS (SELECT user_id, event_id, epoch(ts) AS tm, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS rn FROM events),
+RATE_SQL = """WITH RECURSIVE e AS (SELECT user_id, event_id, epoch(ts) AS tm, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS rn FROM events),
 r AS (SELECT user_id, event_id, rn, tm AS began, 1 AS used, true AS allowed FROM e WHERE rn = 1
  UNION ALL SELECT e.user_id, e.event_id, e.rn, CASE WHEN e.tm - r.began >= 86400 THEN e.tm ELSE r.began END, CASE WHEN e.tm - r.began >= 86400 THEN 1 WHEN r.used < 2 THEN r.used + 1 ELSE r.used END, e.tm - r.began >= 86400 OR r.used < 2
  FROM r JOIN e ON e.user_id = r.user_id AND e.rn = r.rn + 1)
-SELECT user_id AS bucket, event_id AS seq, allowed FROM r""")
+SELECT user_id AS bucket, event_id AS seq, allowed FROM r"""
+
+
+@R.add("p11_rate_limit", RATE_SQL)
 def p11(t: Tables):
     at = (F.unix_micros(F.col("ts").cast("timestamp")) / 1e6).alias("at")
     return L.limit_rate(t.events.select(F.col("user_id").alias("bucket"), F.col("event_id").alias("seq"), at), 2, 86400.0)
