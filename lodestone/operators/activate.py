@@ -171,7 +171,7 @@ def activate(data: Collection, ask: Request) -> DataFrame:
     about = data.claims.join(F.broadcast(shown.select("id")), "id", "left_semi").select("id", "kind", "scope", "memory_type", F.col("created_at").alias("since"))
     own = about.join(data.vectors, F.col("id") == F.col("claim_id")).select("id", "scope", "embedding")
     others = filters.active(data.claims, data.queue).join(data.vectors, F.col("id") == F.col("claim_id")).select("id", "scope", "embedding")
-    newer = search.newer_similar(search.similar_to(materialize(own, "own"), others, ask.freshness, "scope"), data.claims)
+    newer = search.newer_similar(search.similar_to_page(materialize(own, "own"), others, ask.freshness, "scope"), data.claims)
     rows = shown.join(about, "id", "left").join(newer.select("id", "newer"), "id", "left").withColumn("stale", F.col("newer").isNotNull())
     rows = rows.withColumn("scope", F.coalesce("scope", F.lit("session"))).withColumn("kind", F.coalesce("kind", F.lit("observation")))
     ranked = numbered(rows, [F.asc("stale"), *paging.final_order(rows.columns)], "rank")

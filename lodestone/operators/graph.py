@@ -6,11 +6,13 @@ import math
 from dataclasses import dataclass
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lodestone.operators.components import connected_components
-from lodestone.runtime import discard, materialize, small
+from lodestone.runtime import discard, materialize, small, spread_join
 
 # Fixed values of the edge policy: weight of each link type and of a path over related entities.
 LINK_WEIGHT = {"supports": 0.9, "extends": 0.7, "related": 0.35, "contradicts": 0.15, "supersedes": 1.0}
@@ -439,29 +441,101 @@ def _grow_chains(roots: DataFrame, steps: DataFrame, least: int) -> DataFrame:
     return best.select("root", "length", F.array_join("path", ">").alias("chain"))
 
 
-def coactivation(items: DataFrame, least: int = 3) -> DataFrame:
-    """(a, b, contexts, context_ids): claims that share at least so many contexts.
+#: A context with more claims than this is heavy: its pairs are not written out.
+HEAVY, BLOCK_CLAIMS = 256, 1024
+
+
+def _heavy_pairs(least: int):
+    """(a, b, heavy): pairs of two blocks of claims that share ``least`` heavy contexts or more; each in the first context they share only."""
+
+    def run(batches):
+        for batch in batches:
+            out: list[list] = [[], [], []]
+            for context, same, left, right in zip(*(batch.column(k).to_pylist() for k in range(4))):
+                names = sorted({c for row in (*left, *right) for c in row["heavy"]})
+                place = {c: k for k, c in enumerate(names)}
+
+                def marks(rows: list[dict]) -> np.ndarray:
+                    m = np.zeros((len(rows), len(names)), np.float32)
+                    m[np.repeat(np.arange(len(rows)), [len(r["heavy"]) for r in rows]), [place[c] for r in rows for c in r["heavy"]]] = 1
+                    return m
+
+                x = marks(left)
+                y = x if same else marks(right)
+                upto = place[context]
+                i, j = np.nonzero((x @ y.T >= least) & (x[:, :upto] @ y[:, :upto].T == 0))
+                if same:
+                    i, j = i[i < j], j[i < j]
+                n = (x[i] * y[j]).sum(axis=1).astype(np.int64)
+                for p, q, k in zip(i, j, n):
+                    a, b = sorted((left[p]["claim_id"], right[q]["claim_id"]))
+                    out[0].append(a)
+                    out[1].append(b)
+                    out[2].append(int(k))
+            yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.string()), pa.array(out[1], pa.string()), pa.array(out[2], pa.int64())], names=["a", "b", "heavy"])
+
+    return run
 
-    A context is one page of results: its pairs are bounded by what a page may hold.
+
+def shared_contexts(items: DataFrame, least: int = 3) -> DataFrame:
+    """(a, b, contexts): how many contexts two claims share, where that is ``least`` or more.
+
+    Contexts of at most HEAVY claims are expanded into pairs and counted. A heavy one is a mark on its claims: a pair that light contexts
+    have brought together takes the heavy ones from both lists of marks, and pairs of claims with ``least`` marks each are counted in
+    blocks of BLOCK_CLAIMS, as products of matrices. So a context of n claims gives no pair by itself.
     """
-    rows = items.select("active_context_id", "claim_id").distinct()
-    x, y = rows.alias("x"), rows.alias("y")
+    rows = materialize(items.where("active_context_id is not null and claim_id is not null").select("active_context_id", "claim_id").distinct(), "items")
+    sizes = rows.groupBy("active_context_id").agg(F.count(F.lit(1)).alias("size"))
+    heavy = materialize(sizes.where(F.col("size") > HEAVY), "heavy")
+    none = heavy.isEmpty()
+    light = rows if none else rows.join(small(heavy.select("active_context_id")), "active_context_id", "left_anti")
+    x, y = light.alias("x"), light.alias("y")
     pairs = x.join(y, (F.col("x.active_context_id") == F.col("y.active_context_id")) & (F.col("x.claim_id") < F.col("y.claim_id")))
-    counts = pairs.groupBy(F.col("x.claim_id").alias("a"), F.col("y.claim_id").alias("b")).agg(F.count(F.lit(1)).alias("contexts"), F.collect_set("x.active_context_id").alias("ids"))
-    return counts.where(F.col("contexts") >= least).select("a", "b", "contexts", F.array_join(F.array_sort("ids"), ",").alias("context_ids"))
+    counts = pairs.groupBy(F.col("x.claim_id").alias("a"), F.col("y.claim_id").alias("b")).agg(F.count(F.lit(1)).alias("contexts"))
+    if none:
+        return counts.where(F.col("contexts") >= least)
+    marked = spread_join(rows, heavy.withColumn("n", F.col("size")), ["active_context_id"], "n", "claim_id").groupBy("claim_id").agg(F.array_sort(F.collect_list("active_context_id")).alias("heavy"))
+    marked = materialize(marked, "marks")
+    own = {c: marked.select(F.col("claim_id").alias(c), F.col("heavy").alias(f"h{c}")) for c in "ab"}
+    both = F.coalesce(F.size(F.array_intersect("ha", "hb")), F.lit(0))
+    met = counts.join(own["a"], "a", "left").join(own["b"], "b", "left").select("a", "b", (F.col("contexts") + F.when(F.col("ha").isNotNull() & F.col("hb").isNotNull(), both).otherwise(0)).alias("contexts"))
+    met = materialize(met.where(F.col("contexts") >= least), "pairs")
+    # Pairs that no light context brings together need ``least`` heavy ones.
+    many = marked.where(F.size("heavy") >= least).select("claim_id", "heavy", F.explode("heavy").alias("context"))
+    n = many.groupBy("context").agg(F.ceil(F.count(F.lit(1)) / BLOCK_CLAIMS).cast("int").alias("parts"), F.count(F.lit(1)).alias("n"))
+    dealt = spread_join(many, materialize(n, "parts"), ["context"], "n", "claim_id").withColumn("part", F.pmod(F.xxhash64("claim_id"), "parts").cast("int"))
+    packs = materialize(dealt.groupBy("context", "parts", "part").agg(F.collect_list(F.struct("claim_id", "heavy")).alias("v")), "packs")
+    left = packs.select("context", F.col("part").alias("mine"), F.col("v").alias("x"), F.explode(F.sequence("part", F.col("parts") - 1)).alias("part"))
+    blocks = left.join(packs.select("context", "part", F.col("v").alias("y")), ["context", "part"]).select("context", (F.col("mine") == F.col("part")).alias("same"), "x", "y")
+    alone = blocks.mapInArrow(_heavy_pairs(least), "a string, b string, heavy long").join(met.select("a", "b"), ["a", "b"], "left_anti")
+    return met.unionByName(alone.withColumnRenamed("heavy", "contexts"))
+
+
+def coactivation(items: DataFrame, least: int = 3) -> DataFrame:
+    """(a, b, contexts, context_ids): claims that share at least so many contexts; the ids are gathered for these pairs only."""
+    pairs = materialize(shared_contexts(items, least), "pairs")
+    rows = items.select("active_context_id", "claim_id").distinct()
+    held = pairs.select("a", "b").join(rows.withColumnRenamed("claim_id", "a"), "a").join(rows.withColumnRenamed("claim_id", "b"), ["active_context_id", "b"], "left_semi")
+    ids = held.groupBy("a", "b").agg(F.array_join(F.array_sort(F.collect_list("active_context_id")), ",").alias("context_ids"))
+    return pairs.join(ids, ["a", "b"]).select("a", "b", "contexts", "context_ids")
 
 
 def unlinked_coactivation(items: DataFrame, links: DataFrame, claim_entities: DataFrame, relations: DataFrame, least: int = 3) -> DataFrame:
-    """Co-activated pairs without any edge: no link, no shared entity, no relation between their entities."""
-    pairs = materialize(coactivation(items, least), "pairs")
+    """(a, b, contexts) of co-activated pairs without any edge: no link, no shared entity, no relation between their entities."""
+    pairs = shared_contexts(items, least)
     direct = links.select(F.least("source_claim_id", "target_claim_id").alias("a"), F.greatest("source_claim_id", "target_claim_id").alias("b"))
-    ce = claim_entities.select("claim_id", "entity_id").distinct()
+    pairs = materialize(pairs.join(direct, ["a", "b"], "left_anti"), "pairs")
+    asked = pairs.select(F.explode(F.array("a", "b")).alias("claim_id")).distinct()
+    ce = materialize(claim_entities.select("claim_id", "entity_id").distinct().join(asked, "claim_id", "left_semi"), "entities")
     held_a, held_b = ce.select(F.col("claim_id").alias("a"), F.col("entity_id").alias("ea")), ce.select(F.col("claim_id").alias("b"), F.col("entity_id").alias("eb"))
-    ends = pairs.select("a", "b").join(held_a, "a").join(held_b, "b")
-    shared = ends.where("ea = eb").select("a", "b")
-    hops = symmetric(relations, "src_id", "dst_id").select(F.col("u").alias("ea"), F.col("v").alias("eb")).distinct()
-    related = ends.join(hops, ["ea", "eb"], "left_semi").select("a", "b")
-    return pairs.join(direct.union(shared).union(related).distinct(), ["a", "b"], "left_anti")
+    beside = pairs.join(held_a, "a").select("a", "b", "ea")
+    shared = beside.join(held_b.withColumnRenamed("eb", "ea"), ["b", "ea"], "left_semi").select("a", "b")
+    # Only relations between entities that are asked for, either way round.
+    known = small(materialize(ce.select("entity_id").distinct(), "known"))
+    inner = relations.select("src_id", "dst_id").join(known, F.col("src_id") == F.col("entity_id"), "left_semi").join(known, F.col("dst_id") == F.col("entity_id"), "left_semi")
+    hops = symmetric(inner, "src_id", "dst_id").select(F.col("u").alias("ea"), F.col("v").alias("eb")).distinct()
+    related = beside.join(hops, "ea").join(held_b, ["b", "eb"], "left_semi").select("a", "b")
+    return pairs.join(shared.union(related).distinct(), ["a", "b"], "left_anti")
 
 
 def neighbours(ids: DataFrame, links: DataFrame, claim_entities: DataFrame, relations: DataFrame) -> DataFrame:

@@ -16,7 +16,7 @@ from lodestone.functions import vectors as V
 from lodestone.operators.filters import active
 from lodestone.operators.ordering import numbered
 from lodestone.operators.paging import newest_first
-from lodestone.runtime import SALTS, materialize
+from lodestone.runtime import SALTS, materialize, small
 
 ALPHA, THRESHOLD = 0.65, 0.15
 TEXT_LIMIT, VECTOR_LIMIT = 128, 256
@@ -144,9 +144,18 @@ def similar_to(queries: DataFrame, vectors: DataFrame, threshold: float, block:
     return x.join(y, [block, "salt"]).select("x", "y").mapInArrow(_above(threshold), "id string, other string, similarity double")
 
 
+def similar_to_page(page: DataFrame, vectors: DataFrame, threshold: float, block: str) -> DataFrame:
+    """``similar_to`` for a materialised page of few rows: one scan of ``vectors`` meets the page, which is broadcast if measured small."""
+    asked = page.select("id", block, F.col("embedding").alias("q"))
+    met = vectors.select(F.col("id").alias("other"), block, "embedding").join(small(asked), block).where(F.col("id") != F.col("other"))
+    return met.select("id", "other", V.cosine(F.col("q"), F.col("embedding")).alias("similarity")).where(F.col("similarity") > threshold)
+
+
 def page_pairs(vectors: DataFrame, threshold: float, most: int = 128) -> DataFrame:
-    """(a, b, similarity): similar pairs inside one page of at most ``most`` rows (id, embedding), a < b."""
-    rows = vectors.limit(most)
+    """(a, b, similarity): similar pairs inside one page of at most ``most`` rows (id, embedding), a < b. A larger input is refused."""
+    rows = materialize(vectors.limit(most + 1), "page")
+    if rows.count() > most:
+        raise ValueError(f"a page has at most {most} rows")
     one = F.transform("embedding", lambda x: x / F.nullif(V.norm(F.col("embedding")), F.lit(0.0))).alias("u")
     x, y = rows.select(F.col("id").alias("a"), one.alias("ua")), rows.select(F.col("id").alias("b"), one.alias("ub"))
     pairs = x.join(F.broadcast(y), F.col("a") < F.col("b")).select("a", "b", S.clamp(V.dot(F.col("ua"), F.col("ub")), 0.0, 1.0).alias("similarity"))

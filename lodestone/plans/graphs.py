@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+from concurrent.futures import ThreadPoolExecutor
 from functools import reduce
 
+from pyspark import inheritable_thread_target
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -246,18 +248,22 @@ def generic_claims(t: Tables):
     return graph.neighbours(ids, t.claim_links, t.claim_entities, t.relations).groupBy("id").agg(F.count(F.lit(1)).alias("degree")).where("degree >= 4")
 
 
-def findings(t: Tables):
-    """(kind, subject) of all seven kinds of finding."""
+def findings(t: Tables, component=None):
+    """(kind, subject) of all seven kinds of finding; the parts are planned and run side by side."""
     parts = {
-        "orphan_claim": graph.orphan_claims(t.claims, t.claim_links, t.claim_entities).select("id"),
-        "orphan_entity": graph.orphan_entities(t.entities, t.relations, t.claim_entities).select("id"),
-        "contradiction_cycle": graph.small_cycles(t.claim_links).select("cycle"),
-        "supersession_chain": graph.longest_chains(t.claim_links).select("chain"),
-        "scope_hole": graph.scope_holes(components(t), t.claims).select("component"),
-        "repeated_coactivation": unlinked(t).select(F.concat_ws("::", "a", "b")),
-        "generic_hub": hubs(t).select("id").union(generic_claims(t).select("id")),
+        "orphan_claim": lambda: graph.orphan_claims(t.claims, t.claim_links, t.claim_entities).select("id"),
+        "orphan_entity": lambda: graph.orphan_entities(t.entities, t.relations, t.claim_entities).select("id"),
+        "contradiction_cycle": lambda: graph.small_cycles(t.claim_links).select("cycle"),
+        "supersession_chain": lambda: graph.longest_chains(t.claim_links).select("chain"),
+        "scope_hole": lambda: graph.scope_holes(component or components(t), t.claims).select("component"),
+        "repeated_coactivation": lambda: unlinked(t).select(F.concat_ws("::", "a", "b")),
+        "generic_hub": lambda: hubs(t).select("id").union(generic_claims(t).select("id")),
     }
-    return reduce(DataFrame.union, [rows.toDF("subject").select(F.lit(kind).alias("kind"), "subject") for kind, rows in parts.items()])
+    for name in AUDIT_VIEWS.split():  # views are made once, before the threads
+        getattr(t, name)
+    with ThreadPoolExecutor(len(parts)) as pool:
+        rows = dict(zip(parts, pool.map(inheritable_thread_target(t.spark)(lambda make: make()), parts.values())))
+    return reduce(DataFrame.union, [df.toDF("subject").select(F.lit(kind).alias("kind"), "subject") for kind, df in rows.items()])
 
 
 @R.add("g11_audit", FINDINGS + "SELECT kind, subject, count(*) OVER (PARTITION BY kind) AS total FROM f QUALIFY row_number() OVER (PARTITION BY kind ORDER BY subject) <= 20", AUDIT_VIEWS)
@@ -273,9 +279,10 @@ SCAN_LIMIT = 100_000
 SELECT kind, n, kind IN ('claims', 'entities', 'relations') AND n > {SCAN_LIMIT} AS over_scan_limit FROM tally""", AUDIT_VIEWS)
 def g11s(t: Tables):
     """Uncapped counts; the flag tells which tables a scan limit of 100 000 rows would have cut (nothing is cut here)."""
-    counted = {"claims": t.claims, "entities": t.entities, "relations": t.relations, "claim_links": t.claim_links, "components": components(t).select("component").distinct()}
+    label = components(t)
+    counted = {"claims": t.claims, "entities": t.entities, "relations": t.relations, "claim_links": t.claim_links, "components": label.select("component").distinct()}
     rows = [df.agg(F.count(F.lit(1)).alias("n")).select(F.lit(k).alias("kind"), "n") for k, df in counted.items()]
-    n = reduce(DataFrame.unionByName, rows).unionByName(findings(t).groupBy("kind").agg(F.count(F.lit(1)).alias("n")))
+    n = reduce(DataFrame.unionByName, rows).unionByName(findings(t, label).groupBy("kind").agg(F.count(F.lit(1)).alias("n")))
     return n.select("kind", "n", (F.col("kind").isin("claims", "entities", "relations") & (F.col("n") > SCAN_LIMIT)).alias("over_scan_limit"))
 
 
