@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import functools
 import re
+from collections.abc import Callable
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
@@ -12,6 +14,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from lodestone.functions.boundary import confidential, redacted_for_embedding
+from lodestone.operators.ordering import numbered
+from lodestone.runtime import materialize, spread_join
 
 DIMENSIONS = 64
 WAVE_DIMENSIONS = 384
@@ -102,10 +106,78 @@ def hydrated(claims: DataFrame, vectors: DataFrame, embed=bag_embedding) -> Data
     return have.unionByName(missing)
 
 
+def newest(rows: DataFrame, most: int, at: str = "created_at", tie: str = "hash") -> DataFrame:
+    """The ``most`` newest rows, equal times by ``tie``: whole hours from the newest on, and the rest from the hour in which they run out.
+
+    Only hours and their counts come to the driver, and only that one hour's rows are put in order, by range.
+    """
+    hour = F.date_trunc("hour", at)
+    left = most
+    counts = rows.where(F.col(at).isNotNull()).groupBy(hour.alias("hour")).agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("hour"))
+    for r in counts.toLocalIterator():
+        if r.n > left:
+            last = F.lit(r.hour).cast(rows.schema[at].dataType)
+            some = numbered(rows.where(hour == last), [F.desc(at), F.asc(tie)], "_place").where(F.col("_place") <= left).drop("_place")
+            return rows.where(hour > last).unionByName(some)
+        left -= r.n
+    return rows.where(F.col(at).isNotNull())
+
+
 def live_cache(cache: DataFrame, now: Column, most: int = 10_000, hours: int = 24) -> DataFrame:
     """Cache rows younger than a day, and of those the newest ``most``."""
-    young = cache.where(F.col("created_at") >= now - F.expr(f"INTERVAL '{hours}' HOUR"))
-    return young.orderBy(F.desc("created_at"), "hash").limit(most)
+    return newest(cache.where(F.col("created_at") >= now - F.expr(f"INTERVAL '{hours}' HOUR")), most)
+
+
+@dataclass(frozen=True)
+class Provider:
+    """An embedding under a version; ``embed`` gives null for a text on which it fails."""
+
+    version: str
+    embed: Callable[[Column], Column]
+
+
+@dataclass
+class Embedded:
+    """What a batch gave (id, hash, embedding, version, cached, redacted, failed), the version in use after it, and the cache (hash, version, embedding, created_at)."""
+
+    rows: DataFrame
+    version: str
+    cache: DataFrame
+
+
+def embed_all(texts: DataFrame, cache: DataFrame, version: str, now: Column, primary: Provider | None, fallback: Provider | None = None, most: int = 10_000, hours: int = 24) -> Embedded:
+    """Embed a batch of texts (id, text, boundary_class) through a cache, with a second provider for the rows on which the first fails.
+
+    Confidential texts are redacted before they are hashed. The cache is asked first, so rows that it has need no provider: its entries
+    of the ``version`` in use that are younger than ``hours``. Equal texts are embedded once. A row on which both fail, or that finds no
+    provider, has a null vector and ``failed``. Afterwards the version in use is that of the primary if it served any new row, else of the
+    fallback if that did, else it stays; if it changed, all older entries go. New vectors of that version enter the cache, which
+    keeps its newest ``most``.
+    """
+    said = F.when(confidential(F.col("boundary_class")), redacted_for_embedding(F.col("text"))).otherwise(F.col("text"))
+    prepared = texts.select("id", said.alias("said"), (~said.eqNullSafe(F.col("text"))).alias("redacted"))
+    hashed = prepared.withColumn("hash", F.sha2(F.coalesce("said", F.lit("")).cast("binary"), 256))
+    young = cache.where((F.col("version") == version) & (F.col("created_at") >= now - F.expr(f"INTERVAL '{hours}' HOUR")))
+    have = young.groupBy("hash").agg(F.max_by("embedding", "created_at").alias("embedding"))
+    hits = hashed.join(have, "hash").select("id", "hash", "embedding", F.lit(version).alias("version"), F.lit(True).alias("cached"), "redacted")
+    missed = hashed.join(have, "hash", "left_anti")
+    fresh = missed.groupBy("hash").agg(F.min("said").alias("said"))
+    null = F.lit(None)
+    kind = VECTOR
+    one = materialize(fresh.select("hash", "said", (primary.embed(F.col("said")) if primary else null).cast(kind).alias("embedding"), F.lit(primary.version if primary else None).cast("string").alias("version")), "first")
+    served = one.where("embedding is not null").select("hash", "embedding", "version")
+    # The second provider sees only what the first one failed on.
+    rest = one.where("embedding is null").select("hash", (fallback.embed(F.col("said")) if fallback else null).cast(kind).alias("embedding"), F.lit(fallback.version if fallback else None).cast("string").alias("version"))
+    new = materialize(served.unionByName(rest).withColumn("version", F.when(F.col("embedding").isNotNull(), F.col("version"))), "embedded")
+    used = {r.version for r in new.where("version is not null").select("version").distinct().collect()}
+    after = next((p.version for p in (primary, fallback) if p and p.version in used), version)
+    table = new.join(missed.groupBy("hash").agg(F.count(F.lit(1)).alias("n")), "hash")
+    made = spread_join(missed.select("id", "hash", "redacted"), materialize(table, "made"), ["hash"], "n", "id").withColumn("cached", F.lit(False))
+    rows = hits.unionByName(made.select(*hits.columns)).withColumn("failed", F.col("embedding").isNull())
+    entered = new.where(F.col("version") == after).select("hash", "version", "embedding", now.alias("created_at"))
+    kept = cache.select("hash", "version", "embedding", "created_at").where(F.col("version") == after) if after == version else entered.where("false")
+    kept = kept.join(entered.select("hash"), "hash", "left_anti").select(*entered.columns)
+    return Embedded(rows, after, newest(kept.unionByName(entered), most))
 
 
 def cache_stats(cache: DataFrame) -> DataFrame:

@@ -171,6 +171,41 @@ def s21(t: Tables):
     return embeddings.with_cache(rows, cache, "v1").select("id", "cached", "redacted")
 
 
+#: A quarter of the texts is in the cache under v1, some of it a day old; the first provider fails on three eighths of all texts, the second on a sixteenth.
+FAILOVER = f""", h AS (SELECT id, sha256({SAID}) AS hash, {SAID} <> text AS redacted, {K} AS k FROM claims),
+old AS (SELECT hash, {{NOW}} - INTERVAL '1' HOUR * CAST(min(k) % 40 AS INT) AS created_at FROM h WHERE k % 4 = 0 GROUP BY hash), live AS (SELECT hash FROM old WHERE created_at >= {{NOW}} - INTERVAL '24' HOUR),
+s AS (SELECT *, hash IN (SELECT hash FROM live) AS cached, substr(hash, 1, 1) < '6' AS first_fails, substr(hash, 2, 1) = '0' AS second_fails FROM h)
+"""
+
+
+def failover(t: Tables, most: int = 10_000):
+    rows = t.claims.select("id", "text", "boundary_class")
+    said = F.when(boundary.confidential(F.col("boundary_class")), boundary.redacted_for_embedding(F.col("text"))).otherwise(F.col("text"))
+    hashed = t.claims.select(F.sha2(said.cast("binary"), 256).alias("hash"), number().alias("k"))
+    old = hashed.where("k % 4 = 0").groupBy("hash").agg((now() - F.make_dt_interval(F.lit(0), (F.min("k") % 40).cast("int"))).alias("created_at"))
+    cache = old.select("hash", F.lit("v1").alias("version"), F.array(F.lit(1.0)).alias("embedding"), "created_at")
+
+    def failing(fails):
+        return lambda text: F.when(~fails(F.sha2(text.cast("binary"), 256)), embeddings.bag_embedding(text))
+
+    first = embeddings.Provider("v1", failing(lambda h: F.substring(h, 1, 1) < "6"))
+    second = embeddings.Provider("v2", failing(lambda h: F.substring(h, 2, 1) == "0"))
+    return embeddings.embed_all(rows, cache, "v1", now(), first, second, most)
+
+
+@R.add("s21_failover", FAILOVER + """SELECT id, cached, redacted, CASE WHEN cached OR NOT first_fails THEN 'v1' WHEN NOT second_fails THEN 'v2' END AS version, NOT cached AND first_fails AND second_fails AS failed FROM s""", "claims")
+def s21f(t: Tables):
+    """Rows on which the first provider fails go to the second; what the cache has needs neither."""
+    return failover(t).rows.select("id", "cached", "redacted", "version", "failed")
+
+
+@R.add("s21_cache_after", FAILOVER + """, e AS (SELECT hash, created_at FROM old WHERE hash NOT IN (SELECT hash FROM s WHERE NOT cached AND NOT first_fails) UNION ALL SELECT DISTINCT hash, {NOW} FROM s WHERE NOT cached AND NOT first_fails)
+SELECT hash, 'v1' AS version, strftime(created_at, '%Y-%m-%d %H:%M') AS created_at FROM e ORDER BY e.created_at DESC, hash LIMIT 600""", "claims")
+def s21c(t: Tables):
+    """The cache after the batch: vectors of the version in use only, the newest 600 of them."""
+    return failover(t, 600).cache.select("hash", "version", F.date_format("created_at", "yyyy-MM-dd HH:mm").alias("created_at"))
+
+
 # Writes
 
 

@@ -128,3 +128,31 @@ def test_a_fold_splits_one_key(spark, monkeypatch):
             x = min(1.0, max(0.0, x + d))
         r = got[key]
         assert abs(min(r.u, max(r.l, 0.35 + r.s)) - x) < 1e-9
+
+
+def test_embedding_fails_over_and_the_cache_keeps_its_newest(spark):
+    import datetime
+
+    from lodestone.functions import embeddings as M
+
+    noon = datetime.datetime(2024, 1, 2, 12)
+    texts = spark.createDataFrame([(f"t{i}", f"text {i % 30}", "internal") for i in range(60)] + [("null", None, "public"), ("pii", "a@b.org", "pii")], "id string, text string, boundary_class string")
+    cache = texts.where("id in ('t0', 't1')").select(F.sha2(F.col("text").cast("binary"), 256).alias("hash"), F.lit("v1").alias("version"), F.array(F.lit(5.0)).alias("embedding"), F.lit(noon - datetime.timedelta(hours=30)).cast("timestamp_ntz").alias("created_at"))
+    n = F.regexp_extract
+    third = M.Provider("v1", lambda c: F.when(n(c, r"(\d+)$", 1).try_cast("int") % 3 != 0, F.array(F.lit(1.0))))
+    other = M.Provider("v2", lambda c: F.when(~c.endswith("9"), F.array(F.lit(2.0))))
+    now = F.lit(noon).cast("timestamp_ntz")
+    out = M.embed_all(texts, cache, "v1", now, third, other, most=12)
+    rows = {r.id: r for r in out.rows.collect()}
+    assert len(rows) == 62 and out.version == "v1" and not any(r.cached for r in rows.values())
+    for i in range(60):
+        k = i % 30
+        want = "v1" if k % 3 else "v2" if k % 10 != 9 else None
+        assert (rows[f"t{i}"].version, rows[f"t{i}"].failed) == (want, want is None)
+    assert rows["pii"].redacted and rows["null"].failed
+    left = out.cache.collect()
+    assert len(left) == 12 and {r.version for r in left} == {"v1"} and all(r.created_at == noon for r in left)
+    again = M.embed_all(texts, out.cache, "v1", now, None, other)
+    assert again.version == "v2" and {r.version for r in again.cache.collect()} == {"v2"}
+    assert sum(r.cached for r in again.rows.collect()) == 24
+    assert M.embed_all(texts, cache.where("false"), "v1", now, None).rows.where("not failed").count() == 0
