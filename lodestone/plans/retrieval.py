@@ -7,11 +7,12 @@ from pyspark.sql import functions as F
 from lodestone.functions import scoring as S
 from lodestone.functions import text as X
 from lodestone.functions import vectors as V
-from lodestone.operators import filters, search
+from lodestone.operators import filters, search, word_index
 from lodestone.operators.neighbours import neighbours
 from lodestone.operators.ordering import numbered
 from lodestone.plans.common import ACTIVE, Registry, now, r6
 from lodestone.sources.fixtures import Tables
+from lodestone.sources.layout import lay_out
 
 R = Registry()
 CORE = "claims promotion_queue"
@@ -93,6 +94,20 @@ def s03(t: Tables):
     return rows.join(gone, "id", "left").select("id", "scope", F.coalesce("rolled_back", F.lit(False)).alias("rolled_back"))
 
 
+@R.add("s03_laid_out_scan", "SELECT id, kind FROM claims WHERE scope = 'project' AND created_at >= {NOW} - INTERVAL '45' DAY", "claims")
+def s03l(t: Tables):
+    """Claims by scope and month: other scopes and earlier months are not opened."""
+    return lay_out(t.claims, "id", "month").since(now() - F.expr("INTERVAL '45' DAY"), "project").select("id", "kind")
+
+
+@R.add("y01_laid_out_export", "SELECT c.id, c.scope, len(v.embedding) AS width FROM claims c JOIN claim_vectors v ON v.claim_id = c.id WHERE c.scope <> 'session' AND c.created_at >= {NOW} - INTERVAL '100' DAY", "claims claim_vectors")
+def y01l(t: Tables):
+    """Claims and vectors bucketed by id meet without an exchange."""
+    claims, vectors = lay_out(t.claims, "id", "month"), lay_out(t.claim_vectors.withColumnRenamed("claim_id", "id"), "id")
+    rows = claims.since(now() - F.expr("INTERVAL '100' DAY")).where("scope <> 'session'").join(vectors.rows().hint("merge"), "id")
+    return rows.select("id", "scope", F.size("embedding").alias("width"))
+
+
 @R.add("s05_point_lookup", "SELECT id, type FROM entities WHERE lower(name) = lower('1-URGENT') ORDER BY id DESC LIMIT 1", "entities")
 def s05(t: Tables):
     return t.entities.where(F.lower("name") == "1-urgent").orderBy(F.desc("id")).limit(1).select("id", "type")
@@ -263,6 +278,18 @@ def r01(t: Tables):
     return texts(t).select("id", r6("score"))
 
 
+@R.add("r01_indexed_search", TEXT + " SELECT id, round(score, 6) AS score FROM txt", "claims promotion_queue critic")
+def r01i(t: Tables):
+    """The same search through an index of three-letter runs: only the postings of the words' rarest runs are read."""
+    found = word_index.matches(t.claims, word_index.build(t.claims), WORDS)
+    return search.text_candidates(found, t.promotion_queue, t.critic, WORDS, filters.one_of("scope", SCOPES)).select("id", r6("score"))
+
+
+@R.add("f05_indexed_match", "SELECT id FROM claims WHERE text ILIKE '%haing%' OR text ILIKE '%THe H%'", "claims")
+def f05i(t: Tables):
+    return word_index.matches(t.claims, word_index.build(t.claims), ["haing", "THe H"]).select("id")
+
+
 @R.add("r02_all_claims", f"SELECT c.id, round(coalesce(k.score, 0), 6) AS score FROM claims c LEFT JOIN critic k ON k.claim_id = c.id WHERE {IN_SCOPE} AND {ACTIVE}", "claims promotion_queue critic")
 def r02(t: Tables):
     return search.text_candidates(t.claims, t.promotion_queue, t.critic, None, filters.one_of("scope", SCOPES), None).select("id", r6("score"))
