@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from lodestone.operators.ordering import average_ranks, nearest_rank
+from lodestone.operators.ordering import average_ranks, nearest_rank, numbered
+from lodestone.runtime import materialize, small
 
 
 def ranked_hits(ranked: DataFrame, judged: DataFrame) -> DataFrame:
@@ -103,13 +104,17 @@ def grid(spark, **axes: list) -> DataFrame:
     return out
 
 
-def synthetic_claims(spark, golden: DataFrame, n: int, templates: list[tuple[str, str, str]], fillers: list[str]) -> DataFrame:
-    """Golden rows (id, text, kind, scope), then made ones up to ``n`` in all: by index, a template (text, kind, scope) and a filler for its {tech}."""
+def synthetic_claims(spark, golden: DataFrame, n: int, templates: list[tuple[str, str, str]], fillers: DataFrame) -> DataFrame:
+    """Golden rows (id, text, kind, scope), then made ones up to ``n`` in all: by index, a template (text, kind, scope) and a filler for its {tech}.
+
+    Fillers are rows (id, name) of any number; they get their places by id and are joined to the made rows. Without any, nothing is made.
+    """
     have = golden.count()
+    placed = materialize(numbered(fillers.select("id", "name"), [F.asc("id")], "place"), "fillers")
+    several = max(1, placed.count())
     pick = F.array(*[F.struct(*[F.lit(x).alias(c) for x, c in zip(row, ("text", "kind", "scope"))]) for row in templates])
-    names = F.array(*[F.lit(x) for x in fillers])
-    i = F.col("i")
-    row = F.get(pick, (i % len(templates)).cast("int"))
-    text = F.replace(row["text"], F.lit("{tech}"), F.get(names, (i % len(fillers)).cast("int")))
-    made = spark.range(max(0, n - have)).select(F.col("id").alias("i")).select(F.concat(F.lit("synth-"), F.lpad(i.cast("string"), 5, "0")).alias("id"), text.alias("text"), row["kind"].alias("kind"), row["scope"].alias("scope"))
+    made = spark.range(max(0, n - have)).select(F.col("id").alias("i"), (F.col("id") % several + 1).alias("place")).join(small(placed.select("place", "name")), "place")
+    row, digits = F.get(pick, (F.col("i") % len(templates)).cast("int")), F.col("i").cast("string")
+    name = F.concat(F.lit("synth-"), F.lpad(digits, F.greatest(F.lit(5), F.length(digits)), F.lit("0")))
+    made = made.select(name.alias("id"), F.replace(row["text"], F.lit("{tech}"), F.col("name")).alias("text"), row["kind"].alias("kind"), row["scope"].alias("scope"))
     return golden.select("id", "text", "kind", "scope").orderBy("id").limit(n).unionByName(made)

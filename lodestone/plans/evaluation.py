@@ -131,12 +131,11 @@ def e10a(t: Tables):
 TEMPLATES = [("We use {tech} for storage", "fact", "project"), ("Prefer {tech}", "preference", "principle"), ("Migrate to {tech}", "task", "session")]
 
 
-@R.add("e11_synthetic_claims", """, n AS (SELECT count(*) AS n FROM claims), m AS (SELECT i FROM n, range(0, n) r(i)), f AS (SELECT list(name ORDER BY id) AS names FROM entities WHERE type = 'Concept')
-SELECT id, text, kind, scope FROM claims UNION ALL SELECT 'synth-' || lpad(CAST(i AS VARCHAR), 5, '0'), replace(['We use {tech} for storage', 'Prefer {tech}', 'Migrate to {tech}'][i % 3 + 1], '{tech}', names[i % len(names) + 1]), ['fact', 'preference', 'task'][i % 3 + 1], ['project', 'principle', 'session'][i % 3 + 1] FROM m, f""", "claims entities")
+@R.add("e11_synthetic_claims", """, n AS (SELECT count(*) AS n FROM claims), m AS (SELECT i FROM n, range(0, n) r(i)), f AS (SELECT name, row_number() OVER (ORDER BY id) - 1 AS k, count(*) OVER () AS several FROM entities WHERE type <> 'Event')
+SELECT id, text, kind, scope FROM claims UNION ALL SELECT 'synth-' || lpad(CAST(i AS VARCHAR), 5, '0'), replace(['We use {tech} for storage', 'Prefer {tech}', 'Migrate to {tech}'][i % 3 + 1], '{tech}', name), ['fact', 'preference', 'task'][i % 3 + 1], ['project', 'principle', 'session'][i % 3 + 1] FROM m JOIN f ON k = i % several""", "claims entities")
 def e11(t: Tables):
-    """As many made claims as there are real ones, filled with the names of concepts."""
-    fillers = [r.name for r in t.entities.where("type = 'Concept'").orderBy("id").limit(64).select("name").collect()]
-    return evaluate.synthetic_claims(t.spark, t.claims, 2 * t.claims.count(), TEMPLATES, fillers)
+    """As many made claims as there are real ones, filled with the names of all entities but events."""
+    return evaluate.synthetic_claims(t.spark, t.claims, 2 * t.claims.count(), TEMPLATES, t.entities.where("type <> 'Event'"))
 
 
 @R.add("e09_score_separation", "SELECT round(min(score) FILTER (quality = 1) - max(score) FILTER (quality = 0), 6) AS gap FROM (SELECT quality, k.score FROM labels JOIN critic k ON k.claim_id = concat('clm_', doc_id))", "critic")

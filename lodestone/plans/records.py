@@ -364,6 +364,15 @@ def f16(t: Tables):
     return checks.rejected(rows, checks.claim_record_rules()).select("id", F.array_join("reasons", ",").alias("reasons"))
 
 
+@R.add("f16_entity_records", """, e AS (SELECT *, CAST(regexp_extract(id, '[0-9]+$') AS BIGINT) AS k FROM entity_rows)
+SELECT id, concat_ws(',', CASE WHEN k % 6 = 1 THEN 'type' END, CASE WHEN k % 7 = 2 THEN 'name' END, CASE WHEN k % 11 = 3 THEN 'attrs' END) AS reasons FROM e""", "entity_rows")
+def f16e(t: Tables):
+    """Entities with unknown types, empty names and attributes that are no object."""
+    k = F.regexp_extract("id", "[0-9]+$", 0).cast("long")
+    rows = t.entity_rows.withColumn("type", F.when(k % 6 == 1, "Thing").otherwise(F.col("type"))).withColumn("name", F.when(k % 7 == 2, "").otherwise(F.col("name"))).withColumn("attrs", F.when(k % 11 == 3, "[1]").otherwise(F.col("attrs")))
+    return checks.rejected(rows, checks.entity_record_rules()).select("id", F.array_join("reasons", ",").alias("reasons"))
+
+
 @R.add("f16_relation_records", "SELECT id, concat_ws(',', CASE WHEN type = 'PLACED' THEN 'type' END, CASE WHEN props = '{\"w\":0}' THEN 'props' END) AS reasons FROM relation_rows", "relation_rows")
 def f16r(t: Tables):
     """Orders come without a type, and every fifth row with properties that are no object."""
