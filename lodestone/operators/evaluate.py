@@ -104,6 +104,21 @@ def grid(spark, **axes: list) -> DataFrame:
     return out
 
 
+def perturbed(pool: DataFrame, settings: DataFrame, threshold: float, base: str = "baseline") -> DataFrame:
+    """(config, shown, kept, ids) of each setting (config, alpha, rerank, top_k): its page of the candidates, and how many of them ``base`` shows.
+
+    ``pool`` is a bounded page of candidates (id, created_at, s_text, s_vec, and the factors of a reranking); settings are few.
+    """
+    mixed = F.col("alpha") * F.col("s_vec") + (1 - F.col("alpha")) * F.col("s_text")
+    factor = F.col("g") * F.col("intent_boost") * F.col("quality") * F.col("feedback_boost")
+    scored = pool.join(F.broadcast(settings)).withColumn("score", F.round(mixed * F.when(F.col("rerank"), factor).otherwise(1.0), 9)).where(F.col("score") >= threshold)
+    rank = F.row_number().over(Window.partitionBy("config").orderBy(F.desc("score"), F.desc("created_at"), "id"))
+    top = materialize(scored.withColumn("rank", rank).where(F.col("rank") <= F.col("top_k")).select("config", "id", "rank"), "perturbed")
+    own = top.where(F.col("config") == base).select("id", F.lit(True).alias("own"))
+    ids = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("rank", "id"))), lambda x: x["id"]), ",").alias("ids")
+    return top.join(F.broadcast(own), "id", "left").groupBy("config").agg(F.count(F.lit(1)).alias("shown"), F.count_if("own").alias("kept"), ids)
+
+
 def synthetic_claims(spark, golden: DataFrame, n: int, templates: list[tuple[str, str, str]], fillers: DataFrame) -> DataFrame:
     """Golden rows (id, text, kind, scope), then made ones up to ``n`` in all: by index, a template (text, kind, scope) and a filler for its {tech}.
 

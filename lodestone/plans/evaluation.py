@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from lodestone.operators import evaluate, search
-from lodestone.plans.common import Registry, r6
-from lodestone.plans.retrieval import COS
+from lodestone.operators import evaluate, filters, search
+from lodestone.plans.common import Registry, now, r6
+from lodestone.plans.retrieval import COS, RANKED, SCOPES, features, texts, vecs
 from lodestone.sources.fixtures import Tables
 
 R = Registry()
@@ -148,3 +148,21 @@ def e09(t: Tables):
 def e10(t: Tables):
     steps = F.explode(F.sequence(F.lit(0), F.least(F.lit(9), F.floor(F.round(F.col("utility") * 1000) / 100).cast("int"))))
     return t.claims.select(steps.alias("i")).groupBy((F.col("i") / 10).alias("threshold")).agg(F.count(F.lit(1)).alias("kept"))
+
+
+# The settings that a perturbation run compares.
+SETTINGS = [("baseline", 0.65, True, 10), ("no-rerank", 0.65, False, 10), ("alpha-0.5", 0.5, True, 10), ("alpha-0.8", 0.8, True, 10), ("top_k-5", 0.65, True, 5), ("top_k-20", 0.65, True, 20)]
+PERTURBED = RANKED.split("SELECT u.id, round(")[0].replace("{W}", "1.0").replace("{INTENT}", "1").replace("{FB}", "1").rstrip() + """, cfg AS (SELECT * FROM (VALUES """ + ", ".join(f"('{n}', CAST({a} AS DOUBLE), {str(r).lower()}, {k})" for n, a, r, k in SETTINGS) + """) v(config, alpha, rerank, top_k)),
+sc AS (SELECT config, top_k, u.id, c.created_at, round((alpha * u.s_vec + (1 - alpha) * u.s_text) * CASE WHEN rerank THEN coalesce(g, 1) * coalesce(pq, 1) ELSE 1 END, 9) AS score FROM cfg, fused u LEFT JOIN fac ON fac.id = u.id LEFT JOIN claims c ON c.id = u.id),
+rk AS (SELECT *, row_number() OVER (PARTITION BY config ORDER BY score DESC, created_at DESC, id) AS rank FROM sc WHERE score >= 0.15), top AS (SELECT * FROM rk WHERE rank <= top_k)
+SELECT t.config, count(*) AS shown, count(*) FILTER (t.id IN (SELECT id FROM top WHERE config = 'baseline')) AS kept, string_agg(t.id, ',' ORDER BY t.rank) AS ids FROM top t GROUP BY t.config"""
+
+
+@R.add("e10_perturbation", PERTURBED, "claims promotion_queue evidence feedback critic claim_vectors")
+def e10p(t: Tables):
+    """One pool of candidates under each setting: what is shown, and how much of it the baseline shows too."""
+    fused = search.fuse(texts(t), vecs(t))
+    stats = search.utility_stats(t.claims, t.promotion_queue, filters.one_of("scope", SCOPES))
+    pool = search.rerank(fused, features(t, fused.select("id")), stats, now(), threshold=float("-inf"))
+    settings = t.spark.createDataFrame(SETTINGS, "config string, alpha double, rerank boolean, top_k int")
+    return evaluate.perturbed(pool, settings, search.THRESHOLD)

@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from lodestone.plans.common import Registry, r6
-from lodestone.plans.lifecycle import RATE_SQL
+from lodestone.plans.lifecycle import CLEAN, KEYS, PII, RATE_SQL
 from lodestone.runtime import fresh_path
 from lodestone.sources import records
 from lodestone.sources.fixtures import Tables
@@ -15,12 +15,12 @@ from lodestone.streaming import jobs, state
 R = Registry()
 
 
-@R.add("s09_s10_file_round_trip", "SELECT kind, scope, count(*) AS n FROM claims GROUP BY ALL", "claims")
+@R.add("s09_s10_file_round_trip", "SELECT kind, scope, boundary_class, sha256(text) AS text FROM claims", "claims")
 def s09(t: Tables):
     path = fresh_path(t.spark, "export")
     records.write_claims(t.claims.select("text", "kind", "scope", "boundary_class"), path)
     back = t.spark.read.schema("text string, kind string, boundary_class string, scope string").json(f"{path}/claims")
-    return back.groupBy("kind", "scope").agg(F.count(F.lit(1)).alias("n"))
+    return back.select("kind", "scope", "boundary_class", F.sha2(F.col("text").cast("binary"), 256).alias("text"))
 
 
 @R.add("st_windowed_counts", "SELECT strftime(time_bucket(INTERVAL '1 hour', ts), '%Y-%m-%d %H:%M:%S') AS start, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY ALL")
@@ -34,11 +34,12 @@ def sessions(t: Tables):
     return jobs.sessions(t.events)
 
 
-@R.add("st_observe_stream", "SELECT concat('obs_', conv_id, '_', turn) AS id, length(text) AS length FROM conversations")
+@R.add("st_observe_stream", f"""WITH o AS (SELECT concat('obs_', conv_id, '_', turn) AS id, text AS c, {KEYS.format(c='text')} AS k, {PII.format(c='text')} AS p FROM conversations)
+SELECT id, CASE WHEN k THEN 'secret' WHEN p THEN 'pii' ELSE 'internal' END AS boundary_class, CASE WHEN k THEN NULL WHEN p THEN sha256({CLEAN.format(c='c')}) ELSE sha256(c) END AS content, length(c) AS length FROM o""")
 def observe_stream(t: Tables):
     turns = t.conversations
     stream = jobs.stream_of(t.spark, f"{t.sf_dir}/conversations.parquet", turns.schema)
-    return jobs.run_once(jobs.observe_stream(stream), "observe").select("id", "length")
+    return jobs.run_once(jobs.observe_stream(stream), "observe").select("id", "boundary_class", F.sha2(F.col("content").cast("binary"), 256).alias("content"), "length")
 
 
 DAYS = ["2024-01-07", "2024-01-13", "2024-01-19", "2024-01-25"]

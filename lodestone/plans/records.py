@@ -276,12 +276,12 @@ def w11(t: Tables):
     return L.appended(old, new, now()).select("id", "claim_id", F.date_format("recorded_at", "yyyy-MM-dd").alias("day"))
 
 
-@R.add("w12_rate_reset", """WITH r AS (SELECT CASE event_type WHEN 'view' THEN 'tool' WHEN 'click' THEN 'activate' ELSE event_type END AS name, count(*) AS value FROM events GROUP BY 1)
-SELECT name, CASE WHEN name IN ('tool', 'activate', 'observe') THEN 0 ELSE value END AS value FROM r UNION ALL SELECT 'observe', 0""")
+@R.add("w12_rate_reset", """WITH r AS (SELECT CASE event_type WHEN 'view' THEN 'tool' WHEN 'click' THEN 'activate' ELSE event_type END AS name, count(*) AS value, max(ts) AS last FROM events GROUP BY 1)
+SELECT name, CASE WHEN name IN ('tool', 'activate', 'observe') THEN 0 ELSE value END AS value, strftime(CASE WHEN name IN ('tool', 'activate', 'observe') THEN {NOW} ELSE last END, '%Y-%m-%d %H:%M:%S') AS last_reset FROM r UNION ALL SELECT 'observe', 0, strftime({NOW}, '%Y-%m-%d %H:%M:%S')""")
 def w12(t: Tables):
     name = F.when(F.col("event_type") == "view", "tool").when(F.col("event_type") == "click", "activate").otherwise(F.col("event_type"))
     rates = t.events.groupBy(name.alias("name")).agg(F.count(F.lit(1)).alias("value"), F.max("ts").alias("last_reset"))
-    return L.reset_rates(rates, now()).select("name", "value")
+    return L.reset_rates(rates, now()).select("name", "value", F.date_format("last_reset", "yyyy-MM-dd HH:mm:ss").alias("last_reset"))
 
 
 # Predicates and validation
