@@ -21,6 +21,8 @@ from lodestone.llm.repeats import copies, settled, with_spans
 from lodestone.llm.textbytes import buffer_of, slices, word_hashes, words_of
 
 WINDOW, ANCHOR = 50, 8
+#: Bytes of different segments, at 8 bytes a word, up to which an anchor is indexed: an index takes some 80 bytes a word.
+INDEXED = 1 << 22
 
 
 class WaveletMatrix:
@@ -55,14 +57,14 @@ class FMIndex:
     def __init__(self, text: np.ndarray, depth: int):
         self.n = n = len(text)
         self.depth = depth
-        rank, have = text.astype(np.uint64), 1
+        rank, have = text.astype(np.uint32), 1
         ranks = {1: rank}
         while have < depth:
-            key = (rank << np.uint64(32)) | np.roll(rank, -(have % n))
+            key = (rank.astype(np.uint64) << np.uint64(32)) | np.roll(rank, -(have % n))
             order = np.argsort(key, kind="stable")
             k = key[order]
-            rank = np.empty(n, np.uint64)
-            rank[order] = np.concatenate(([0], np.cumsum(k[1:] != k[:-1]))).astype(np.uint64)
+            rank = np.empty(n, np.uint32)
+            rank[order] = np.concatenate(([0], np.cumsum(k[1:] != k[:-1]))).astype(np.uint32)
             have *= 2
             ranks[have] = rank
         self.order = np.argsort(rank, kind="stable")
@@ -217,7 +219,7 @@ def remove_repeated_words(docs: DataFrame, window: int = WINDOW, texts: bool = F
     rows with a null doc_id are returned whole and are no source. Extra columns are ignored; an
     empty table gives no rows.
     """
-    found = settled(docs, window, min(ANCHOR, -(-window // 3)), word_values, _words, lambda words, a, n: b" ".join(words[a : a + n]), _settle(window), lambda n, low: holder_runs(low), across=True, width=8)
+    found = settled(docs, window, min(ANCHOR, -(-window // 3)), word_values, _words, lambda words, a, n: b" ".join(words[a : a + n]), _settle(window), lambda n, low: holder_runs(low), across=True, width=8, most=INDEXED)
     a, last = F.col("a").cast("long"), F.lit(window - 1)
     at = F.sequence(F.lit(0), F.greatest(F.floor(F.size("answer") / 3).cast("int") - 1, F.lit(0)))
     runs = F.transform(at, lambda i: F.struct(F.get("answer", i * 3).alias("b"), F.get("answer", i * 3 + 1).alias("e"), F.get("answer", i * 3 + 2).alias("low")))

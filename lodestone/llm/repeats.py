@@ -3,7 +3,8 @@
 Every window is routed by its anchor (see ``anchors``), so all its occurrences meet in one shard.
 Segments that are equal as wholes are settled by counting; only anchors with different segments
 need an index, and only one copy of each different segment is sent to it. An anchor whose different
-segments would not fit a block is settled window by window, so no task holds more than two blocks.
+segments would not fit an index is settled window by window, so no task holds more than a block and
+the largest anchor.
 """
 
 from __future__ import annotations
@@ -19,7 +20,7 @@ from lodestone.llm.anchors import range_hashes, segments
 from lodestone.llm.textbytes import mix64
 from lodestone.runtime import materialize, small, spread_join
 
-#: Bytes of segments that one index holds; a task works through its shard in blocks of whole anchors.
+#: Bytes of segments after which a task, working through its shard by whole anchors, begins a new index.
 BLOCK = 1 << 18
 
 #: A batch of texts as values to look for repeats in: (values, first value of each document).
@@ -154,13 +155,13 @@ def by_window(segments: DataFrame, texts: DataFrame, window: int, values: Values
     return segments.select("m", "h", "c", "n", "low").join(lists, ["m", "h"], "left").mapInArrow(_answers(answer), "m long, h long, answer array<long>")
 
 
-def settled(docs: DataFrame, window: int, k: int, values: Values, prepare: Callable[[str], object], piece: Slice, settle: Settle, answer: Answer, across: bool, width: int = 1) -> DataFrame:
+def settled(docs: DataFrame, window: int, k: int, values: Values, prepare: Callable[[str], object], piece: Slice, settle: Settle, answer: Answer, across: bool, width: int = 1, most: int = BLOCK) -> DataFrame:
     """(doc_id, crc, a, c, reps, low, n, answer): segments with repeated windows, of texts that are first of their copies.
 
     A row stands for ``reps`` equal segments of ``c`` windows side by side, the first window starting at ``a``.
     Where ``answer`` is null all windows of the segment have ``n`` rows and ``low`` as their smallest doc_id;
     otherwise it is what ``settle`` said. ``across`` keeps only anchors that more than one doc_id has.
-    An anchor whose different segments pass BLOCK bytes, at ``width`` bytes a value, is left to ``by_window``.
+    An anchor whose different segments pass ``most`` bytes, at ``width`` bytes a value, is left to ``by_window``.
     """
     again = materialize(copies(docs).where("first < doc_id").select("doc_id", "crc"), "copies")
     own = docs.where("doc_id is not null and text is not null").select("doc_id", crc(), "text").join(small(again), ["doc_id", "crc"], "left_anti")
@@ -179,7 +180,7 @@ def settled(docs: DataFrame, window: int, k: int, values: Values, prepare: Calla
     shared = seen.where(F.col("d0") < F.col("d1") if across else (F.col("n") > 1) | (F.col("h0") != F.col("h1")))
     kept = materialize(shared.select("m", "h", "doc_id", "crc", "a", "c", "reps", "n", "low", (F.col("h0") != F.col("h1")).alias("mixed"), (F.col("rank") == 1).alias("head")), "segments")
     heads = kept.where("mixed and head")
-    over = materialize(heads.groupBy("m").agg(F.sum((F.col("c") + (window - 1)) * width).alias("size")).where(F.col("size") > BLOCK).select("m"), "over")
+    over = materialize(heads.groupBy("m").agg(F.sum((F.col("c") + (window - 1)) * width).alias("size")).where(F.col("size") > most).select("m"), "over")
     n_over = over.count()
 
     def texts_of(some: DataFrame) -> DataFrame:

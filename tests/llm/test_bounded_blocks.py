@@ -1,4 +1,4 @@
-"""No index gets more than two blocks, however many different segments share an anchor."""
+"""No index gets more than a block and the largest anchor that is indexed, however many different segments share an anchor."""
 
 import random
 
@@ -9,12 +9,12 @@ import pytest
 from lodestone.llm import bwt, fm, quality, repeats
 
 
-def guarded(real):
+def guarded(real, most=2 * repeats.BLOCK):
     def make(window):
         settle = real(window)
 
         def run(segments, *rest):
-            assert sum(map(len, segments)) <= 2 * repeats.BLOCK
+            assert sum(map(len, segments)) <= most
             return settle(segments, *rest)
 
         return run
@@ -35,9 +35,11 @@ def notices(spark):
     return data, spark.createDataFrame(data, "doc_id long, text string").repartition(8)
 
 
-def test_words(notices, monkeypatch):
+@pytest.mark.parametrize("most", [repeats.BLOCK, fm.INDEXED])
+def test_words(notices, monkeypatch, most):
     data, docs = notices
-    monkeypatch.setattr(fm, "_settle", guarded(fm._settle))
+    monkeypatch.setattr(fm, "INDEXED", most)
+    monkeypatch.setattr(fm, "_settle", guarded(fm._settle, repeats.BLOCK + most))
     got = {r.doc_id: r.n_removed for r in fm.remove_repeated_words(docs).collect()}
     seen, want = set(), {}
     for d, t in data:
