@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-FAMILIES = ("retrieval", "analytics", "graphs", "lifecycle", "exchange", "evaluation", "extras", "catalogue", "records", "activation", "policies")
+FAMILIES = ("retrieval", "analytics", "graphs", "lifecycle", "exchange", "evaluation", "extras", "catalogue", "records", "activation", "policies", "promotions")
 
 
 def load() -> tuple[dict, dict]:
