@@ -110,6 +110,7 @@ QUERIES = {
 
 ORACLES: dict[str, str] = {
     "op1_minhash_near_dedup": sql.near_duplicates(85),
+    "op2_histogram_sort": sql.byte_shards(),
     "op5_fm_substring_dedup": sql.repeated_words(fm.WINDOW),
     "op6_chat_format": sql.chats(chat.OPEN.decode(), chat.CLOSE.decode()),
     "op9_bwt_substring_dedup": sql.repeated_bytes(bwt.WINDOW),

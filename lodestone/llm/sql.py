@@ -67,3 +67,15 @@ SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text |
  CAST(coalesce(sum(length(text)) FILTER (role = 'assistant'), 0) AS BIGINT) AS loss_chars, sha256(coalesce(string_agg(text, '' {order}) FILTER (role = 'assistant'), '')) AS loss_sha256,
  CAST(sum({len(opening)} + length({escaped(role)}) + 1 + length({escaped('text')}) + {len(closing)}) AS BIGINT) AS formatted_chars
 FROM t GROUP BY conv_id"""
+
+
+def byte_shards(shards: int = 16) -> str:
+    """Cumulative bytes give the shards; CRC-32 bit by bit, each byte followed by seven zeros."""
+    return f"""
+WITH x AS (SELECT doc_id, text, hex(encode(coalesce(text, ''))) AS x FROM documents),
+bits AS (SELECT doc_id, text, len(x) // 2 + 1 AS size, flatten(list_transform(regexp_extract_all(x, '..'), lambda h: [CAST('0x' || h AS BIGINT), 0, 0, 0, 0, 0, 0, 0])) AS l FROM x),
+sized AS (SELECT doc_id, text, CAST(size AS BIGINT) AS size, xor(list_reduce(list_prepend(CAST(4294967295 AS BIGINT), l), lambda c, b: xor(xor(c, b) >> 1, (xor(c, b) & 1) * 3988292384)), 4294967295) AS text_crc32 FROM bits),
+cum AS (SELECT doc_id, sum(sum(size)) OVER (ORDER BY doc_id) - sum(size) AS below, sum(sum(size)) OVER () AS total FROM sized GROUP BY doc_id),
+cuts AS (SELECT doc_id, CAST((SELECT count(*) FROM range(1, {shards}) t(j) WHERE below >= total * j / {shards}) AS INTEGER) AS shard FROM cum)
+SELECT s.doc_id, s.size, text_crc32, 'bytes' AS law, shard, row_number() OVER (PARTITION BY shard ORDER BY s.doc_id, s.size, text_crc32) - 1 AS slot, CAST(NULL AS INTEGER) AS grown_shard
+FROM sized s JOIN cuts c ON c.doc_id = s.doc_id"""
