@@ -59,3 +59,17 @@ def test_components_of_stars_and_chains(spark, monkeypatch, limit):
     got = {r.id: r.component for r in connected_components(spark.createDataFrame(edges, "src long, dst long")).collect()}
     big = {1000, *range(100, 160), *range(300, 331)}
     assert got == {**{k: 100 for k in big}, 7: 7, 5: 5, 6: 5}
+
+
+def test_broadcasts_follow_bytes_of_rows_not_of_files(spark):
+    from lodestone.plans.common import Registry
+    from tests.conftest import SF
+
+    wide = runtime.materialize(spark.range(100_000).select("id", F.lit("x" * 200).alias("v")), "wide")
+    registry = Registry()
+    registry.add("q")(lambda t: wide.join(wide.select("id", F.col("v").alias("w")), "id"))
+    df = registry.queries["q"](spark, SF)
+    assert df.agg(F.count(F.lit(1))).first()[0] == 100_000
+    df.write.format("noop").mode("overwrite").save()
+    assert "BroadcastHashJoin" not in df._jdf.queryExecution().executedPlan().toString()
+    runtime.discard(wide)
