@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from lodestone.operators.ordering import average_ranks, nearest_rank, numbered
+from lodestone.operators.ordering import average_ranks, numbered
+from lodestone.operators.search import blocks, matrix
 from lodestone.runtime import materialize, small
 
 
@@ -77,11 +82,92 @@ def sweep_summary(deltas: DataFrame) -> DataFrame:
     )
 
 
-def similarity_spread(pairs: DataFrame, above: float = 0.7) -> DataFrame:
-    """Per id: mean, percentiles by nearest rank and how many are above, of its similarities (id, other, similarity)."""
-    shares = {"p50": 0.5, "p75": 0.75, "p90": 0.9, "p100": 1.0}
-    ranks = nearest_rank(pairs, "id", "similarity", shares, "other")
-    return pairs.groupBy("id").agg(F.round(F.avg("similarity"), 6).alias("mean"), F.count_if(F.col("similarity") > above).alias("above")).join(ranks, "id")
+#: Cells of a histogram of cosines, from -1 to 1.
+CELLS = 1024
+SHARES = {"p50": 0.5, "p75": 0.75, "p90": 0.9, "p100": 1.0}
+#: Tasks that share the rows; each gives one histogram for each query.
+MOST_PARTS = 16
+
+
+def _products(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, pa.Array, np.ndarray, np.ndarray, np.ndarray]]:
+    """(number of the query block, the block, its ids, cosines, which of them count) for each pair of blocks."""
+    for batch in batches:
+        for part, x, y in zip(batch.column("part").to_pylist(), batch.column("x"), batch.column("y")):
+            (ids, q), (others, r) = matrix(x.values), matrix(y.values)
+            width = max(q.shape[1], r.shape[1])
+            q, r = (np.pad(m, ((0, 0), (0, width - m.shape[1]))) for m in (q, r))
+            near = q @ r.T
+            yield part, x.values, ids, near, (near > -2) & (ids[:, None] != others[None, :])
+
+
+def _cells(near: np.ndarray) -> np.ndarray:
+    # Rounded, so that a cosine is in the same cell whatever block it was made in.
+    return np.clip(np.floor((np.round(near, 9) + 1) * (CELLS / 2)), 0, CELLS - 1).astype(np.int64)
+
+
+def _tallied(above: float):
+    def out(ids, n, total, over, hist):
+        lists = pa.ListArray.from_arrays(pa.array(np.arange(0, hist.size + 1, CELLS), pa.int32()), pa.array(hist.ravel()))
+        return pa.RecordBatch.from_arrays([pa.array(ids, pa.string()), pa.array(n), pa.array(total), pa.array(over), lists], names=["id", "n", "total", "above", "hist"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, held = None, None
+        for part, _, ids, near, ok in _products(batches):
+            if part != at or len(held[0]) != len(ids):
+                if held is not None:
+                    yield out(*held)
+                at, held = part, (ids, np.zeros(len(ids), np.int64), np.zeros(len(ids)), np.zeros(len(ids), np.int64), np.zeros((len(ids), CELLS), np.int64))
+            held[1][:] += ok.sum(axis=1)
+            held[2][:] += np.where(ok, near, 0).sum(axis=1)
+            held[3][:] += (ok & (near > above)).sum(axis=1)
+            i, j = np.nonzero(ok)
+            held[4][:] += np.bincount(i * CELLS + _cells(near[i, j]), minlength=len(ids) * CELLS).reshape(len(ids), CELLS)
+        if held is not None:
+            yield out(*held)
+
+    return run
+
+
+def _picked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The cosines of each query that lie in its wanted cells."""
+    for _, x, ids, near, ok in _products(batches):
+        wanted = np.zeros((len(ids), CELLS), bool)
+        for k, cells in enumerate(x.field("cells").to_pylist()):
+            wanted[k, cells] = True
+        cell = _cells(np.where(ok, near, 0))
+        i, j = np.nonzero(ok & wanted[np.arange(len(ids))[:, None], cell])
+        yield pa.RecordBatch.from_arrays([pa.array(ids[i], pa.string()), pa.array(cell[i, j].astype(np.int32)), pa.array(near[i, j])], names=["id", "cell", "similarity"])
+
+
+def similarity_spread(queries: DataFrame, vectors: DataFrame, above: float = 0.7) -> DataFrame:
+    """Per query: mean, percentiles by nearest rank and how many are above, of its cosines with all rows of ``vectors`` but itself; both are (id, embedding).
+
+    Pairs are never written. Blocks of vectors are multiplied twice: first each query's cosines are counted by CELLS equal cells, which tells the cells
+    that hold the wanted places; then only the cosines in those cells, about a hundredth of all, are put in order.
+    """
+    n_parts, rows = blocks(vectors, "y")
+    rows = materialize(rows, "rows")
+    salts = min(MOST_PARTS, n_parts)
+
+    def met(some: DataFrame, *more: str) -> DataFrame:
+        _, x = blocks(some, "x", *more)
+        x = x.select("part", "x", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("salt"))
+        return x.join(rows.select((F.col("part") % salts).cast("int").alias("salt"), "y"), "salt").select("part", "x", "y")
+
+    tally = met(queries).mapInArrow(_tallied(above), "id string, n long, total double, above long, hist array<long>")
+    tally = materialize(tally, "tally")
+    sums = tally.groupBy("id").agg(F.sum("n").alias("n"), F.sum("total").alias("total"), F.sum("above").alias("above")).where("n > 0")
+    cells = tally.select("id", F.posexplode("hist").alias("cell", "c")).where("c > 0").groupBy("id", "cell").agg(F.sum("c").alias("c"))
+    upto = F.sum("c").over(Window.partitionBy("id").orderBy("cell"))
+    places = F.array(*[F.struct(F.lit(k).alias("name"), F.least(F.floor(F.col("n") * s), F.col("n") - 1).alias("at")) for k, s in SHARES.items()])
+    wanted = cells.withColumn("upto", upto).join(sums.select("id", "n"), "id").withColumn("w", F.explode(places))
+    wanted = wanted.where((F.col("w.at") < F.col("upto")) & (F.col("w.at") >= F.col("upto") - F.col("c")))
+    wanted = materialize(wanted.select("id", "cell", "w.name", (F.col("w.at") - F.col("upto") + F.col("c") + 1).alias("rn")), "wanted")
+    asked = queries.join(wanted.groupBy("id").agg(F.collect_set("cell").alias("cells")), "id")
+    found = met(asked, "cells").mapInArrow(_picked, "id string, cell int, similarity double")
+    ranked = found.withColumn("rn", F.row_number().over(Window.partitionBy("id", "cell").orderBy("similarity")))
+    picked = ranked.join(wanted, ["id", "cell", "rn"]).groupBy("id").agg(*[F.round(F.max(F.when(F.col("name") == k, F.col("similarity"))), 6).alias(k) for k in SHARES])
+    return sums.join(picked, "id").select("id", F.round(F.col("total") / F.col("n"), 6).alias("mean"), "above", *SHARES)
 
 
 def match_overlap(queries: DataFrame, docs: DataFrame) -> DataFrame:
@@ -132,4 +218,7 @@ def synthetic_claims(spark, golden: DataFrame, n: int, templates: list[tuple[str
     row, digits = F.get(pick, (F.col("i") % len(templates)).cast("int")), F.col("i").cast("string")
     name = F.concat(F.lit("synth-"), F.lpad(digits, F.greatest(F.lit(5), F.length(digits)), F.lit("0")))
     made = made.select(name.alias("id"), F.replace(row["text"], F.lit("{tech}"), F.col("name")).alias("text"), row["kind"].alias("kind"), row["scope"].alias("scope"))
-    return golden.select("id", "text", "kind", "scope").orderBy("id").limit(n).unionByName(made)
+    kept = golden.select("id", "text", "kind", "scope")
+    if n < have:
+        kept = numbered(kept, [F.asc("id"), F.asc("text")], "_place").where(F.col("_place") <= n).drop("_place")
+    return kept.unionByName(made)
