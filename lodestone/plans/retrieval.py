@@ -207,8 +207,10 @@ w AS (SELECT id, arg_max(other, {{'t': t1, 'o': other}}) AS newer, arg_max(s, {{
 
 
 def versions(t: Tables):
-    c = filters.active(t.claims, t.promotion_queue).join(t.claim_vectors, F.col("id") == F.col("claim_id"))
-    v = c.select("id", F.col("scope").alias("block"), F.sha2(F.col("text").cast("binary"), 256).alias("hash"), "created_at", F.substring("id", 5, 20).cast("long").alias("k"), "embedding")
+    # Texts are hashed where they are read and move no further.
+    claims = t.claims.select("id", "scope", F.sha2(F.col("text").cast("binary"), 256).alias("hash"), "created_at", "tombstone")
+    c = filters.active(claims, t.promotion_queue).join(t.claim_vectors, F.col("id") == F.col("claim_id"))
+    v = c.select("id", F.col("scope").alias("block"), "hash", "created_at", F.substring("id", 5, 20).cast("long").alias("k"), "embedding")
     after = v.select((F.col("k") - 1).alias("k"), F.col("embedding").alias("next"))
     leaning = F.transform("embedding", lambda x, i: x + 0.1 * (F.col("k") % 5).cast("double") * F.coalesce(F.get("next", i), F.lit(0.0)))
     days = F.make_dt_interval((F.col("k") % 5 - 2).cast("int"))

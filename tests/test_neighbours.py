@@ -70,3 +70,9 @@ def test_odd_rows(spark):
     got = {r.id: (r.n_links, r.nearest, r.newer) for r in N.neighbours(frame).collect()}
     assert got == brute(rows, 0.85) and got["y"] == (2, "x", None) and got["s"] == (1, "y", "y")
     assert N.neighbours(frame.where("false")).count() == 0
+
+
+def test_bands_are_few_for_many_rows():
+    for rows in (10**4, 10**5, 10**6):
+        planes, bands = N.band_shape(rows, 0.85)
+        assert rows / 2**planes <= N.BUCKET_ROWS and bands <= 70
