@@ -177,6 +177,12 @@ def blast_radius(roots: DataFrame, links: DataFrame, claim_entities: DataFrame,
     return Blast(found)
 
 
+def _contexts_of(reach: DataFrame, held: DataFrame) -> DataFrame:
+    """(root, contexts): how many contexts hold a claim of ``reach`` (root, claim_id); only the two names of a pair are moved."""
+    pairs = reach.join(held.select("claim_id", "active_context_id").distinct(), "claim_id").select("root", "active_context_id").distinct()
+    return pairs.groupBy("root").agg(F.count("active_context_id").alias("contexts"))
+
+
 def affected_contexts(blast: DataFrame, items: DataFrame, layer: Column) -> DataFrame:
     """(root, contexts, items, claims, layers, best) of the contexts that hold a claim in reach of a root.
 
@@ -184,11 +190,13 @@ def affected_contexts(blast: DataFrame, items: DataFrame, layer: Column) -> Data
     """
     score = F.coalesce(F.when(F.abs("score") < float("inf"), F.col("score")), F.lit(0.0))
     held = items.withColumn("layer", F.coalesce(layer, F.lit("unknown"))).withColumn("score", score)
-    rows = blast.select("root", F.col("id").alias("claim_id")).distinct().join(held, "claim_id")
-    return rows.groupBy("root").agg(
-        F.count_distinct("active_context_id").alias("contexts"), F.count(F.lit(1)).alias("items"), F.count_distinct("claim_id").alias("claims"),
-        F.array_join(F.array_sort(F.collect_set("layer")), ",").alias("layers"), F.max("score").alias("best"),
+    # All but the number of contexts comes from one row for each claim.
+    reach = materialize(blast.select("root", F.col("id").alias("claim_id")).distinct(), "reach")
+    by_claim = held.groupBy("claim_id").agg(F.count(F.lit(1)).alias("n"), F.collect_set("layer").alias("layers"), F.max("score").alias("best"))
+    sums = reach.join(by_claim, "claim_id").groupBy("root").agg(
+        F.sum("n").alias("items"), F.count(F.lit(1)).alias("claims"), F.array_join(F.array_sort(F.array_distinct(F.flatten(F.collect_set("layers")))), ",").alias("layers"), F.max("best").alias("best"),
     )
+    return sums.join(_contexts_of(reach, held), "root").select("root", "contexts", "items", "claims", "layers", "best")
 
 
 def claim_components(claims: DataFrame, links: DataFrame, claim_entities: DataFrame, relations: DataFrame) -> DataFrame:
