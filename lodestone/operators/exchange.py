@@ -131,13 +131,14 @@ def merge_replicas(replicas: list[DataFrame]) -> DataFrame:
     repeated one matters; ``copies`` counts different rows.
     """
     fields = ["hash", "text", "kind", "scope", "boundary_class", "memory_type", "created_at"]
-    rows = reduce(DataFrame.unionByName, [r.select(*fields) for r in replicas]).distinct()
-    at = F.struct("created_at", "text", "kind", "scope")
-    merged = rows.groupBy("hash").agg(
-        F.min(at).alias("first"), strictest("boundary_class").alias("boundary_class"),
+    rows = reduce(DataFrame.unionByName, [r.select(*fields) for r in replicas])
+    # Texts are moved once, for the earliest copy; different rows are told apart by the digest.
+    first = rows.groupBy("hash").agg(F.min(F.struct("created_at", "text", "kind", "scope")).alias("first"))
+    merged = rows.withColumn("text", F.sha2(F.col("text").cast("binary"), 256)).distinct().groupBy("hash").agg(
+        strictest("boundary_class").alias("boundary_class"),
         F.min_by("memory_type", F.when(F.col("memory_type").isNotNull(), F.struct("created_at", "memory_type"))).alias("memory_type"), F.count(F.lit(1)).alias("copies"),
     )
-    return merged.select("hash", "first.text", "first.kind", "first.scope", "boundary_class", "memory_type", "copies")
+    return first.withColumnRenamed("hash", "h").join(merged, F.col("h").eqNullSafe(F.col("hash"))).select("hash", "first.text", "first.kind", "first.scope", "boundary_class", "memory_type", "copies")
 
 
 def claim_document() -> Column:
