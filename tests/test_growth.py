@@ -68,3 +68,12 @@ def test_replicas_are_told_apart_by_digests(spark):
     merged = exchange.merge_replicas([rows, rows, rows.withColumn("boundary_class", F.lit("pii"))])
     assert "sha2(" in plan(merged)
     assert [tuple(r) for r in merged.collect()] == [("h", "long text", "fact", "project", "pii", "norm", 2)]
+
+
+def test_promoted_rows_are_embedded_once(spark):
+    from lodestone.plans import promotions
+    from lodestone.sources.fixtures import Tables
+    from tests.conftest import SF
+
+    for df in promotions.after(Tables(spark, SF)):
+        assert "_signed_buckets" not in plan(df)
