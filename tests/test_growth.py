@@ -1,11 +1,17 @@
 """Steps whose moved bytes once grew faster than their input."""
 
+import unicodedata
+
 import numpy as np
 from pyspark.sql import functions as F
 
+from lodestone.functions import text as X
 from lodestone.operators import evaluate, exchange, graph, lifecycle
 
 
+PYTHON = ("EvalPython", "MapInArrow", "MapInPandas")
+
+
 def plan(df):
     return df._jdf.queryExecution().optimizedPlan().toString()
 
@@ -77,3 +83,10 @@ def test_promoted_rows_are_embedded_once(spark):
 
     for df in promotions.after(Tables(spark, SF)):
         assert "_signed_buckets" not in plan(df)
+
+
+def test_texts_are_composed_without_python_workers(spark):
+    texts = ["plain", "é e\u0301 ü", "u\u0308\u0323", "\u212b \u1100\u1161\u11a8 \U0001d15e", "", None]
+    rows = spark.createDataFrame([(t,) for t in texts], "t string").select("t", X.composed(F.col("t")).alias("c"), X.content_hash(F.col("t")).alias("h"))
+    assert not any(name in plan(rows) for name in PYTHON)
+    assert [r.c for r in rows.collect()] == [t if t is None else unicodedata.normalize("NFC", t) for t in texts]
