@@ -9,10 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 from dataclasses import dataclass
-from itertools import chain
 
-import numpy as np
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -33,13 +30,9 @@ class WordIndex:
     parts: int
 
 
-def _posted(batches):
-    """(id, run) for each distinct run of each text in lower case."""
-    for batch in batches:
-        ids, texts = batch.column(0), batch.column(1).to_pylist()
-        runs = [list({text[k : k + RUN] for k in range(len(text) - RUN + 1)}) for text in texts]
-        owner = np.repeat(np.arange(len(runs)), [len(r) for r in runs])
-        yield pa.RecordBatch.from_arrays([ids.take(pa.array(owner)), pa.array(list(chain.from_iterable(runs)), pa.string())], names=["id", "run"])
+def runs_of(text: Column) -> Column:
+    """The distinct runs of a text, made where its row is read; a look-ahead finds those that overlap, none from inside a character."""
+    return F.array_distinct(F.regexp_extract_all(text, F.lit(rf"(?s)(?=([^\x{{DC00}}-\x{{DFFF}}].{{{RUN - 1}}}))"), F.lit(1)))
 
 
 def part_of(run: Column, parts: int) -> Column:
@@ -53,8 +46,7 @@ def build(rows: DataFrame, parts: int = 64) -> WordIndex:
     """
     spark = rows.sparkSession
     path, kind = fresh_path(spark, "postings"), rows.schema["id"].dataType.simpleString()
-    low = rows.where("text is not null").select("id", F.lower("text"))
-    posted = low.mapInArrow(_posted, f"id {kind}, run string").withColumn("part", part_of(F.col("run"), parts))
+    posted = rows.where("text is not null").select("id", F.explode(runs_of(F.lower("text"))).alias("run")).withColumn("part", part_of(F.col("run"), parts))
     ordered = posted.repartitionByRange("part", "run", "id").sortWithinPartitions("part", "run", "id")
     ordered.write.partitionBy("part").option("compression", "zstd").parquet(path)
     postings = spark.read.schema(f"run string, id {kind}, part int").parquet(path)
@@ -66,7 +58,7 @@ def postings_of(index: WordIndex, word: str) -> tuple[DataFrame, int]:
     low = word.lower()
     runs = list(dict.fromkeys(low[k : k + RUN] for k in range(len(low) - RUN + 1)))
     spark = index.postings.sparkSession
-    asked = spark.createDataFrame([(r,) for r in runs], "run string").withColumn("part", part_of(F.col("run"), index.parts))
+    asked = spark.range(1).select(F.explode(F.array(*[F.lit(r) for r in runs])).alias("run")).withColumn("part", part_of(F.col("run"), index.parts))
     found = asked.join(index.counts.where(F.col("run").isin(runs)), "run", "left").select("run", "part", "n").collect()
     if any(r.n is None for r in found):
         return index.postings.where("false"), 1

@@ -6,7 +6,7 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from lodestone.functions import text as X
-from lodestone.operators import evaluate, exchange, graph, lifecycle
+from lodestone.operators import evaluate, exchange, graph, lifecycle, word_index
 
 
 PYTHON = ("EvalPython", "MapInArrow", "MapInPandas")
@@ -90,3 +90,14 @@ def test_texts_are_composed_without_python_workers(spark):
     rows = spark.createDataFrame([(t,) for t in texts], "t string").select("t", X.composed(F.col("t")).alias("c"), X.content_hash(F.col("t")).alias("h"))
     assert not any(name in plan(rows) for name in PYTHON)
     assert [r.c for r in rows.collect()] == [t if t is None else unicodedata.normalize("NFC", t) for t in texts]
+
+
+def test_runs_of_texts_are_found_without_python_workers(spark):
+    texts = ["abcabc", "ab", "", "a\nb\r\nc", "x\U0001f600yz\U0001f600", "ééé é"]
+    rows = spark.createDataFrame([(t,) for t in texts], "t string").select("t", word_index.runs_of(F.col("t")).alias("r"))
+    assert not any(name in plan(rows) for name in PYTHON)
+    for r in rows.collect():
+        assert sorted(r.r) == sorted({r.t[k : k + 3] for k in range(len(r.t) - 2)})
+    whole = spark.createDataFrame(list(enumerate(texts)), "id int, text string")
+    found = word_index.matches(whole, word_index.build(whole, 4), ["BCA", "\U0001f600y"])
+    assert sorted(r.id for r in found.collect()) == [0, 4]
