@@ -5,6 +5,7 @@ import unicodedata
 import numpy as np
 from pyspark.sql import functions as F
 
+from lodestone.functions import embeddings
 from lodestone.functions import text as X
 from lodestone.operators import evaluate, exchange, graph, lifecycle, word_index
 
@@ -101,3 +102,23 @@ def test_runs_of_texts_are_found_without_python_workers(spark):
     whole = spark.createDataFrame(list(enumerate(texts)), "id int, text string")
     found = word_index.matches(whole, word_index.build(whole, 4), ["BCA", "\U0001f600y"])
     assert sorted(r.id for r in found.collect()) == [0, 4]
+
+
+def test_texts_are_embedded_without_python_workers(spark):
+    texts = ["two words", "camelCase a_b x/y.z:w-v", "a " * 300 + "b9", "\u212aelvin \u0130 \U0001f600 0", "", None]
+    rows = spark.createDataFrame([(t,) for t in texts], "t string").select("t", embeddings.bag_embedding(F.col("t")).alias("v"))
+    assert not any(name in plan(rows) for name in PYTHON)
+    for r in rows.collect():
+        v = np.zeros(64)
+        for token in embeddings._tokens(r.t or ""):
+            v[embeddings.fnv1a(token) % 64] += 1 - 2 * (embeddings.fnv1a(token + ":sign") & 1)
+        length = np.sqrt((v * v).sum())
+        assert np.allclose(r.v, v / length if length else np.eye(64)[0], atol=1e-6)
+
+
+def test_waves_that_are_not_read_are_not_made(spark):
+    from lodestone import plans
+    from tests.conftest import SF
+
+    text = plan(plans.load()[0]["x22_wave_embeddings"](spark, SF))
+    assert not any(name in text for name in PYTHON) and "transform(" not in text
