@@ -33,3 +33,11 @@ def test_observations_expire_with_event_time(spark):
     # The watermark ends at minute 90; f came before it passed f's expiry.
     assert got == {"a": (True, None), "b": (False, None), "c": (True, None), "d": (False, "w"), "e": (False, "new"), "f": (True, None), "g": (False, "t")}
     assert {(r.id, r.scrubbed) for r in rows.where("id = 'a'").collect()} == {("a", False), ("a", True)}
+
+
+def test_a_micro_batch_costs_a_step_a_group_not_a_key(spark, monkeypatch):
+    monkeypatch.setattr(state, "GROUPS", 3)
+    rows = [(k, 10 * k + j, at(j)) for k in range(40) for j in range(3)]
+    made = state.run_in_steps(lambda s: state.limit_rate_stream(s, 2, 3600.0), [spark.createDataFrame(rows, "bucket long, seq long, ts timestamp_ntz")], "test-groups")
+    assert {r.seq: r.allowed for r in made.collect()} == {seq: seq % 10 < 2 for _, seq, _ in rows}
+    assert spark.range(200).select(state._group("id")).distinct().count() == 3
