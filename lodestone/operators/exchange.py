@@ -164,13 +164,15 @@ def imported_documents(documents: DataFrame, schema: str) -> DataFrame:
 
 def _content_diff(incoming: DataFrame, local: DataFrame, plain: list[str], nested: str) -> DataFrame:
     """Incoming rows with their action: new, skipped_duplicate, or diff if any field differs (key order aside)."""
-
-    def content(df: DataFrame) -> Column:
-        return F.struct(*[F.col(c) for c in plain], F.coalesce(stable_json(F.col(nested)), F.lit("{}")).alias(nested))
-
-    old = local.select("id", content(local).alias("old"))
-    rows = incoming.select("*", content(incoming).alias("new")).join(old, "id", "left")
-    return rows.withColumn("diff", F.when(F.col("old").isNull(), "new").when(F.col("new").eqNullSafe(F.col("old")), "skipped_duplicate").otherwise("diff")).drop("new", "old")
+    old = local.select("id", F.struct(*plain, nested).alias("old"))
+    rows = incoming.join(old, "id", "left")
+    same = reduce(Column.__and__, [F.col(c).eqNullSafe(F.col(f"old.{c}")) for c in plain])
+    a, b = F.col(nested), F.col(f"old.{nested}")
+    # Only documents whose texts differ go to a Python worker to have their keys sorted.
+    unlike = F.col("old").isNotNull() & same & ~a.eqNullSafe(b)
+    sorted_a, sorted_b = (F.coalesce(stable_json(F.when(unlike, x)), F.lit("{}")) for x in (a, b))
+    action = F.when(F.col("old").isNull(), "new").when(same & (a.eqNullSafe(b) | (sorted_a == sorted_b)), "skipped_duplicate").otherwise("diff")
+    return rows.withColumn("diff", action).drop("old")
 
 
 def import_entities(incoming: DataFrame, local: DataFrame) -> DataFrame:
@@ -181,9 +183,13 @@ def import_entities(incoming: DataFrame, local: DataFrame) -> DataFrame:
 
 def import_relations(incoming: DataFrame, local: DataFrame, entities: DataFrame) -> DataFrame:
     """(id, action) of incoming relations (id, src_id, dst_id, type, props) after the entities came in: both ends must exist."""
-    missing = referenced(incoming, entities).select("id", (F.col("src_missing") | F.col("dst_missing")).alias("missing"))
-    rows = _content_diff(incoming, local, ["src_id", "dst_id", "type"], "props").join(missing, "id")
-    action = F.when(F.col("missing"), "missing_reference").when(F.col("diff") == "diff", "relation_content_diff").otherwise(F.col("diff"))
+    # Rows meet the local ones first, while both lie by id; after that only ends and actions are moved, and each row once.
+    rows = _content_diff(incoming, local, ["src_id", "dst_id", "type"], "props").select("id", "src_id", "dst_id", "diff")
+    known = entities.select(F.col("id").alias("k")).distinct()
+    for end in ("src_id", "dst_id"):
+        rows = rows.join(known.select(F.col("k").alias(end), F.lit(True).alias(f"has_{end}")), end, "left")
+    missing = F.col("has_src_id").isNull() | F.col("has_dst_id").isNull()
+    action = F.when(missing, "missing_reference").when(F.col("diff") == "diff", "relation_content_diff").otherwise(F.col("diff"))
     return rows.select("id", action.alias("action"))
 
 

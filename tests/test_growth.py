@@ -122,3 +122,14 @@ def test_waves_that_are_not_read_are_not_made(spark):
 
     text = plan(plans.load()[0]["x22_wave_embeddings"](spark, SF))
     assert not any(name in text for name in PYTHON) and "transform(" not in text
+
+
+def test_relations_are_imported_without_being_joined_to_themselves(spark):
+    entities = spark.createDataFrame([("a",), ("b",)], "id string")
+    rows = [("1", "a", "b", "T", '{"x":1,"y":2}'), ("2", "a", "b", "T", '{"x":1}'), ("3", "a", "z", "T", None), ("4", "a", "b", "T", "{}"), ("5", "a", "b", None, "no"), ("6", "b", "a", "U", "{}")]
+    old = [("1", "a", "b", "T", '{"y": 2, "x": 1}'), ("2", "a", "b", "T", '{"x":2}'), ("4", "a", "b", "T", None), ("5", "a", "b", None, "none"), ("6", "b", "a", "T", "{}")]
+    schema = "id string, src_id string, dst_id string, type string, props string"
+    got = exchange.import_relations(spark.createDataFrame(rows, schema), spark.createDataFrame(old, schema), entities)
+    assert plan(got).count("Join ") == 3
+    want = {"1": "skipped_duplicate", "2": "relation_content_diff", "3": "missing_reference", "4": "skipped_duplicate", "5": "skipped_duplicate", "6": "relation_content_diff"}
+    assert {r.id: r.action for r in got.collect()} == want
