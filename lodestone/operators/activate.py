@@ -146,20 +146,25 @@ def selection_reason(intent: str | None) -> Column:
     return F.concat_ws("; ", *parts)
 
 
-def activate(data: Collection, ask: Request) -> DataFrame:
-    """(rank, id, score, source, stale, reason): one page for a request.
-
-    Search results and what a walk from the best of them reaches are merged: superseded ones leave, derived ones join.
-    Observations take open slots if asked for, their scores scaled below the best claim. An open slot goes to a graph
-    result if the page has none. Rows with a newer similar claim come last.
-    """
+def gather(data: Collection, ask: Request) -> DataFrame:
+    """All results of a request before paging: search results merged with what a walk from the best of them reaches; superseded ones leave, derived ones join."""
     found = materialize(hybrid_search(data, ask, candidate_limit(ask.top_k, ask.seed_k, ask.cursor is not None)).select("id", "score", "created_at"), "found")
     allowed = filters.active(data.claims, data.queue).where(filters.one_of("scope", list(ask.scopes)))
     if ask.where is not None:
         allowed = allowed.where(ask.where)
     seeds = found.orderBy(*paging.newest_first()).limit(ask.seed_k).select("id", "score")
     walked = graph.walk(seeds, data.links, data.claim_entities, data.relations, allowed, ask.hops)
-    merged = materialize(graph.merge_walk(found, walked, data.claims).withColumnRenamed("kind", "way"), "merged")
+    return materialize(graph.merge_walk(found, walked, data.claims).withColumnRenamed("kind", "way"), "merged")
+
+
+def activate(data: Collection, ask: Request, merged: DataFrame | None = None) -> DataFrame:
+    """(rank, id, score, source, stale, reason): one page for a request.
+
+    Pages of the same request may share the results ``merged`` that ``gather`` made for one with a cursor.
+    Observations take open slots if asked for, their scores scaled below the best claim. An open slot goes to a graph
+    result if the page has none. Rows with a newer similar claim come last.
+    """
+    merged = gather(data, ask) if merged is None else merged
     seen = None
     if ask.observations:
         scored = search.observation_scores(data.observations, ask.words or [], ask.now, filters.live(ask.now))

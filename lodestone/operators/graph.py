@@ -40,17 +40,33 @@ def symmetric(edges: DataFrame, a: str, b: str, *keep: str) -> DataFrame:
     return edges.select(F.col(a).alias("u"), F.col(b).alias("v"), *keep).unionByName(edges.select(F.col(b).alias("u"), F.col(a).alias("v"), *keep))
 
 
+def _hops(relations: DataFrame, held: DataFrame) -> DataFrame:
+    """(u, v, id): relations from the materialised entities ``held`` (u), either way round; a self-relation once.
+
+    Where the entities are small enough for a broadcast, the relations are scanned once for both ways.
+    """
+    near = small(held)
+    if near is held:
+        ahead = relations.join(held, F.col("src_id") == F.col("u"), "left_semi").select(F.col("src_id").alias("u"), F.col("dst_id").alias("v"), "id")
+        back = relations.join(held, F.col("dst_id") == F.col("u"), "left_semi").select(F.col("dst_id").alias("u"), F.col("src_id").alias("v"), "id")
+        return ahead.unionByName(back).distinct()
+    mine = {c: F.broadcast(held.select(F.col("u").alias(f"_{c}"))) for c in ("src", "dst")}
+    met = relations.join(mine["src"], F.col("src_id") == F.col("_src"), "left").join(mine["dst"], F.col("dst_id") == F.col("_dst"), "left").where("_src is not null or _dst is not null")
+    ways = F.array(F.when(F.col("_src").isNotNull(), F.struct(F.col("_src").alias("u"), F.col("dst_id").alias("v"))), F.when(F.col("_dst").isNotNull(), F.struct(F.col("_dst").alias("u"), F.col("src_id").alias("v"))))
+    return met.select("id", F.explode(ways).alias("way")).where("way is not null").select("way.u", "way.v", "id").distinct()
+
+
 def entity_steps(ids: DataFrame, claim_entities: DataFrame, relations: DataFrame) -> DataFrame:
     """(u, v, edge): from each claim of ``ids`` over one relation between entities to other claims; self-relations included once.
 
     Starts from the claims asked for: their entities, the relations of those, the entities beyond, their claims.
     """
     here = claim_entities.join(ids.select(F.col("id").alias("claim_id")), "claim_id", "left_semi").select(F.col("claim_id").alias("from_claim"), F.col("entity_id").alias("u")).distinct()
-    held = small(materialize(here.select("u").distinct(), "entities"))
-    ahead = relations.join(held, F.col("src_id") == F.col("u"), "left_semi").select(F.col("src_id").alias("u"), F.col("dst_id").alias("v"), "id")
-    back = relations.join(held, F.col("dst_id") == F.col("u"), "left_semi").select(F.col("dst_id").alias("u"), F.col("src_id").alias("v"), "id")
-    hops = ahead.unionByName(back).distinct()
-    there = claim_entities.select(F.col("claim_id").alias("to_claim"), F.col("entity_id").alias("v"))
+    held = materialize(here.select("u").distinct(), "entities")
+    hops = materialize(_hops(relations, held), "hops")
+    # Only the entities beyond are looked up; the semi-join goes below a DISTINCT of the table.
+    beyond = small(materialize(hops.select("v").distinct(), "beyond"))
+    there = claim_entities.join(beyond, F.col("entity_id") == F.col("v"), "left_semi").select(F.col("claim_id").alias("to_claim"), F.col("entity_id").alias("v"))
     steps = hops.join(here, "u").join(there, "v").where(F.col("from_claim") != F.col("to_claim"))
     return steps.select(F.col("from_claim").alias("u"), F.col("to_claim").alias("v"), F.col("id").alias("edge"))
 

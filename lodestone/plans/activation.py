@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from dataclasses import replace
+
 from pyspark.sql import functions as F
 
 from lodestone.operators import graph, paging
-from lodestone.operators.activate import Collection, Request, activate, hybrid_search
+from lodestone.operators.activate import Collection, Request, activate, activate_page, gather, hybrid_search
+from lodestone.operators.ordering import numbered
 from lodestone.plans.common import Registry, now, r6
 from lodestone.plans.graphs import ENTITY, STEPS, WALK_AFTER_SEEDS
 from lodestone.plans.retrieval import FB, FUSED, INTENTS, OBS, PAIRS, RANKED, SCOPES, TEXT, VEC, WORDS, query_vector
@@ -121,9 +124,9 @@ def r19o(t: Tables):
 @R.add("r19_second_page", MERGED.replace("ORDER BY score DESC, created_at DESC, id LIMIT 36)", ")", 1) + f", nb AS (SELECT *, row_number() OVER ({ORDERED}) AS p FROM mg), pg AS (SELECT * EXCLUDE (p) FROM nb WHERE p > 5 AND p <= 17)" + ANSWER, VIEWS)
 def r19p(t: Tables):
     """The page after the fifth row of everything that is found without a limit."""
-    ask = whole(t)
-    from dataclasses import replace
-
-    everything = activate(collection(t), replace(ask, top_k=5, freshness=2.0, cursor=t.spark.createDataFrame([("none",)], "cursor string")))
-    last = everything.where("rank = 5").select(F.col("id").alias("cursor"))
-    return shown(activate(collection(t), replace(ask, cursor=last)))
+    # The first page needs no ranks by freshness: its last row in the final order is the cursor.
+    data, ask = collection(t), whole(t, cursor=t.spark.createDataFrame([("none",)], "cursor string"))
+    merged = gather(data, ask)
+    first = numbered(activate_page(merged, None, 5, ask.cursor), paging.final_order(merged.columns), "place")
+    last = first.where("place = 5").select(F.col("id").alias("cursor"))
+    return shown(activate(data, replace(ask, cursor=last), merged))

@@ -133,3 +133,25 @@ def test_relations_are_imported_without_being_joined_to_themselves(spark):
     assert plan(got).count("Join ") == 3
     want = {"1": "skipped_duplicate", "2": "relation_content_diff", "3": "missing_reference", "4": "skipped_duplicate", "5": "skipped_duplicate", "6": "relation_content_diff"}
     assert {r.id: r.action for r in got.collect()} == want
+
+
+def test_pages_of_one_request_share_one_search_and_one_walk(spark, monkeypatch):
+    from lodestone.operators import activate
+    from lodestone.plans import load
+
+    calls, real = [], activate.hybrid_search
+    monkeypatch.setattr(activate, "hybrid_search", lambda *a: calls.append(1) or real(*a))
+    assert load()[0]["r19_second_page"](spark, "/root/testdata/sf0.001").count() == 12
+    assert len(calls) == 1
+
+
+def test_relations_are_scanned_once_for_both_ways(spark):
+    from lodestone.runtime import materialize
+
+    rows = [("r1", "a", "b"), ("r2", "b", "a"), ("r3", "a", "a"), ("r4", "c", "b"), ("r5", "d", "e"), ("r6", None, "b")]
+    relations = materialize(spark.createDataFrame(rows, "id string, src_id string, dst_id string"), "relations")
+    held = materialize(spark.createDataFrame([("a",), ("b",)], "u string"), "held")
+    want = {("a", "b", "r1"), ("b", "a", "r1"), ("b", "a", "r2"), ("a", "b", "r2"), ("a", "a", "r3"), ("b", "c", "r4"), ("b", None, "r6")}
+    got = graph._hops(relations, held)
+    assert sorted(map(str, map(tuple, got.collect()))) == sorted(map(str, want))
+    assert plan(got).count("Relation [") == 3  # the relations and, twice, the few entities
