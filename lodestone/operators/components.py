@@ -18,7 +18,8 @@ def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst") -
     Self-loops, repeated edges and null ends are harmless (null ends are ignored).
     """
     e = edges.select(F.col(src).alias("u"), F.col(dst).alias("v")).where("u is not null and v is not null")
-    both = materialize(e.union(e.select(F.col("v").alias("u"), F.col("u").alias("v"))).distinct(), "edges")
+    ways = F.array(F.struct("u", "v"), F.struct(F.col("v").alias("u"), F.col("u").alias("v")))  # one pass over the edges' plan
+    both = materialize(e.select(F.explode(ways).alias("way")).select("way.u", "way.v").distinct(), "edges")
     labels = materialize(both.groupBy(F.col("u").alias("id")).agg(F.least(F.min("u"), F.min("v")).alias("component"), (F.count(F.lit(1)) > HOT_ROWS).alias("hot")), "labels")
     hubs = materialize(labels.where("hot").select(F.col("id").alias("v"), F.lit(True).alias("hub")), "hubs")
     some = not hubs.isEmpty()

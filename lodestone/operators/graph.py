@@ -218,17 +218,21 @@ def affected_contexts(blast: DataFrame, items: DataFrame, layer: Column) -> Data
 def claim_components(claims: DataFrame, links: DataFrame, claim_entities: DataFrame, relations: DataFrame) -> DataFrame:
     """(id, component): claims connected over links, shared entities and relations between claims' entities.
 
-    Entities stand in the graph as vertices, so an entity with n claims costs n edges, not n pairs.
+    An entity stands for its smallest claim, so one with n claims costs n - 1 edges, not n pairs, and only claims are vertices.
     Relations count only if claims are attached at both ends. The component is its smallest claim id.
     """
     own = claims.select("id")
-    ce = claim_entities.join(own, F.col("claim_id") == F.col("id"), "left_semi")
-    held = ce.select(F.col("entity_id").alias("e")).distinct()
-    both = relations.join(held, F.col("src_id") == F.col("e"), "left_semi").join(held, F.col("dst_id") == F.col("e"), "left_semi")
+    ce = claim_entities.join(own, F.col("claim_id") == F.col("id"), "left_semi").select("claim_id", "entity_id").where("entity_id is not null")
+    ce = materialize(ce, "claim-entities")
+    held = materialize(ce.groupBy(F.col("entity_id").alias("e")).agg(F.min("claim_id").alias("c"), F.count(F.lit(1)).alias("n")), "held")
+    several = held.where("n > 1")
+    mates = spread_join(ce, several.select(F.col("e").alias("entity_id"), "c", "n"), ["entity_id"], "n", "claim_id").select(F.col("c").alias("src"), F.col("claim_id").alias("dst"))
+    at = {k: held.select(F.col("e").alias(f"{k}_id"), F.col("c").alias(k)) for k in ("src", "dst")}
+    both = relations.select("src_id", "dst_id").join(at["src"], "src_id").join(at["dst"], "dst_id").select("src", "dst")
     inner = links.join(own, F.col("source_claim_id") == own["id"], "left_semi").join(own, F.col("target_claim_id") == own["id"], "left_semi")
-    edges = inner.select(F.col("source_claim_id").alias("src"), F.col("target_claim_id").alias("dst"))
-    edges = edges.union(ce.select("claim_id", F.concat(F.lit("~"), "entity_id"))).union(both.select(F.concat(F.lit("~"), "src_id"), F.concat(F.lit("~"), "dst_id")))
+    edges = inner.select(F.col("source_claim_id").alias("src"), F.col("target_claim_id").alias("dst")).union(mates).union(both).where("src <> dst")
     label = connected_components(edges)
+    discard(ce, held)
     return own.join(label, "id", "left").select("id", F.coalesce("component", "id").alias("component"))
 
 

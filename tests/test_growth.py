@@ -155,3 +155,37 @@ def test_relations_are_scanned_once_for_both_ways(spark):
     got = graph._hops(relations, held)
     assert sorted(map(str, map(tuple, got.collect()))) == sorted(map(str, want))
     assert plan(got).count("Relation [") == 3  # the relations and, twice, the few entities
+
+
+def test_an_audit_makes_each_finding_once(spark):
+    from lodestone.plans import graphs
+    from lodestone.runtime import bounded
+    from lodestone.sources.fixtures import Tables
+
+    found = plan(graphs.findings(Tables(bounded(spark), "/root/testdata/sf0.001")))
+    assert "Join" not in found and "Aggregate" not in found  # what is capped and counted is read, not made again
+
+
+def test_components_have_claims_alone_as_vertices(spark, monkeypatch):
+    seen, real = [], graph.connected_components
+    monkeypatch.setattr(graph, "connected_components", lambda e: seen.append({tuple(sorted(r)) for r in e.collect()}) or real(e))
+    claims = spark.createDataFrame([(f"c{k:04}",) for k in range(1210)], "id string")
+    # One entity with 1 200 claims, one with a single claim, and related entities of which one has no claim.
+    held = [(f"c{k:04}", "hot") for k in range(1200)] + [("c1201", "x"), ("c1202", "y"), ("c1203", "y"), ("gone", "y"), ("c1204", "z"), ("c1205", None), ("c1206", None)]
+    ce = spark.createDataFrame(held, "claim_id string, entity_id string")
+    links = spark.createDataFrame([("c1207", "c1208"), ("c1208", "gone"), ("c1209", "gone")], "source_claim_id string, target_claim_id string")
+    relations = spark.createDataFrame([("x", "y"), ("z", "none"), ("none", "x"), (None, "x")], "src_id string, dst_id string")
+    got = {r.id: r.component for r in graph.claim_components(claims, links, ce, relations).collect()}
+    want = {f"c{k:04}": "c0000" if k < 1200 else f"c{k:04}" for k in range(1210)} | {"c1202": "c1201", "c1203": "c1201", "c1208": "c1207"}
+    assert got == want
+    assert {v for pair in seen[0] for v in pair} <= set(want) and len(seen[0]) <= 1203
+
+
+def test_generic_labels_are_told_without_splitting_long_texts(spark):
+    texts = {"": True, "two words": True, "one two three": False, "x" * 25: False, "_" * 300: True, "some long sentence of words with a Note in it": True, "some long sentence of words with a notebook in it": False,
+             "- " * 150 + "ab": True, "some long sentence with\nfoo_TODO-bar inside": True, "some long sentence with a note. inside": False}
+    frame = spark.createDataFrame([*texts.items(), (None, None)], "label string, want boolean")
+    assert frame.where(~X.generic_label(F.col("label")).eqNullSafe(F.col("want"))).count() == 0
+    long = spark.createDataFrame([("word " * 400000,)], "label string")
+    tree = plan(long.select(X.generic_label(F.col("label"))))
+    assert "arrays_overlap" not in tree
