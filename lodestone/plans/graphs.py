@@ -248,19 +248,27 @@ def generic_claims(t: Tables):
     return graph.neighbours(ids, t.claim_links, t.claim_entities, t.relations).groupBy("id").agg(F.count(F.lit(1)).alias("degree")).where("degree >= 4")
 
 
+def make_views(t: Tables) -> None:
+    """Views are made once, before the threads."""
+    for name in AUDIT_VIEWS.split():
+        getattr(t, name)
+
+
 def findings(t: Tables, component=None):
-    """(kind, subject) of all seven kinds of finding; the parts are planned and run side by side, each once, and written."""
+    """(kind, subject) of all seven kinds of finding; the parts are planned and run side by side, each once, and written.
+
+    ``component`` is a function that gives the components, if others need them too.
+    """
     parts = {
         "orphan_claim": lambda: graph.orphan_claims(t.claims, t.claim_links, t.claim_entities).select("id"),
         "orphan_entity": lambda: graph.orphan_entities(t.entities, t.relations, t.claim_entities).select("id"),
         "contradiction_cycle": lambda: graph.small_cycles(t.claim_links).select("cycle"),
         "supersession_chain": lambda: graph.longest_chains(t.claim_links).select("chain"),
-        "scope_hole": lambda: graph.scope_holes(component or components(t), t.claims).select("component"),
+        "scope_hole": lambda: graph.scope_holes(component() if component else components(t), t.claims).select("component"),
         "repeated_coactivation": lambda: unlinked(t).select(F.concat_ws("::", "a", "b")),
         "generic_hub": lambda: hubs(t).select("id").union(generic_claims(t).select("id")),
     }
-    for name in AUDIT_VIEWS.split():  # views are made once, before the threads
-        getattr(t, name)
+    make_views(t)
     with ThreadPoolExecutor(len(parts)) as pool:
         rows = list(pool.map(inheritable_thread_target(t.spark)(lambda part: materialize(part[1]().toDF("subject").select(F.lit(part[0]).alias("kind"), "subject"), "findings")), parts.items()))
     return reduce(DataFrame.union, rows)
@@ -279,10 +287,14 @@ SCAN_LIMIT = 100_000
 SELECT kind, n, kind IN ('claims', 'entities', 'relations') AND n > {SCAN_LIMIT} AS over_scan_limit FROM tally""", AUDIT_VIEWS)
 def g11s(t: Tables):
     """Uncapped counts; the flag tells which tables a scan limit of 100 000 rows would have cut (nothing is cut here)."""
-    label = components(t)
+    make_views(t)
+    with ThreadPoolExecutor(1) as one:  # components are formed once, beside the other findings
+        forming = one.submit(inheritable_thread_target(t.spark)(components), t)
+        found = findings(t, forming.result)
+    label = forming.result()
     counted = {"claims": t.claims, "entities": t.entities, "relations": t.relations, "claim_links": t.claim_links, "components": label.select("component").distinct()}
     rows = [df.agg(F.count(F.lit(1)).alias("n")).select(F.lit(k).alias("kind"), "n") for k, df in counted.items()]
-    n = reduce(DataFrame.unionByName, rows).unionByName(findings(t, label).groupBy("kind").agg(F.count(F.lit(1)).alias("n")))
+    n = reduce(DataFrame.unionByName, rows).unionByName(found.groupBy("kind").agg(F.count(F.lit(1)).alias("n")))
     return n.select("kind", "n", (F.col("kind").isin("claims", "entities", "relations") & (F.col("n") > SCAN_LIMIT)).alias("over_scan_limit"))
 
 

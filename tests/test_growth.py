@@ -189,3 +189,18 @@ def test_generic_labels_are_told_without_splitting_long_texts(spark):
     long = spark.createDataFrame([("word " * 400000,)], "label string")
     tree = plan(long.select(X.generic_label(F.col("label"))))
     assert "arrays_overlap" not in tree
+
+
+def test_a_summary_forms_components_once_and_beside_the_findings(spark, monkeypatch):
+    import threading
+
+    from lodestone.plans import graphs
+    from lodestone.runtime import bounded
+    from lodestone.sources.fixtures import Tables
+
+    calls, real = [], graphs.components
+    monkeypatch.setattr(graphs, "components", lambda t: calls.append(threading.current_thread()) or real(t))
+    monkeypatch.setattr(graphs, "findings", lambda t, component: component().selectExpr("'all' AS kind", "id AS subject"))
+    rows = {r.kind: r.n for r in graphs.g11s(Tables(bounded(spark), "/root/testdata/sf0.001")).collect()}
+    assert rows["all"] == rows["claims"] and len(calls) == 1
+    assert calls[0] is not threading.main_thread()
