@@ -73,10 +73,10 @@ def observation_rules(most_bytes: int = 65_536, most_tags: int = 32, tag_length:
     }
 
 
-def claim_record_rules() -> dict[str, Column]:
-    """Rules for a claim as it is exchanged."""
+def claim_record_rules(least: int = 1) -> dict[str, Column]:
+    """Rules for a claim as it is exchanged; no text counts as an empty one, which only ``least`` 0 lets pass."""
     return {
-        "text": F.length("text").between(1, 10_000),
+        "text": F.length(F.coalesce("text", F.lit(""))).between(least, 10_000),
         "kind": F.col("kind").isin(KINDS),
         "scope": F.col("scope").isin(SCOPES),
         "boundary_class": F.col("boundary_class").isin(CLASSES),
