@@ -408,7 +408,7 @@ def cycles(links: DataFrame, link_type: str = "contradicts") -> DataFrame:
 def small_cycles(links: DataFrame, link_type: str = "contradicts", most: int = 12) -> DataFrame:
     """(cycle, length): the cycles in strong parts of at most ``most`` claims, and each larger part as one row, its smallest claim and its size.
 
-    A part of n claims may hold exponentially many cycles, so a report lists those of small parts and names the others.
+    A part of n claims may hold exponentially many cycles: this is for readers who want large parts named. ``cycles`` lists all, and the audit does so.
     """
     e = _directed(links, link_type)
     parts = materialize(strong_components(e.where("u <> v")), "parts")

@@ -262,7 +262,7 @@ def findings(t: Tables, component=None):
     parts = {
         "orphan_claim": lambda: graph.orphan_claims(t.claims, t.claim_links, t.claim_entities).select("id"),
         "orphan_entity": lambda: graph.orphan_entities(t.entities, t.relations, t.claim_entities).select("id"),
-        "contradiction_cycle": lambda: graph.small_cycles(t.claim_links).select("cycle"),
+        "contradiction_cycle": lambda: graph.cycles(t.claim_links).select("cycle"),
         "supersession_chain": lambda: graph.longest_chains(t.claim_links).select("chain"),
         "scope_hole": lambda: graph.scope_holes(component() if component else components(t), t.claims).select("component"),
         "repeated_coactivation": lambda: unlinked(t).select(F.concat_ws("::", "a", "b")),
