@@ -590,8 +590,7 @@ def entity_degrees(entities: DataFrame, claim_entities: DataFrame, relations: Da
     return entities.select("id").join(c, "id", "left").join(r, "id", "left").select("id", (F.coalesce("c", F.lit(0)) + F.coalesce("r", F.lit(0))).alias("degree"))
 
 
-def capped(findings: DataFrame, per_kind: int = 20) -> DataFrame:
-    """The report's first ``per_kind`` findings (kind, subject) of each kind, with the full count beside them."""
-    rn = F.row_number().over(Window.partitionBy("kind").orderBy("subject"))
+def counted(findings: DataFrame) -> DataFrame:
+    """Every finding (kind, subject) with its kind's count (total) beside it; a row for each kind is broadcast, so no kind gathers in one task."""
     totals = findings.groupBy("kind").agg(F.count(F.lit(1)).alias("total"))
-    return findings.withColumn("rn", rn).where(F.col("rn") <= per_kind).drop("rn").join(totals, "kind")
+    return findings.join(F.broadcast(totals), "kind")

@@ -18,3 +18,13 @@ def tables(spark):
 
 def test_a_summary_counts_every_cycle_of_a_large_part(spark):
     assert {r.kind: r.n for r in graphs.g11s(tables(spark)).collect()}["contradiction_cycle"] == 2
+
+
+def test_an_audit_lists_every_finding(spark):
+    rows = graphs.g11(tables(spark)).collect()
+    held = {}
+    for r in rows:
+        held.setdefault(r.kind, []).append(r)
+    assert set(CYCLES) == {r.subject for r in held["contradiction_cycle"]}
+    assert len(held["orphan_entity"]) > 20
+    assert all(r.total == len(found) for found in held.values() for r in found)
